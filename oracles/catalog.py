@@ -1,4 +1,4 @@
 """All check SQL by query name."""
-from . import entities, fundamentals
+from . import entities, fundamentals, metrics, valuation
 
-SQL = {**fundamentals.SQL, **entities.SQL}
+SQL = {**fundamentals.SQL, **entities.SQL, **metrics.SQL, **valuation.SQL}
