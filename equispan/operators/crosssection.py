@@ -73,6 +73,17 @@ def sector_z(df: DataFrame, col: str, by, out: str, sector="sector", min_n=5) ->
         .drop("_w", "_sec", "_n", "_m", "_sd", "_gm", "_gs")
 
 
+def sector_z_many(df: DataFrame, cols, by, sector="sector", tie="ticker") -> DataFrame:
+    """X5 for several columns in one pass: long rows keyed by column, then a column z_<name> each."""
+    by = list(by)
+    arr = ", ".join(f"named_struct('leg', '{c}', 'val', cast({c} AS double))" for c in cols)
+    long = (df.select(*by, tie, sector, F.explode(F.expr(f"array({arr})")).alias("p"))
+            .select(*by, tie, sector, "p.leg", "p.val").where("val IS NOT NULL"))
+    z = sector_z(long, "val", [*by, "leg"], "z", sector)
+    wide = z.groupBy(*by, tie).agg(*[F.expr(f"max(if(leg = '{c}', z, NULL))").alias(f"z_{c}") for c in cols])
+    return df.join(wide, [*by, tie], "left")
+
+
 def factor_blend(df: DataFrame, legs: dict, weights: dict, out="score") -> DataFrame:
     """Average the legs of each factor, then weight the factors a row has."""
     parts = []

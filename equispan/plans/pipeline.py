@@ -18,14 +18,18 @@ def company_stage(inputs: DataFrame, rf: float, today: str) -> DataFrame:
     return v.with_fit_inputs(m.with_stale(df, today)).drop("series", "now")
 
 
+def cross_section(live: DataFrame, tables: dict) -> DataFrame:
+    """Quality scores and anchor buckets."""
+    live = stage(x.with_quality(live))
+    return stage(x.assign_buckets(live, tables["subsector_overrides"], tables["subsector_by_sic"], v.FIT_OK))
+
+
 def universe_stage(companies: DataFrame, members: DataFrame, tables: dict) -> DataFrame:
     """Join the universes and add what needs the whole cross-section."""
     floors = F.broadcast(tables["universes"].select("universe", "min_mcap"))
     df = companies.join(members, "ticker").join(floors, "universe", "left")
     df = stage(with_exprs(df, min_mcap="coalesce(min_mcap, 0D)"))
-    live = df.where("why IS NULL")
-    live = x.assign_buckets(x.with_quality(live), tables["subsector_overrides"], tables["subsector_by_sic"], v.FIT_OK)
-    live = stage(live)
+    live = cross_section(df.where("why IS NULL"), tables)
     anchors, coefs = v.warranted_fit(live.where(v.FIT_OK), ["universe"])
     live = v.with_pffo(v.with_warranted(live, anchors, coefs, ["universe"]))
     gone = df.where("why IS NOT NULL")
@@ -47,4 +51,5 @@ def blend_stage(df: DataFrame, momentum: DataFrame | None = None) -> DataFrame:
 
 def value_universes(inputs, members, tables, rf, today, momentum=None) -> DataFrame:
     """All companies of all universes, valued; `why` holds the reason for those left out."""
-    return blend_stage(universe_stage(company_stage(inputs, rf, today), members, tables), momentum)
+    companies = stage(company_stage(inputs, rf, today))
+    return blend_stage(stage(universe_stage(companies, members, tables)), momentum)

@@ -5,22 +5,29 @@ from . import bindings as b
 from .registry import query, tidy
 from ..assumptions import assumption_tables
 from ..functions.exprs import with_exprs
+from ..functions.staging import keep, stage
 from ..operators import metrics as m, quality as q
 
 RF = 0.043
 TODAY = "2001-12-31"
 
 
+def financials(spark, d):
+    return keep(spark, d, "financials", lambda: b.financials(spark, d))
+
+
 def inputs(spark, d):
-    fin = b.financials(spark, d)
-    comp = b.companies(spark, d, fin)
-    dq = q.mcap_xcheck(comp, b.external_mcap(spark, d, comp))
-    return m.company_inputs(comp, fin, b.financials_now(spark, d, fin), b.company_betas(spark, d), RF,
-                            assumption_tables(spark)["archetype_overrides"], dq)
+    def make():
+        fin = financials(spark, d)
+        comp = stage(b.companies(spark, d, fin))
+        dq = q.mcap_xcheck(comp, b.external_mcap(spark, d, comp))
+        return m.company_inputs(comp, fin, b.financials_now(spark, d, fin), b.company_betas(spark, d), RF,
+                                assumption_tables(spark)["archetype_overrides"], dq)
+    return keep(spark, d, "inputs", make)
 
 
 def series(spark, d):
-    return m.company_series(b.financials(spark, d))
+    return m.company_series(financials(spark, d))
 
 
 @query

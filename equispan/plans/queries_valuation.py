@@ -7,7 +7,7 @@ from .registry import query, tidy
 from ..assumptions import assumption_tables
 from ..functions import engines as en
 from ..functions.exprs import with_exprs
-from ..functions.staging import stage
+from ..functions.staging import keep, stage
 from ..operators import crosssection as x, metrics as m, screen as sc, valuation as v
 from ..sources import sinks
 
@@ -15,7 +15,7 @@ U = ["universe", "ticker"]
 
 
 def engines(spark, d):
-    return pipeline.company_stage(inputs(spark, d), RF, TODAY).where("why IS NULL")
+    return keep(spark, d, "engines", lambda: pipeline.company_stage(inputs(spark, d), RF, TODAY)).where("why IS NULL")
 
 
 def fake_momentum(spark, d):
@@ -27,8 +27,8 @@ def fake_momentum(spark, d):
 
 
 def valued(spark, d):
-    return stage(pipeline.value_universes(inputs(spark, d), b.universe_members(spark, d), assumption_tables(spark),
-                                          RF, TODAY, fake_momentum(spark, d)))
+    return keep(spark, d, "valued", lambda: pipeline.value_universes(
+        inputs(spark, d), b.universe_members(spark, d), assumption_tables(spark), RF, TODAY, fake_momentum(spark, d)))
 
 
 def board(spark, d):
@@ -81,9 +81,8 @@ def archetype_router(spark, d):
 
 def live(spark, d):
     """The cross-section before any value is blended."""
-    df = engines(spark, d).join(b.universe_members(spark, d), "ticker")
-    t = assumption_tables(spark)
-    return stage(x.assign_buckets(x.with_quality(df), t["subsector_overrides"], t["subsector_by_sic"], v.FIT_OK))
+    return keep(spark, d, "live", lambda: pipeline.cross_section(
+        stage(engines(spark, d).join(b.universe_members(spark, d), "ticker")), assumption_tables(spark)))
 
 
 @query
@@ -205,8 +204,7 @@ def sector_zscore(spark, d):
 @query
 def factor_blend(spark, d):
     df = with_exprs(board(spark, d), gap="if(implied_op IS NULL, NULL, g_trail - implied_g)")
-    for col in ("upside", "gap", "roic", "mom"):
-        df = x.sector_z(df, col, ["universe"], f"z_{col}")
+    df = x.sector_z_many(df, ["upside", "gap", "roic", "mom"], ["universe"])
     out = x.factor_blend(df, {"V": ["z_upside", "z_gap"], "Q": ["z_roic"], "M": ["z_mom"]}, {"V": 0.25, "Q": 0.25, "M": 0.5}, "blend")
     return tidy(out, U, blend=5)
 

@@ -84,9 +84,9 @@ view("vw", f"""SELECT w.*, CASE WHEN ebit_now > 0 THEN (greatest(4, least(40, a_
   FROM ({anchored('vb')}) w LEFT JOIN vcoef USING (universe) LEFT JOIN vpffo USING (universe)""")
 S = "eff_arch = 'standard'"
 view("vg", f"""SELECT *, CASE WHEN {S} THEN dcf_v END AS dcf_ps, CASE WHEN {S} THEN epv0 END AS epv_ps, CASE WHEN {S} THEN warr0 END AS warr_ps, CASE WHEN {S} THEN imp0 END AS implied_g,
-  CASE WHEN {S} THEN op0 END AS implied_op, CASE WHEN ffo IS NULL THEN rim0 END AS rim_ps, CASE WHEN {S} THEN score END AS pio_score, CASE WHEN {S} THEN z END AS alt_z,
+  CASE WHEN {S} THEN op0 END AS implied_op, CASE WHEN ffo IS NULL THEN rim0 END AS rim_ps, CASE WHEN {S} THEN pscore END AS pio_score, CASE WHEN {S} THEN z END AS alt_z,
   0.10 + (1 - coalesce(quality0, 50) / 100::DOUBLE) * 0.30 + CASE WHEN cyc THEN 0.10 ELSE 0 END AS band
-  FROM (SELECT *, CASE WHEN dcf0 > 0 THEN dcf0 END AS dcf_v FROM vw) LEFT JOIN (SELECT ticker, score FROM pio) USING (ticker) LEFT JOIN (SELECT ticker, z FROM alt) USING (ticker)""")
+  FROM (SELECT *, CASE WHEN dcf0 > 0 THEN dcf0 END AS dcf_v FROM vw) LEFT JOIN (SELECT ticker, score AS pscore FROM pio) USING (ticker) LEFT JOIN (SELECT ticker, z FROM alt) USING (ticker)""")
 M = [("dcf_ps", 0.10), ("rim_ps", 0.35), ("warr_ps", 0.30), ("ffo", 0.30), ("ddm_ps", 0.10)]
 view("vm", f"""SELECT *, ({" + ".join(f"({c} > 0 AND {c} IS NOT NULL)::INT" for c, _ in M)}) AS nm,
   coalesce(({" + ".join(f"coalesce(CASE WHEN {c} > 0 THEN {c} * {w} END, 0)" for c, w in M)}) / nullif({" + ".join(f"(CASE WHEN {c} > 0 THEN {w} ELSE 0 END)" for c, w in M)}, 0), {pos('epv_ps')}) AS mid FROM vg""")
