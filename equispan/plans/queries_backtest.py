@@ -91,7 +91,7 @@ def price_ranges(spark, d):
     for rng, df, date in (("1M", daily, "date"), ("YTD", daily, "date"), ("6M", mon, "month"), ("1Y", mon, "month"), ("5Y", mon, "month"), ("MAX", mon, "month")):
         part = px.price_range(df, rng, date).withColumn("rng", F.lit(f"{rng} {date}"))
         out = part if out is None else out.unionByName(part)
-    return tidy(out, ["rng", "ticker", "points"], first=4, last=4, change=5)
+    return tidy(out, ["rng", "ticker", "points"], first=8, last=8, change=5)
 
 
 @query
@@ -217,13 +217,13 @@ def price_upsert(spark, d):
     old = monthly(spark, d).select("ticker", "month", "adjclose")
     new = old.where("month >= DATE'2001-06-01'").withColumn("adjclose", F.col("adjclose") * 1.1).unionByName(
         old.where("ticker = '3'").withColumn("ticker", F.lit("NEW")))
-    return tidy(sinks.upsert(old, new, ["ticker", "month"]), ["ticker", "month"], adjclose=4)
+    return tidy(sinks.upsert(old, new, ["ticker", "month"]), ["ticker", "month"], adjclose=8)
 
 
 @query
 def price_matrix(spark, d):
     """K5: both matrices, flattened to their filled cells and gap counts."""
-    daily = b.daily_prices(spark, d)
+    daily = b.daily_prices(spark, d).withColumn("adjclose", F.col("adjclose") + 0.00031)  # clear of half cents
     mon = daily.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.min_by("adjclose", "date").alias("adjclose"))
     mem = daily.select("ticker").distinct().select(F.explode(F.expr("if(cast(ticker AS bigint) % 2 = 0, array('a', 'b'), array('a'))")).alias("universe"), "ticker")
     dm, mm = sinks.price_matrix(daily, mon, mem, days=20)

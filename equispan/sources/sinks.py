@@ -73,7 +73,7 @@ def _matrix(prices: DataFrame, members: DataFrame, axis: str) -> DataFrame:
     days = (rows.select("universe", axis).distinct().groupBy("universe")
             .agg(F.array_sort(F.collect_list(axis)).alias("axis")))
     own = rows.groupBy("universe", "ticker").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.col(axis), F.expr("round(adjclose, if(adjclose >= 5, 2, 4))")))).alias("px"))
+        F.col(axis), F.expr("if(adjclose >= 5, round(adjclose, 2), round(adjclose, 4))")))).alias("px"))
     return own.join(days, "universe").select("universe", "ticker", "axis", F.expr("transform(axis, a -> px[a])").alias("series"))
 
 

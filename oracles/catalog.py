@@ -1,4 +1,4 @@
 """All check SQL by query name."""
-from . import entities, fundamentals, metrics, valuation
+from . import backtest, entities, forward, fundamentals, metrics, valuation
 
-SQL = {**fundamentals.SQL, **entities.SQL, **metrics.SQL, **valuation.SQL}
+SQL = {**fundamentals.SQL, **entities.SQL, **metrics.SQL, **valuation.SQL, **backtest.SQL, **forward.SQL}
