@@ -13,6 +13,8 @@ Group columns must not be null.
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .staging import stage
+
 SLICE_TARGET = 100_000
 
 
@@ -115,7 +117,7 @@ def medians(df, value, by, out="median", target=SLICE_TARGET):
 
 def tolerant_cells(df, value, by, rel=1e-9, abs_=1e-15, target=SLICE_TARGET):
     """Average rank per distinct value, where neighbours closer than the tolerance tie."""
-    cells = value_cells(df, value, by, target)
+    cells = stage(value_cells(df, value, by, target))
     sl = [*by, "_b", "_s"]
     local = Window.partitionBy(*sl).orderBy(value)
     order = Window.partitionBy(*by).orderBy("_b", "_s")

@@ -133,7 +133,7 @@ def score_variants(cross: DataFrame, names=tuple(VARIANTS)) -> DataFrame:
 def top_quintile(scored: DataFrame, fwd: DataFrame, score="score", keys=("variant", "qdate"), least=20) -> DataFrame:
     """Rows with a forward return, and whether each is among the max(10, n/5) best."""
     keys = list(keys)
-    rows = scored.join(fwd, ["qdate", "ticker"])
+    rows = stage(scored.join(fwd, ["qdate", "ticker"]))
     rows = ranks.with_position(rows, score, keys, "ticker", out="place", total="n", desc=True).where(f"n >= {least}")
     return with_exprs(rows, held="place <= greatest(10, n DIV 5)")
 
@@ -146,7 +146,7 @@ def quintile_returns(picked: DataFrame, keys=("variant", "qdate")) -> DataFrame:
 def method_reliability(scored: DataFrame, fwd: DataFrame, least=20) -> DataFrame:
     """The same test ranked by each measure on its own, against everyone's return that quarter."""
     methods = ["score", "dcf_up", "warr_up", "epv_up", "rim_up", "rev_gap", "mom"]
-    rows = scored.select("qdate", "ticker", *methods).join(fwd, ["qdate", "ticker"])
+    rows = stage(scored.select("qdate", "ticker", *methods).join(fwd, ["qdate", "ticker"]))
     bench = rows.groupBy("qdate").agg(F.avg("fwd").alias("bench"), F.count(F.lit(1)).alias("_n")).where(f"_n >= {least}")
     arr = ", ".join(f"named_struct('method', '{c}', 'val', cast({c} AS double))" for c in methods)
     long = (rows.select("qdate", "ticker", "fwd", F.explode(F.expr(f"array({arr})")).alias("p"))
@@ -254,7 +254,7 @@ def momentum_study(prices, membership, market, start, windows, least_names=20, l
     ahead = prices.select("ticker", F.add_months("month", -1).alias("month"), F.col("adjclose").alias("p1"))
     rows = (members_asof(membership, months).join(mom, ["ticker", "month"]).join(ahead, ["ticker", "month"])
             .where("mom IS NOT NULL AND adjclose > 0 AND p1 <> 0").withColumn("fwd", F.col("p1") / F.col("adjclose") - 1))
-    rows = ranks.with_position(rows, "mom", ["month"], "ticker", out="place", total="n", desc=True).where(f"n >= {least_names}")
+    rows = ranks.with_position(stage(rows), "mom", ["month"], "ticker", out="place", total="n", desc=True).where(f"n >= {least_names}")
     rows = stage(with_exprs(rows, held="place <= greatest(10, n DIV 5)").select("month", "ticker", "fwd", "held", "n"))
     base = quintile_returns(rows, ["month"]).join(mk, "month", "left")
     arr = ", ".join(f"named_struct('variant', '{n}', 'trend', {str(t).lower()}, 'cost', {c}D)" for n, (t, c) in MOMENTUM_VARIANTS.items())

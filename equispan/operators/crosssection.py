@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ranks
 from ..functions.exprs import with_exprs
+from ..functions.staging import stage
 
 
 def with_pct_rank(df: DataFrame, col: str, by, out: str) -> DataFrame:
@@ -136,8 +137,10 @@ def tolerant_ranks(df: DataFrame, col: str, by, out="avg_rank") -> DataFrame:
 def rank_ic(df: DataFrame, x: str, y: str, by) -> DataFrame:
     """Spearman correlation per group; null under three pairs or without variance."""
     by = list(by)
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = tolerant_ranks(tolerant_ranks(rows, x, by, "_rx"), y, by, "_ry")
+    rows = stage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    for col, rank in (("_x", "_rx"), ("_y", "_ry")):
+        cells = ranks.tolerant_cells(rows.select(*by, col), col, by).select(*by, col, F.col("avg_rank").alias(rank))
+        rows = rows.join(cells, [*by, col])
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.expr(
         "if(count(1) >= 3, round(try_divide(covar_pop(_rx, _ry), stddev_pop(_rx) * stddev_pop(_ry)), 4), NULL)").alias("ic"))
 

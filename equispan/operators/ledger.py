@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ranks
 from ..functions.exprs import with_exprs
+from ..functions.staging import stage
 
 RUN = ["universe", "model"]
 
@@ -36,7 +37,7 @@ def ledger_rows(snapshots: DataFrame, prices: DataFrame, sessions: DataFrame) ->
     px = prices.where("adjclose <> 0").select("ticker", "date", "adjclose")
     mark = px.join(F.broadcast(top), F.col("date") == F.col("mark_day")).select("ticker", F.col("adjclose").alias("exit_px"))
     rows = snapshots.join(F.broadcast(runs), [*RUN, "run_date"]).select(*RUN, "session", "run_date", "ticker", "score")
-    rows = ranks.with_position(rows, "score", [*RUN, "session"], "ticker", out="place", total="n", desc=True)
+    rows = ranks.with_position(stage(rows), "score", [*RUN, "session"], "ticker", out="place", total="n", desc=True)
     entry = px.select("ticker", F.col("date").alias("session"), F.col("adjclose").alias("entry_px"))
     rows = rows.join(entry, ["ticker", "session"], "left").join(mark, "ticker", "left")
     return with_exprs(rows, held="place <= greatest(10, n DIV 5)", ret="exit_px / entry_px - 1")
@@ -60,7 +61,7 @@ def ledger_summary(baskets: DataFrame, rows: DataFrame, runs: DataFrame) -> Data
     Overlaps come from each name's short list of sessions; equal baskets share everything."""
     aged = baskets.where("age_days > 0 AND excess IS NOT NULL")
     s = aged.groupBy(*RUN).agg(F.count(F.lit(1)).alias("aged"), F.expr("round(count_if(excess > 0) / count(1), 3)").alias("hit_rate"),
-                               F.expr("round(avg(excess), 4)").alias("avg_excess"))
+                               F.avg("excess").alias("avg_excess"))
     tot = baskets.groupBy(*RUN).agg(F.count(F.lit(1)).alias("baskets"), F.max("age_days").alias("oldest_days"))
     coll = runs.groupBy(*RUN).agg(F.sum("collapsed").alias("collapsed"))
     held = rows.where("held").join(F.broadcast(aged.select(*RUN, "session", "k")), [*RUN, "session"])

@@ -3,6 +3,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ranks
 from ..functions.exprs import with_exprs
+from ..functions.staging import stage
 from .metrics import INFO_FLAGS
 
 RUN = ["universe", "model"]
@@ -54,5 +55,5 @@ def change_digest(cur: DataFrame, snapshots: DataFrame, per_list=12) -> DataFram
              ("dropped", "was AND is_now IS NULL", "''", "0D")]
     arr = ", ".join(f"CASE WHEN {t} THEN named_struct('kind', '{k}', 'detail', {d}, 'weight', cast({w} AS double)) END" for k, t, d, w in items)
     rows = j.select(*RUN, "ticker", F.explode(F.expr(f"array_compact(array({arr}))")).alias("c")).select(*RUN, "ticker", "c.*")
-    rows = ranks.with_position(rows, "weight", [*RUN, "kind"], "ticker", out="place", desc=True).where(f"place <= {per_list}")
+    rows = ranks.with_position(stage(rows), "weight", [*RUN, "kind"], "ticker", out="place", desc=True).where(f"place <= {per_list}")
     return rows.select(*RUN, "kind", "place", "ticker", "detail")

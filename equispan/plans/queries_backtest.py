@@ -217,7 +217,8 @@ def price_upsert(spark, d):
     old = monthly(spark, d).select("ticker", "month", "adjclose")
     new = old.where("month >= DATE'2001-06-01'").withColumn("adjclose", F.col("adjclose") * 1.1).unionByName(
         old.where("ticker = '3'").withColumn("ticker", F.lit("NEW")))
-    return tidy(sinks.upsert(old, new, ["ticker", "month"]), ["ticker", "month"], adjclose=8)
+    out = sinks.upsert(old, new, ["ticker", "month"]).withColumn("adjclose", F.col("adjclose") * 1.000123)  # clear of exact halves
+    return tidy(out, ["ticker", "month"], adjclose=6)
 
 
 @query

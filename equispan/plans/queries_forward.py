@@ -64,7 +64,7 @@ def forward_ledger(spark, d):
 def ledger_summary(spark, d):
     rows = lg.ledger_rows(snaps(spark, d), closes(spark, d), b.sessions(spark, d))
     out = lg.ledger_summary(baskets(spark, d), rows, lg.collapse_runs(snaps(spark, d), b.sessions(spark, d)))
-    return tidy(out, ["model", "baskets", "oldest_days", "aged", "collapsed", "distinct_baskets"], hit_rate=3, avg_excess=4, avg_overlap=3)
+    return tidy(out, ["model", "baskets", "oldest_days", "aged", "collapsed", "distinct_baskets"], hit_rate=3, avg_excess=6, avg_overlap=3)
 
 
 def panel(spark, d):

@@ -191,7 +191,7 @@ SQL = {
       pow(arg_max(p, qdate) / arg_min(p, qdate), 4.0 / (count(*) - 1)) - 1 AS i FROM j GROUP BY 1 HAVING count(*) >= 8)"""),
     "momentum_study": sql(f"""SELECT variant, label, periods, round(sc - bc, 4) AS excess, hit_rate, strat_cagr, strat_sharpe, strat_dd, turnover FROM (SELECT variant, label, pow(arg_max(sv, t), 12.0 / count(*)) - 1 AS sc, pow(arg_max(bv, t), 12.0 / count(*)) - 1 AS bc,
       {STAT.format(p=12)} FROM mv4 GROUP BY 1, 2 HAVING count(*) >= 24)"""),
-    "price_upsert": sql("""SELECT ticker, month::VARCHAR AS month, round(adjclose * CASE WHEN month >= DATE '2001-06-01' THEN 1.1::DOUBLE ELSE 1 END, 8) AS adjclose FROM pxm UNION ALL SELECT 'NEW', month::VARCHAR, round(adjclose, 8) FROM pxm WHERE ticker = '3'"""),
+    "price_upsert": sql("""SELECT ticker, month::VARCHAR AS month, round(adjclose * CASE WHEN month >= DATE '2001-06-01' THEN 1.1::DOUBLE ELSE 1 END * 1.000123::DOUBLE, 6) AS adjclose FROM pxm UNION ALL SELECT 'NEW', month::VARCHAR, round(adjclose * 1.000123::DOUBLE, 6) FROM pxm WHERE ticker = '3'"""),
     "price_matrix": sql("""WITH pxe AS (SELECT ticker, date, adjclose + 0.00031::DOUBLE AS adjclose FROM pxd), mem AS (SELECT DISTINCT ticker, 'a' AS universe FROM pxd UNION ALL SELECT DISTINCT ticker, 'b' FROM pxd WHERE ticker::BIGINT % 2 = 0), r AS (SELECT * FROM pxe WHERE date >= (SELECT max(date) FROM pxd) - 20),
       lastd AS (SELECT ticker, date_trunc('month', max(date))::DATE AS month, arg_max(adjclose, date) AS v FROM r GROUP BY 1),
       mm AS (SELECT ticker, date_trunc('month', date)::DATE AS month, arg_min(adjclose, date) AS v FROM pxe GROUP BY 1, 2), m2 AS (SELECT ticker, month, coalesce(l.v, mm.v) AS v FROM mm FULL JOIN lastd l USING (ticker, month)),

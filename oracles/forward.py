@@ -72,7 +72,7 @@ SQL = {
     "run_collapse": sql("SELECT model, session::VARCHAR AS session, day::VARCHAR AS day, collapsed FROM runs"),
     "forward_ledger": sql("SELECT model, session::VARCHAR AS session, k, covered, k - covered AS missing, age_days, trading_days, basket_ret, bench_ret, excess FROM bk"),
     "ledger_summary": sql("""SELECT t.model, t.baskets, t.oldest_days, coalesce(a.aged, 0) AS aged, c.collapsed, coalesce(a.aged, 0) - coalesce(d.r, 0) AS distinct_baskets, a.hit_rate, a.avg_excess, o.avg_overlap
-      FROM (SELECT model, count(*) AS baskets, max(age_days) AS oldest_days FROM bk GROUP BY 1) t LEFT JOIN (SELECT model, count(*) AS aged, round(count(*) FILTER (excess > 0) / count(*), 3) AS hit_rate, round(avg(excess), 4) AS avg_excess FROM bk WHERE age_days > 0 AND excess IS NOT NULL GROUP BY 1) a USING (model)
+      FROM (SELECT model, count(*) AS baskets, max(age_days) AS oldest_days FROM bk GROUP BY 1) t LEFT JOIN (SELECT model, count(*) AS aged, round(count(*) FILTER (excess > 0) / count(*), 3) AS hit_rate, round(avg(excess), 6) AS avg_excess FROM bk WHERE age_days > 0 AND excess IS NOT NULL GROUP BY 1) a USING (model)
       LEFT JOIN (SELECT model, sum(collapsed)::BIGINT AS collapsed FROM runs GROUP BY 1) c USING (model) LEFT JOIN (SELECT model, round(avg(common / (ka + kb - common)), 3) AS avg_overlap FROM jp GROUP BY 1) o USING (model)
       LEFT JOIN (SELECT model, count(DISTINCT b) AS r FROM jp WHERE common = ka AND common = kb GROUP BY 1) d USING (model)"""),
     "calibration_panel": sql("SELECT model, session::VARCHAR AS session, ticker, sector, quality, conf, round(upside, 6) AS upside, round(fwd, 6) AS fwd, round(beta, 3) AS beta FROM panl"),
