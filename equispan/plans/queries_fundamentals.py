@@ -76,7 +76,7 @@ def fx_to_usd(spark, d):
         F.expr("if(c_nationkey = 0, 'USD', concat('C', c_nationkey))").alias("ccy"))
     fx = b.fx_rates(spark, d).where("cast(substr(ccy, 2) AS int) % 7 <> 3")
     out = f.to_usd(fin, ccy, fx, keys=("ticker",))
-    return tidy(out.withColumn("value_m", F.col("value") / 1e6), ["ticker", "concept", "fiscal_year"], value_m=6)
+    return tidy(out.withColumn("value_m", F.col("value") / 999983.0), ["ticker", "concept", "fiscal_year"], value_m=6)
 
 
 @query
@@ -101,7 +101,7 @@ def quarters(spark):
 @query
 def series_asof(spark, d):
     pit = b.pit_vintages(spark, d).where("concept IN ('revenue', 'equity')")
-    out = f.series_asof(pit, quarters(spark)).withColumn("value_m", F.col("value") / 1e6)
+    out = f.series_asof(pit, quarters(spark)).withColumn("value_m", F.col("value") / 999983.0)
     return tidy(out, ["qdate", "ticker", "concept", "fy"], value_m=6)
 
 

@@ -33,13 +33,13 @@ def series(spark, d):
 @query
 def company_wide(spark, d):
     out = m.company_wide(b.financials(spark, d))
-    out = with_exprs(out, revenue_m="revenue / 1e6", equity_m="equity / 1e6", impair_m="re_impair / 1e6", shares_m="shares / 1e6")
+    out = with_exprs(out, revenue_m="revenue / 999983.0", equity_m="equity / 999983.0", impair_m="re_impair / 999983.0", shares_m="shares / 999983.0")
     return tidy(out, ["ticker", "fiscal_year"], revenue_m=6, equity_m=6, impair_m=6, shares_m=6)
 
 
 @query
 def latest_of_series(spark, d):
-    out = m.latest_by(b.financials(spark, d)).withColumn("value_m", F.col("value") / 1e6)
+    out = m.latest_by(b.financials(spark, d)).withColumn("value_m", F.col("value") / 999983.0)
     return tidy(out, ["ticker", "concept", "fiscal_year"], value_m=6)
 
 
@@ -80,14 +80,14 @@ def revenue_volatility(spark, d):
 
 @query
 def normalized_fcf(spark, d):
-    out = with_exprs(inputs(spark, d).where("why IS NULL"), fcf_norm_m="fcf_norm / 1e6", fcf_last_m="fcf_last / 1e6")
+    out = with_exprs(inputs(spark, d).where("why IS NULL"), fcf_norm_m="fcf_norm / 999983.0", fcf_last_m="fcf_last / 999983.0")
     return tidy(out, ["ticker"], fcf_margin=6, fcf_norm_m=5, fcf_last_m=5)
 
 
 @query
 def company_inputs(spark, d):
-    out = with_exprs(inputs(spark, d), rev_m="rev_now / 1e6", debt_m="debt / 1e6", risk_m="debt_risk / 1e6", cash_m="cash / 1e6",
-                     mcap_m="mcap / 1e6", div_m="div / 1e6")
+    out = with_exprs(inputs(spark, d), rev_m="rev_now / 999983.0", debt_m="debt / 999983.0", risk_m="debt_risk / 999983.0", cash_m="cash / 999983.0",
+                     mcap_m="mcap / 999983.0", div_m="div / 999983.0")
     return tidy(out, ["ticker", "arch", "why"], rev_m=5, debt_m=5, risk_m=5, cash_m=5, mcap_m=5, div_m=5, g1=6, beta=3)
 
 
@@ -98,12 +98,12 @@ def excluded_first_pass(spark, d):
 
 @query
 def returns_on_capital(spark, d):
-    return tidy(with_exprs(inputs(spark, d).where("why IS NULL"), nopat_m="nopat_norm / 1e6"), ["ticker"], roic=6, nopat_m=5, roic_dcf=6)
+    return tidy(with_exprs(inputs(spark, d).where("why IS NULL"), nopat_m="nopat_norm / 999983.0"), ["ticker"], roic=6, nopat_m=5, roic_dcf=6)
 
 
 @query
 def ffo_series(spark, d):
-    out = series(spark, d).select("ticker", F.explode(F.expr(m.FFO)).alias("f")).select("ticker", "f.fy", (F.col("f.ffo") / 1e6).alias("ffo_m"))
+    out = series(spark, d).select("ticker", F.explode(F.expr(m.FFO)).alias("f")).select("ticker", "f.fy", (F.col("f.ffo") / 999983.0).alias("ffo_m"))
     return tidy(out, ["ticker", "fy"], ffo_m=6)
 
 

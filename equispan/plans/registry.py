@@ -2,6 +2,8 @@
 from pyspark.sql import functions as F
 
 QUERIES = {}
+# Money columns named *_m are in units of 999,983: a prime, so that no rounded value is an exact
+# half, where two engines may round differently.
 
 
 def query(fn):

@@ -49,9 +49,9 @@ view("capx", """SELECT ticker, a.ebit AS ebit_a, b.ebit AS ebit_b, a.equity + a.
   b.equity + b.long_debt + b.short_debt - b.cash AS ic_b, b.n FROM (SELECT * FROM yr WHERE rn = 1) b JOIN (SELECT * FROM yr WHERE rn = least(n, 5)) a USING (ticker)""")
 
 SQL = {
-    "company_wide": sql("""SELECT ticker, fiscal_year, round(revenue / 1e6, 6) AS revenue_m, round(equity / 1e6, 6) AS equity_m,
-      round(re_impair / 1e6, 6) AS impair_m, round(shares / 1e6, 6) AS shares_m FROM fw"""),
-    "latest_of_series": sql("""SELECT ticker, concept, fiscal_year, round(value / 1e6, 6) AS value_m FROM fin
+    "company_wide": sql("""SELECT ticker, fiscal_year, round(revenue / 999983.0::DOUBLE, 6) AS revenue_m, round(equity / 999983.0::DOUBLE, 6) AS equity_m,
+      round(re_impair / 999983.0::DOUBLE, 6) AS impair_m, round(shares / 999983.0::DOUBLE, 6) AS shares_m FROM fw"""),
+    "latest_of_series": sql("""SELECT ticker, concept, fiscal_year, round(value / 999983.0::DOUBLE, 6) AS value_m FROM fin
       QUALIFY row_number() OVER (PARTITION BY ticker, concept ORDER BY fiscal_year DESC) = 1"""),
     "revenue_cagr": sql("""WITH e AS (SELECT ticker, max(CASE WHEN rn = 1 THEN ebit END) AS eb, max(CASE WHEN rn = least(n, 4) THEN ebit END) AS ea,
       max(fiscal_year) - max(CASE WHEN rn = least(n, 4) THEN fiscal_year END) AS sp FROM yr GROUP BY 1)
@@ -61,13 +61,13 @@ SQL = {
     "effective_tax": sql("SELECT ticker, round(tax_r, 6) AS tax FROM cs"),
     "discount_rates": sql("SELECT ticker, round(size_prem, 4) AS size_prem, round(rd, 6) AS rd, round(re, 6) AS re, round(wacc, 6) AS wacc FROM ci WHERE why IS NULL"),
     "revenue_volatility": sql("SELECT ticker, round(vol, 6) AS vol, coalesce(vol > 0.18, false)::INT AS cyclical FROM vol"),
-    "normalized_fcf": sql("SELECT ticker, round(fcf_margin, 6) AS fcf_margin, round(fcf_norm / 1e6, 5) AS fcf_norm_m, round(fcf_last / 1e6, 5) AS fcf_last_m FROM ci WHERE why IS NULL"),
-    "company_inputs": sql("""SELECT ticker, arch, why, round(revenue_now / 1e6, 5) AS rev_m, round(coalesce(debt, 0) / 1e6, 5) AS debt_m,
-      round(coalesce(debt_risk, 0) / 1e6, 5) AS risk_m, round(coalesce(cash_now, 0) / 1e6, 5) AS cash_m, round(mcap / 1e6, 5) AS mcap_m, round(div / 1e6, 5) AS div_m,
+    "normalized_fcf": sql("SELECT ticker, round(fcf_margin, 6) AS fcf_margin, round(fcf_norm / 999983.0::DOUBLE, 5) AS fcf_norm_m, round(fcf_last / 999983.0::DOUBLE, 5) AS fcf_last_m FROM ci WHERE why IS NULL"),
+    "company_inputs": sql("""SELECT ticker, arch, why, round(revenue_now / 999983.0::DOUBLE, 5) AS rev_m, round(coalesce(debt, 0) / 999983.0::DOUBLE, 5) AS debt_m,
+      round(coalesce(debt_risk, 0) / 999983.0::DOUBLE, 5) AS risk_m, round(coalesce(cash_now, 0) / 999983.0::DOUBLE, 5) AS cash_m, round(mcap / 999983.0::DOUBLE, 5) AS mcap_m, round(div / 999983.0::DOUBLE, 5) AS div_m,
       round(g1, 6) AS g1, round(beta, 3) AS beta FROM ci"""),
     "excluded_first_pass": sql("SELECT why, count(*) AS n FROM ci WHERE why IS NOT NULL GROUP BY 1"),
-    "returns_on_capital": sql("SELECT ticker, round(roic, 6) AS roic, round(nopat_norm / 1e6, 5) AS nopat_m, round(roic_dcf, 6) AS roic_dcf FROM ci WHERE why IS NULL"),
-    "ffo_series": sql("SELECT ticker, fiscal_year AS fy, round((net_income + dep_amort - coalesce(gain_sale, 0) + coalesce(re_impair, 0)) / 1e6, 6) AS ffo_m FROM fw"),
+    "returns_on_capital": sql("SELECT ticker, round(roic, 6) AS roic, round(nopat_norm / 999983.0::DOUBLE, 5) AS nopat_m, round(roic_dcf, 6) AS roic_dcf FROM ci WHERE why IS NULL"),
+    "ffo_series": sql("SELECT ticker, fiscal_year AS fy, round((net_income + dep_amort - coalesce(gain_sale, 0) + coalesce(re_impair, 0)) / 999983.0::DOUBLE, 6) AS ffo_m FROM fw"),
     "altman_z": sql("SELECT ticker, round(z, 4) AS altman_z FROM alt JOIN ci USING (ticker) WHERE why IS NULL"),
     "piotroski_score": sql("SELECT cs.ticker, score::DOUBLE AS piotroski, coalesce(pio.n, 0)::DOUBLE AS piotroski_n FROM cs LEFT JOIN pio USING (ticker)"),
     "stale_filings": sql("""SELECT ticker, CASE WHEN thru IS NOT NULL THEN thru < DATE '2001-12-31' - 270 WHEN last_fy IS NOT NULL THEN last_fy < 2000 ELSE true END::INT AS stale FROM ci"""),
@@ -75,7 +75,7 @@ SQL = {
       round(CASE WHEN roic_dcf > 0 THEN greatest(0, least(0.9, g1 / roic_dcf)) END, 4) AS cap_reinvest,
       round(CASE WHEN roic_dcf > 0 AND capx.n >= 3 AND ic_b - ic_a > 0 AND ic_b - ic_a > 0.02 * abs(ic_b) THEN (ebit_b - ebit_a) * (1 - tax_r) / (ic_b - ic_a) END, 4) AS cap_inc_roic
       FROM ci JOIN capx USING (ticker) WHERE why IS NULL"""),
-    "trend_arrays": sql("""WITH t AS (SELECT ticker, fiscal_year, n, rn, round(revenue / 1e9, 3) AS r, round(ebit / revenue, 3) AS o, round(shares / 1e6, 3) AS s FROM yr WHERE rn <= 8),
+    "trend_arrays": sql("""WITH t AS (SELECT ticker, fiscal_year, n, rn, round(revenue / 1e9, 3) AS r, round(ebit / revenue, 3) AS o, round(shares / 999983.0::DOUBLE, 3) AS s FROM yr WHERE rn <= 8),
       a AS (SELECT ticker, string_agg(fiscal_year::VARCHAR, ',' ORDER BY fiscal_year) AS years, 0 AS gaps, arg_max(r, fiscal_year) AS last_rev, max(n) AS n,
       arg_min(r, fiscal_year) AS r0, arg_min(o, fiscal_year) AS o0, arg_max(o, fiscal_year) AS o1, arg_min(s, fiscal_year) AS s0, arg_max(s, fiscal_year) AS s1 FROM t GROUP BY 1)
       SELECT ticker, years, gaps, last_rev, round(CASE WHEN n >= 2 AND r0 <> 0 THEN last_rev / r0 - 1 END, 3) AS "revenueB_chg",
