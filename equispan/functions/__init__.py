@@ -1 +1 @@
-
+"""Column expressions, ranks and staging."""

@@ -1 +1 @@
-
+"""DataFrame transforms by subject."""

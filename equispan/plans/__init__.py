@@ -1 +1 @@
-
+"""Pipeline, adapters and registered queries."""

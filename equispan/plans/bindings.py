@@ -217,10 +217,11 @@ def pit_vintages(spark, sf_dir):
         F.expr("make_date(fiscal_year, 12, 31)").alias("end_date"), "value")
 
 
-def quarter_members(spark, sf_dir, quarters):
-    """Nine suppliers in ten, a different tenth left out each quarter."""
+def quarter_members(spark, sf_dir, start, end):
+    """Nine suppliers in ten, a different tenth left out each quarter from the first to the last date."""
+    quarters = f"transform(sequence(trunc(DATE'{start}', 'month'), DATE'{end}', INTERVAL 3 MONTHS), m -> last_day(m))"
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    return (sup.crossJoin(F.broadcast(quarters.select("qdate")))
+    return (sup.withColumn("qdate", F.explode(F.expr(quarters)))
             .where("(k + year(qdate) * 4 + quarter(qdate)) % 10 <> 0")
             .select("qdate", F.col("k").cast("string").alias("ticker")))
 

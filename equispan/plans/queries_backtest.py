@@ -112,7 +112,7 @@ def walkback_anomalies(spark, d):
 
 
 def members(spark, d):
-    return b.quarter_members(spark, d, bt.quarter_ends(spark, START, END))
+    return b.quarter_members(spark, d, START, END)
 
 
 @query

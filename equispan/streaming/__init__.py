@@ -1 +1 @@
-
+"""No streaming steps: every job is a batch over bounded tables."""
