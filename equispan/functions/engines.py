@@ -48,6 +48,12 @@ def dcf_sql(f0="base_fcf", rate="wacc", tg="term_g", g="g1", n0="nopat_norm", ro
     return f"get(filter(array(if({ok}, {value}, NULL)), v -> v > 0), 0)"
 
 
+def dcf_profit_sql(rate, g, n0, tg="term_g", roic="roic_dcf", net_debt="(debt - cash)", shares="shares"):
+    """V3 where the profit base is known to be usable: half the expression."""
+    value = f"({pv_nopat_sql(n0, roic, rate, tg, g)} - {net_debt}) / {shares}"
+    return f"get(filter(array(if({shares} <> 0 AND {rate} - {tg} >= {CFG['min_spread']}, {value}, NULL)), v -> v > 0), 0)"
+
+
 def rim_sql(book="book_ps", roe="roe_avg", re="re"):
     """V6: book plus excess returns that decay each year, as a geometric sum."""
     w = CFG["rim_decay"]

@@ -33,8 +33,7 @@ def moments(values):
 
 def latest(field, arr="series"):
     """Value of the newest year that has the field."""
-    have = f"filter({arr}, x -> x.{field} IS NOT NULL)"
-    return f"get({have}, size({have}) - 1).{field}"
+    return f"get(reverse(filter({arr}, x -> x.{field} IS NOT NULL)), 0).{field}"
 
 
 def clamp(x, lo, hi):

@@ -40,11 +40,10 @@ def now_map(now: DataFrame) -> DataFrame:
 # ---- single metrics as SQL text over `series` ----
 def cagr_sql(field="revenue", years=5):
     """M1."""
-    s = overlap(field)
-    start = f"get({s}, greatest(size({s}) - 1 - {years}, 0))"
-    end = f"get({s}, size({s}) - 1)"
-    return (f"CASE WHEN size({s}) >= 2 AND {end}.fy > {start}.fy AND {start}.{field} > 0 AND {end}.{field} > 0 "
-            f"THEN pow({end}.{field} / {start}.{field}, 1D / ({end}.fy - {start}.fy)) - 1 END")
+    ends = (f"get(transform(array({overlap(field)}), s -> named_struct('a', get(s, greatest(size(s) - 1 - {years}, 0)), "
+            "'b', get(s, size(s) - 1))), 0)")
+    return (f"get(transform(array({ends}), p -> CASE WHEN p.b.fy > p.a.fy AND p.a.{field} > 0 AND p.b.{field} > 0 "
+            f"THEN pow(p.b.{field} / p.a.{field}, 1D / (p.b.fy - p.a.fy)) - 1 END), 0)")
 
 
 def avg_ratio_sql(num, den, years, positive=False):

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..assumptions import CFG, WEIGHTS
 from ..functions import engines as en, ranks
 from ..functions.exprs import with_exprs
+from ..functions.staging import stage
 from .metrics import INFO_FLAGS
 
 RIM_OK = "coalesce(book_ps > 0 AND book_ps / price >= 0.15 AND roe_avg <= 0.40, false)"
@@ -65,7 +66,7 @@ def warranted_fit(rows: DataFrame, by, bucket="wbucket", min_bucket=3, cap=28.0)
             .select(*by, "scope", F.explode(F.expr(f"array({arr})")).alias("p")).select(*by, "scope", "p.dim", "p.val"))
     med = ranks.medians(long, "val", [*by, "scope", "dim"]).where(f"scope = '*' OR n_all >= {min_bucket}")
     anchors = med.groupBy(*by, "scope").agg(*[F.expr(f"max(if(dim = '{c}', median, NULL))").alias(f"a_{c}") for c in FIT_DIMS])
-    anchors = anchors.withColumn("a_y", F.least("a_y", F.lit(cap)))
+    anchors = stage(anchors.withColumn("a_y", F.least("a_y", F.lit(cap))))
     c = with_anchors(data, anchors, by, "scope")
     c = with_exprs(c, y="y - a_y", g="g - a_g", m="m - a_m", r="r - a_r")
     pairs = ["gg", "gm", "gr", "mm", "mr", "rr", "gy", "my", "ry"]
@@ -81,7 +82,7 @@ def warranted_fit(rows: DataFrame, by, bucket="wbucket", min_bucket=3, cap=28.0)
     s = with_exprs(s, bm="try_divide(y2 - e32 * br, d2)")
     s = with_exprs(s, bg="try_divide(gy - gm * bm - gr * br, d1)")
     coefs = s.select(*by, "n", *[F.expr(f"if(ok, greatest(0D, {b}), 0D)").alias(f"c_{b[1]}") for b in ("bg", "bm", "br")])
-    return anchors, coefs
+    return anchors, stage(coefs)
 
 
 def with_anchors(df: DataFrame, anchors: DataFrame, by, bucket) -> DataFrame:
@@ -159,8 +160,9 @@ def scenarios(df: DataFrame) -> DataFrame:
     df = with_exprs(df, _wu=f"greatest(wacc - _dw, term_g + {CFG['min_spread'] + 0.005!r}D)", _wd="wacc + _dw",
                     _gu=f"least(g1 + _dg, {CFG['growth_cap'] + 0.10!r}D)", _gd="greatest(g1 - _dg, -0.05D)",
                     _nu="nopat_norm * (1 + _rel)", _nd="nopat_norm * (1 - _rel)")
-    df = with_exprs(df, _bull=en.dcf_sql(rate="_wu", g="_gu", n0="_nu"), _bear=en.dcf_sql(rate="_wd", g="_gd", n0="_nd"),
-                    _ok="coalesce(dcf_ps > 0 AND nopat_norm > 0 AND roic_dcf > 0 AND mid > 0 AND price > 0, false)")
+    df = with_exprs(df, _ok="coalesce(dcf_ps > 0 AND nopat_norm > 0 AND roic_dcf > 0 AND mid > 0 AND price > 0, false)")
+    df = with_exprs(df, _bull=f"if(_ok, {en.dcf_profit_sql('_wu', '_gu', '_nu')}, NULL)",
+                    _bear=f"if(_ok, {en.dcf_profit_sql('_wd', '_gd', '_nd')}, NULL)")
     df = with_exprs(df, bull=f"if(_ok, greatest(mid, mid * least(coalesce(_bull / dcf_ps, 1D), {s['bull_cap']}D)), NULL)",
                     _bear=f"if(_ok, least(mid, mid * if(_bear IS NULL, 1D, greatest(_bear / dcf_ps, {s['bear_floor']}D))), NULL)")
     wb, w0, wu = s["weights"]
