@@ -33,14 +33,21 @@ def upsert(old: DataFrame, new: DataFrame, keys) -> DataFrame:
 
 _PCT = "if({0} IS NULL, '', format_string('%.1f%%', {0} * 100))"
 _TXT = "coalesce(cast({0} AS string), '')"
+
+
+def _num(x, places):
+    """Shortest plain decimal text, never an exponent."""
+    return f"coalesce(regexp_replace(cast(cast(round({x}, {places}) AS decimal(28, {places})) AS string), r'\\.?0+$', ''), '')"
+
+
 SCREEN_COLUMNS = [  # fixed values: export header and how each column is written
-    ("ticker", "ticker"), ("name", "name"), ("sector", "sector"), ("price", "cast(round(price, 2) AS string)"),
-    ("low", "cast(round(low, 2) AS string)"), ("mid", "cast(round(mid, 2) AS string)"), ("high", "cast(round(high, 2) AS string)"),
+    ("ticker", "ticker"), ("name", "name"), ("sector", "sector"), ("price", _num("price", 2)),
+    ("low", _num("low", 2)), ("mid", _num("mid", 2)), ("high", _num("high", 2)),
     ("upside", _PCT.format("upside")), ("confidence", "cast(conf AS string)"), ("quality", "cast(quality AS string)"),
     ("momentumPct", _TXT.format("mom_pct")), ("momentum12_1", _PCT.format("mom")), ("impliedGrowth", _PCT.format("implied_g")),
-    ("trailingGrowth", _PCT.format("g_trail")), ("pe", _TXT.format("round(pe, 1)")), ("evEbitda", _TXT.format("round(evebitda, 1)")),
-    ("fcfYield", _PCT.format("fcfy")), ("mcapB", "cast(round(mcap / 1e9, 1) AS string)"), ("flags", "array_join(flags, '; ')"),
-    ("score", "cast(round(score, 4) AS string)")]
+    ("trailingGrowth", _PCT.format("g_trail")), ("pe", _num("pe", 1)), ("evEbitda", _num("evebitda", 1)),
+    ("fcfYield", _PCT.format("fcfy")), ("mcapB", _num("mcap / 1e9", 1)), ("flags", "array_join(flags, '; ')"),
+    ("score", _num("score", 4))]
 
 
 def screen_csv_rows(df: DataFrame) -> DataFrame:

@@ -220,5 +220,9 @@ SQL = {
     "company_records": sql("""SELECT bd.universe, bd.ticker, 5 + (eff_arch = 'reit')::INT AS n_listed, (dcf_ps IS NOT NULL)::INT + (rim_ps IS NOT NULL)::INT + (ffo IS NOT NULL)::INT + (bd.epv_ps IS NOT NULL)::INT
       + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN eff_arch = 'standard' AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic
       FROM bd LEFT JOIN sc5 USING (universe, ticker)"""),
+    "screen_csv": sql(rf"""SELECT ticker, name, sector, regexp_replace(round(price, 2)::VARCHAR, '\.0$', '') AS price, regexp_replace(round(low, 2)::VARCHAR, '\.0$', '') AS low, regexp_replace(round(mid, 2)::VARCHAR, '\.0$', '') AS mid, regexp_replace(round(high, 2)::VARCHAR, '\.0$', '') AS high, {PCT.format('upside')} AS upside,
+      conf::VARCHAR AS confidence, quality::VARCHAR AS quality, coalesce(mom_pct::VARCHAR, '') AS "momentumPct", {PCT.format('mom')} AS "momentum12_1", {PCT.format('implied_g')} AS "impliedGrowth", {PCT.format('g_trail')} AS "trailingGrowth",
+      coalesce(regexp_replace(round(pe, 1)::VARCHAR, '\.0$', ''), '') AS pe, coalesce(regexp_replace(round(evebitda, 1)::VARCHAR, '\.0$', ''), '') AS "evEbitda", {PCT.format('fcfy')} AS "fcfYield", regexp_replace(round(mcap / 1e9, 1)::VARCHAR, '\.0$', '') AS "mcapB", array_to_string(flags, '; ') AS flags, regexp_replace(round(score, 4)::VARCHAR, '\.0$', '') AS score
+      FROM bd WHERE universe = 'sp500'"""),
     "coverage_manifest": sql("SELECT universe, CASE universe WHEN 'sp500' THEN 'S&P 500' ELSE 'S&P 1500' END AS name, count(*) AS covered, 0 AS is_default FROM bd GROUP BY 1"),
 }
