@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .shared import table
+from .simhash import near_duplicates
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +17,8 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op9_benchmark_decontamination,)}
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup, op9_benchmark_decontamination,)}
