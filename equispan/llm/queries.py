@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .shared import table
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup, op9_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination,)}
