@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .packing import pack_documents
 from .shared import table
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
@@ -28,4 +29,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination,)}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op4_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
