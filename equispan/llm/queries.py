@@ -6,12 +6,17 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
 from .decontaminate import decontaminate
+from .minhash import fingerprint_documents
 from .packing import pack_documents
 from .shared import table
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -42,4 +47,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_toxicity, op7_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_toxicity, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
