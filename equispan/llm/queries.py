@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
 from .decontaminate import decontaminate
+from .html_text import extract_pages
 from .minhash import fingerprint_documents
 from .packing import pack_documents
 from .shared import table
@@ -39,6 +40,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "extracted")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -47,4 +52,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_toxicity, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
