@@ -9,6 +9,7 @@ from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .minhash import fingerprint_documents
 from .packing import pack_documents
+from .repeats import remove_repeats
 from .shared import table
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
@@ -26,6 +27,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                         F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -52,4 +60,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
