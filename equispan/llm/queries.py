@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, format_chats
 from .decontaminate import decontaminate
 from .html_text import extract_pages
+from .lines import dedup_lines
 from .minhash import fingerprint_documents
 from .packing import pack_documents
 from .repeats import remove_repeats
@@ -34,6 +35,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -60,4 +65,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
