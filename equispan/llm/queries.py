@@ -10,6 +10,7 @@ from .html_text import extract_pages
 from .lines import dedup_lines
 from .minhash import fingerprint_documents
 from .packing import pack_documents
+from .pii import KINDS, find_personal_data, span_text
 from .repeats import remove_repeats
 from .shared import table
 from .simhash import near_duplicates
@@ -53,6 +54,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[span_text(k) for k in KINDS])
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+                        F.array_join(F.concat(base, span_text("id")), ",").alias("spans"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "extracted")
 
@@ -65,4 +73,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
