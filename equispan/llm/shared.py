@@ -11,12 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a result to the shared folder of `spark.checkpoint.dir` and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`.
 
     Only a local session without that setting gets a folder of its own; on a cluster the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             shared = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
