@@ -28,47 +28,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrowtext import slices
 from .shared import cut
 
 CAPACITY, END, GROUPS, PART_ROWS = 4096, 1, 48, 50_000
 #: Word pieces that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 VOCABULARY = "word_bpe_49k.json"
 
 
 def encoder(path: str):
-    """A function from a text to its ids.  Equal white-space parts are encoded once and remembered.
+    """A function from texts to their ids as little-endian 32-bit numbers.
 
-    The tokenizer never joins across white space, so a text's ids are those of its parts.
+    The tokenizer never joins across white space, so a text's ids are those of its parts; equal parts are encoded once and
+    remembered.  New parts that are letters, perhaps with commas or stops behind, are encoded all in one call: each is one
+    word to the tokenizer, whose last token ends a word.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, tuple[int, ...]] = {"": ()}
+    final = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    final[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    known: dict[str, bytes] = {"": b""}
 
-    def learn(part: str) -> tuple[int, ...]:
-        # Commas and stops after a letter are a part of their own to the tokenizer.
-        stem = part.rstrip(",.")
-        if stem != part and stem and stem[-1].isalpha():
-            found = of(stem) + of(part[len(stem):])
-        else:
-            found = tuple(tokenizer.encode(part, add_special_tokens=False).ids)
-        if len(known) >= REMEMBERED:
-            known.clear()
-            known[""] = ()
-        known[part] = found
-        return found
+    def ids_of(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def of(part: str) -> tuple[int, ...]:
-        found = known.get(part)
-        return learn(part) if found is None else found
+    def learn(parts: set[str]) -> None:
+        if len(known) > REMEMBERED:
+            known.clear()
+            known[""] = b""
+        stems: dict[str, list[tuple[str, str]]] = {}
+        for part in parts:
+            stem = part.rstrip(",.")
+            if stem.isalpha():
+                # The tokenizer lower-cases; of ASCII letters this is known beforehand.
+                stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((part, part[len(stem):]))
+            else:
+                known[part] = ids_of(part).tobytes()
+        if not stems:
+            return
+        ids = ids_of(" ".join(stems))
+        ends = np.flatnonzero(final[ids]) + 1
+        if len(ends) == len(stems):
+            words, whole = ids.tobytes(), [0, *(4 * ends).tolist()]
+            found = [words[a:b] for a, b in zip(whole, whole[1:], strict=False)]
+        else:
+            found = [ids_of(stem).tobytes() for stem in stems]
+        tails = {t: ids_of(t).tobytes() for t in {t for x in stems.values() for _, t in x}}
+        for behind, own in zip(stems.values(), found, strict=True):
+            for part, tail in behind:
+                known[part] = own + tails[tail]
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for part in text.replace("\n", " ").split(" "):
-            found = known.get(part)
-            out.extend(learn(part) if found is None else found)
-        return out
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        missing = set().union(*split) - known.keys()
+        if missing:
+            learn(missing)
+            if len(known) <= len(missing) + 1:  # older ones were forgotten
+                learn(set().union(*split) - known.keys())
+        return [b"".join([known[part] for part in parts]) for parts in split]
     return encode
 
 
@@ -76,34 +95,26 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabu
     """doc_id, piece, start, length, ids_crc32 and, if wanted, the ids themselves of each document's pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(public_tokenizers.path(vocabulary))
+        last = END.to_bytes(4, "little")
         for batch in batches:
-            row, piece, length, crc, parts = [], [], [], [], []
-            names, held = batch.column(0), 0
-
-            def flush(row, piece, length, crc, parts, names=names):
-                cols = [names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array([p * capacity for p in piece], pa.int64()),
-                        pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for first, end, _, _ in slices(batch.column(1)):
+                row, piece, length, crc, parts = [], [], [], [], []
+                texts = batch.column(1).slice(first, end - first).fill_null("").to_pylist()
+                for k, found in enumerate(encode(texts)):
+                    found += last
+                    for p, at in enumerate(range(0, len(found), 4 * capacity)):
+                        part = found[at:at + 4 * capacity]
+                        row.append(first + k)
+                        piece.append(p)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        parts.append(part)
+                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                        pa.array([p * capacity for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()),
-                                                         pa.array(np.concatenate(parts).astype(np.int32))))
-                return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
-
-            for k, value in enumerate(batch.column(1)):
-                tokens = np.array([*encode(value.as_py() or ""), END], "<u4")
-                for p in range(-(-len(tokens) // capacity)):
-                    part = tokens[p * capacity:(p + 1) * capacity]
-                    row.append(k)
-                    piece.append(p)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if ids:
-                        parts.append(part)
-                        held += len(part)
-                if held > 1 << 20:
-                    yield flush(row, piece, length, crc, parts)
-                    row, piece, length, crc, parts, held = [], [], [], [], [], 0
-            if row:
-                yield flush(row, piece, length, crc, parts)
+                                                         pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
