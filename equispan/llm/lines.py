@@ -1,106 +1,250 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
-Lines are what newlines separate; blank ones are never judged.  A line's signature has 30 minima of one hash, one for
-each bin that the hash falls into, over its character shingles: every five signs of a line of up to 120 signs, the twelve
-signs from each word's start of one over 80 (in between both; where words are rare, every five signs again).  Ten bands of
-three minima are the keys that similar lines meet by: two lines of similarity 0.8 miss each other once in a thousand.
+Lines are what newlines separate; blank ones are never judged.  A line's shingles are its runs of five code points (a
+shorter line is its own shingle).  One hash of each shingle falls into one of 24 bins, and the smallest of each bin form
+the signature; eight bands of three bins are the keys that similar lines meet by.  Two lines of similarity 0.8 share no
+key three times in a thousand, of 0.9 once in twenty thousand.
 
-A key's most frequent line is its centre.  Each line of the key is compared to the centre by the exact Jaccard similarity
-of all five-sign shingles; components are formed; the key's lines that are not in its centre's component then meet all
-others of the key, and components are formed again.  So no group makes all its pairs, yet none goes uncompared.
+Rows of one key stream by in order; the first, the most frequent in its part of the input, is the centre, and every other
+line of the key is compared to it by the exact Jaccard similarity of all shingles.  Components are formed; the key's lines
+that are not in its centre's component then meet all others of the key, and components are formed again.  So no group
+makes all its pairs, yet none goes uncompared.
 
 Of each component, identical lines included, the first line by (doc_id, line number) stays, null doc_ids first.  Rows of
 equal doc_id and text count as one document and get the same result.  A null text is an empty one.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .arrowtext import mix64, slices, span_hashes, window_hashes
+from .shared import components, cut, written
+
+SIMILARITY, SHINGLE = 0.8, 5
+BANDS, ROWS = 8, 3
+#: A filter of wanted lines takes 16 bits for each, and is left out where it would take more than this.
+FILTER_BITS = 1 << 28
+_NONE = ~np.uint64(0)
+
+
+class _Lines:
+    """The lines of a slice of texts that are not blank: where they stand, in bytes and in code points."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        breaks = np.flatnonzero(data == 10)
+        starts = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], breaks + 1)))
+        # A break at the end of a text begins an empty line, and one begun by it is the next text's first: both in order.
+        starts = starts[starts < n]
+        text = np.searchsorted(offsets, starts, "right") - 1
+        ends = np.minimum(np.append(breaks, n)[np.searchsorted(breaks, starts)], offsets[text + 1])
+        ink = np.concatenate(([0], np.cumsum(data != 32)))
+        some = ink[ends] - ink[starts] > 0
+        self.start, self.end, self.text = starts[some], ends[some], text[some]
+        before = np.concatenate(([0], np.cumsum(data == 10)))
+        self.number = before[self.start] - before[offsets[self.text]]
+        self.id = span_hashes(data, self.start, self.end)
+        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        self.first, self.last = points[self.start], points[self.end]
+        self.codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def shingle_hashes(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the spans of code points, span by span, and where each span's begin."""
+    words = mix64(codes.astype(np.uint64) + np.uint64(1))
+    full = window_hashes(words, SHINGLE)
+    size = last - first
+    count = np.maximum(size - SHINGLE + 1, 1)
+    begin = np.concatenate(([0], np.cumsum(count)))
+    at = np.repeat(first - begin[:-1], count) + np.arange(begin[-1])
+    out = full[np.minimum(at, max(len(full) - 1, 0))] if len(full) else np.zeros(len(at), np.uint64)
+    for k in np.flatnonzero(size < SHINGLE):
+        out[begin[k]] = window_hashes(words[first[k]:last[k]], int(size[k]))[0] ^ np.uint64(size[k])
+    return out, begin
+
+
+def keys_of(lines: _Lines) -> np.ndarray:
+    """A row of band keys for each line; a band without any shingle has the key of its emptiness and is marked _NONE."""
+    h, begin = shingle_hashes(lines.codes, lines.first, lines.last)
+    bins = BANDS * ROWS
+    least = np.full(len(lines.id) * bins, _NONE)
+    np.minimum.at(least, np.repeat(np.arange(len(lines.id)) * bins, np.diff(begin)) + (h % np.uint64(bins)).astype(np.int64), h)
+    least = least.reshape(-1, BANDS, ROWS)
+    key = np.zeros((len(lines.id), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = mix64(key * np.uint64(0x9FB21C651E98DF25) + least[:, :, k])
+    return np.where((least == _NONE).all(axis=2), _NONE, key)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _each_slice(make):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column(batch.num_columns - 1)):
+                lines = _Lines(data, offsets)
+                if len(lines.id):
+                    yield from make(batch.slice(first, end - first), data, lines)
+    return run
+
+
+def _places(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
+    take = pa.array(lines.text)
+    yield pa.RecordBatch.from_arrays([_signed(lines.id), rows.column(0).take(take), rows.column(1).take(take), pa.array(lines.number, pa.int32())],
+                                     names=["id", "doc_id", "_k", "pos"])
+
 
-SIMILARITY = 0.8
-BANDS, ROWS = 10, 3
-ALL, STARTS = r"(?s)(?=(.{5}))", r"(?s)(?<![^ ])(?=(.{1,12}))"
+def _keyed(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
+    keys = keys_of(lines)
+    _, at, n = np.unique(lines.id, return_index=True, return_counts=True)
+    flat = keys[at].ravel()
+    some = flat != _NONE
+    yield pa.RecordBatch.from_arrays([_signed(flat[some]), pa.array(np.repeat(-n, BANDS)[some]), _signed(np.repeat(lines.id[at], BANDS)[some])],
+                                     names=["key", "rank", "id"])
 
 
-def _minima(shingles: Column, kind: int) -> Column:
-    """Sorted distinct hashes with their bin in the upper bits."""
-    def code(x: Column) -> Column:
-        h = F.xxhash64(x, F.lit(kind))
-        return F.shiftleft(F.pmod(h, F.lit(BANDS * ROWS)), 48).bitwiseOR(F.shiftrightunsigned(h, 16))
-    return F.sort_array(F.array_distinct(F.transform(shingles, code)))
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key has another line, with the key's first line; one row waits for the next."""
+    key = centre = None
+    alone = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, i = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        new = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        mid = np.where(head < 0, centre if centre is not None else 0, i[np.maximum(head, 0)])
+        other = i != mid
+        # A centre is a row of its key as soon as another line shows up.
+        group = np.cumsum(new)
+        met = np.flatnonzero(other)
+        first = met[np.unique(group[met], return_index=True)[1]] if len(met) else met
+        first = first[(group[first] > 0) | alone] if len(first) else first
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((k[met], k[first]))), pa.array(np.concatenate((i[met], mid[first]))),
+                                          pa.array(np.concatenate((mid[met], mid[first])))], names=["key", "id", "centre"])
+        if new.any():
+            alone = not other[group == group[-1]].any()
+        else:
+            alone = alone and not other.any()
+        key, centre = k[-1], int(mid[-1])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "_k", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(
-        F.trim("line") != "").withColumn("id", F.xxhash64("line"))
+def _wanted(ids: DataFrame):
+    """A test of line ids that every id passes, and few others; None where it would be too large to send."""
+    n = ids.count()
+    bits = 1 << max(15, int(16 * n).bit_length())
+    if bits > FILTER_BITS:
+        return None
+    place = [F.pmod(F.col("id"), F.lit(bits)), F.pmod(F.shiftright("id", 32), F.lit(bits))]
+    maps = (ids.select(F.explode(F.array(*place)).alias("p")).groupBy(F.expr("p div 32768").alias("b"))
+            .agg(F.bitmap_construct_agg(F.pmod("p", F.lit(32768)))).collect())  # FILTER_BITS / 8 bytes at most
+    table = np.zeros((bits // 32768, 4096), np.uint8)
+    for b, part in maps:
+        table[b] = np.frombuffer(part, np.uint8)
+    return bits, ids.sparkSession.sparkContext.broadcast(table.ravel())
 
 
-def _keys(lines: DataFrame) -> DataFrame:
-    """(key, id, n): in how many places a line of this key stands."""
-    size = F.length("line")
-    every = F.when(size < 5, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(ALL), F.lit(1)))
-    kinds = lines.select("id", "line", size.alias("size"), F.when(size > 80, F.regexp_extract_all("line", F.lit(STARTS), F.lit(1))).alias("starts"))
-    rare = F.size("starts") * 16 < F.col("size")
-    sets = kinds.select("id", F.when((F.col("size") <= 120) | rare, _minima(every, 0)).alias("v0"),
-                        F.when((F.col("size") > 80) & (F.size("starts") * 20 >= F.col("size")), _minima(F.col("starts"), 1)).alias("v1"))
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of the wanted lines, each at least once."""
+    sieve = _wanted(ids)
 
-    def first(v: str) -> Column:
-        return F.filter(v, lambda x, i: (i == 0) | (F.shiftright(x, 48) != F.shiftright(F.get(v, i - 1), 48)))
+    def make(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
+        id_, at = np.unique(lines.id, return_index=True)
+        if sieve:
+            bits, table = sieve
+            signed = id_.view(np.int64)
+            passed = np.ones(len(id_), bool)
+            for p in (signed % bits, (signed >> 32) % bits):
+                passed &= (table.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            id_, at = id_[passed], at[passed]
+        if len(id_):
+            text = [data[a:b].tobytes() for a, b in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([_signed(id_), pa.array(text, pa.binary())], names=["id", "line"])
 
-    def bands(m: str, kind: int) -> Column:
-        def band(b: int) -> Column:
-            return F.filter(m, lambda x: F.floor(F.shiftright(x, 48) / ROWS) == b)
+    found = docs.select("doc_id", "_k", "text").mapInArrow(_each_slice(make), "id long, line binary")
+    return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-        keys = [band(b) for b in range(BANDS)]
-        return F.array(*[F.when(F.size(k) > 0, F.xxhash64(F.lit(kind * BANDS + b), k)) for b, k in enumerate(keys)])
 
-    minima = sets.select("id", first("v0").alias("m0"), first("v1").alias("m1"))
-    keys = minima.select("id", F.when(F.col("m0").isNotNull(), bands("m0", 0)).alias("b0"), F.when(F.col("m1").isNotNull(), bands("m1", 1)).alias("b1"))
-    keys = keys.select("id", F.explode(F.flatten(F.filter(F.array("b0", "b1"), lambda b: b.isNotNull()))).alias("key"))
-    return keys.where("key is not null").groupBy("key", "id").agg(F.count("*").alias("n"))
+def _verify(similarity: float):
+    """Pairs (a, b, x, y) whose texts x and y are similar enough, a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.maximum(1, np.array([len(x.as_buffer()) + len(y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]))
+            stops = np.searchsorted(np.cumsum(size), np.arange(1 << 20, size.sum() + (1 << 20), 1 << 20)) + 1
+            first = 0
+            for stop in np.unique(np.minimum(stops, batch.num_rows)).tolist():
+                rows = batch.slice(first, stop - first)
+                first = stop
+                if not rows.num_rows:
+                    continue
+                sides = []
+                for k in (2, 3):
+                    _, _, data, offsets = next(slices(rows.column(k), 1 << 62))
+                    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
+                    codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+                    h, begin = shingle_hashes(codes, points[:-1], points[1:])
+                    pair = np.repeat(np.arange(rows.num_rows), np.diff(begin))
+                    order = np.lexsort((h, pair))
+                    h, pair = h[order], pair[order]
+                    own = np.concatenate(([True], (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])))
+                    sides.append((pair[own], h[own]))
+                pair, h = np.concatenate((sides[0][0], sides[1][0])), np.concatenate((sides[0][1], sides[1][1]))
+                order = np.lexsort((h, pair))
+                pair, h = pair[order], h[order]
+                both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=rows.num_rows)
+                total = np.bincount(pair, minlength=rows.num_rows)
+                good = pa.array(np.flatnonzero(both >= similarity * (total - both)))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(good), rows.column(1).take(good)], names=["a", "b"])
+    return run
 
 
-def _similar(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) of lines those whose shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(lines.select("id", "line").join(wanted, "id", "left_semi").distinct())
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = written(_texts(docs, ids))
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_verify(similarity), "a long, b long")
 
-    def shingles(c: str) -> Column:
-        return F.array_distinct(F.when(F.length(c) < 5, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(ALL), F.lit(1))))
 
-    sets = both.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
-    common = sets.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("n"))
-    return common.where(F.col("n") >= similarity * (F.col("p") + F.col("q") - F.col("n"))).select("a", "b")
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def line_classes(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of each distinct line (id) that is similar to another one."""
-    keys = _keys(lines)
-    centres = keys.groupBy("key").agg(F.count("*").alias("_size"), F.max(F.struct("n", "id"))["id"].alias("centre")).where("_size > 1")
-    met = cut(keys.join(centres, "key").select("key", "id", "centre"))
-    edges = cut(_similar(met.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(),
-                         lines, similarity))
+def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of each distinct line of rows (doc_id, _k, text) that is similar to another one."""
+    keys = docs.mapInArrow(_each_slice(_keyed), "key long, rank long, id long").repartition("key").sortWithinPartitions("key", "rank", "id")
+    met = written(keys.mapInArrow(_meetings, "key long, id long, centre long").distinct())
+    pairs = cut(met.where("id <> centre").select(*_pair("id", "centre")).distinct())
+    edges = cut(_similar(pairs, docs, similarity))
     roots = components(edges)
     named = met.join(roots.toDF("id", "r"), "id", "left").join(roots.toDF("centre", "c"), "centre", "left")
     named = named.select("key", "id", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
     apart = named.where("r <> c").select("key", F.col("id").alias("p"), F.col("r").alias("p_root"))
-    pairs = apart.join(named.select("key", F.col("id").alias("q"), F.col("r").alias("q_root")), "key").where("p_root <> q_root")
-    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-    more = _similar(cut(pairs), lines, similarity)
-    return components(edges.union(more))
+    more = apart.join(named.select("key", F.col("id").alias("q"), F.col("r").alias("q_root")), "key").where("p_root <> q_root")
+    more = cut(more.select(*_pair("p", "q")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return roots
+    return components(edges.union(_similar(more, docs, similarity)))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Documents with `text` reduced to the lines that stay, n_lines and n_removed; all columns but these stay as they are."""
     docs = docs.drop("n_lines", "n_removed", "_k", "_kept")
     docs = docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select(F.col("doc_id"), F.xxhash64("doc_id", text).alias("_k"), F.col(text).alias("text"))
-    lines = _lines(keyed)
-    roots = line_classes(lines, similarity)
-    first = lines.groupBy("id").agg(F.min(F.struct("doc_id", "_k", "pos")).alias("at"))
+    roots = line_classes(keyed, similarity)
+    places = keyed.mapInArrow(_each_slice(_places), f"id long, doc_id {kind}, _k long, pos int")
+    first = places.groupBy("id").agg(F.min(F.struct("doc_id", "_k", "pos")).alias("at"))
     first = first.join(roots.toDF("id", "root"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("at").alias("at"))
     kept = first.select("at.*").groupBy("doc_id", "_k").agg(F.collect_list("pos").alias("_kept"))
     kept = kept.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"), "_kept")
