@@ -1,7 +1,8 @@
 """Keep a result that several branches read: written once as a table in the cluster's shared folder.
 
-Reading it back gives short plans, column pruning and real size statistics, and a lost executor
-costs only the tasks it was running.
+Reading it back gives a new leaf, so plans stay short.  Frames that are only persisted keep their whole lineage in the
+logical plan; with the self-joins of exact ranks that plan grows by a factor at each step and is not analysed in
+reasonable time.  A lost executor costs only the tasks it was running.
 """
 import tempfile
 import uuid
@@ -13,13 +14,16 @@ _kept = {}
 
 
 def stage_dir(spark) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder the cluster names in spark.checkpoint.dir.  Only a local session may go without and gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        _own_dirs[app] = tempfile.mkdtemp(prefix="run-")
     return _own_dirs[app]
 
 
@@ -30,9 +34,20 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark, folder):
+    """Names, sizes and times of the tables in a folder: a result is shared only while these are the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for table in fs.listStatus(path):
+        parts = fs.listStatus(table.getPath()) if table.isDirectory() else [table]
+        out += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in parts]
+    return tuple(sorted(out))
+
+
 def keep(spark, sf_dir, name, make):
-    """Stage make() once per session and data folder, for queries that share it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Stage make() once for the same tables, for queries that share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _files(spark, sf_dir))
     if key not in _kept:
         _kept[key] = stage(make())
     return _kept[key]

@@ -135,12 +135,17 @@ def tolerant_ranks(df: DataFrame, col: str, by, out="avg_rank") -> DataFrame:
 
 
 def rank_ic(df: DataFrame, x: str, y: str, by) -> DataFrame:
-    """Spearman correlation per group; null under three pairs or without variance."""
+    """Spearman correlation per group; null under three pairs or without variance.
+    Both columns rank in one pass, as long rows keyed by column."""
     by = list(by)
-    rows = stage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")))
-    for col, rank in (("_x", "_rx"), ("_y", "_ry")):
-        cells = ranks.tolerant_cells(rows.select(*by, col), col, by).select(*by, col, F.col("avg_rank").alias(rank))
-        rows = rows.join(cells, [*by, col])
+    rows = stage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")))
+    long = rows.select(*by, F.explode(F.array(F.struct(F.lit("x").alias("c"), F.col("_x").alias("v")),
+                                              F.struct(F.lit("y").alias("c"), F.col("_y").alias("v")))).alias("p"))
+    cells = ranks.tolerant_cells(long.select(*by, F.col("p.c").alias("_c"), F.col("p.v").alias("_v")), "_v", [*by, "_c"])
+    for c in ("x", "y"):
+        rank = cells.where(F.col("_c") == c).select(*by, F.col("_v").alias(f"_{c}"), F.col("avg_rank").alias(f"_r{c}"))
+        rows = rows.join(rank, [*by, f"_{c}"])
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.expr(
         "if(count(1) >= 3, round(try_divide(covar_pop(_rx, _ry), stddev_pop(_rx) * stddev_pop(_ry)), 4), NULL)").alias("ic"))
 
