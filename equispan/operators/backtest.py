@@ -24,18 +24,19 @@ def _mean_all(arr, value, where):
 
 
 def pit_signals(members, pit, prices, splits, rf, sectors, market) -> DataFrame:
-    """One row per (quarter, member) with everything knowable on that date."""
+    """One row per (quarter, member) with everything knowable on that date.  Value is set against the
+    close; returns, beta and momentum use the adjusted close."""
     dates = members.select("qdate").distinct()
     known = fd.series_asof(pit.where("concept <> 'shares_wab'"), dates).withColumnRenamed("fy", "fiscal_year")
     hist = m.company_series(known, ("qdate", "ticker"))
-    mom = px.momentum_12_1(prices).select("ticker", "month", "adjclose", "mom")
+    mom = px.momentum_12_1(prices).join(prices.select("ticker", "month", "close"), ["ticker", "month"])
     px_m = mom.join(px.rolling_betas(prices, market), ["ticker", "month"], "left")
     rates = px.rf_locf(rf, dates.select(F.trunc("qdate", "month").alias("month")))
     df = (members.join(hist, ["qdate", "ticker"]).join(fd.shares_asof(pit, splits, dates), ["qdate", "ticker"])
           .withColumn("month", F.trunc("qdate", "month")).join(px_m, ["ticker", "month"])
           .join(F.broadcast(rates), "month").join(sectors, "ticker", "left"))
     rev = overlap("revenue")
-    df = with_exprs(df, price="adjclose", rev_years=f"size({rev})", last_fy=f"get({rev}, size({rev}) - 1).fy",
+    df = with_exprs(df, price="close", rev_years=f"size({rev})", last_fy=f"get({rev}, size({rev}) - 1).fy",
                     rev_vol=m.revenue_volatility_sql())
     df = df.where(f"price IS NOT NULL AND shares <> 0 AND rev_years >= 3 AND last_fy >= year(qdate) - 2 "
                   f"AND size({overlap('cfo')}) > 0 AND size({overlap('capex')}) > 0")
@@ -231,7 +232,10 @@ def coverage(members: DataFrame, signals: DataFrame, early="2016-01-01") -> Data
 
 def survivorship_gap(curve: DataFrame, proxy: DataFrame, windows, least=8) -> DataFrame:
     """Growth of the covered pool against an index proxy over the same quarters.
-    curve: (qdate, bench level); proxy: (month, adjclose)."""
+    curve: (qdate, bench level after that quarter); proxy: (month, adjclose).  A level stands at the quarter's end, which
+    is the next quarter's date, and the pool starts at one."""
+    start = curve.agg(F.min("qdate").alias("qdate")).where("qdate IS NOT NULL").withColumn("bv", F.lit(1.0))
+    curve = curve.select(F.last_day(F.add_months("qdate", 3)).alias("qdate"), "bv").unionByName(start)
     p = proxy.where("adjclose <> 0").select("month", F.col("adjclose").alias("pv"))
     rows = _in_windows(curve.join(p, F.trunc("qdate", "month") == p.month), windows, "qdate")
     s = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min_by("bv", "qdate").alias("b0"), F.max_by("bv", "qdate").alias("b1"),

@@ -80,18 +80,27 @@ def ic_by_band(panel: DataFrame, min_names=30) -> DataFrame:
     return x.rank_ic(rows, "upside", "fwd", by).drop("n").join(fwd, by).withColumnRenamed("rows", "n")
 
 
-def verdict(ic: DataFrame, deciles: DataFrame) -> DataFrame:
-    """How much of the raw IC survives neutralizing, and whether the cheap decile is a beta bet."""
+def decile_spread(deciles: DataFrame) -> DataFrame:
+    """Forward return of the top decile over the bottom one."""
+    ends = deciles.groupBy("universe", "model").agg(F.max_by("mean_fwd", "decile").alias("top"), F.min_by("mean_fwd", "decile").alias("bottom"))
+    return with_exprs(ends, spread="round(top, 4) - round(bottom, 4)")
+
+
+def verdict(ic: DataFrame, deciles: DataFrame, windows: DataFrame, needed=12) -> DataFrame:
+    """How much of the raw IC survives neutralizing, and whether the cheap decile is a beta bet.  With fewer
+    independent windows than needed nothing is pronounced.  windows: independent_windows of the same panel."""
     by = ["universe", "model"]
     m = ic.groupBy(*by).agg(*[F.expr(f"max(if(measure = '{k}', mean_ic, NULL))").alias(a) for k, a in (
         ("upside", "raw"), ("upside_sector_neutral", "sec"), ("upside_beta_neutral", "bet"))])
     d = deciles.groupBy(*by).agg(F.min_by("mean_beta", "decile").alias("b0"), F.max_by("mean_beta", "decile").alias("b1"))
-    m = m.join(d, by, "left")
+    m = m.join(d, by, "left").join(windows.select(*by, "independent"), by, "left").join(decile_spread(deciles).select(*by, "spread"), by, "left")
 
     def part(col, label):
         return (f"CASE WHEN {col} IS NULL THEN '{label}-neutral not measurable' WHEN try_divide({col}, raw) >= 0.5 THEN '{label}-neutral survives' "
                 f"ELSE 'mostly a {label} bet' END")
 
-    text = (f"concat_ws('; ', if(raw > 0, 'upside predicts', 'upside anti-predicts'), {part('sec', 'sector')}, {part('bet', 'beta')}, "
-            "if(abs(b1 - b0) > 0.15, 'beta gap', NULL))")
-    return with_exprs(m, verdict=f"if(raw IS NULL, 'no measurable IC', {text})").select(*by, "verdict")
+    text = (f"concat_ws('; ', concat(if(raw > 0, 'upside predicts', 'upside anti-predicts'), format_string(' (IC %.4f)', raw)), {part('sec', 'sector')}, {part('bet', 'beta')}, "
+            "if(abs(b1 - b0) > 0.15, 'beta gap', NULL), format_string('top-bottom spread %.4f', spread))")
+    early = f"concat('not readable: ', coalesce(independent, 0), ' of {needed} independent windows')"
+    return with_exprs(m, verdict=f"CASE WHEN coalesce(independent, 0) < {needed} THEN {early} WHEN raw IS NULL THEN 'no measurable IC' ELSE {text} END") \
+        .select(*by, "verdict")

@@ -129,10 +129,10 @@ SHARE_TAGS = {"EntityCommonStockSharesOutstanding": "dei", "CommonStockSharesOut
 
 
 def current_shares(facts: DataFrame) -> DataFrame:
-    """freshest share count; a count under 0.6 of the weighted average gives way to it."""
+    """freshest share count that is not zero; a count under 0.6 of the weighted average gives way to it."""
     src = F.create_map(*[F.lit(x) for kv in SHARE_TAGS.items() for x in kv])
     newest = (facts.where(F.col("tag").isin(*SHARE_TAGS)).where(
-        "(ns = 'dei') = (tag = 'EntityCommonStockSharesOutstanding') AND end IS NOT NULL AND val IS NOT NULL")
+        "(ns = 'dei') = (tag = 'EntityCommonStockSharesOutstanding') AND end IS NOT NULL AND val <> 0")
         .groupBy("cik", "tag").agg(F.expr("max_by(struct(end, val), struct(end, filed, -pos))").alias("p"))
         .select("cik", src[F.col("tag")].alias("src"), "p.end", "p.val"))
     best = newest.groupBy("cik").agg(

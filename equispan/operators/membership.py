@@ -18,6 +18,13 @@ def _kinds(changes: DataFrame) -> DataFrame:
     return rows.where(~F.col("ticker").isin(DUPLICATE_CLASSES))
 
 
+def _listed(tickers: DataFrame) -> DataFrame:
+    """Distinct tickers under their present names, without second share classes."""
+    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    t = F.trim(F.replace("ticker", F.lit("."), F.lit("-")))
+    return tickers.select(F.coalesce(F.try_element_at(alias, t), t).alias("ticker")).where(~F.col("ticker").isin(DUPLICATE_CLASSES)).distinct()
+
+
 def _calendar(dates):
     return "array(" + ", ".join(f"DATE'{x}'" for x in sorted(dates)) + ")"
 
@@ -30,7 +37,7 @@ def membership_asof(current: DataFrame, changes: DataFrame, dates: list) -> Data
     # the newest listed date before a change is the first one, walking back, that it decides
     slot = per_day.withColumn("qdate", F.expr(f"array_max(filter({cal}, q -> q < date))")).where("qdate IS NOT NULL")
     slot = slot.groupBy("ticker", "qdate").agg(F.min_by("kind", "date").alias("kind"))
-    cur = current.select("ticker").distinct().withColumn("in_now", F.lit(True))
+    cur = _listed(current).withColumn("in_now", F.lit(True))
     names = slot.select("ticker").distinct().join(cur, "ticker", "full")
     spine = names.select("ticker", "in_now", F.explode(F.expr(cal)).alias("qdate")).join(slot, ["ticker", "qdate"], "left")
     ahead = Window.partitionBy("ticker").orderBy("qdate").rowsBetween(0, Window.unboundedFollowing)
@@ -39,14 +46,15 @@ def membership_asof(current: DataFrame, changes: DataFrame, dates: list) -> Data
             .select("qdate", "ticker"))
 
 
-def walkback_anomalies(current: DataFrame, changes: DataFrame) -> DataFrame:
+def walkback_anomalies(current: DataFrame, changes: DataFrame, today=None) -> DataFrame:
     """Undone additions of names not in the set and restored names already in it.
     The state before an event comes from the event undone just before: the day's own, or the last
-    one of the next later day, so no ticker's whole log meets in one window."""
-    ev = _kinds(changes)
+    one of the next later day, so no ticker's whole log meets in one window.  Changes dated after `today` have not
+    happened yet and are left out."""
+    ev = _kinds(changes if today is None else changes.where(F.col("date") <= F.lit(today).cast("date")))
     day = ev.groupBy("ticker", "date").agg(F.max_by("kind", "step").alias("end_kind"))
     day = day.withColumn("later", F.lag("end_kind").over(Window.partitionBy("ticker").orderBy(F.desc("date")))).drop("end_kind")
-    cur = current.select("ticker").distinct().withColumn("in_now", F.lit(True))
+    cur = _listed(current).withColumn("in_now", F.lit(True))
     ev = ev.withColumn("prior", F.lag("kind").over(Window.partitionBy("ticker", "date").orderBy("step")))
     ev = ev.join(day, ["ticker", "date"]).join(cur, "ticker", "left")
     before = "CASE coalesce(prior, later) WHEN 'remove' THEN true WHEN 'add' THEN false ELSE coalesce(in_now, false) END"

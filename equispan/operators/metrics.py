@@ -126,13 +126,15 @@ def with_first_exclusion(df: DataFrame) -> DataFrame:
 
 def company_inputs(companies: DataFrame, fin: DataFrame, now: DataFrame, betas: DataFrame,
                    rf: float, overrides: DataFrame, dq: DataFrame | None = None) -> DataFrame:
-    """One row per company with every input the engines need; `why` tells who is left out."""
+    """One row per company with every input the engines need; `why` tells who is left out.
+    A share count that the cross-check of market caps corrected takes the place of the filed one."""
     df = companies.join(company_series(fin), "ticker", "left").join(now_map(now), "ticker", "left")
     df = df.join(betas.select("ticker", F.col("beta").alias("beta_in")), "ticker", "left")
     if dq is None:
         df = df.withColumn("dq_status", F.lit(None).cast("string"))
     else:
-        df = df.join(dq.select("ticker", F.col("status").alias("dq_status")), "ticker", "left")
+        checked = dq.select("ticker", F.col("status").alias("dq_status"), "shares_checked")
+        df = df.join(checked, "ticker", "left").withColumn("shares_out", F.coalesce("shares_checked", "shares_out")).drop("shares_checked")
     df = with_archetype(df, overrides)
 
     def fresh(concept, old=None):

@@ -59,14 +59,17 @@ def betas(prices: DataFrame, market: DataFrame, min_months=24) -> DataFrame:
 
 
 def rolling_betas(prices: DataFrame, market: DataFrame, n=60) -> DataFrame:
-    """Beta over the last n returns at each month; too little history gives the default."""
+    """Beta over the last n returns at each month; too little history gives the default, and a month
+    that the market lacks has the beta of the newest month before it."""
     w = Window.partitionBy("ticker").orderBy("month").rowsBetween(-(n - 1), 0)
     span = Window.partitionBy("ticker").orderBy("month").rowsBetween(-n, 0)
     r = _returns(prices, market).withColumns({
         "k": F.count("r").over(w), "c": F.covar_pop("r", "rm").over(w), "v": F.var_pop("rm").over(w),
         "months": F.count(F.lit(1)).over(span)})
-    return with_exprs(r, beta=f"if(months >= 25 AND k >= 24 AND v > 0, {_blume('c / v')}, {CFG['beta_default']}D)") \
-        .select("ticker", "month", "beta")
+    r = with_exprs(r, beta=f"if(months >= 25 AND k >= 24 AND v > 0, {_blume('c / v')}, {CFG['beta_default']}D)")
+    known = prices.select("ticker", "month").join(r.select("ticker", "month", "beta"), ["ticker", "month"], "left")
+    upto = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return known.select("ticker", "month", F.coalesce(F.last("beta", True).over(upto), F.lit(CFG["beta_default"] * 1.0)).alias("beta"))
 
 
 def momentum_12_1(prices: DataFrame) -> DataFrame:

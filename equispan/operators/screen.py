@@ -1,9 +1,11 @@
 """Screening queries over the ranked board."""
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import ranks
 from ..functions.exprs import with_exprs
 
-CAP_BANDS = {"mega": "mcap >= 200e9", "large": "mcap >= 10e9 AND mcap < 200e9", "mid": "mcap < 10e9"}
+_BILLIONS = "round(mcap / 1e9, 1)"  # bands compare what the board shows
+CAP_BANDS = {"mega": f"{_BILLIONS} >= 200", "large": f"{_BILLIONS} >= 10 AND {_BILLIONS} < 200", "mid": f"{_BILLIONS} < 10"}
 # fixed values: the named screens
 PRESETS = {
     "Deep value": dict(min_upside=25, min_conf=3),
@@ -40,6 +42,12 @@ def sort_screen(df: DataFrame, key="score", desc=True) -> DataFrame:
     return df.orderBy(col.desc() if desc else col.asc(), "ticker")
 
 
+def place_screen(df: DataFrame, key="score", desc=True, by=("universe",)) -> DataFrame:
+    """C3 with the place of each row, for orders too long for one task; numeric keys only."""
+    col = F.coalesce(F.col(key).cast("double"), F.lit(-1e18)) if key in ("pe", "mom_pct") else F.col(key).cast("double")
+    return ranks.with_position(df.withColumn("_key", col), "_key", list(by), "ticker", out="place", total="_n", desc=desc).drop("_key", "_n")
+
+
 def search(df: DataFrame, text: str, n=7) -> DataFrame:
     """C4: the first n tickers or names, in board order, that contain the text."""
     q = F.lit(text.strip().lower())

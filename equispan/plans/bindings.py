@@ -163,7 +163,7 @@ def monthly_prices(spark, sf_dir):
     return (_cents(li).groupBy("l_suppkey", F.trunc("l_shipdate", "month").alias("month"))
             .agg((F.sum("_c") / 100 / F.sum(F.col("l_quantity").cast("long"))).alias("close"))
             .select(F.col("l_suppkey").cast("string").alias("ticker"), "month", "close",
-                    F.col("close").alias("adjclose")))
+                    F.expr("close * (0.7D + ((year(month) - 1995) * 12 + month(month)) / 400D)").alias("adjclose")))
 
 
 def market_prices(prices):
@@ -319,7 +319,7 @@ def share_facts(spark, sf_dir):
         F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"),
         F.expr("if(substr(o_orderpriority, 1, 1) = '1', 'dei', 'us-gaap')").alias("ns"),
         F.expr(PRIORITY_TAGS).alias("tag"), F.lit("shares").alias("unit"),
-        F.to_date("o_orderdate").alias("end"), F.col("o_totalprice").alias("val"),
+        F.to_date("o_orderdate").alias("end"), F.expr("if(o_orderkey % 6 = 0, 0D, o_totalprice)").alias("val"),
         F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 90 AS int))").alias("filed"),
         F.expr("if(o_custkey % 13 = 0, '6-K', if(o_custkey % 11 = 0, '20-F', '10-K/A'))").alias("form"),
         F.col("o_orderkey").alias("pos"))

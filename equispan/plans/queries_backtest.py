@@ -97,8 +97,8 @@ def price_ranges(spark, d):
 @query
 def quarter_calendar(spark, d):
     """Quarter ends that fall inside the span of the order dates."""
-    o = b.table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("z"))
-    return tidy(bt.quarter_ends(spark, "1990-01-01", "2010-12-31").join(F.broadcast(o), F.expr("qdate BETWEEN a AND z")), ["qdate"])
+    a, z = b.table(spark, d, "orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    return tidy(bt.quarter_ends(spark, a, z), ["qdate"])
 
 
 @query
@@ -227,7 +227,7 @@ def price_matrix(spark, d):
     daily = b.daily_prices(spark, d).withColumn("adjclose", F.col("adjclose") + 0.00031)  # clear of half cents
     mon = daily.groupBy("ticker", F.trunc("date", "month").alias("month")).agg(F.min_by("adjclose", "date").alias("adjclose"))
     mem = daily.select("ticker").distinct().select(F.explode(F.expr("if(cast(ticker AS bigint) % 2 = 0, array('a', 'b'), array('a'))")).alias("universe"), "ticker")
-    dm, mm = sinks.price_matrix(daily, mon, mem, days=20)
+    dm, mm = sinks.price_matrix(daily, mon, mem)
     out = None
     for label, df in (("daily", dm), ("monthly", mm)):
         part = df.select(F.lit(label).alias("block"), "universe", "ticker", F.size("axis").alias("axis_len"),

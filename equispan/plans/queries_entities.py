@@ -49,8 +49,8 @@ def delisted_name_resolve(spark, d):
         F.concat(F.lit("D"), F.col("c_custkey").cast("string")).alias("ticker"), F.expr(
             "CASE c_custkey % 10 WHEN 3 THEN concat(c_name, ', Corporation') WHEN 4 THEN substr(c_name, 10) "
             "WHEN 5 THEN substr(c_name, 1, 16) WHEN 7 THEN concat('The Old ', c_name) "
-            "WHEN 8 THEN substr(c_name, 15) END").alias("name"))
-    return en.resolve_names(names.where("name IS NOT NULL"), filers(spark, d))
+            "WHEN 8 THEN substr(c_name, 15) ELSE c_name END").alias("name"))
+    return en.resolve_names(names, filers(spark, d))
 
 
 @query

@@ -19,16 +19,17 @@ def closes(spark, d):
 @query
 def weekly_gate(spark, d):
     """Three universes: a new week (written), the same week (skipped), the same day again (replaced)."""
-    s = snaps(spark, d).where("model = 'm1'")
+    # The second model's days come two weeks later.
+    s = snaps(spark, d).withColumn("_day", F.expr("date_sub(to_date(run_date), if(model = 'm1', 0, 14))"))
     half = "if(hour(run_date) < 12, 0, 1)"
-    old = (s.where("to_date(run_date) <= DATE'2024-01-12'").withColumn("universe", F.explode(F.array(F.lit("week"), F.lit("skip"), F.lit("again"))))
-           .where(f"universe <> 'again' OR to_date(run_date) < DATE'2024-01-12' OR {half} = 0")
-           .where("universe <> 'skip' OR to_date(run_date) < DATE'2024-01-12'"))
-    new = (s.where("to_date(run_date) = DATE'2024-01-15'").withColumn("universe", F.lit("week"))
-           .unionByName(s.where("to_date(run_date) = DATE'2024-01-12'").withColumn("universe", F.lit("skip")))
-           .unionByName(s.where(f"to_date(run_date) = DATE'2024-01-12' AND {half} = 1").withColumn("universe", F.lit("again"))))
-    out = sn.append_snapshots(old, new)
-    return out.groupBy("universe", F.to_date("run_date").cast("string").alias("day")).agg(
+    old = (s.where("_day <= DATE'2024-01-12'").withColumn("universe", F.explode(F.array(F.lit("week"), F.lit("skip"), F.lit("again"))))
+           .where(f"universe <> 'again' OR _day < DATE'2024-01-12' OR {half} = 0")
+           .where("universe <> 'skip' OR _day < DATE'2024-01-12'"))
+    new = (s.where("_day = DATE'2024-01-15'").withColumn("universe", F.lit("week"))
+           .unionByName(s.where("_day = DATE'2024-01-12'").withColumn("universe", F.lit("skip")))
+           .unionByName(s.where(f"_day = DATE'2024-01-12' AND {half} = 1").withColumn("universe", F.lit("again"))))
+    out = sn.append_snapshots(old.drop("_day"), new.drop("_day"))
+    return out.groupBy("universe", "model", F.to_date("run_date").cast("string").alias("day")).agg(
         F.countDistinct("run_date").alias("runs"), F.count(F.lit(1)).alias("n"))
 
 
@@ -120,7 +121,13 @@ def ic_by_band(spark, d):
 
 @query
 def calibration_verdict(spark, d):
-    return cal.verdict(cal.ic_series(per_session(spark, d)), cal.decile_table(panel(spark, d))).select("model", "verdict")
+    windows = cal.independent_windows(panel(spark, d), horizon=3, needed=4)
+    return cal.verdict(cal.ic_series(per_session(spark, d)), cal.decile_table(panel(spark, d)), windows, needed=4).select("model", "verdict")
+
+
+@query
+def decile_spread(spark, d):
+    return tidy(cal.decile_spread(cal.decile_table(panel(spark, d))), ["model"], top=4, bottom=4, spread=4)
 
 
 @query

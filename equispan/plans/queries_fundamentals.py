@@ -70,7 +70,7 @@ def financials_now(spark, d):
 @query
 def fx_to_usd(spark, d):
     """Filers report in the currency of their nation; one nation in seven has no rate."""
-    fin = b.financials(spark, d).where("concept IN ('revenue', 'ebit', 'shares')")
+    fin = b.financials(spark, d)
     ccy = b.table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("ticker"),
         F.expr("if(c_nationkey = 0, 'USD', concat('C', c_nationkey))").alias("ccy"))
@@ -100,8 +100,7 @@ def quarters(spark):
 
 @query
 def series_asof(spark, d):
-    pit = b.pit_vintages(spark, d).where("concept IN ('revenue', 'equity')")
-    out = f.series_asof(pit, quarters(spark)).withColumn("value_m", F.col("value") / 999983.0)
+    out = f.series_asof(b.pit_vintages(spark, d), quarters(spark)).withColumn("value_m", F.col("value") / 999983.0)
     return tidy(out, ["qdate", "ticker", "concept", "fy"], value_m=6)
 
 

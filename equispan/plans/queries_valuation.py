@@ -259,13 +259,15 @@ def screen_presets(spark, d):
 
 @query
 def sorted_screen(spark, d):
-    """The 50 lowest by P/E, where a missing P/E sorts first."""
-    return sc.sort_screen(board(spark, d).where("universe = 'sp1500'"), "pe", desc=False).limit(50).select(*U)
+    """By P/E upwards, where a missing P/E sorts first."""
+    return sc.place_screen(board(spark, d), "pe", desc=False).select(*U, "place")
 
 
 @query
 def name_search(spark, d):
-    return sc.search(board(spark, d).where("universe = 'sp1500'"), "000012").select("ticker", "name")
+    """The first seven hits of each universe."""
+    found = [sc.search(board(spark, d).where(F.col("universe") == u), "000012") for u in ("sp1500", "sp500")]
+    return found[0].unionByName(found[1]).select(*U, "name")
 
 
 @query
@@ -301,7 +303,7 @@ def company_records(spark, d):
 
 @query
 def screen_csv(spark, d):
-    return sinks.screen_csv_rows(board(spark, d).where("universe = 'sp500'"))
+    return sinks.screen_csv_rows(board(spark, d), "universe")
 
 
 @query

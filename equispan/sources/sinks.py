@@ -26,8 +26,11 @@ def write_records(ranked: DataFrame, path: str) -> None:
     company_records(ranked).write.mode("overwrite").partitionBy("universe").json(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys) -> DataFrame:
-    """K2: insert or replace by key; the new row wins whole."""
+def upsert(old: DataFrame, new: DataFrame, keys, order=None) -> DataFrame:
+    """K2: insert or replace by key; the new row wins whole.  Of several new rows for a key the one with the greatest
+    `order` column wins, and of equal ones the greatest in all columns."""
+    rest = [F.col(c) for c in ([order] if order else []) + [c for c in new.columns if c not in keys]]
+    new = new.groupBy(*keys).agg(F.max_by(F.struct(*new.columns), F.struct(*rest)).alias("r")).select("r.*")
     return new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
 
 
@@ -50,9 +53,9 @@ SCREEN_COLUMNS = [  # fixed values: export header and how each column is written
     ("score", _num("score", 4))]
 
 
-def screen_csv_rows(df: DataFrame) -> DataFrame:
-    """K4: the export's 20 text columns."""
-    return df.select(*[F.expr(v).alias(k) for k, v in SCREEN_COLUMNS])
+def screen_csv_rows(df: DataFrame, *keep) -> DataFrame:
+    """K4: the export's 20 text columns, after the columns to keep as they are."""
+    return df.select(*keep, *[F.expr(v).alias(k) for k, v in SCREEN_COLUMNS])
 
 
 def write_screen_csv(df: DataFrame, path: str) -> None:

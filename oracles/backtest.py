@@ -20,7 +20,7 @@ view("ret", """SELECT ticker, month, adjclose / lag(adjclose) OVER w - 1 AS r, m
   FROM (SELECT pxm.*, mkt.adjclose AS mp FROM pxm JOIN mkt USING (month)) WINDOW w AS (PARTITION BY ticker ORDER BY month)""")
 view("rbeta", f"""SELECT ticker, month, CASE WHEN i >= 25 AND k >= 24 AND v > 0 THEN {BL.format('c / v')} ELSE 1.0 END::DOUBLE AS beta FROM (SELECT ticker, month, i, count(r) OVER w AS k,
   covar_pop(r, rm) OVER w AS c, var_pop(CASE WHEN r IS NOT NULL THEN rm END) OVER w AS v FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY month ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))""")
-view("mom", """SELECT p.ticker, p.month, p.adjclose, a.adjclose / b.adjclose - 1 AS mom FROM pxm p LEFT JOIN pxm a ON a.ticker = p.ticker AND a.month = p.month - INTERVAL 1 MONTH
+view("mom", """SELECT p.ticker, p.month, p.close, p.adjclose, a.adjclose / b.adjclose - 1 AS mom FROM pxm p LEFT JOIN pxm a ON a.ticker = p.ticker AND a.month = p.month - INTERVAL 1 MONTH
   LEFT JOIN pxm b ON b.ticker = p.ticker AND b.month = p.month - INTERVAL 12 MONTH""")
 view("qn", "SELECT qdate, lead(qdate) OVER (ORDER BY qdate) AS qnext FROM qd")
 view("fwd", """SELECT qdate, a.ticker, b.adjclose / a.adjclose - 1 AS fwd FROM qn JOIN pxm a ON a.month = date_trunc('month', qdate) JOIN pxm b ON b.ticker = a.ticker AND b.month = date_trunc('month', qnext)""")
@@ -36,7 +36,7 @@ view("ps0", f"""SELECT qdate, ticker, any_value(cyc) AS cyc, max(n) AS n, max(fy
   avg((cfo - capex - sbc) / revenue) FILTER (rn <= ny) AS fcf_margin, avg(ebit / revenue) FILTER (rn <= ny) AS om, avg(net_income / equity) FILTER (rn <= 5) AS roe,
   max(CASE WHEN rn = 4 THEN revenue END) AS rev4, pow(max(CASE WHEN rn = 1 THEN revenue END) / max(CASE WHEN rn = least(n, 6) THEN revenue END),
   1.0 / nullif(max(fy) - max(CASE WHEN rn = least(n, 6) THEN fy END), 0)) - 1 AS g_tr FROM (SELECT pq.*, cyc, CASE WHEN cyc THEN 10 ELSE 5 END AS ny FROM pq JOIN pv USING (qdate, ticker)) GROUP BY 1, 2""")
-view("ps1", """SELECT m.qdate, m.ticker, x.sector, p.adjclose AS price, p.mom, coalesce(b.beta, 1) AS beta, r.rate, s.shares, p.adjclose * s.shares AS mcap, ps0.* EXCLUDE (qdate, ticker),
+view("ps1", """SELECT m.qdate, m.ticker, x.sector, p.close AS price, p.mom, coalesce(b.beta, 1) AS beta, r.rate, s.shares, p.close * s.shares AS mcap, ps0.* EXCLUDE (qdate, ticker),
   long_debt AS debt, equity + long_debt - cash AS inv_cap, greatest(0, least(0.20, coalesce(g_tr, 0))) AS g1, fcf_margin * revenue AS fcf_norm, om * revenue * 0.79 AS nopat,
   CASE WHEN r.rate > 0.005 THEN least(0.025, r.rate) ELSE 0.005 END AS tg
   FROM qmem m JOIN ps0 USING (qdate, ticker) JOIN shasof s ON s.qdate = m.qdate AND s.ticker = m.ticker JOIN mom p ON p.ticker = m.ticker AND p.month = date_trunc('month', m.qdate)
@@ -160,7 +160,7 @@ SQL = {
     "risk_free_locf": sql("SELECT month::VARCHAR AS month, round(rate, 6) AS rate FROM rfl"),
     "price_ranges": sql(" UNION ALL ".join(rng(k, *v) for k, v in RANGES.items()) + """ UNION ALL SELECT '5Y month', ticker, count(*), round(arg_min(adjclose, month), 8), round(arg_max(adjclose, month), 8), round(arg_max(adjclose, month) / arg_min(adjclose, month) - 1, 5)
       FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY month DESC) AS r FROM pxm) WHERE r <= 60 GROUP BY 2"""),
-    "quarter_calendar": sql("""SELECT q::VARCHAR AS qdate FROM (SELECT last_day(m)::DATE AS q FROM (SELECT unnest(generate_series(DATE '1990-03-01', DATE '2010-12-01', INTERVAL 3 MONTH)) AS m))
+    "quarter_calendar": sql("""SELECT q::VARCHAR AS qdate FROM (SELECT last_day(m)::DATE AS q FROM (SELECT unnest(generate_series((SELECT date_trunc('year', min(o_orderdate))::DATE + INTERVAL 2 MONTH FROM orders), (SELECT max(o_orderdate)::DATE + INTERVAL 3 MONTH FROM orders), INTERVAL 3 MONTH)) AS m))
       WHERE q BETWEEN (SELECT min(o_orderdate)::DATE FROM orders) AND (SELECT max(o_orderdate)::DATE FROM orders)"""),
     "membership_walkback": sql("""WITH w AS (SELECT unnest([DATE '2024-01-07', DATE '2024-01-14', DATE '2024-01-21', DATE '2024-01-28']) AS qdate), k AS (SELECT date, row_no, coalesce(added, removed) AS ticker, removed IS NOT NULL AS rem FROM chg),
       f AS (SELECT qdate, ticker, arg_max(rem, row_no) AS rem FROM (SELECT *, min(date) OVER (PARTITION BY qdate, ticker) AS d0 FROM w JOIN k ON date > qdate) WHERE date = d0 GROUP BY 1, 2),
@@ -186,13 +186,14 @@ SQL = {
       round(count(*) FILTER (strat > bench) / count(*), 3) AS hit_rate FROM wcv GROUP BY 1, 2 HAVING count(*) >= 8"""),
     "signal_coverage": sql("""SELECT qdate::VARCHAR AS qdate, m AS members, coalesce(s, 0) AS signals, (qdate < DATE '1999-01-01')::INT AS early, round(coalesce(s, 0) / m, 4) AS share FROM (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1)
       LEFT JOIN (SELECT qdate, count(*) AS s FROM psig GROUP BY 1) USING (qdate)"""),
-    "survivorship_gap": sql("""WITH j AS (SELECT label, qdate, bv, adjclose AS p FROM cv JOIN mkt ON month = date_trunc('month', qdate) JOIN wins ON qdate BETWEEN a AND b WHERE variant = 'v2rd')
+    "survivorship_gap": sql("""WITH lv AS (SELECT last_day(qdate + INTERVAL 3 MONTH)::DATE AS qdate, bv FROM cv WHERE variant = 'v2rd' UNION ALL SELECT min(qdate), 1.0 FROM cv WHERE variant = 'v2rd'),
+      j AS (SELECT label, qdate, bv, adjclose AS p FROM lv JOIN mkt ON month = date_trunc('month', qdate) JOIN wins ON qdate BETWEEN a AND b)
       SELECT label, round(c, 4) AS covered, round(i, 4) AS index_ew, round((c - i) * 100, 1) AS gap_pp FROM (SELECT label, pow(arg_max(bv, qdate) / arg_min(bv, qdate), 4.0 / (count(*) - 1)) - 1 AS c,
       pow(arg_max(p, qdate) / arg_min(p, qdate), 4.0 / (count(*) - 1)) - 1 AS i FROM j GROUP BY 1 HAVING count(*) >= 8)"""),
     "momentum_study": sql(f"""SELECT variant, label, periods, round(sc - bc, 4) AS excess, hit_rate, strat_cagr, strat_sharpe, strat_dd, turnover FROM (SELECT variant, label, pow(arg_max(sv, t), 12.0 / count(*)) - 1 AS sc, pow(arg_max(bv, t), 12.0 / count(*)) - 1 AS bc,
       {STAT.format(p=12)} FROM mv4 GROUP BY 1, 2 HAVING count(*) >= 24)"""),
     "price_upsert": sql("""SELECT ticker, month::VARCHAR AS month, round(adjclose * CASE WHEN month >= DATE '2001-06-01' THEN 1.1::DOUBLE ELSE 1 END * 1.000123::DOUBLE, 6) AS adjclose FROM pxm UNION ALL SELECT 'NEW', month::VARCHAR, round(adjclose * 1.000123::DOUBLE, 6) FROM pxm WHERE ticker = '3'"""),
-    "price_matrix": sql("""WITH pxe AS (SELECT ticker, date, adjclose + 0.00031::DOUBLE AS adjclose FROM pxd), mem AS (SELECT DISTINCT ticker, 'a' AS universe FROM pxd UNION ALL SELECT DISTINCT ticker, 'b' FROM pxd WHERE ticker::BIGINT % 2 = 0), r AS (SELECT * FROM pxe WHERE date >= (SELECT max(date) FROM pxd) - 20),
+    "price_matrix": sql("""WITH pxe AS (SELECT ticker, date, adjclose + 0.00031::DOUBLE AS adjclose FROM pxd), mem AS (SELECT DISTINCT ticker, 'a' AS universe FROM pxd UNION ALL SELECT DISTINCT ticker, 'b' FROM pxd WHERE ticker::BIGINT % 2 = 0), r AS (SELECT * FROM pxe WHERE date >= (SELECT max(date) FROM pxd) - 420),
       lastd AS (SELECT ticker, date_trunc('month', max(date))::DATE AS month, arg_max(adjclose, date) AS v FROM r GROUP BY 1),
       mm AS (SELECT ticker, date_trunc('month', date)::DATE AS month, arg_min(adjclose, date) AS v FROM pxe GROUP BY 1, 2), m2 AS (SELECT ticker, month, coalesce(l.v, mm.v) AS v FROM mm FULL JOIN lastd l USING (ticker, month)),
       c AS (SELECT 'daily' AS block, universe, ticker, date AS ax, adjclose AS v FROM r JOIN mem USING (ticker) UNION ALL SELECT 'monthly', universe, ticker, month, v FROM m2 JOIN mem USING (ticker)),

@@ -71,8 +71,9 @@ view("cbeta", "SELECT c_custkey::VARCHAR AS ticker, 0.5::DOUBLE + (c_custkey % 1
 view("umem", "SELECT unnest(CASE WHEN c_custkey % 2 = 0 THEN ['sp1500', 'sp500'] ELSE ['sp1500'] END) AS universe, c_custkey::VARCHAR AS ticker FROM customer")
 view("xmcap", "SELECT ticker, price * (1e7::DOUBLE * (1 + ticker::BIGINT % 97) * (0.8::DOUBLE + (ticker::BIGINT % 9) * 0.05::DOUBLE)) AS ext_mcap "
               "FROM comp WHERE ticker::BIGINT % 9 <> 0")
-view("pxm", "SELECT l_suppkey::VARCHAR AS ticker, date_trunc('month', l_shipdate)::DATE AS month, "
-            "sum(c) / 100 / sum(l_quantity::BIGINT) AS adjclose FROM li GROUP BY ALL")
+view("pxm", "SELECT l_suppkey::VARCHAR AS ticker, month, "
+            "close, close * (0.7::DOUBLE + ((year(month) - 1995) * 12 + month(month)) / 400::DOUBLE) AS adjclose FROM "
+            "(SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS month, sum(c) / 100 / sum(l_quantity::BIGINT) AS close FROM li GROUP BY ALL)")
 view("mkt", "SELECT month, avg(adjclose) AS adjclose FROM pxm GROUP BY 1")
 view("ssec", f"SELECT s_suppkey::VARCHAR AS ticker, {_case('r_name', REGIONS)} AS sector FROM supplier "
              "JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -115,7 +116,7 @@ view("ftags", "SELECT * FROM (VALUES " + ", ".join(map(str, b.FACT_TAGS)) + ") t
 view("shf", """SELECT lpad(o_custkey::VARCHAR, 10, '0') AS cik, CASE WHEN o_orderpriority[1] = '1' THEN 'dei' ELSE 'us-gaap' END AS ns,
   CASE o_orderpriority[1] WHEN '1' THEN 'EntityCommonStockSharesOutstanding' WHEN '2' THEN 'CommonStockSharesOutstanding'
   WHEN '3' THEN 'CommonStockSharesIssued' ELSE 'WeightedAverageNumberOfSharesOutstandingBasic' END AS tag,
-  o_orderdate::DATE AS "end", o_totalprice AS val, (o_orderdate::DATE + (o_orderkey % 90)::INT)::DATE AS filed,
+  o_orderdate::DATE AS "end", CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_totalprice END AS val, (o_orderdate::DATE + (o_orderkey % 90)::INT)::DATE AS filed,
   CASE WHEN o_custkey % 13 = 0 THEN '6-K' WHEN o_custkey % 11 = 0 THEN '20-F' ELSE '10-K/A' END AS form, o_orderkey AS pos FROM orders""")
 view("filers", f"""SELECT lpad(k::VARCHAR, 10, '0') AS cik, {NAME.format(n='c_name', k='k')} AS name,
   CASE WHEN k % 8 = 0 THEN '' ELSE lpad((c_nationkey * 97 + 1000)::VARCHAR, 4, '0') END AS sic,

@@ -28,7 +28,7 @@ view("lists", """SELECT universe, ticker, CASE WHEN universe = 'ndx' THEN upper(
   WHERE CASE universe WHEN 'ndx' THEN ticker::BIGINT % 3 = 0 WHEN 'sp500' THEN ticker::BIGINT % 4 = 0 ELSE ticker::BIGINT % 5 <> 0 END""")
 view("dnames", f"""SELECT ticker, {norm('ws')} AS key FROM (SELECT ticker, {words('name')} AS ws FROM (SELECT 'D' || c_custkey AS ticker,
   CASE c_custkey % 10 WHEN 3 THEN c_name || ', Corporation' WHEN 4 THEN substr(c_name, 10) WHEN 5 THEN substr(c_name, 1, 16)
-  WHEN 7 THEN 'The Old ' || c_name WHEN 8 THEN substr(c_name, 15) END AS name FROM customer) WHERE name IS NOT NULL)""")
+  WHEN 7 THEN 'The Old ' || c_name WHEN 8 THEN substr(c_name, 15) ELSE c_name END AS name FROM customer))""")
 view("xck", """SELECT ticker, price, shares_out, ext_mcap, price * shares_out / ext_mcap - 1 AS diff,
   CASE WHEN ext_mcap IS NULL THEN 'no_ext' WHEN shares_out IS NULL THEN 'derived' WHEN abs(price * shares_out / ext_mcap - 1) <= 0.05 THEN 'ok'
   WHEN abs(price * shares_out / ext_mcap - 1) <= 0.15 THEN 'drift' ELSE 'patched' END AS status

@@ -62,11 +62,11 @@ def keep(c, label):
 
 
 SQL = {
-    "weekly_gate": sql("""WITH s AS (SELECT *, run_date::DATE AS day, hour(run_date) >= 12 AS pm FROM snap WHERE model = 'm1')
-      SELECT universe, day::VARCHAR AS day, count(DISTINCT run_date) AS runs, count(*) AS n FROM (
-      SELECT 'week' AS universe, day, run_date FROM s WHERE day <= DATE '2024-01-12' OR day = DATE '2024-01-15'
-      UNION ALL SELECT 'skip', day, run_date FROM s WHERE day < DATE '2024-01-12'
-      UNION ALL SELECT 'again', day, run_date FROM s WHERE day < DATE '2024-01-12' OR (day = DATE '2024-01-12' AND pm)) GROUP BY 1, 2"""),
+    "weekly_gate": sql("""WITH s AS (SELECT *, run_date::DATE AS day, hour(run_date) >= 12 AS pm, run_date::DATE - CASE WHEN model = 'm1' THEN 0 ELSE 14 END AS x FROM snap)
+      SELECT universe, model, day::VARCHAR AS day, count(DISTINCT run_date) AS runs, count(*) AS n FROM (
+      SELECT 'week' AS universe, model, day, run_date FROM s WHERE x <= DATE '2024-01-12' OR x = DATE '2024-01-15'
+      UNION ALL SELECT 'skip', model, day, run_date FROM s WHERE x < DATE '2024-01-12'
+      UNION ALL SELECT 'again', model, day, run_date FROM s WHERE x < DATE '2024-01-12' OR (x = DATE '2024-01-12' AND pm)) GROUP BY 1, 2, 3"""),
     "change_digest": sql("SELECT model, kind, row_number() OVER (PARTITION BY model, kind ORDER BY w DESC, ticker) AS place, ticker, detail FROM dgr QUALIFY place <= 12"),
     "session_asof": sql("SELECT ticker, date::VARCHAR AS day, session::VARCHAR AS session FROM pxd JOIN sday ON day = date"),
     "run_collapse": sql("SELECT model, session::VARCHAR AS session, day::VARCHAR AS day, collapsed FROM runs"),
@@ -84,9 +84,11 @@ SQL = {
     "decile_table": sql("SELECT model, decile, n, mean_upside, mean_fwd, median_fwd, round(mb, 3) AS mean_beta FROM dec"),
     "ic_by_band": sql("SELECT s.model, s.field, s.band, s.n, round(s.ic, 3) AS ic, f.mean_fwd FROM (" + spearman("bands", "model, field, band", "upside", "fwd")
                       + ") s JOIN (SELECT model, field, band, round(avg(fwd), 4) AS mean_fwd FROM bands GROUP BY 1, 2, 3) f USING (model, field, band) WHERE s.n >= 30"),
-    "calibration_verdict": sql(f"""SELECT model, CASE WHEN r IS NULL THEN 'no measurable IC' ELSE CASE WHEN r > 0 THEN 'upside predicts' ELSE 'upside anti-predicts' END || '; ' || {keep('s', 'sector')} || '; ' || {keep('b', 'beta')}
-      || CASE WHEN abs(b1 - b0) > 0.15 THEN '; beta gap' ELSE '' END END AS verdict FROM (SELECT model, max(mean_ic) FILTER (measure = 'upside') AS r, max(mean_ic) FILTER (measure = 'upside_sector_neutral') AS s, max(mean_ic) FILTER (measure = 'upside_beta_neutral') AS b FROM ica GROUP BY 1)
-      LEFT JOIN (SELECT model, arg_min(mb, decile) AS b0, arg_max(mb, decile) AS b1 FROM dec GROUP BY 1) USING (model)"""),
+    "calibration_verdict": sql(f"""SELECT model, CASE WHEN coalesce(g.n, 0) < 4 THEN 'not readable: ' || coalesce(g.n, 0) || ' of 4 independent windows' WHEN r IS NULL THEN 'no measurable IC' ELSE CASE WHEN r > 0 THEN 'upside predicts' ELSE 'upside anti-predicts' END || printf(' (IC %.4f)', r) || '; ' || {keep('s', 'sector')} || '; ' || {keep('b', 'beta')}
+      || CASE WHEN abs(b1 - b0) > 0.15 THEN '; beta gap' ELSE '' END || printf('; top-bottom spread %.4f', round(t1 - t0, 4)) END AS verdict FROM (SELECT model, max(mean_ic) FILTER (measure = 'upside') AS r, max(mean_ic) FILTER (measure = 'upside_sector_neutral') AS s, max(mean_ic) FILTER (measure = 'upside_beta_neutral') AS b FROM ica GROUP BY 1)
+      LEFT JOIN (SELECT model, arg_min(mb, decile) AS b0, arg_max(mb, decile) AS b1, arg_min(mean_fwd, decile) AS t0, arg_max(mean_fwd, decile) AS t1 FROM dec GROUP BY 1) USING (model)
+      LEFT JOIN (SELECT model, n FROM gre WHERE i = len(ps) + 1) g USING (model)"""),
+    "decile_spread": sql("SELECT model, arg_max(mean_fwd, decile) AS top, arg_min(mean_fwd, decile) AS bottom, round(arg_max(mean_fwd, decile) - arg_min(mean_fwd, decile), 4) AS spread FROM dec GROUP BY 1"),
     "equal_count_buckets": sql("""SELECT model, session::VARCHAR AS session, ticker, (row_number() OVER (PARTITION BY model, session ORDER BY score, ticker) * 7 - 1) // count(*) OVER (PARTITION BY model, session) AS bucket FROM panl"""),
     "beta_bands": sql("SELECT model, session::VARCHAR AS session, ticker, round(fwd, 6) AS fwd FROM bneu"),
     "sector_neutral": sql("SELECT model, session::VARCHAR AS session, ticker, round(fwd, 6) AS fwd FROM sneu"),

@@ -51,9 +51,9 @@ SQL = {
       UNION ALL SELECT cik, ns, concept, thru::VARCHAR, 'instant', round(value, 2) FROM finst WHERE concept = 'cash'"""),
     "fx_to_usd": sql("""SELECT ticker, concept, fiscal_year, round(value * (CASE WHEN c_nationkey = 0 OR concept = 'shares' THEN 1
       ELSE 1 + c_nationkey / 100 END) / 999983.0::DOUBLE, 6) AS value_m FROM fin JOIN customer ON c_custkey::VARCHAR = ticker
-      WHERE concept IN ('revenue', 'ebit', 'shares') AND (concept = 'shares' OR c_nationkey % 7 <> 3)"""),
+      WHERE concept = 'shares' OR c_nationkey % 7 <> 3"""),
     "current_shares": sql("""WITH n AS (SELECT cik, tag, "end", val, CASE WHEN ns = 'dei' THEN 'dei' WHEN tag LIKE 'Weighted%' THEN 'wab' ELSE 'pit' END AS src
-      FROM shf QUALIFY row_number() OVER (PARTITION BY cik, tag ORDER BY "end" DESC, filed DESC, pos) = 1),
+      FROM shf WHERE val <> 0 QUALIFY row_number() OVER (PARTITION BY cik, tag ORDER BY "end" DESC, filed DESC, pos) = 1),
       w AS (SELECT cik, val, src, max(CASE WHEN src = 'wab' THEN val END) OVER (PARTITION BY cik) AS wab FROM n
       QUALIFY row_number() OVER (PARTITION BY cik ORDER BY "end" DESC, val DESC, src DESC) = 1)
       SELECT cik, round(CASE WHEN wab <> 0 AND src <> 'wab' AND val < 0.6::DOUBLE * wab THEN wab ELSE val END, 2) AS shares_out FROM w"""),
@@ -61,7 +61,7 @@ SQL = {
       WHEN count(*) FILTER (form LIKE '20-F%' OR form LIKE '40-F%') > 0 THEN '20-F' END AS form FROM shf GROUP BY cik"""),
     "pit_vintages": sql(f"""SELECT cik, ns, concept, year("end") AS fy, filed::VARCHAR AS filed, "end"::VARCHAR AS end_date, round(val, 2) AS value
       FROM fpick WHERE {ANN} QUALIFY row_number() OVER (PARTITION BY cik, ns, concept, year("end"), filed ORDER BY tag_rank, pos) = 1"""),
-    "series_asof": sql("SELECT qdate::VARCHAR AS qdate, ticker, concept, fy, round(value / 999983.0::DOUBLE, 6) AS value_m FROM pasof WHERE concept IN ('revenue', 'equity')"),
+    "series_asof": sql("SELECT qdate::VARCHAR AS qdate, ticker, concept, fy, round(value / 999983.0::DOUBLE, 6) AS value_m FROM pasof"),
     "shares_asof": sql("SELECT qdate::VARCHAR AS qdate, ticker, end_date::VARCHAR AS end_date, round(shares, 1) AS shares FROM shasof"),
     "facts_json_corpus": sql("""SELECT cik, ns, tag, unit, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", filed::VARCHAR AS filed,
       form, fp, 0 AS tag_ord, round(val, 2) AS val FROM facts"""),

@@ -20,7 +20,7 @@ view("cs", f"""SELECT ticker, max(fiscal_year) AS last_fy, max(n) AS n, any_valu
   FROM (SELECT yr.*, vol, CASE WHEN vol > 0.18 THEN 10 ELSE 5 END AS nyrs FROM yr JOIN vol USING (ticker)) GROUP BY 1""")
 NOWC = "revenue ebit net_income cfo capex sbc cash equity assets".split()
 view("nw", "SELECT ticker, max(thru) AS thru, " + ", ".join(f"max(value) FILTER (concept = '{c}') AS n_{c}" for c in NOWC) + " FROM now_t GROUP BY 1")
-view("ci0", f"""SELECT c.ticker, c.name, c.sector, c.sic, c.form, c.cik, c.price, coalesce(c.shares_out, cs.shares) AS shares,
+view("ci0", f"""SELECT c.ticker, c.name, c.sector, c.sic, c.form, c.cik, c.price, coalesce(CASE WHEN x.status IN ('derived', 'patched') THEN x.ext_mcap / x.price ELSE c.shares_out END, cs.shares) AS shares,
   CASE c.sector WHEN 'Financials' THEN 'financial' WHEN 'Real Estate' THEN 'reit' ELSE 'standard' END AS arch, cs.* EXCLUDE (ticker, shares), nw.thru,
   {", ".join(f"coalesce(n_{c}, cs.{c}) AS {c}_now" for c in "revenue ebit net_income cfo capex equity assets".split())},
   coalesce(n_cash, cs.cash, 0) AS cash_now, cs.long_debt + cs.short_debt AS debt, coalesce(cs.dividends, 0) AS div, coalesce(b.beta, 1.0) AS beta,

@@ -207,11 +207,11 @@ SQL = {
       FROM bd JOIN l USING (universe) GROUP BY 1"""),
     "kpi_strip": sql("""SELECT universe, count(*) AS covered, count(*) FILTER (upside > 0.15) AS undervalued, count(*) FILTER (quality >= 70) AS pass_quality, count(*) FILTER (len(flags) > 0) AS flagged,
       round(list_sort(list(upside))[count(*) // 2 + 1], 5) AS median_upside FROM bd GROUP BY 1"""),
-    "screen_filter": sql("""SELECT universe, ticker FROM bd WHERE sector IN ('Industrials', 'Energy', 'Financials') AND mcap >= 10e9 AND mcap < 200e9 AND quality >= 30 AND conf >= 2 AND upside >= -0.4 AND mom_pct >= 10"""),
+    "screen_filter": sql("""SELECT universe, ticker FROM bd WHERE sector IN ('Industrials', 'Energy', 'Financials') AND round(mcap / 1e9, 1) >= 10 AND round(mcap / 1e9, 1) < 200 AND quality >= 30 AND conf >= 2 AND upside >= -0.4 AND mom_pct >= 10"""),
     "screen_presets": sql(" UNION ALL ".join([preset("Deep value", "upside * 100 >= 25 AND conf >= 3"), preset("Quality compounders", "quality >= 78 AND upside >= 0 AND len(flags) = 0"),
       preset("Clean & cheap", "upside * 100 >= 10 AND quality >= 65 AND len(flags) = 0"), preset("Value confirmed by tape", "upside * 100 >= 15 AND conf >= 3 AND len(flags) = 0 AND mom_pct >= 50")])),
-    "sorted_screen": sql("SELECT universe, ticker FROM bd WHERE universe = 'sp1500' ORDER BY coalesce(pe, -1e18), ticker LIMIT 50"),
-    "name_search": sql("SELECT ticker, name FROM bd WHERE universe = 'sp1500' AND (lower(ticker) LIKE '%000012%' OR lower(name) LIKE '%000012%') ORDER BY score DESC, ticker LIMIT 7"),
+    "sorted_screen": sql("SELECT universe, ticker, row_number() OVER (PARTITION BY universe ORDER BY coalesce(pe, -1e18), ticker) AS place FROM bd"),
+    "name_search": sql("SELECT universe, ticker, name FROM bd WHERE lower(ticker) LIKE '%000012%' OR lower(name) LIKE '%000012%' QUALIFY row_number() OVER (PARTITION BY universe ORDER BY score DESC, ticker) <= 7"),
     "ranked_board": sql("SELECT universe, ticker, sector, eff_arch, conf, quality, round(price, 4) AS price, round(mid, 4) AS mid, round(upside, 4) AS upside, round(score, 6) AS score FROM bd"),
     "watchlist": sql("SELECT universe, ticker FROM bd WHERE ticker IN ('7', '12', '99', '101')"),
     "distinct_sectors": sql("SELECT DISTINCT sector FROM bd"),
@@ -220,9 +220,9 @@ SQL = {
     "company_records": sql("""SELECT bd.universe, bd.ticker, 5 + (eff_arch = 'reit')::INT AS n_listed, (dcf_ps IS NOT NULL)::INT + (rim_ps IS NOT NULL)::INT + (ffo IS NOT NULL)::INT + (bd.epv_ps IS NOT NULL)::INT
       + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN eff_arch = 'standard' AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic
       FROM bd LEFT JOIN sc5 USING (universe, ticker)"""),
-    "screen_csv": sql(rf"""SELECT ticker, name, sector, regexp_replace(round(price, 2)::VARCHAR, '\.0$', '') AS price, regexp_replace(round(low, 2)::VARCHAR, '\.0$', '') AS low, regexp_replace(round(mid, 2)::VARCHAR, '\.0$', '') AS mid, regexp_replace(round(high, 2)::VARCHAR, '\.0$', '') AS high, {PCT.format('upside')} AS upside,
+    "screen_csv": sql(rf"""SELECT universe, ticker, name, sector, regexp_replace(round(price, 2)::VARCHAR, '\.0$', '') AS price, regexp_replace(round(low, 2)::VARCHAR, '\.0$', '') AS low, regexp_replace(round(mid, 2)::VARCHAR, '\.0$', '') AS mid, regexp_replace(round(high, 2)::VARCHAR, '\.0$', '') AS high, {PCT.format('upside')} AS upside,
       conf::VARCHAR AS confidence, quality::VARCHAR AS quality, coalesce(mom_pct::VARCHAR, '') AS "momentumPct", {PCT.format('mom')} AS "momentum12_1", {PCT.format('implied_g')} AS "impliedGrowth", {PCT.format('g_trail')} AS "trailingGrowth",
       coalesce(regexp_replace(round(pe, 1)::VARCHAR, '\.0$', ''), '') AS pe, coalesce(regexp_replace(round(evebitda, 1)::VARCHAR, '\.0$', ''), '') AS "evEbitda", {PCT.format('fcfy')} AS "fcfYield", regexp_replace(round(mcap / 1e9, 1)::VARCHAR, '\.0$', '') AS "mcapB", array_to_string(flags, '; ') AS flags, regexp_replace(round(score, 4)::VARCHAR, '\.0$', '') AS score
-      FROM bd WHERE universe = 'sp500'"""),
+      FROM bd"""),
     "coverage_manifest": sql("SELECT universe, CASE universe WHEN 'sp500' THEN 'S&P 500' ELSE 'S&P 1500' END AS name, count(*) AS covered, 0 AS is_default FROM bd GROUP BY 1"),
 }
