@@ -1,14 +1,15 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are what newlines separate; blank ones are never judged.  A line's shingles are its runs of five code points (a
-shorter line is its own shingle).  One hash of each shingle falls into one of 24 bins, and the smallest of each bin form
-the signature; eight bands of three bins are the keys that similar lines meet by.  Two lines of similarity 0.8 share no
-key three times in a thousand, of 0.9 once in twenty thousand.
+Lines are what newlines separate; blank ones are never judged.  Similarity is that of the sets of runs of five code points
+(a shorter line is its own run).  Signatures are taken from runs of nine, which unrelated lines seldom share: 36 minima, by
+36 permutations in lines of up to 90 runs and by 36 bins of one hash in lines of 60 or more (in between by both).  Twelve
+bands of three minima are the keys that similar lines meet by.  Of two lines that share 0.7 of their longer runs, about
+what 0.8 of the short ones comes to, six in a thousand share no key; at 0.8 it is three in ten thousand.
 
 Rows of one key stream by in order; the first, the most frequent in its part of the input, is the centre, and every other
 line of the key is compared to it by the exact Jaccard similarity of all shingles.  Components are formed; the key's lines
-that are not in its centre's component then meet all others of the key, and components are formed again.  So no group
-makes all its pairs, yet none goes uncompared.
+that are not in its centre's component then meet all others of the key, but for those that set sizes and bitmaps rule out,
+and components are formed again.  So no group makes all its pairs, yet none goes uncompared.
 
 Of each component, identical lines included, the first line by (doc_id, line number) stays, null doc_ids first.  Rows of
 equal doc_id and text count as one document and get the same result.  A null text is an empty one.
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from .arrowtext import mix64, slices, span_hashes, window_hashes
 from .shared import components, cut, written
 
-SIMILARITY, SHINGLE = 0.8, 5
-BANDS, ROWS = 8, 3
+SIMILARITY, SHINGLE, KEY_SHINGLE = 0.8, 5, 9
+BANDS, ROWS = 12, 3
+SHORT, LONG = 90, 60
+WORDS = 8
 #: A filter of wanted lines takes 16 bits for each, and is left out where it would take more than this.
 FILTER_BITS = 1 << 28
 _NONE = ~np.uint64(0)
@@ -56,33 +59,50 @@ class _Lines:
         self.codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def shingle_hashes(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(codes: np.ndarray, first: np.ndarray, last: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the spans of code points, span by span, and where each span's begin."""
     words = mix64(codes.astype(np.uint64) + np.uint64(1))
-    full = window_hashes(words, SHINGLE)
+    full = window_hashes(words, length)
     size = last - first
-    count = np.maximum(size - SHINGLE + 1, 1)
+    count = np.maximum(size - length + 1, 1)
     begin = np.concatenate(([0], np.cumsum(count)))
     at = np.repeat(first - begin[:-1], count) + np.arange(begin[-1])
     out = full[np.minimum(at, max(len(full) - 1, 0))] if len(full) else np.zeros(len(at), np.uint64)
-    for k in np.flatnonzero(size < SHINGLE):
+    for k in np.flatnonzero(size < length):
         out[begin[k]] = window_hashes(words[first[k]:last[k]], int(size[k]))[0] ^ np.uint64(size[k])
     return out, begin
 
 
-def keys_of(lines: _Lines) -> np.ndarray:
-    """A row of band keys for each line; a band without any shingle has the key of its emptiness and is marked _NONE."""
-    h, begin = shingle_hashes(lines.codes, lines.first, lines.last)
-    bins = BANDS * ROWS
-    least = np.full(len(lines.id) * bins, _NONE)
-    np.minimum.at(least, np.repeat(np.arange(len(lines.id)) * bins, np.diff(begin)) + (h % np.uint64(bins)).astype(np.int64), h)
+def _bands(least: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of rows of minima; a band of empty bins only is _NONE."""
     least = least.reshape(-1, BANDS, ROWS)
-    key = np.zeros((len(lines.id), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    key = np.zeros(least.shape[:2], np.uint64) + np.arange(kind * BANDS, (kind + 1) * BANDS, dtype=np.uint64)
     for k in range(ROWS):
         key = mix64(key * np.uint64(0x9FB21C651E98DF25) + least[:, :, k])
     return np.where((least == _NONE).all(axis=2), _NONE, key)
 
 
+def keys_of(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows of band keys of lines, first by permutations and then by bins; _NONE where a line has no such key."""
+    out = np.full((len(first), 2 * BANDS), _NONE)
+    size, bins = last - first - KEY_SHINGLE + 1, BANDS * ROWS
+    short = np.flatnonzero(size <= SHORT)
+    if len(short):
+        h, begin = shingle_hashes(codes, first[short], last[short], KEY_SHINGLE)
+        least = np.empty((len(short), bins), np.uint64)
+        rng = np.random.default_rng(9)
+        for k, (a, b) in enumerate(rng.integers(0, 1 << 64, (bins, 2), np.uint64)):
+            least[:, k] = np.minimum.reduceat(h * (a | np.uint64(1)) + b, begin[:-1])
+        out[short, :BANDS] = _bands(least, 0)
+    long_ = np.flatnonzero(size >= LONG)
+    if len(long_):
+        h, begin = shingle_hashes(codes, first[long_], last[long_], KEY_SHINGLE)
+        least = np.full(len(long_) * bins, _NONE)
+        np.minimum.at(least, np.repeat(np.arange(len(long_)) * bins, np.diff(begin)) + (h % np.uint64(bins)).astype(np.int64), h)
+        out[long_, BANDS:] = _bands(least, 1)
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -104,38 +124,43 @@ def _places(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
 
 
 def _keyed(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
-    keys = keys_of(lines)
     _, at, n = np.unique(lines.id, return_index=True, return_counts=True)
-    flat = keys[at].ravel()
-    some = flat != _NONE
-    yield pa.RecordBatch.from_arrays([_signed(flat[some]), pa.array(np.repeat(-n, BANDS)[some]), _signed(np.repeat(lines.id[at], BANDS)[some])],
-                                     names=["key", "rank", "id"])
+    keys = keys_of(lines.codes, lines.first[at], lines.last[at])
+    row, band = np.nonzero(keys != _NONE)
+    h, begin = shingle_hashes(lines.codes, lines.first[at], lines.last[at])
+    line = np.repeat(np.arange(len(at)), np.diff(begin))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    size = np.bincount(line[np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))], minlength=len(at))
+    yield pa.RecordBatch.from_arrays([_signed(keys[row, band]), pa.array(-n[row]), _signed(lines.id[at][row]), pa.array(size[row].astype(np.int32))],
+                                     names=["key", "rank", "id", "size"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, those whose key has another line, with the key's first line; one row waits for the next."""
-    key = centre = None
+    key = centre = width = None
     alone = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, i = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        k, i, size = (batch.column(c).to_numpy() for c in (0, 2, 3))
         new = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
         mid = np.where(head < 0, centre if centre is not None else 0, i[np.maximum(head, 0)])
+        wide = np.where(head < 0, width if width is not None else 0, size[np.maximum(head, 0)])
         other = i != mid
         # A centre is a row of its key as soon as another line shows up.
         group = np.cumsum(new)
         met = np.flatnonzero(other)
         first = met[np.unique(group[met], return_index=True)[1]] if len(met) else met
         first = first[(group[first] > 0) | alone] if len(first) else first
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((k[met], k[first]))), pa.array(np.concatenate((i[met], mid[first]))),
-                                          pa.array(np.concatenate((mid[met], mid[first])))], names=["key", "id", "centre"])
+        cols = [(k, k), (i, mid), (size, wide), (mid, mid)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a[met], b[first]))) for a, b in cols], names=["key", "id", "size", "centre"])
         if new.any():
             alone = not other[group == group[-1]].any()
         else:
             alone = alone and not other.any()
-        key, centre = k[-1], int(mid[-1])
+        key, centre, width = k[-1], int(mid[-1]), int(wide[-1])
 
 
 def _wanted(ids: DataFrame):
@@ -153,8 +178,8 @@ def _wanted(ids: DataFrame):
     return bits, ids.sparkSession.sparkContext.broadcast(table.ravel())
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the wanted lines, each at least once."""
+def _found(docs: DataFrame, ids: DataFrame, kind: str, value) -> DataFrame:
+    """One row for each wanted line: its id and what value(data, lines, rows) gives for it, of type `kind`."""
     sieve = _wanted(ids)
 
     def make(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
@@ -167,13 +192,25 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 passed &= (table.value[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
             id_, at = id_[passed], at[passed]
         if len(id_):
-            text = [data[a:b].tobytes() for a, b in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([_signed(id_), pa.array(text, pa.binary())], names=["id", "line"])
+            yield pa.RecordBatch.from_arrays([_signed(id_), value(data, lines, at)], names=["id", "value"])
 
-    found = docs.select("doc_id", "_k", "text").mapInArrow(_each_slice(make), "id long, line binary")
+    found = docs.select("doc_id", "_k", "text").mapInArrow(_each_slice(make), f"id long, value {kind}")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
+def _bytes(data: np.ndarray, lines: _Lines, at: np.ndarray) -> pa.Array:
+    return pa.array([data[a:b].tobytes() for a, b in zip(lines.start[at].tolist(), lines.end[at].tolist(), strict=True)], pa.binary())
+
+
+def _bitmaps(data: np.ndarray, lines: _Lines, at: np.ndarray) -> pa.Array:
+    """For each line the 64 * WORDS bits that its shingles' hashes choose."""
+    h, begin = shingle_hashes(lines.codes, lines.first[at], lines.last[at])
+    bits = np.zeros((len(at), 64 * WORDS), np.uint8)
+    bits[np.repeat(np.arange(len(at)), np.diff(begin)), (h % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WORDS, pa.int32()), pa.array(words.ravel()))
+
+
 def _verify(similarity: float):
     """Pairs (a, b, x, y) whose texts x and y are similar enough, a batch at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +247,7 @@ def _verify(similarity: float):
 def _similar(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) of lines those whose shingle sets are similar enough."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = written(_texts(docs, ids))
+    texts = written(_found(docs, ids, "binary", _bytes))
     both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(_verify(similarity), "a long, b long")
 
@@ -221,15 +258,27 @@ def _pair(x: str, y: str) -> list:
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of each distinct line of rows (doc_id, _k, text) that is similar to another one."""
-    keys = docs.mapInArrow(_each_slice(_keyed), "key long, rank long, id long").repartition("key").sortWithinPartitions("key", "rank", "id")
-    met = written(keys.mapInArrow(_meetings, "key long, id long, centre long").distinct())
+    keys = docs.mapInArrow(_each_slice(_keyed), "key long, rank long, id long, size int").repartition("key").sortWithinPartitions("key", "rank", "id")
+    met = written(keys.mapInArrow(_meetings, "key long, id long, size int, centre long").distinct())
     pairs = cut(met.where("id <> centre").select(*_pair("id", "centre")).distinct())
     edges = cut(_similar(pairs, docs, similarity))
     roots = components(edges)
     named = met.join(roots.toDF("id", "r"), "id", "left").join(roots.toDF("centre", "c"), "centre", "left")
-    named = named.select("key", "id", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
-    apart = named.where("r <> c").select("key", F.col("id").alias("p"), F.col("r").alias("p_root"))
-    more = apart.join(named.select("key", F.col("id").alias("q"), F.col("r").alias("q_root")), "key").where("p_root <> q_root")
+    named = named.select("key", "id", "size", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
+    named = cut(named.join(named.where("r <> c").select("key").distinct(), "key", "left_semi"))
+    if named.isEmpty():
+        return roots
+    # What cannot be similar is left out exactly: sets whose sizes differ too much, and sets whose bitmaps differ in more
+    # places than their symmetric difference may have elements.
+    maps = _found(docs, cut(named.select("id").distinct()), "array<long>", _bitmaps)
+    named = named.join(maps, "id").select("key", "id", "size", "r", "c", *[F.col("value")[k].alias(f"b{k}") for k in range(WORDS)])
+    named = cut(named)
+    x, y = named.where("r <> c").alias("x"), named.alias("y")
+    total = F.col("x.size") + F.col("y.size")
+    apart = sum((F.bit_count(F.col(f"x.b{k}").bitwiseXOR(F.col(f"y.b{k}"))) for k in range(WORDS)), F.lit(0))
+    near = (F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")) & (apart <= total * (1 - similarity) / (1 + similarity) + 1e-9)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r") != F.col("y.r")) & near)
+    more = more.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))
     more = cut(more.select(*_pair("p", "q")).distinct().join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return roots
