@@ -5,7 +5,8 @@ ASCII white space and A-Z count as a-z.  Permutation i sends a shingle's 64-bit
 a_i odd; the fingerprint holds the top 16 bits of each minimum.  Two fingerprints' likeness is the share of equal
 entries, which estimates the Jaccard similarity of the shingle sets.
 
-near_duplicates() joins bands of the fingerprints in Spark and verifies the Jaccard similarity of the shingle sets.
+near_duplicates() joins bands of the fingerprints in Spark and verifies the Jaccard similarity of the shingle sets.  The
+texts of a band are compared to one of them; those that stay apart from its component are compared to all others.
 neighbours() sets each document beside the next one by descending doc_id, without gathering the table anywhere.
 
 Null texts are empty ones.  Rows of equal doc_id follow each other by text; null doc_ids come last.
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import lower_ascii, slices, span_hashes, window_hashes, word_bounds
+from .arrowtext import lower_ascii, mix64, slices, span_hashes, window_hashes, word_bounds
+from .lines import _meetings as meetings
 from .shared import components, cut
 
-SHINGLE, PERMUTATIONS, BANDS, SIMILARITY, UNIT = 5, 128, 16, 0.8, 256
+SHINGLE, PERMUTATIONS, BANDS, SIMILARITY = 5, 128, 32, 0.8
 _BLOCK = 1 << 19
 
 
@@ -157,3 +159,80 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", permutations: int
     return rows.select("_bucket", "_tail", "doc_id", "text").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
              "near_next double")
+
+
+def _distinct(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and their distinct shingles, both ascending."""
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    own = np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))[:len(h)]
+    return text[own], h[own]
+
+
+def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in slices(batch.column(1), _BLOCK):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first),
+                                              pa.array(span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)),
+                                              batch.column(1).slice(first, end - first)], names=["doc_id", "id", "text"])
+
+
+def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in slices(batch.column(1), _BLOCK):
+            ids, at, n = np.unique(batch.column(0).slice(first, end - first).to_numpy(), return_index=True, return_counts=True)
+            rows = signatures_of(data, offsets)[at].reshape(len(at), BANDS, -1).astype(np.uint64)
+            key = np.zeros(rows.shape[:2], np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for k in range(rows.shape[2]):
+                key = mix64(key * np.uint64(0x9FB21C651E98DF25) + rows[:, :, k])
+            size = np.bincount(_distinct(*shingles_of(data, offsets))[0], minlength=end - first)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(-n, BANDS)), pa.array(np.repeat(ids, BANDS)),
+                                              pa.array(np.repeat(size, BANDS).astype(np.int32))], names=["key", "rank", "id", "size"])
+
+
+def _verify(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                rows = batch.slice(first, 64)
+                sides = [_distinct(*shingles_of(data, offsets)) for c in (2, 3) for _, _, data, offsets in slices(rows.column(c), 1 << 62)]
+                pair, h = np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides])
+                order = np.lexsort((h, pair))
+                pair, h = pair[order], h[order]
+                both = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=rows.num_rows)
+                good = pa.array(np.flatnonzero(both >= similarity * (np.bincount(pair, minlength=rows.num_rows) - both)))
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(good), rows.column(1).take(good)], names=["a", "b"])
+    return run
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id, the smallest doc_id reachable over pairs of texts whose shingle sets are similar enough."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    known = docs.mapInArrow(_identities, "doc_id long, id long, text string")
+    keys = known.select("id", "text").mapInArrow(_band_keys, "key long, rank long, id long, size int")
+    met = cut(keys.repartition("key").sortWithinPartitions("key", "rank", "id").mapInArrow(
+        meetings, "key long, id long, size int, centre long").distinct())
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = known.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+        return cut(both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long"))
+
+    def pair(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    edges = similar(cut(met.where("id <> centre").select(*pair("id", "centre")).distinct()))
+    roots = components(edges)
+    named = met.join(roots.toDF("id", "r"), "id", "left").join(roots.toDF("centre", "c"), "centre", "left")
+    named = named.select("key", "id", "size", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
+    x, y = named.where("r <> c").alias("x"), named.alias("y")
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.r") != F.col("y.r")) & near)
+    more = cut(more.select(F.col("x.id").alias("p"), F.col("y.id").alias("q")).select(*pair("p", "q")).distinct())
+    roots = components(edges.union(similar(more)))
+    classes = known.groupBy("id").agg(F.min("doc_id").alias("least")).join(roots.toDF("id", "root"), "id", "left")
+    classes = classes.withColumn("root", F.coalesce("root", "id"))
+    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
+    return known.select("doc_id", "id").join(classes.join(least, "root").select("id", "class_id"), "id").select("doc_id", "class_id")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from equispan.llm.arrowtext import slices
-from equispan.llm.minhash import edited, fingerprint_documents, shingles_of, signatures_of
+from equispan.llm.minhash import edited, fingerprint_documents, near_duplicates, shingles_of, signatures_of
 from equispan.llm.queries import op8_document_fingerprints
 
 
@@ -59,3 +59,24 @@ def test_shingles_do_not_cross_texts():
     assert [len(p) for p in parts] == [2, 1, 1, 1, 1]
     assert parts[3] == parts[4] == parts[0][:1] and parts[1] != parts[2]
     assert (signatures_of(data, offsets)[3] == signatures_of(data, offsets)[4]).all()
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    base = " ".join(f"w{k}" for k in range(200))
+    rows += [(9000 + k, base.replace(f"w{7 * k} ", f"x{k} ")) for k in range(12)] + [(9100, base), (9100, base), (9101, None), (None, ""), (9102, "a b")]
+    sets = [shingle_set(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for (d, _), x in zip(rows, label, strict=True):
+        if d is not None:
+            least[x] = min(d, least.get(x, d))
+    want = sorted(((d, least.get(x)) for (d, _), x in zip(rows, label, strict=True)), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=str) == want
+    assert near_duplicates(df.limit(0)).count() == 0
