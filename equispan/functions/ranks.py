@@ -69,9 +69,9 @@ def with_cume_dist(df, value, by, out, target=SLICE_TARGET):
     return _attach(df, cells, value, by, [out])
 
 
-def _text_order(col):
-    """A number that never decreases as the text grows: its first six bytes, base 256."""
-    raw = F.rpad(F.substring(col, 1, 6), 6, "\0").cast("binary")
+def _text_order(col, skip):
+    """A number that never decreases as the text grows: six bytes, base 256, after the signs all texts begin with."""
+    raw = F.rpad(F.substr(col, skip + 1, F.lit(6)), 6, "\0").cast("binary")
     return F.conv(F.hex(F.substring(raw, 1, 6)), 16, 10).cast("double")
 
 
@@ -84,10 +84,13 @@ def with_position(df, value, by, tie, out="position", total="n_all", desc=False,
     cells = value_cells(rows, value, by, target)
     cells = cells.withColumn("_tparts", F.ceil(F.col("n_eq") / target).cast("long"))
     rows = rows.join(cells.select(*by, value, "n_lt", F.col("n_all").alias(total), "_tparts"), [*by, value])
-    rows = rows.withColumn("_t", F.when(F.col("_tparts") > 1, _text_order(F.col(tie))))
-    span = (rows.where("_tparts > 1").groupBy(*by, value)
-            .agg(F.min("_t").alias("_tlo"), F.max("_t").alias("_thi")))
-    rows = rows.join(span, [*by, value], "left").withColumn(
+    # A hot value is split by its ties between their own bounds; what all of them begin with tells nothing.
+    span = rows.where("_tparts > 1").groupBy(*by, value).agg(F.min(tie).alias("_a"), F.max(tie).alias("_z"))
+    same = "size(filter(sequence(0, least(length(_a), length(_z))), i -> left(_a, i) = left(_z, i))) - 1"
+    span = span.withColumn("_skip", F.expr(same)).select(
+        *by, value, "_skip", _text_order(F.col("_a"), F.col("_skip")).alias("_tlo"), _text_order(F.col("_z"), F.col("_skip")).alias("_thi"))
+    rows = rows.join(span, [*by, value], "left")
+    rows = rows.withColumn("_t", F.when(F.col("_tparts") > 1, _text_order(F.col(tie), F.col("_skip")))).withColumn(
         "_ts", F.when(F.col("_tparts") > 1,
                       _split(F.col("_t"), F.col("_tlo"), F.col("_thi"), F.col("_tparts"))).otherwise(F.lit(0)))
     head = (rows.where("_tparts > 1").groupBy(*by, value, "_ts").agg(F.count(F.lit(1)).alias("_tm"))
@@ -98,7 +101,7 @@ def with_position(df, value, by, tie, out="position", total="n_all", desc=False,
     rows = rows.withColumn(out, F.col("n_lt") + F.coalesce("_toff", F.lit(0)) + F.row_number().over(local))
     if desc:
         rows = rows.withColumn(value, -F.col(value))
-    return rows.drop("n_lt", "_tparts", "_t", "_tlo", "_thi", "_ts", "_toff")
+    return rows.drop("n_lt", "_tparts", "_t", "_tlo", "_thi", "_ts", "_toff", "_skip")
 
 
 def order_statistics(df, value, by, picks: dict, target=SLICE_TARGET):

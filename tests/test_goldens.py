@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from equispan.functions import engines as en
 from equispan.functions.exprs import with_exprs
-from equispan.operators import (crosssection as x, entities, fundamentals as f, ledger as lg, metrics as m, membership as mb,
-                                snapshots as sn, valuation as v)
+from equispan.operators import (backtest as bt, calibration as cal, crosssection as x, entities, fundamentals as f, ledger as lg, metrics as m, membership as mb,
+                                prices as px, screen as sc, snapshots as sn, valuation as v)
 from equispan.sources import facts as src, sinks
 
 
@@ -173,3 +173,66 @@ def test_json_sources(spark, tmp_path):
                                            '"formerNames": [{"name": "Old Acme"}], "filings": {"recent": [1]}}')
     r = one(src.read_filers(spark, str(tmp_path / "h")))
     assert (r.cik, r.tickers, r.norm_names) == ("0000000008", ["ACM"], ["ACME", "OLD ACME"])
+
+
+def test_zero_share_count_is_not_the_newest(spark):
+    rows = [("1", "us-gaap", "CommonStockSharesOutstanding", dt.date(2023, 12, 31), 100.0, dt.date(2024, 2, 1), 0),
+            ("1", "us-gaap", "CommonStockSharesOutstanding", dt.date(2024, 12, 31), 0.0, dt.date(2025, 2, 1), 1)]
+    facts = spark.createDataFrame(rows, "cik string, ns string, tag string, end date, val double, filed date, pos long")
+    assert one(f.current_shares(facts)).shares_out == 100.0
+
+
+def test_present_names_of_members(spark):
+    current = spark.createDataFrame([("GOOG",), ("BRK.B",), ("FB",), ("AAPL",)], "ticker string")
+    changes = spark.createDataFrame([(dt.date(2024, 3, 1), 1, "BRK.B", None), (dt.date(2030, 1, 1), 2, "AAPL", None)],
+                                    "date date, row_no int, added string, removed string")
+    got = {r.ticker for r in mb.membership_asof(current, changes.where("row_no = 1"), ["2024-01-31"]).collect()}
+    assert got == {"META", "AAPL"}
+    late = spark.createDataFrame([(dt.date(2030, 1, 1), 1, "NEWCO", None)], changes.schema)
+    assert mb.walkback_anomalies(current, late).count() == 1
+    assert mb.walkback_anomalies(current, late, today="2026-01-01").count() == 0
+
+
+def test_pool_that_is_the_index_has_no_gap(spark):
+    quarters = [dt.date(2000 + k // 4, 3 * (k % 4) + 3, 31 if k % 4 in (0, 3) else 30) for k in range(13)]
+    growth = [0.01 * (k % 9 + 1) for k in range(12)]
+    level, levels = 1.0, [1.0]
+    for g in growth:
+        level *= 1 + g
+        levels.append(level)
+    curve = spark.createDataFrame(list(zip(quarters[:-1], levels[1:], strict=True)), "qdate date, bv double")
+    proxy = spark.createDataFrame([(q.replace(day=1), 50 * x) for q, x in zip(quarters, levels, strict=True)], "month date, adjclose double")
+    out = one(bt.survivorship_gap(curve, proxy, [("all", "2000-01-01", "2010-01-01")]))
+    assert out.gap_pp == pytest.approx(0, abs=1e-9) and out.covered > 0.1
+
+
+def test_beta_of_a_month_without_market(spark):
+    months = [dt.date(2000 + k // 12, k % 12 + 1, 1) for k in range(40)]
+    path = [100.0]
+    for k in range(39):
+        path.append(path[-1] * (1.05 if k % 3 else 0.93))
+    prices = spark.createDataFrame([("A", d, p * p) for d, p in zip(months, path, strict=True)], "ticker string, month date, adjclose double")
+    market = spark.createDataFrame([(d, p) for d, p in zip(months[:-1], path, strict=False)], "month date, adjclose double")
+    beta = {r.month: r.beta for r in px.rolling_betas(prices, market).collect()}
+    assert len(beta) == 40 and beta[months[-1]] == beta[months[-2]] != 1.0
+
+
+def test_upsert_keeps_one_new_row_for_a_key(spark):
+    old = spark.createDataFrame([("A", 1, 1.0, 1), ("B", 1, 2.0, 1)], "k string, d int, v double, seq int")
+    new = spark.createDataFrame([("A", 1, 9.0, 2), ("A", 1, 8.0, 3), ("C", 1, 5.0, 1)], old.schema)
+    got = sorted(tuple(r) for r in sinks.upsert(old, new, ["k", "d"], order="seq").collect())
+    assert got == [("A", 1, 8.0, 3), ("B", 1, 2.0, 1), ("C", 1, 5.0, 1)]
+
+
+def test_no_verdict_on_few_windows(spark):
+    ic = spark.createDataFrame([("U", "m", "upside", 0.1)], "universe string, model string, measure string, mean_ic double")
+    dec = spark.createDataFrame([("U", "m", 1, 0.01, 1.0), ("U", "m", 10, 0.03, 1.0)], "universe string, model string, decile int, mean_fwd double, mean_beta double")
+    few, many = (spark.createDataFrame([("U", "m", n)], "universe string, model string, independent int") for n in (11, 12))
+    assert one(cal.verdict(ic, dec, few)).verdict == "not readable: 11 of 12 independent windows"
+    assert one(cal.verdict(ic, dec, many)).verdict == ("upside predicts (IC 0.1000); sector-neutral not measurable; beta-neutral not measurable; "
+                                                       "top-bottom spread 0.0200")
+
+
+def test_bands_compare_what_the_board_shows(spark):
+    df = spark.sql("SELECT 9.96e9D AS mcap, 50 AS quality, 3 AS conf, 0.1D AS upside, array() AS flags, 'E' AS sector")
+    assert sc.screen(df, cap="large").count() == 1 and sc.screen(df, cap="mid").count() == 0

@@ -58,3 +58,14 @@ def test_tolerant_ties(spark, target):
 def test_average_ranks(spark):
     df = spark.createDataFrame([("g", float(x)) for x in (5, 5, 1, 9)], "g string, v double")
     assert sorted(r.r for r in ranks.with_tolerant_rank(df, "v", ["g"], "r").collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+@pytest.mark.parametrize("prefix", ["2024-0{}-{}|n", "00000{}{}"])
+def test_ties_that_begin_alike_are_split(spark, prefix):
+    keys = [prefix.format(k % 9 + 1, f"{k:03d}") for k in range(300)]
+    df = spark.createDataFrame([("a", t, 5.0) for t in keys] + [("a", "z", 4.0)], "g string, t string, v double")
+    for n in (1, 8):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        out = {r.t: r.position for r in ranks.with_position(df, "v", ["g"], "t", target=10).collect()}
+        assert out == {t: k + 2 for k, t in enumerate(sorted(keys))} | {"z": 1}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
