@@ -88,10 +88,10 @@ def risk_free_locf(spark, d):
 def price_ranges(spark, d):
     daily, mon = b.daily_prices(spark, d), monthly(spark, d)
     out = None
-    for rng, df, date in (("1M", daily, "date"), ("YTD", daily, "date"), ("6M", mon, "month"), ("1Y", mon, "month"), ("5Y", mon, "month"), ("MAX", mon, "month")):
+    for rng, (df, date) in ((r, x) for r in ("1M", "6M", "YTD", "1Y", "5Y", "MAX") for x in ((daily, "date"), (mon, "month"))):
         part = px.price_range(df, rng, date).withColumn("rng", F.lit(f"{rng} {date}"))
         out = part if out is None else out.unionByName(part)
-    return tidy(out, ["rng", "ticker", "points"], first=8, last=8, change=5)
+    return tidy(out, ["rng", "ticker", "points"], first=6, last=6, change=5)
 
 
 @query

@@ -222,7 +222,9 @@ def sector_medians(spark, d):
 
 @query
 def peer_percentile(spark, d):
-    return tidy(x.peer_percentile(board(spark, d), ["roic", "om", "nde"], lower_better=("nde",)), U, roic_pct=6, om_pct=6, nde_pct=6)
+    cols = ["g_trail", "roic", "om", "nde", "roe_avg", "roe_std", "eq_assets"]
+    out = x.peer_percentile(board(spark, d), cols, lower_better=("nde", "roe_std"))
+    return tidy(out, U, **{f"{c}_pct": 6 for c in cols})
 
 
 @query

@@ -137,12 +137,12 @@ view("mv2", """SELECT variant, label, month AS t, n, turnover, CASE WHEN rison T
   ('late', DATE '1999-01-01', DATE '2001-12-01')) w(label, a, b) ON month BETWEEN a AND b""")
 view("mv3", "SELECT *, product(1 + strat) OVER w AS sv, product(1 + bench) OVER w AS bv FROM mv2 WINDOW w AS (PARTITION BY variant, label ORDER BY t)")
 view("mv4", "SELECT *, sv / greatest(1, max(sv) OVER w) - 1 AS sd, bv / greatest(1, max(bv) OVER w) - 1 AS bd FROM mv3 WINDOW w AS (PARTITION BY variant, label ORDER BY t)")
-RANGES = {"1M date": ("pxd", "date", "top - 30"), "YTD date": ("pxd", "date", "date_trunc('year', top)"), "6M month": ("pxm", "month", "date_trunc('month', top - 182)"),
-          "1Y month": ("pxm", "month", "date_trunc('month', top - 365)"), "MAX month": ("pxm", "month", "DATE '1900-01-01'")}
+CUTS = {"1M": "top - 30", "6M": "top - 182", "YTD": "date_trunc('year', top)::DATE", "1Y": "top - 365", "5Y": "top - 1826", "MAX": "DATE '1900-01-01'"}
+RANGES = {f"{k} date": ("pxd", "date", v) for k, v in CUTS.items()} | {f"{k} month": ("pxm", "month", f"date_trunc('month', {v})") for k, v in CUTS.items() if k != "5Y"}
 
 
 def rng(label, t, c, cut):
-    return (f"SELECT '{label}' AS rng, ticker, count(*) AS points, round(arg_min(adjclose, d), 8) AS first, round(arg_max(adjclose, d), 8) AS last, round(arg_max(adjclose, d) / arg_min(adjclose, d) - 1, 5) AS change "
+    return (f"SELECT '{label}' AS rng, ticker, count(*) AS points, round(arg_min(adjclose, d), 6) AS first, round(arg_max(adjclose, d), 6) AS last, round(arg_max(adjclose, d) / arg_min(adjclose, d) - 1, 5) AS change "
             f"FROM (SELECT ticker, {c} AS d, adjclose, max({c}) OVER (PARTITION BY ticker) AS top FROM {t}) WHERE d >= {cut} GROUP BY 2")
 
 
@@ -158,7 +158,7 @@ SQL = {
       SELECT universe, ticker, round_even(round(100 * cume_dist() OVER (PARTITION BY universe ORDER BY mom), 9), 0)::INT AS mom_pct, round(mom, 6) AS mom FROM m WHERE mom IS NOT NULL"""),
     "forward_returns": sql("SELECT qdate::VARCHAR AS qdate, ticker, round(fwd, 6) AS fwd FROM fwd"),
     "risk_free_locf": sql("SELECT month::VARCHAR AS month, round(rate, 6) AS rate FROM rfl"),
-    "price_ranges": sql(" UNION ALL ".join(rng(k, *v) for k, v in RANGES.items()) + """ UNION ALL SELECT '5Y month', ticker, count(*), round(arg_min(adjclose, month), 8), round(arg_max(adjclose, month), 8), round(arg_max(adjclose, month) / arg_min(adjclose, month) - 1, 5)
+    "price_ranges": sql(" UNION ALL ".join(rng(k, *v) for k, v in RANGES.items()) + """ UNION ALL SELECT '5Y month', ticker, count(*), round(arg_min(adjclose, month), 6), round(arg_max(adjclose, month), 6), round(arg_max(adjclose, month) / arg_min(adjclose, month) - 1, 5)
       FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY month DESC) AS r FROM pxm) WHERE r <= 60 GROUP BY 2"""),
     "quarter_calendar": sql("""SELECT q::VARCHAR AS qdate FROM (SELECT last_day(m)::DATE AS q FROM (SELECT unnest(generate_series((SELECT date_trunc('year', min(o_orderdate))::DATE + INTERVAL 2 MONTH FROM orders), (SELECT max(o_orderdate)::DATE + INTERVAL 3 MONTH FROM orders), INTERVAL 3 MONTH)) AS m))
       WHERE q BETWEEN (SELECT min(o_orderdate)::DATE FROM orders) AND (SELECT max(o_orderdate)::DATE FROM orders)"""),

@@ -151,6 +151,7 @@ def preset(name, cond):
 
 
 PCT = "CASE WHEN {0} IS NULL THEN '' ELSE printf('%.1f%%', {0} * 100) END"
+PEER_DIMS = {"g_trail": "", "roic": "", "om": "", "nde": "-", "roe_avg": "", "roe_std": "-", "eq_assets": ""}
 SQL = {
     "present_value_fcf": sql(f"SELECT ticker, round({pv_fcf('base_fcf', 'wacc', 'g1')} / 1e6, 3) AS pv FROM ve WHERE base_fcf > 0 AND wacc - {TG} >= 0.015"),
     "present_value_nopat": sql(f"SELECT ticker, round({pv_nopat('nopat_norm', 'roic_dcf', 'wacc', 'g1')} / 1e6, 3) AS pv FROM ve WHERE nopat_norm > 0 AND roic_dcf > 0 AND wacc - {TG} >= 0.015"),
@@ -197,8 +198,8 @@ SQL = {
     "rank_blend": sql("""SELECT universe, ticker, round(CASE WHEN gap IS NULL THEN rs ELSE 0.6 * rs + 0.4 * cume_dist() OVER (PARTITION BY universe, gap IS NULL ORDER BY gap) END, 6) AS blend
       FROM (SELECT *, cume_dist() OVER (PARTITION BY universe ORDER BY score) AS rs, g_trail - implied_g AS gap0 FROM bd) x JOIN (SELECT universe, ticker, g_trail - implied_g AS gap FROM bd) USING (universe, ticker)"""),
     "sector_medians": sql("SELECT universe, sector, count(*) AS n_all, round(median(upside), 5) AS median FROM bd GROUP BY 1, 2"),
-    "peer_percentile": sql(f"""SELECT bd.universe, bd.ticker, round(a.pct, 6) AS roic_pct, round(b.pct, 6) AS om_pct, round(c.pct, 6) AS nde_pct FROM bd LEFT JOIN {peer_pct('roic')} a USING (universe, ticker)
-      LEFT JOIN {peer_pct('om')} b USING (universe, ticker) LEFT JOIN {peer_pct('nde', '-')} c USING (universe, ticker)"""),
+    "peer_percentile": sql("SELECT bd.universe, bd.ticker, " + ", ".join(f"round(p{i}.pct, 6) AS {c}_pct" for i, c in enumerate(PEER_DIMS)) + " FROM bd " + " ".join(
+        f"LEFT JOIN {peer_pct(c, s)} p{i} USING (universe, ticker)" for i, (c, s) in enumerate(PEER_DIMS.items()))),
     "peer_strip": sql("""SELECT a.universe, a.ticker, b.ticker AS peer, row_number() OVER (PARTITION BY a.universe, a.ticker ORDER BY b.mcap DESC, b.ticker)::INT AS rank
       FROM bd a JOIN bd b ON a.universe = b.universe AND a.sector = b.sector AND a.ticker <> b.ticker QUALIFY rank <= 5"""),
     "axis_bounds": sql("""WITH q AS (SELECT universe, vs[least(n - 1, floor(2 / 100 * n)::INT) + 1] AS p2, vs[least(n - 1, floor(96 / 100 * n)::INT) + 1] AS p96 FROM

@@ -11,7 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 check = importlib.import_module("check")
 D = "/root/testdata/sf0.001"
 QUICK = ["annual_pick", "ttm_stitch", "current_shares", "ticker_to_cik", "mcap_crosscheck", "revenue_cagr", "membership_walkback",
-         "session_asof", "run_collapse", "ranked_board"]
+         "session_asof", "run_collapse", "ranked_board", "series_asof", "fx_to_usd", "delisted_name_resolve", "weekly_gate", "price_matrix",
+         "quarter_calendar", "calibration_verdict", "decile_spread", "sorted_screen", "screen_csv", "name_search", "screen_filter",
+         "peer_percentile", "price_ranges", "price_upsert", "company_inputs"]
 
 
 def test_names_agree():
