@@ -160,12 +160,29 @@ def pit_vintages(picked: DataFrame, guard_span=False) -> DataFrame:
                     F.col("p.val").alias("value")))
 
 
+def _calendar(dates: DataFrame) -> DataFrame:
+    """The distinct dates with their number from 1, the one before, and how many there are; a few hundred rows."""
+    order = Window.orderBy("qdate")
+    return dates.select("qdate").distinct().select(
+        "qdate", F.row_number().over(order).alias("pos"), F.lag("qdate").over(order).alias("prev"),
+        F.count(F.lit(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n_dates"))
+
+
 def _visible_from(pit: DataFrame, dates: DataFrame, extra) -> DataFrame:
-    """Rows stamped with the first date they are visible on; the calendar is a few hundred dates."""
-    cal = dates.select(F.col("qdate")).distinct()
-    cal = cal.select("qdate", F.lag("qdate").over(Window.orderBy("qdate")).alias("prev"))
-    return pit.join(F.broadcast(cal), (F.col("filed") <= F.col("qdate"))
-                    & (F.col("prev").isNull() | (F.col("filed") > F.col("prev")))).select("qdate", *extra)
+    """Rows stamped with the first date they are visible on.  Each day up to the last date has exactly one, so this is
+    an equality join with a table of days, which is as long as the calendar's span; filings start in 1900."""
+    days = _calendar(dates).select("qdate", "pos", "n_dates", F.explode(F.expr(
+        "sequence(coalesce(date_add(prev, 1), least(qdate, DATE'1900-01-01')), qdate)")).alias("filed"))
+    return pit.join(F.broadcast(days), "filed").select("qdate", "pos", "n_dates", *extra)
+
+
+def _spread(cover: DataFrame, keys, dates: DataFrame) -> DataFrame:
+    """Rows (keys, pos, n_dates, ...) repeated for each date up to the next row of the same keys, as d."""
+    until = F.coalesce(F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos")), F.col("n_dates") + 1)
+    rows = cover.withColumn("_until", until)
+    rows = rows.withColumn("pos", F.explode(F.expr("sequence(cast(pos AS int), cast(_until - 1 AS int))"))).drop("_until")
+    cal = _calendar(dates).select("pos", F.col("qdate").alias("d"))
+    return rows.join(F.broadcast(cal), "pos")
 
 
 def series_asof(pit: DataFrame, dates: DataFrame) -> DataFrame:
@@ -175,29 +192,21 @@ def series_asof(pit: DataFrame, dates: DataFrame) -> DataFrame:
     the calendar, and each then covers the dates up to its successor.
     """
     keys = ["ticker", "concept", "fy"]
-    first = (_visible_from(pit, dates, [*keys, "filed", "value"]).groupBy("qdate", *keys)
+    first = (_visible_from(pit, dates, [*keys, "filed", "value"]).groupBy("pos", "n_dates", *keys)
              .agg(F.max_by("value", "filed").alias("value")))
-    cover = first.withColumn("until", F.lead("qdate").over(Window.partitionBy(*keys).orderBy("qdate")))
-    cal = dates.select(F.col("qdate").alias("d")).distinct()
-    return (cover.join(F.broadcast(cal), (F.col("d") >= F.col("qdate"))
-                       & (F.col("until").isNull() | (F.col("d") < F.col("until"))))
-            .select(F.col("d").alias("qdate"), *keys, "value"))
+    return _spread(first, keys, dates).select(F.col("d").alias("qdate"), *keys, "value")
 
 
 def shares_asof(pit: DataFrame, splits: DataFrame, dates: DataFrame) -> DataFrame:
     """share count of the latest period end filed by the date, on today's split basis."""
     rows = pit.where("concept = 'shares_wab'")
-    first = (_visible_from(rows, dates, ["ticker", "end_date", "filed", "value"]).groupBy("qdate", "ticker")
+    first = (_visible_from(rows, dates, ["ticker", "end_date", "filed", "value"]).groupBy("pos", "n_dates", "ticker")
              .agg(F.expr("max_by(struct(end_date, value), struct(end_date, -datediff(filed, DATE'1900-01-01')))")
                   .alias("p")))
-    run = Window.partitionBy("ticker").orderBy("qdate").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.struct("p.end_date", F.expr("-datediff(qdate, DATE'1900-01-01')").alias("o"), "p.value"))
-    cover = (first.withColumn("p", best.over(run))
-             .withColumn("until", F.lead("qdate").over(Window.partitionBy("ticker").orderBy("qdate"))))
-    cal = dates.select(F.col("qdate").alias("d")).distinct()
-    held = (cover.join(F.broadcast(cal), (F.col("d") >= F.col("qdate"))
-                       & (F.col("until").isNull() | (F.col("d") < F.col("until"))))
-            .select(F.col("d").alias("qdate"), "ticker", "p.end_date", "p.value"))
+    run = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    best = F.max(F.struct("p.end_date", (-F.col("pos")).alias("o"), "p.value"))
+    held = _spread(first.withColumn("p", best.over(run)), ["ticker"], dates).select(
+        F.col("d").alias("qdate"), "ticker", "p.end_date", "p.value")
     ends = held.select("ticker", "end_date").distinct()
     mult = (ends.join(splits, "ticker").where("sdate > end_date").groupBy("ticker", "end_date")
             .agg(F.product("factor").alias("mult")))
