@@ -29,7 +29,7 @@ from .shared import components, cut, written
 SIMILARITY, SHINGLE, KEY_SHINGLE = 0.8, 5, 9
 BANDS, ROWS = 12, 3
 SHORT, LONG = 90, 60
-WORDS = 8
+WORDS = 32
 #: A filter of wanted lines takes 16 bits for each, and is left out where it would take more than this.
 FILTER_BITS = 1 << 28
 _NONE = ~np.uint64(0)
@@ -127,12 +127,7 @@ def _keyed(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
     _, at, n = np.unique(lines.id, return_index=True, return_counts=True)
     keys = keys_of(lines.codes, lines.first[at], lines.last[at])
     row, band = np.nonzero(keys != _NONE)
-    h, begin = shingle_hashes(lines.codes, lines.first[at], lines.last[at])
-    line = np.repeat(np.arange(len(at)), np.diff(begin))
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    size = np.bincount(line[np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))], minlength=len(at))
-    yield pa.RecordBatch.from_arrays([_signed(keys[row, band]), pa.array(-n[row]), _signed(lines.id[at][row]), pa.array(size[row].astype(np.int32))],
+    yield pa.RecordBatch.from_arrays([_signed(keys[row, band]), pa.array(-n[row]), _signed(lines.id[at][row]), pa.array(np.zeros(len(row), np.int32))],
                                      names=["key", "rank", "id", "size"])
 
 
@@ -203,12 +198,17 @@ def _bytes(data: np.ndarray, lines: _Lines, at: np.ndarray) -> pa.Array:
 
 
 def _bitmaps(data: np.ndarray, lines: _Lines, at: np.ndarray) -> pa.Array:
-    """For each line the 64 * WORDS bits that its shingles' hashes choose."""
+    """For each line the 64 * WORDS bits that its shingles' hashes choose, and how many different shingles it has."""
     h, begin = shingle_hashes(lines.codes, lines.first[at], lines.last[at])
+    line = np.repeat(np.arange(len(at)), np.diff(begin))
     bits = np.zeros((len(at), 64 * WORDS), np.uint8)
-    bits[np.repeat(np.arange(len(at)), np.diff(begin)), (h % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    bits[line, (h % np.uint64(64 * WORDS)).astype(np.int64)] = 1
     words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * WORDS, pa.int32()), pa.array(words.ravel()))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    size = np.bincount(line[np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))], minlength=len(at))
+    values = np.concatenate((words, size[:, None]), axis=1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (WORDS + 1), pa.int32()), pa.array(values.ravel()))
 
 
 def _verify(similarity: float):
@@ -264,14 +264,14 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     edges = cut(_similar(pairs, docs, similarity))
     roots = components(edges)
     named = met.join(roots.toDF("id", "r"), "id", "left").join(roots.toDF("centre", "c"), "centre", "left")
-    named = named.select("key", "id", "size", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
+    named = named.select("key", "id", F.coalesce("r", "id").alias("r"), F.coalesce("c", "centre").alias("c"))
     named = cut(named.join(named.where("r <> c").select("key").distinct(), "key", "left_semi"))
     if named.isEmpty():
         return roots
     # What cannot be similar is left out exactly: sets whose sizes differ too much, and sets whose bitmaps differ in more
     # places than their symmetric difference may have elements.
     maps = _found(docs, cut(named.select("id").distinct()), "array<long>", _bitmaps)
-    named = named.join(maps, "id").select("key", "id", "size", "r", "c", *[F.col("value")[k].alias(f"b{k}") for k in range(WORDS)])
+    named = named.join(maps, "id").select("key", "id", F.col("value")[WORDS].alias("size"), "r", "c", *[F.col("value")[k].alias(f"b{k}") for k in range(WORDS)])
     named = cut(named)
     x, y = named.where("r <> c").alias("x"), named.alias("y")
     total = F.col("x.size") + F.col("y.size")
