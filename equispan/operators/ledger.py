@@ -11,7 +11,7 @@ RUN = ["universe", "model"]
 def session_calendar(sessions: DataFrame) -> DataFrame:
     """Sessions with their place and successor; one row per trading day."""
     w = Window.orderBy("session")
-    return sessions.select("session", F.row_number().over(w).alias("pos"), F.lead("session").over(w).alias("until"))
+    return sessions.select("session").distinct().select("session", F.row_number().over(w).alias("pos"), F.lead("session").over(w).alias("until"))
 
 
 def session_asof(df: DataFrame, sessions: DataFrame, day="day") -> DataFrame:
@@ -36,7 +36,7 @@ def ledger_rows(snapshots: DataFrame, prices: DataFrame, sessions: DataFrame) ->
     top = prices.agg(F.max("date").alias("mark_day"))
     px = prices.where("adjclose <> 0").select("ticker", "date", "adjclose")
     mark = px.join(F.broadcast(top), F.col("date") == F.col("mark_day")).select("ticker", F.col("adjclose").alias("exit_px"))
-    rows = snapshots.join(F.broadcast(runs), [*RUN, "run_date"]).select(*RUN, "session", "run_date", "ticker", "score")
+    rows = snapshots.join(runs, [*RUN, "run_date"]).select(*RUN, "session", "run_date", "ticker", "score")
     rows = ranks.with_position(stage(rows), "score", [*RUN, "session"], "ticker", out="place", total="n", desc=True)
     entry = px.select("ticker", F.col("date").alias("session"), F.col("adjclose").alias("entry_px"))
     rows = rows.join(entry, ["ticker", "session"], "left").join(mark, "ticker", "left")
@@ -58,17 +58,15 @@ def ledger(snapshots: DataFrame, prices: DataFrame, sessions: DataFrame) -> Data
 
 def ledger_summary(baskets: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Per model, how the aged baskets did and how much they differ from each other.
-    Overlaps come from each name's short list of sessions; equal baskets share everything."""
+    Overlaps count the names that two baskets share; equal baskets share everything."""
     aged = baskets.where("age_days > 0 AND excess IS NOT NULL")
     s = aged.groupBy(*RUN).agg(F.count(F.lit(1)).alias("aged"), F.expr("round(count_if(excess > 0) / count(1), 3)").alias("hit_rate"),
                                F.avg("excess").alias("avg_excess"))
     tot = baskets.groupBy(*RUN).agg(F.count(F.lit(1)).alias("baskets"), F.max("age_days").alias("oldest_days"))
     coll = runs.groupBy(*RUN).agg(F.sum("collapsed").alias("collapsed"))
-    held = rows.where("held").join(F.broadcast(aged.select(*RUN, "session", "k")), [*RUN, "session"])
-    per_name = held.groupBy(*RUN, "ticker").agg(F.array_sort(F.collect_list("session")).alias("ss"))
-    both = (per_name.select(*RUN, F.explode(F.expr(
-        "flatten(transform(ss, (a, i) -> transform(slice(ss, i + 2, size(ss)), b -> named_struct('a', a, 'b', b))))")).alias("p"))
-        .groupBy(*RUN, "p").agg(F.count(F.lit(1)).alias("common")).select(*RUN, "p.a", "p.b", "common"))
+    held = rows.where("held").join(aged.select(*RUN, "session"), [*RUN, "session"]).select(*RUN, "ticker", "session")
+    both = (held.withColumnRenamed("session", "a").join(held.withColumnRenamed("session", "b"), [*RUN, "ticker"]).where("a < b")
+            .groupBy(*RUN, "a", "b").agg(F.count(F.lit(1)).alias("common")))
     k = aged.select(*RUN, F.col("session").alias("a"), F.col("k").alias("ka"))
     kb = aged.select(*RUN, F.col("session").alias("b"), F.col("k").alias("kb"))
     pairs = k.join(kb, RUN).where("a < b").join(both, [*RUN, "a", "b"], "left").fillna(0, ["common"])
