@@ -230,6 +230,11 @@ def coverage(members: DataFrame, signals: DataFrame, early="2016-01-01") -> Data
     return with_exprs(out, share="signals / members", early=f"qdate < DATE'{early}'")
 
 
+def coverage_means(covered: DataFrame) -> DataFrame:
+    """The mean share over all quarters and over the early ones; covered: coverage()."""
+    return covered.agg(F.count(F.lit(1)).alias("quarters"), F.avg("share").alias("mean_share"), F.expr("avg(if(early, share, NULL))").alias("early_share"))
+
+
 def survivorship_gap(curve: DataFrame, proxy: DataFrame, windows, least=8) -> DataFrame:
     """Growth of the covered pool against an index proxy over the same quarters.
     curve: (qdate, bench level after that quarter); proxy: (month, adjclose).  A level stands at the quarter's end, which

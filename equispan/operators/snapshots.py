@@ -26,6 +26,15 @@ def append_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(ok)
 
 
+def write_snapshots(path: str, new: DataFrame) -> None:
+    """K3 into a table partitioned by universe, model and _day: the admitted rows replace their own days and nothing else
+    is written."""
+    spark = new.sparkSession
+    last = spark.read.parquet(path).select(*RUN, "run_date")
+    ok = stage(weekly_gate(last, new).withColumn("_day", F.to_date("run_date")))
+    ok.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN, "_day").parquet(path)
+
+
 def baseline_run(cur: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Per universe and model, the newest run of another day that covers at least 80% of the current one."""
     size = cur.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.max("run_date").alias("run_now"))

@@ -199,6 +199,12 @@ def signal_coverage(spark, d):
     return tidy(out.withColumn("early", F.col("early").cast("int")), ["qdate", "members", "signals", "early"], share=4)
 
 
+@query
+def coverage_means(spark, d):
+    out = bt.coverage(members(spark, d), signals(spark, d), early="1999-01-01")
+    return tidy(bt.coverage_means(out), ["quarters"], mean_share=6, early_share=6)
+
+
 @query
 def survivorship_gap(spark, d):
     curve = bt.equity_curve(returns(spark, d).where("variant = 'v2rd'"))

@@ -299,8 +299,8 @@ def company_records(spark, d):
     return tidy(rec.select("universe", "ticker", F.expr("size(methods)").alias("n_listed"),
                            F.expr("size(filter(methods, m -> m.applicable))").alias("n_applicable"),
                            F.expr("round(scenario.pw, 2)").alias("pw"), F.expr("capital.roic").alias("roic"),
-                           F.array_join("flags", "|").alias("flags")),
-                ["universe", "ticker", "n_listed", "n_applicable", "flags"], pw=2, roic=4)
+                           F.array_join("flags", "|").alias("flags"), F.col("roic").alias("roic_now"), "om", "roe", "roe_std", "eq_assets", "fin_currency"),
+                ["universe", "ticker", "n_listed", "n_applicable", "flags", "fin_currency"], pw=2, roic=4, roic_now=6, om=6, roe=6, roe_std=6, eq_assets=6)
 
 
 @query

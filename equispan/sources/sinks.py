@@ -1,6 +1,7 @@
 """Outputs: company records, screen export, upserts, price matrix, manifest (K1, K2, K4, K5, K7)."""
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.staging import stage
 from ..functions.exprs import with_exprs
 
 METHOD_LIST = [("dcf", "DCF", "dcf_ps"), ("rim", "RIM", "rim_ps"), ("ffo", "P/FFO", "ffo"), ("epv", "EPV (floor)", "epv_ps"),
@@ -18,7 +19,8 @@ def company_records(board: DataFrame) -> DataFrame:
         archetype="eff_arch", mcapB="round(mcap / 1e9, 1)").select(
         "universe", "ticker", "name", "cik", "sector", "archetype", "price", "mcapB", "quality", "low", "mid", "high", "upside",
         "conf", "within", "n_methods", "implied_g", "implied_op", "g_trail", "mom", "mom_pct", "pe", "evebitda", "fcfy", "div_yield",
-        "altman_z", "piotroski", "piotroski_n", "nde", "flags", "score", "scenario", "capital", "methods")
+        "altman_z", "piotroski", "piotroski_n", "nde", "om", "roic", F.col("roe_avg").alias("roe"), "roe_std",
+        "eq_assets", "fin_currency", "flags", "score", "scenario", "capital", "methods")
 
 
 def write_records(ranked: DataFrame, path: str) -> None:
@@ -34,6 +36,15 @@ def upsert(old: DataFrame, new: DataFrame, keys, order=None) -> DataFrame:
     return new.unionByName(old.join(new.select(*keys).distinct(), list(keys), "left_anti"))
 
 
+def write_upsert(path: str, new: DataFrame, keys, partition: str, order=None) -> None:
+    """K2 into a table partitioned by one of the keys: only partitions that the new rows touch are read and written."""
+    old = new.sparkSession.read.parquet(path)
+    touched = old.join(new.select(partition).distinct(), partition, "left_semi")
+    # The merged rows are kept elsewhere first, as they replace what they are read from.
+    merged = stage(upsert(touched.select(*new.columns), new, keys, order))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 _PCT = "if({0} IS NULL, '', format_string('%.1f%%', {0} * 100))"
 _TXT = "coalesce(cast({0} AS string), '')"
 

@@ -186,6 +186,8 @@ SQL = {
       round(count(*) FILTER (strat > bench) / count(*), 3) AS hit_rate FROM wcv GROUP BY 1, 2 HAVING count(*) >= 8"""),
     "signal_coverage": sql("""SELECT qdate::VARCHAR AS qdate, m AS members, coalesce(s, 0) AS signals, (qdate < DATE '1999-01-01')::INT AS early, round(coalesce(s, 0) / m, 4) AS share FROM (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1)
       LEFT JOIN (SELECT qdate, count(*) AS s FROM psig GROUP BY 1) USING (qdate)"""),
+    "coverage_means": sql("""SELECT count(*) AS quarters, round(avg(s / m), 6) AS mean_share, round(avg(s / m) FILTER (qdate < DATE '1999-01-01'), 6) AS early_share FROM
+      (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1) a LEFT JOIN (SELECT qdate, count(*) AS n FROM psig GROUP BY 1) b USING (qdate), LATERAL (SELECT coalesce(n, 0) AS s)"""),
     "survivorship_gap": sql("""WITH lv AS (SELECT last_day(qdate + INTERVAL 3 MONTH)::DATE AS qdate, bv FROM cv WHERE variant = 'v2rd' UNION ALL SELECT min(qdate), 1.0 FROM cv WHERE variant = 'v2rd'),
       j AS (SELECT label, qdate, bv, adjclose AS p FROM lv JOIN mkt ON month = date_trunc('month', qdate) JOIN wins ON qdate BETWEEN a AND b)
       SELECT label, round(c, 4) AS covered, round(i, 4) AS index_ew, round((c - i) * 100, 1) AS gap_pp FROM (SELECT label, pow(arg_max(bv, qdate) / arg_min(bv, qdate), 4.0 / (count(*) - 1)) - 1 AS c,

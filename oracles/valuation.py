@@ -219,7 +219,8 @@ SQL = {
     "archetype_tally": sql("""SELECT universe, arch, count(*) FILTER (ok) AS ranked, count(*) FILTER (ok AND eff_arch <> 'standard') AS gated, count(*) FILTER (ok AND arch = 'financial' AND eff_arch = 'standard') AS rerouted,
       count(*) FILTER (NOT ok) AS excluded FROM (SELECT universe, arch, eff_arch, why2 IS NULL AS ok FROM vt UNION ALL SELECT universe, arch, NULL, false FROM ci JOIN umem USING (ticker) WHERE why IS NOT NULL) GROUP BY 1, 2"""),
     "company_records": sql("""SELECT bd.universe, bd.ticker, 5 + (eff_arch = 'reit')::INT AS n_listed, (dcf_ps IS NOT NULL)::INT + (rim_ps IS NOT NULL)::INT + (ffo IS NOT NULL)::INT + (bd.epv_ps IS NOT NULL)::INT
-      + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN eff_arch = 'standard' AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic
+      + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN eff_arch = 'standard' AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic,
+      'USD' AS fin_currency, round(bd.roic, 6) AS roic_now, round(bd.om, 6) AS om, round(bd.roe_avg, 6) AS roe, round(bd.roe_std, 6) AS roe_std, round(bd.eq_assets, 6) AS eq_assets
       FROM bd LEFT JOIN sc5 USING (universe, ticker)"""),
     "screen_csv": sql(rf"""SELECT universe, ticker, name, sector, regexp_replace(round(price, 2)::VARCHAR, '\.0$', '') AS price, regexp_replace(round(low, 2)::VARCHAR, '\.0$', '') AS low, regexp_replace(round(mid, 2)::VARCHAR, '\.0$', '') AS mid, regexp_replace(round(high, 2)::VARCHAR, '\.0$', '') AS high, {PCT.format('upside')} AS upside,
       conf::VARCHAR AS confidence, quality::VARCHAR AS quality, coalesce(mom_pct::VARCHAR, '') AS "momentumPct", {PCT.format('mom')} AS "momentum12_1", {PCT.format('implied_g')} AS "impliedGrowth", {PCT.format('g_trail')} AS "trailingGrowth",

@@ -236,3 +236,28 @@ def test_no_verdict_on_few_windows(spark):
 def test_bands_compare_what_the_board_shows(spark):
     df = spark.sql("SELECT 9.96e9D AS mcap, 50 AS quality, 3 AS conf, 0.1D AS upside, array() AS flags, 'E' AS sector")
     assert sc.screen(df, cap="large").count() == 1 and sc.screen(df, cap="mid").count() == 0
+
+
+def test_upsert_writes_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    old = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0), ("A", 2, 3.0)], "k string, month int, v double")
+    old.write.partitionBy("month").parquet(path)
+    kept = sorted(p.name for p in (tmp_path / "prices" / "month=2").iterdir())
+    sinks.write_upsert(path, spark.createDataFrame([("A", 1, 9.0), ("C", 3, 5.0)], old.schema), ["k", "month"], "month")
+    got = sorted((r.k, r.month, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("A", 1, 9.0), ("A", 2, 3.0), ("B", 1, 2.0), ("C", 3, 5.0)]
+    assert sorted(p.name for p in (tmp_path / "prices" / "month=2").iterdir()) == kept
+
+
+def test_snapshots_replace_their_own_day(spark, tmp_path):
+    path = str(tmp_path / "snaps")
+
+    def rows(*at):
+        return spark.createDataFrame([("U", "m", dt.datetime(2024, 1, d, h), t) for d, h, t in at], "universe string, model string, run_date timestamp, ticker string")
+
+    rows((2, 9, "A"), (9, 9, "A"), (9, 9, "B")).withColumn("_day", F.to_date("run_date")).write.partitionBy("universe", "model", "_day").parquet(path)
+    sn.write_snapshots(path, rows((9, 15, "C")))   # the same day again: replaced
+    sn.write_snapshots(path, rows((10, 9, "D")))   # the same week: refused
+    sn.write_snapshots(path, rows((16, 9, "E")))   # a new week: added
+    got = sorted((r.run_date.day, r.run_date.hour, r.ticker) for r in spark.read.parquet(path).collect())
+    assert got == [(2, 9, "A"), (9, 15, "C"), (16, 9, "E")]
