@@ -115,6 +115,8 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabu
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()),
                                                          pa.array(np.frombuffer(b"".join(parts), "<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
+        del encode
+        pa.default_memory_pool().release_unused()  # workers live on and serve other operators
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
