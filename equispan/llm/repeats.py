@@ -10,7 +10,8 @@ most half the length; equal strings have equal landmarks, at equal distances.  S
    repeats.  Equal pairs are past the threshold: the whole run repeats.  Rows of one name stream by, none is gathered.
 2. What is left are runs that share a landmark with another run but not all of their bytes, mostly at the edges of copied
    passages.  Their positions are ranked again by pairs (name, name at an offset of half the length), which doubles the
-   length to the full one; Spark groups them by landmark, a landmark of very many runs in several parts by the pairs.
+   length to the full one.  Spark groups the runs by landmark; of a landmark of very many runs, Spark sorts the strings'
+   pairs themselves, and equal neighbours stream by, so that no copy and no task holds all of its runs.
 
 Spans come back to their texts by doc_id and a hash of the text; identical rows have identical spans.  A null text is an
 empty one.  Texts shorter than `length` have no repeats.  Extra columns are left out.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,69 +152,119 @@ def _with_end(batches):
     yield None
 
 
+def _pairs(names: _Names, place: np.ndarray, length: int) -> np.ndarray:
+    """The rank pair of each string: the name of its first half and the name half the length further on."""
+    half = length // 2
+    return mix64(names.at(place, place + half) * _U(0x9FB21C651E98DF25) + names.at(place + half, place + length))
+
+
+def _places(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of each string of `length` bytes in rows of bytes that begin at `at`."""
+    count = np.diff(at) - length + 1
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+
+
 def _strings(length: int):
-    """The bytes of each probe's run, as rows of its landmark."""
+    """The bytes of each probe's run, as rows of its landmark; of a hot landmark, each string's pair and start instead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpack = zstandard.ZstdDecompressor()
             for k, body in enumerate(batch.column(2)):
                 text = unpack.decompress(body.as_py())
                 probes = batch.column(3)[k].values
-                run_ = probes.field("run").to_numpy()
-                strings = [text[r >> 16:(r >> 16) + (r & 0xFFFF) + length - 1] for r in run_.tolist()]
-                n = len(strings)
-                yield pa.RecordBatch.from_arrays(
-                    [probes.field("mark"), probes.field("parts"), probes.field("whole"), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()),
-                     pa.array([batch.column(1)[k].as_py()] * n, pa.int64()), probes.field("run"), pa.array(strings, pa.binary())],
-                    names=["mark", "parts", "whole", "doc_id", "_k", "run", "bytes"])
+
+                def rows(of: pa.StructArray, pair: pa.Array, run_: pa.Array, strings: pa.Array, k: int = k) -> pa.RecordBatch:
+                    owner = [pa.array([batch.column(c)[k].as_py()] * len(of), pa.int64()) for c in (0, 1)]
+                    return pa.RecordBatch.from_arrays([of.field("mark"), pair, of.field("whole"), *owner, run_, strings],
+                                                      names=["mark", "pair", "whole", "doc_id", "_k", "run", "bytes"])
+
+                hot = probes.field("hot").to_numpy(zero_copy_only=False)
+                for some in (np.flatnonzero(~hot), np.flatnonzero(hot)):
+                    size = (probes.field("run").to_numpy()[some] & 0xFFFF) + length - 1
+                    block = np.cumsum(size) // _STEP
+                    for at in np.split(some, np.flatnonzero(np.diff(block)) + 1) if len(some) else []:
+                        of = probes.take(pa.array(at))
+                        run_ = of.field("run")
+                        strings = pa.array([text[r >> 16:(r >> 16) + (r & 0xFFFF) + length - 1] for r in run_.to_pylist()], pa.binary())
+                        if not hot[at[0]]:
+                            yield rows(of, pa.nulls(len(of), pa.int64()), run_, strings)
+                            continue
+                        _, _, data, begin = next(slices(strings, 1 << 62))
+                        row, place = _places(begin, length)
+                        start = (run_.to_numpy()[row] >> 16) + place - begin[row]
+                        yield rows(of.take(pa.array(row)), pa.array(_pairs(_Names(data), place, length).view(np.int64)),
+                                   pa.array(start << 16 | 1), pa.nulls(len(row), pa.binary()))
     return run
 
 
 def _double(length: int):
-    """Of complete groups of probes: the strings of each probe that another probe of its landmark has as well."""
-    half = length // 2
+    """Of rows sorted by (mark, pair): the strings of each open probe that another probe of its landmark has as well.
 
+    The rows without a pair are groups of few runs, which are held; of the others one row waits for its successor.
+    """
     def settle(rows: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
-        _, _, data, at = next(slices(rows.column(rows.schema.get_field_index("bytes")), 1 << 62))
-        names = _Names(data)
-        count = np.diff(at) - length + 1
-        row = np.repeat(np.arange(len(count)), count)
-        place = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        # The rank pair of a string: the name of its first half and the name half the length further on.
-        pair = mix64(names.at(place, place + half) * _U(0x9FB21C651E98DF25) + names.at(place + half, place + length))
-        parts, part = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-        mine = (pair % parts[row].astype(np.uint64)).astype(np.int64) == part[row]
-        row, place, pair = row[mine], place[mine], pair[mine]
+        _, _, data, at = next(slices(rows.column(6), 1 << 62))
+        row, place = _places(at, length)
+        pair = _pairs(_Names(data), place, length)
         order = np.lexsort((pair, group[row]))
         same = (np.diff(pair[order]) == 0) & (np.diff(group[row[order]]) == 0)
         twice = np.zeros(len(order), bool)
         twice[order[1:]] = same
         twice[order[:-1]] |= same
-        open_ = ~rows.column(3).to_numpy(zero_copy_only=False)
+        open_ = ~rows.column(2).to_numpy(zero_copy_only=False)
         twice &= open_[row]
         row, place = row[twice], place[twice]
         cut_ = np.flatnonzero(np.concatenate(([True], (np.diff(place) != 1) | (np.diff(row) != 0)))) if len(row) else row
         size = np.diff(np.append(cut_, len(row)))
         row, place = row[cut_], place[cut_]
-        start = (rows.column(6).to_numpy()[row] >> 16) + place - at[row]
-        take = pa.array(row)
-        return pa.RecordBatch.from_arrays([rows.column(4).take(take), rows.column(5).take(take), pa.array(start << 16 | size)], names=["doc_id", "_k", "run"])
+        start = (rows.column(5).to_numpy()[row] >> 16) + place - at[row]
+        return out(rows, row, start << 16 | size)
+
+    def out(rows: pa.RecordBatch, at: np.ndarray, run_: np.ndarray) -> pa.RecordBatch:
+        take = pa.array(at)
+        return pa.RecordBatch.from_arrays([rows.column(3).take(take), rows.column(4).take(take), pa.array(run_)], names=["doc_id", "_k", "run"])
+
+    def one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last: list[pa.RecordBatch] = []  # the last row with a pair
+        repeats = False  # whether it equals the one before it
         for batch in _with_end(batches):
             if batch is not None:
-                held.append(batch)
+                paired = batch.column(1).is_valid()
+                some = batch.filter(paired)
+                batch = batch.filter(pc.invert(paired))
+                # Offsets of 64 bits: held rows are joined whatever their size.
+                batch = batch.set_column(6, "bytes", batch.column(6).cast(pa.large_binary()))
+            else:
+                some = None
+            if last or some is not None and some.num_rows:
+                rows = one([*last, some]) if some is not None else last[0]
+                mark, pair = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                same = (mark[1:] == mark[:-1]) & (pair[1:] == pair[:-1])
+                twice = np.zeros(rows.num_rows, bool)
+                twice[0] = bool(last) and repeats
+                twice[1:] |= same
+                twice[:-1] |= same
+                last, repeats = [rows.slice(rows.num_rows - 1)] if some is not None else [], bool(twice[-1])
+                twice &= ~rows.column(2).to_numpy(zero_copy_only=False)
+                if some is not None:
+                    twice[-1] = False
+                at = np.flatnonzero(twice)
+                if len(at):
+                    yield out(rows, at, rows.column(5).to_numpy()[at])
+            if batch is not None:
+                if batch.num_rows:
+                    held.append(batch)
                 if sum(b.num_rows for b in held) < GROUP_RUNS:
                     continue
             if not held:
-                return
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
-            if not rows:
-                held = []
                 continue
-            rows = rows[0]
-            change = np.flatnonzero((np.diff(rows.column(0).to_numpy()) != 0) | (np.diff(rows.column(2).to_numpy()) != 0)) + 1
+            rows = one(held)
+            change = np.flatnonzero(np.diff(rows.column(0).to_numpy()) != 0) + 1
             stop = rows.num_rows if batch is None else int(change[-1]) if len(change) else 0
             if stop:
                 yield settle(rows.slice(0, stop), np.searchsorted(change, np.arange(stop), "right"))
@@ -220,6 +272,19 @@ def _double(length: int):
     return run
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by document and run: neighbouring runs as one, cut at each 2^14 bytes so that a size keeps its 16 bits."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, run_ = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        start, end = run_ >> 16, (run_ >> 16) + (run_ & 0xFFFF)
+        first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (start[1:] != end[:-1]) | (start[1:] >> 14 != start[:-1] >> 14))))
+        size = end[np.append(first[1:], len(key)) - 1] - start[first]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), batch.column(1).take(pa.array(first)), pa.array(start[first] << 16 | size)],
+                                         names=["doc_id", "_k", "run"])
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -236,17 +301,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group_runs: int = GROU
         _sorted_pairs, "mark long, doc_id long, _k long, run long, whole boolean, probe boolean"))
     settled = ranked.where("whole").select("doc_id", "_k", "run")
     probes = ranked.where("probe")
-    parts = probes.groupBy("mark").agg(F.count("*").alias("_n"), F.count_if(~F.col("whole")).alias("_open")).where("_open > 0")
-    probes = probes.join(parts, "mark").groupBy("doc_id", "_k").agg(F.collect_list(F.struct(
-        "mark", F.ceil(F.col("_n") / group_runs).cast("long").alias("parts"), "whole", "run")).alias("probes"))
+    marks = probes.groupBy("mark").agg(F.count("*").alias("_n"), F.count_if(~F.col("whole")).alias("_open")).where("_open > 0")
+    probes = probes.join(marks, "mark").groupBy("doc_id", "_k").agg(F.collect_list(F.struct(
+        "mark", (F.col("_n") > group_runs).alias("hot"), "whole", "run")).alias("probes"))
     mine = probes.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"), "probes")
     bodies = _packed(docs)
     strings = (bodies.join(mine, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")))
                .select("doc_id", "_k", "body", "probes")
-               .mapInArrow(_strings(length), "mark long, parts long, whole boolean, doc_id long, _k long, run long, bytes binary"))
-    dealt = strings.select("mark", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "whole", "doc_id", "_k",
-                           "run", "bytes")
-    more = dealt.repartition("mark", "part").sortWithinPartitions("mark", "part").mapInArrow(_double(length), "doc_id long, _k long, run long")
+               .mapInArrow(_strings(length), "mark long, pair long, whole boolean, doc_id long, _k long, run long, bytes binary"))
+    more = strings.repartition("mark", "pair").sortWithinPartitions("mark", "pair").mapInArrow(_double(length), "doc_id long, _k long, run long")
+    more = more.repartition("doc_id", "_k").sortWithinPartitions("doc_id", "_k", "run").mapInArrow(_joined, "doc_id long, _k long, run long")
     return settled.unionByName(more)
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from equispan.llm import repeats
 from equispan.llm.queries import op1_suffix_array_dedup
 from equispan.llm.repeats import remove_repeats
 
@@ -65,3 +66,36 @@ def test_a_text_longer_than_a_slice(spark):
     rows = {r.doc_id: r for r in remove_repeats(docs).collect()}
     assert [tuple(s) for s in rows[2].spans] == [(1, 1501)]
     assert [tuple(s) for s in rows[1].spans] == [(1_048_000, 1_049_500)]
+
+
+def test_a_hot_landmark_is_not_copied(spark, monkeypatch):
+    """A passage that n documents share inside different surroundings: what is compared grows with n, not with its square."""
+    real = repeats._double
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(150))
+
+    def bytes_compared(n):
+        total = spark.sparkContext.accumulator(0)
+
+        def counted(length):
+            inner = real(length)
+
+            def run(batches):
+                def tee():
+                    for batch in batches:
+                        total.add(batch.nbytes)
+                        yield batch
+                yield from inner(tee())
+            return run
+
+        monkeypatch.setattr(repeats, "_double", counted)
+        texts = ["".join(rng.choice("klmnopqrst") for _ in range(120)) + passage + "".join(rng.choice("klmnopqrst") for _ in range(120)) for _ in range(n)]
+        texts[1] = texts[0][:30] + "#" + texts[0][31:]
+        docs = list(enumerate(texts))
+        out = remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), group_runs=7).collect()
+        assert sorted(((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                       for r in out), key=str) == brute(docs)
+        return total.value
+
+    small = bytes_compared(150)
+    assert 0 < bytes_compared(600) < 6 * small
