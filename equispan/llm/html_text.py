@@ -5,7 +5,8 @@ a block, an item before the next item, a cell before the next cell or row, raw e
 The renderer walks the tree and writes all visible text: blocks on lines of their own, paragraphs, headings, lists and
 tables set off by an empty line, items behind `- ` or their number, table cells aligned by column.
 
-Not visible: head, script, style, template, noscript and other carriers; elements with `hidden`, with `display:none` or
+Not visible: head, which ends before text and tags that it can't hold, script, style, template, noscript and other carriers;
+what svg and math don't draw (title, desc, metadata, defs, symbol, annotations); elements with `hidden`, with `display:none` or
 `visibility:hidden` in their style or, for simple selectors (tag, .class, #id), in the page's style sheet; closed
 `details` but for their summary.  A visible element inside a `visibility:hidden` one shows again.
 
@@ -26,7 +27,11 @@ from pyspark.sql import types as T
 
 DEPTH, WIDEST = 200, 60
 VOID = set("area base br col embed hr img input link meta source track wbr param".split())
-UNSEEN = set("head script style template noscript iframe object audio video canvas map datalist title meta link math svg".split())
+UNSEEN = set("head script style template noscript iframe object audio video canvas datalist title meta link".split())
+#: What an svg or math element holds beside its labels.
+UNDRAWN = {"svg": set("title desc metadata defs symbol style script".split()), "math": {"annotation", "annotation-xml"}}
+#: What a head may hold; any other tag and text that is not blank end it.
+HEAD = set("base basefont bgsound link meta title style script noscript template noframes html head".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
              "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary "
              "table ul".split())
@@ -74,14 +79,22 @@ class Builder(HTMLParser):
             self._end({"p"}, _BORDERS)
             if tag not in ("html", "head") and any(n.tag == "head" for n in self.open):
                 self._end({"head"}, set())
+        elif tag not in HEAD and self.open[-1].tag == "head":
+            del self.open[-1]
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if any(tag in UNDRAWN.get(n.tag, ()) for n in self.open):
+            node.attrs["hidden"] = ""
+        elif tag == "text" and any(n.tag == "svg" for n in self.open):
+            node.attrs["#label"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        # A slash closes void elements only; browsers take `<div/>` as `<div>`.
+        # A slash closes void elements and those of svg and math only; browsers take `<div/>` as `<div>`.
         self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and not self.open[-1].children and any(n.tag in UNDRAWN for n in self.open):
+            del self.open[-1]
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -99,6 +112,8 @@ class Builder(HTMLParser):
     def handle_data(self, data):
         if self.open[-1].tag == "style":
             self.sheet.append(data)
+        elif self.open[-1].tag == "head" and data.strip():
+            del self.open[-1]
         self.open[-1].children.append(data)
 
 
@@ -225,7 +240,7 @@ class Renderer:
                 if isinstance(child, Node) and child.tag == "summary":
                     self.element(child, flow, visible, pre)
                     break
-        elif tag in ("td", "th"):  # a cell outside of a table
+        elif tag in ("td", "th") or "#label" in node.attrs:  # a cell outside of a table, a label of a drawing
             flow.space = True
             self.children(node, flow, visible, pre)
             flow.space = True

@@ -28,6 +28,18 @@ def test_layout(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", "a x=1 b"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>s{}</style><script>s</script><path/><text>one</text><text>two</text></svg>c", "one two c"),
+    ("<svg><defs/><g><text>label</text></g></svg><desc>d</desc>", "label d"), ("<svg/>after", "after"),
+    ("<map name=m><a href=x>link</a><area></map>", "link"),
+    ("<head><title>T</title>Hello <a>link</a> <b>x</b>", "Hello link x"), ("<head><title>T</title> <meta a=b><a>link</a> y</head>z", "link yz"),
+    ("<html><head>\n<script>s</script>\n<style>b{}</style><noscript>n</noscript></head>b", "b"),
+])
+def test_drawings_and_open_heads(page, text):
+    assert extract(page) == text
+
+
 def test_long_and_deep_pages():
     assert extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "after").split() == ["deep", "after"]
     assert extract("<ul><li>" * 3000 + "deep").endswith("deep")
