@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over sampled positions.
+"""Removal of repeated byte strings by sampled positions (landmarks) and one doubling step, in place of prefix doubling in rounds.
 
 Every string of `length` bytes that starts at two places, in one text or in two, is removed wherever it stands.
 
