@@ -1,10 +1,13 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are what newlines separate; blank ones are never judged.  Similarity is that of the sets of runs of five code points
-(a shorter line is its own run).  Signatures are taken from runs of nine, which unrelated lines seldom share: 36 minima, by
-36 permutations in lines of up to 90 runs and by 36 bins of one hash in lines of 60 or more (in between by both).  Twelve
-bands of three minima are the keys that similar lines meet by.  Of two lines that share 0.7 of their longer runs, about
-what 0.8 of the short ones comes to, six in a thousand share no key; at 0.8 it is three in ten thousand.
+(a shorter line is its own run).  Signatures of lines with up to FEW different runs of five, short or repetitive ones, are
+taken from these runs; two such lines at the threshold share no key in two of ten thousand cases.  Those of other lines are
+taken from runs of nine, which unrelated lines seldom share; lines near FEW have both, so that similar ones always have one
+kind in common.  A signature has 36 minima, by 36 permutations in lines of up to 90 different runs and by 36 bins of one hash in lines
+of 60 or more (in between by both).  Twelve bands of three minima are the keys that similar lines meet by.  Of two lines that
+share 0.7 of their runs of nine, six in a thousand share no key; at 0.8 it is three in ten thousand.  Single signs changed
+all over a line leave 0.65 to 0.7 of the runs of nine where 0.8 of the runs of five are left: there it is up to two in a hundred.
 
 Rows of one key stream by in order; the first, the most frequent in its part of the input, is the centre, and every other
 line of the key is compared to it by the exact Jaccard similarity of all shingles.  Components are formed; the key's lines
@@ -27,6 +30,7 @@ from .arrowtext import mix64, slices, span_hashes, window_hashes
 from .shared import components, cut, written
 
 SIMILARITY, SHINGLE, KEY_SHINGLE = 0.8, 5, 9
+FEW = 26
 BANDS, ROWS = 12, 3
 SHORT, LONG = 90, 60
 WORDS = 32
@@ -82,24 +86,59 @@ def _bands(least: np.ndarray, kind: int) -> np.ndarray:
     return np.where((least == _NONE).all(axis=2), _NONE, key)
 
 
-def keys_of(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Rows of band keys of lines, first by permutations and then by bins; _NONE where a line has no such key."""
-    out = np.full((len(first), 2 * BANDS), _NONE)
+def _minima(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The least value of each span of hashes under each permutation."""
+    least = np.empty((len(begin) - 1, BANDS * ROWS), np.uint64)
+    rng = np.random.default_rng(9)
+    for k, (a, b) in enumerate(rng.integers(0, 1 << 64, (BANDS * ROWS, 2), np.uint64)):
+        least[:, k] = np.minimum.reduceat(h * (a | np.uint64(1)) + b, begin[:-1])
+    return least
+
+
+def _few(codes: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of at most `most` different shingles, these shingles' hashes, and where each line's begin."""
+    size = last - first
+    maybe = size - length + 1 <= most
+    rest = np.flatnonzero(~maybe)
+    if len(rest):
+        # The number of places hit is no more than that of different shingles.
+        h, begin = shingle_hashes(codes, first[rest], last[rest], length)
+        hit = np.zeros((len(rest), 256), bool)
+        hit[np.repeat(np.arange(len(rest)), np.diff(begin)), (h & np.uint64(255)).astype(np.int64)] = True
+        maybe[rest[hit.sum(axis=1) <= most]] = True
+    at = np.flatnonzero(maybe)
+    h, begin = shingle_hashes(codes, first[at], last[at], length)
+    line = np.repeat(np.arange(len(at)), np.diff(begin))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    own = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))[:len(h)]
+    h, line = h[own], line[own]
+    count = np.bincount(line, minlength=len(at))
+    few = count <= most
+    return at[few], h[few[line]], np.concatenate(([0], np.cumsum(count[few])))
+
+
+def keys_of(codes: np.ndarray, first: np.ndarray, last: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Rows of band keys of lines, by permutations, by bins and by permutations of short shingles; _NONE where a line has no such key."""
+    out = np.full((len(first), 3 * BANDS), _NONE)
     size, bins = last - first - KEY_SHINGLE + 1, BANDS * ROWS
-    short = np.flatnonzero(size <= SHORT)
+    few, h, begin = _few(codes, first, last, SHINGLE, FEW)
+    nine = np.ones(len(first), bool)
+    if len(few):
+        out[few, 2 * BANDS:] = _bands(_minima(h, begin), 2)
+        # A line similar to one of more than FEW different shingles has more than this share of FEW.
+        nine[few[np.diff(begin) <= similarity * FEW]] = False
+    # By different runs, not by length: a periodic line can be similar to a much longer one.
+    rest = np.flatnonzero(nine)
+    short, h, begin = _few(codes, first[rest], last[rest], KEY_SHINGLE, SHORT)
     if len(short):
-        h, begin = shingle_hashes(codes, first[short], last[short], KEY_SHINGLE)
-        least = np.empty((len(short), bins), np.uint64)
-        rng = np.random.default_rng(9)
-        for k, (a, b) in enumerate(rng.integers(0, 1 << 64, (bins, 2), np.uint64)):
-            least[:, k] = np.minimum.reduceat(h * (a | np.uint64(1)) + b, begin[:-1])
-        out[short, :BANDS] = _bands(least, 0)
-    long_ = np.flatnonzero(size >= LONG)
+        out[rest[short], :BANDS] = _bands(_minima(h, begin), 0)
+    long_ = np.flatnonzero(nine & (size >= LONG))
     if len(long_):
         h, begin = shingle_hashes(codes, first[long_], last[long_], KEY_SHINGLE)
         least = np.full(len(long_) * bins, _NONE)
         np.minimum.at(least, np.repeat(np.arange(len(long_)) * bins, np.diff(begin)) + (h % np.uint64(bins)).astype(np.int64), h)
-        out[long_, BANDS:] = _bands(least, 1)
+        out[long_, BANDS:2 * BANDS] = _bands(least, 1)
     return out
 
 
@@ -123,12 +162,14 @@ def _places(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
                                      names=["id", "doc_id", "_k", "pos"])
 
 
-def _keyed(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
-    _, at, n = np.unique(lines.id, return_index=True, return_counts=True)
-    keys = keys_of(lines.codes, lines.first[at], lines.last[at])
-    row, band = np.nonzero(keys != _NONE)
-    yield pa.RecordBatch.from_arrays([_signed(keys[row, band]), pa.array(-n[row]), _signed(lines.id[at][row]), pa.array(np.zeros(len(row), np.int32))],
-                                     names=["key", "rank", "id", "size"])
+def _keyed(similarity: float):
+    def make(rows: pa.RecordBatch, data: np.ndarray, lines: _Lines):
+        _, at, n = np.unique(lines.id, return_index=True, return_counts=True)
+        keys = keys_of(lines.codes, lines.first[at], lines.last[at], similarity)
+        row, band = np.nonzero(keys != _NONE)
+        yield pa.RecordBatch.from_arrays([_signed(keys[row, band]), pa.array(-n[row]), _signed(lines.id[at][row]), pa.array(np.zeros(len(row), np.int32))],
+                                         names=["key", "rank", "id", "size"])
+    return make
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +299,7 @@ def _pair(x: str, y: str) -> list:
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of each distinct line of rows (doc_id, _k, text) that is similar to another one."""
-    keys = docs.mapInArrow(_each_slice(_keyed), "key long, rank long, id long, size int").repartition("key").sortWithinPartitions("key", "rank", "id")
+    keys = docs.mapInArrow(_each_slice(_keyed(similarity)), "key long, rank long, id long, size int").repartition("key").sortWithinPartitions("key", "rank", "id")
     met = written(keys.mapInArrow(_meetings, "key long, id long, size int, centre long").distinct())
     pairs = cut(met.where("id <> centre").select(*_pair("id", "centre")).distinct())
     edges = cut(_similar(pairs, docs, similarity))

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from equispan.llm.lines import dedup_lines, line_classes
@@ -95,3 +96,23 @@ def test_no_link_is_lost_in_a_chain(spark):
     want = roots_of(lines)
     assert len(set(want.values())) == 1
     assert line_classes(docs).select("root").distinct().count() == 1
+
+
+def test_short_and_periodic_lines_equal_all_pairs(spark):
+    rng = random.Random(4)
+    lines = ["-----", "------", "- - - -", "- - - - -", "Item 123", "Item 1234", "|---|---|", "|---|---|---|", "Chapter 1", "Chapter 10",
+             "* * * * *", "* * * * * *", "=" * 40, "=" * 300, "+--" * 9, "+--" * 200, "0123456789" * 2, "0123456789" * 500]
+    for size in range(5, 15):
+        for _ in range(6):
+            word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123") for _ in range(size))
+            lines += [word, word + rng.choice("xyz"), rng.choice("xyz") + word, word[:-1], word[:-1] + "é"]
+    for period in range(1, 40):  # on both sides of FEW
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123") for _ in range(period))
+        lines += [(word * 40)[:k] for k in (period + 4, period + 5, 2 * period + 4, 3 * period + 9, 20 * period + 4)]
+        lines += [(word * 40)[:6 * period] + "!", word + "#" + word]
+    lines = sorted({x for x in lines if x.strip()})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(docs).collect()), key=str)
+    want = brute(list(enumerate(lines)))
+    assert sum(r[3] for r in want) > 200
+    assert got == want
