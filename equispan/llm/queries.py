@@ -8,6 +8,7 @@ from .chat import chat_digests, format_chats
 from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .lines import dedup_lines
+from .merkle import document_manifest
 from .minhash import fingerprint_documents
 from .packing import pack_documents
 from .pii import KINDS, find_personal_data, span_text
@@ -73,4 +74,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return document_manifest(docs, tampered)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing, op13_merkle_manifest)}
