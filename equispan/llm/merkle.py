@@ -180,7 +180,8 @@ def prove(manifest: Manifest, keep: tuple[str, ...], claim: str = "claim", fan:
                            "run", "slot", F.col(claim).alias("hash"))
     folded = fold(starts, runs, fan).select(F.col("id").alias("_at"), F.col("hash").alias("folded_root"))
     own = F.concat(F.array_join(F.expr("slice(members, 1, slot)"), ""), F.array_join(F.expr(f"slice(members, slot + 2, {fan})"), ""))
-    return leaves.join(proof_tails(runs, fan), ["tree", "run"]).join(folded, "_at").select(
+    # The wide tails come last, where the digest is taken at once.
+    return leaves.join(folded, "_at").join(proof_tails(runs, fan), ["tree", "run"]).select(
         *out, F.coalesce("subroot", "leaf").alias("subroot"), F.lit(root).alias("root"),
         F.sha2(F.concat(own, "tail"), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
 
