@@ -16,6 +16,7 @@ from .repeats import remove_repeats
 from .shared import table
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
+from .vectors import near_vectors
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +75,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return document_manifest(docs, tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing, op11_embedding_near_dedup, op13_merkle_manifest)}
