@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digests, format_chats
+from .collocations import SQL as COLLOCATIONS_SQL
+from .collocations import collocations
 from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .lines import dedup_lines
@@ -79,10 +81,17 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return document_manifest(docs, tampered)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing, op11_embedding_near_dedup, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_line_dedup, op3_chat_formatting, op4_toxicity, op5_personal_data, op6_html_extraction, op7_simhash_near_dedup, op8_document_fingerprints, op9_benchmark_decontamination, op10_best_fit_packing, op11_embedding_near_dedup, op12_phrase_collocations, op13_merkle_manifest)}
+
+#: What DuckDB can express.
+SQL = {"op12_phrase_collocations": COLLOCATIONS_SQL}
