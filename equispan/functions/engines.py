@@ -3,9 +3,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-from ..assumptions import CFG
+from ..assumptions import CFG, REINVEST_CAP, RIM_DECAY
 
-H, S1, CAP = CFG["horizon"], CFG["stage1"], CFG["reinvest_cap"]
+H, S1, CAP = CFG["forecast_horizon"], CFG["stage1_years"], REINVEST_CAP
 
 
 def _growth(g, tg, t):
@@ -44,19 +44,19 @@ def dcf_sql(f0="base_fcf", rate="wacc", tg="term_g", g="g1", n0="nopat_norm", ro
             net_debt="(debt - cash)", shares="shares"):
     """V3: value per share, or null."""
     value = f"(({ev_sql(f0, rate, tg, g, n0, roic)}) - {net_debt}) / {shares}"
-    ok = f"{shares} <> 0 AND {rate} - {tg} >= {CFG['min_spread']}"
+    ok = f"{shares} <> 0 AND {rate} - {tg} >= {CFG['min_wacc_minus_g']}"
     return f"get(filter(array(if({ok}, {value}, NULL)), v -> v > 0), 0)"
 
 
 def dcf_profit_sql(rate, g, n0, tg="term_g", roic="roic_dcf", net_debt="(debt - cash)", shares="shares"):
     """V3 where the profit base is known to be usable: half the expression."""
     value = f"({pv_nopat_sql(n0, roic, rate, tg, g)} - {net_debt}) / {shares}"
-    return f"get(filter(array(if({shares} <> 0 AND {rate} - {tg} >= {CFG['min_spread']}, {value}, NULL)), v -> v > 0), 0)"
+    return f"get(filter(array(if({shares} <> 0 AND {rate} - {tg} >= {CFG['min_wacc_minus_g']}, {value}, NULL)), v -> v > 0), 0)"
 
 
 def rim_sql(book="book_ps", roe="roe_avg", re="re"):
     """V6: book plus excess returns that decay each year, as a geometric sum."""
-    w = CFG["rim_decay"]
+    w = RIM_DECAY
     x = f"({w}D / (1 + {re}))"
     return (f"({book} + ({roe} - {re}) * {book} * ((1 - pow({x}, {H})) / (1 - {x}) / (1 + {re}) "
             f"+ pow({x}, {H}) / (1 + {re} - {w})))")
@@ -95,7 +95,7 @@ def implied_growth(f0: pd.Series, rate: pd.Series, tg: pd.Series, net_debt: pd.S
     with np.errstate(all="ignore"):
         on_profit = (n0 > 0) & (roic > 0)
         usable = (on_profit & (roic > rate)) | (~on_profit & (f0 > 0))
-        usable &= (rate - tg >= CFG["min_spread"]) & ~np.isnan(target) & ~np.isnan(nd)
+        usable &= (rate - tg >= CFG["min_wacc_minus_g"]) & ~np.isnan(target) & ~np.isnan(nd)
         safe = np.where(on_profit, roic, 1.0)
 
         def equity(g):

@@ -1,7 +1,7 @@
 """Point-in-time backtest and momentum study."""
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..assumptions import CFG, WEIGHTS
+from ..assumptions import CFG, CYCLICAL_VOL, WEIGHTS
 from ..functions import engines as en, ranks
 from ..functions.exprs import last_n, latest, overlap, with_exprs
 from ..functions.staging import stage
@@ -40,7 +40,7 @@ def pit_signals(members, pit, prices, splits, rf, sectors, market) -> DataFrame:
                     rev_vol=m.revenue_volatility_sql())
     df = df.where(f"price IS NOT NULL AND shares <> 0 AND rev_years >= 3 AND last_fy >= year(qdate) - 2 "
                   f"AND size({overlap('cfo')}) > 0 AND size({overlap('capex')}) > 0")
-    df = with_exprs(df, cyc=f"coalesce(rev_vol > {CFG['cyclical_vol']}, false)")
+    df = with_exprs(df, cyc=f"coalesce(rev_vol > {CYCLICAL_VOL}, false)")
     df = with_exprs(df, nyrs="if(cyc, 10, 5)")
     df = with_exprs(df, win=last_n(overlap("revenue", "cfo", "capex"), "nyrs"), om_win=last_n(overlap("ebit", "revenue"), "nyrs"),
                     roe_win=last_n(overlap("net_income", "equity"), 5), rev_now=latest("revenue"), ebit_now=latest("ebit"),
@@ -53,7 +53,7 @@ def pit_signals(members, pit, prices, splits, rf, sectors, market) -> DataFrame:
                     roe=_mean_all("roe_win", "x.net_income / x.equity", "x.equity > 0"),
                     re=f"rate + beta * {ERP} + {m.size_premium_sql()}",
                     term_g=f"if(rate > 0.005, least({CFG['terminal_growth']}D, rate), 0.005D)",
-                    g1=f"least({CFG['growth_cap']}D, greatest(0D, coalesce(g_tr, 0D)))", inv_cap="coalesce(eq_now, 0D) + debt - cash")
+                    g1=f"least({CFG['initial_growth_cap']}D, greatest(0D, coalesce(g_tr, 0D)))", inv_cap="coalesce(eq_now, 0D) + debt - cash")
     df = with_exprs(df, fcf_norm="fcf_margin * rev_now", wacc=m.wacc_sql(rd="(rate + 0.01)", tax=f"{TAX}D"),
                     nopat_norm=f"if(rev_now <> 0, om * rev_now * {1 - TAX}D, NULL)", lev="if(ebit_now > 0, -(debt - cash) / ebit_now, NULL)",
                     book_ps="if(eq_now > 0, eq_now / shares, NULL)")

@@ -4,7 +4,7 @@
 """
 from pyspark.sql import DataFrame, functions as F
 
-from ..assumptions import CFG, CONCEPTS
+from ..assumptions import CFG, CONCEPTS, CYCLICAL_VOL, DEBT_FLOOR_SPREAD, REINVEST_CAP
 from ..functions.exprs import clamp, last_n, latest, mean_of, moments, overlap, with_exprs
 from .entities import HYGIENE
 
@@ -66,14 +66,14 @@ def effective_tax_sql(years=3):
 
 def size_premium_sql(mcap="mcap"):
     """M5."""
-    whens = " ".join(f"WHEN {mcap} >= {float(lo)!r}D THEN {p}D" for lo, p in CFG["size_bands"])
+    whens = " ".join(f"WHEN {mcap} >= {float(lo)!r}D THEN {p}D" for lo, p in CFG["size_premium_bands"])
     return f"CASE WHEN {mcap} IS NULL OR {mcap} = 0 THEN 0D {whens} ELSE 0D END"
 
 
 def cost_of_debt_sql(interest, debt, rf):
     """M6."""
-    return (f"CASE WHEN {interest} > 0 AND {debt} > 0 THEN greatest({rf} + {CFG['debt_floor_spread']}, "
-            f"least({CFG['debt_cap']}D, {interest} / {debt})) ELSE {rf} + {CFG['debt_spread']} END")
+    return (f"CASE WHEN {interest} > 0 AND {debt} > 0 THEN greatest({rf} + {DEBT_FLOOR_SPREAD}, "
+            f"least({CFG['cost_of_debt_cap']}D, {interest} / {debt})) ELSE {rf} + {CFG['cost_of_debt_spread']} END")
 
 
 def wacc_sql(equity="mcap", debt="greatest(debt, 0D)", re="re", rd="rd", tax="tax_r"):
@@ -155,7 +155,7 @@ def company_inputs(companies: DataFrame, fin: DataFrame, now: DataFrame, betas:
         last_fy=f"get({overlap('revenue')}, size({overlap('revenue')}) - 1).fy")
     rev = overlap("revenue")
     df = with_exprs(df, rev_declining=f"coalesce(get({rev}, size({rev}) - 1).revenue < get({rev}, size({rev}) - 4).revenue, false)")
-    df = with_exprs(df, cyclical=f"coalesce(rev_vol > {CFG['cyclical_vol']}, false)", debt_risk="debt + leases")
+    df = with_exprs(df, cyclical=f"coalesce(rev_vol > {CYCLICAL_VOL}, false)", debt_risk="debt + leases")
     df = with_exprs(df, nyrs="if(cyclical, 10, 5)")
     df = with_exprs(df, window=last_n(overlap("revenue", "cfo", "capex"), "nyrs"), om=avg_ratio_sql("ebit", "revenue", "nyrs"))
     df = with_exprs(df, fcf_margin=mean_of("window", f"({FCF}) / x.revenue", "x.revenue <> 0"),
@@ -163,7 +163,7 @@ def company_inputs(companies: DataFrame, fin: DataFrame, now: DataFrame, betas:
     df = with_exprs(
         df, fcf_norm="fcf_margin * rev_now",
         fcf_last="coalesce(now['cfo'] - now['capex'] - coalesce(now['sbc'], 0D), fcf_year)",
-        g1=clamp("coalesce(g_trail, 0D)", f"{CFG['growth_floor']}D", f"{CFG['growth_cap']}D"),
+        g1=clamp("coalesce(g_trail, 0D)", f"{CFG['initial_growth_floor']}D", f"{CFG['initial_growth_cap']}D"),
         size_prem=size_premium_sql(), inv_cap="coalesce(equity_now, 0D) + debt - cash",
         rd=cost_of_debt_sql("interest", "debt", f"{rf}D"))
     df = with_exprs(df, re=f"{rf}D + beta * {CFG['equity_risk_premium']} + size_prem")
@@ -236,7 +236,7 @@ def capital_panel(df: DataFrame) -> DataFrame:
     ok = "if(roic_dcf > 0, {}, NULL)"
     return with_exprs(
         df, cap_roic=ok.format("roic_dcf"), cap_spread=ok.format("roic_dcf - wacc"),
-        cap_reinvest=ok.format(clamp("coalesce(g1, 0D) / roic_dcf", "0D", f"{CFG['reinvest_cap']}D")),
+        cap_reinvest=ok.format(clamp("coalesce(g1, 0D) / roic_dcf", "0D", f"{REINVEST_CAP}D")),
         cap_inc_roic=ok.format("if(_n >= 3 AND _add > 0 AND _add > 0.02D * abs(_cap1), "
                                "(_b.ebit - _a.ebit) * (1 - tax_r) / _add, NULL)")
     ).drop("_n", "_a", "_b", "_cap1", "_add")

@@ -153,24 +153,23 @@ def with_band(df: DataFrame) -> DataFrame:
 
 def scenarios(df: DataFrame) -> DataFrame:
     """Bear, base and bull values from shifted drivers, and the weighted expectation."""
-    s = {k[9:]: v for k, v in CFG.items() if k.startswith("scenario_")}
-    df = with_exprs(df, _u=f"least({s['scale_cap']}D, greatest(1D, band / {CFG['range_base_band']}))")
-    df = with_exprs(df, _dg=f"{s['delta_growth']} * _u", _dw=f"{s['delta_wacc']} * _u",
-                    _rel=f"least(0.5D, {s['delta_margin']} * _u / greatest(coalesce(nullif(om, 0D), 0.05D), 0.05D))")
-    df = with_exprs(df, _wu=f"greatest(wacc - _dw, term_g + {CFG['min_spread'] + 0.005!r}D)", _wd="wacc + _dw",
-                    _gu=f"least(g1 + _dg, {CFG['growth_cap'] + 0.10!r}D)", _gd="greatest(g1 - _dg, -0.05D)",
+    df = with_exprs(df, _u=f"least({CFG['scenario_scale_cap']}D, greatest(1D, band / {CFG['range_base_band']}))")
+    df = with_exprs(df, _dg=f"{CFG['scenario_delta_growth']} * _u", _dw=f"{CFG['scenario_delta_wacc']} * _u",
+                    _rel=f"least(0.5D, {CFG['scenario_delta_margin']} * _u / greatest(coalesce(nullif(om, 0D), 0.05D), 0.05D))")
+    df = with_exprs(df, _wu=f"greatest(wacc - _dw, term_g + {CFG['min_wacc_minus_g'] + 0.005!r}D)", _wd="wacc + _dw",
+                    _gu=f"least(g1 + _dg, {CFG['initial_growth_cap'] + 0.10!r}D)", _gd="greatest(g1 - _dg, -0.05D)",
                     _nu="nopat_norm * (1 + _rel)", _nd="nopat_norm * (1 - _rel)")
     df = with_exprs(df, _ok="coalesce(dcf_ps > 0 AND nopat_norm > 0 AND roic_dcf > 0 AND mid > 0 AND price > 0, false)")
     df = with_exprs(df, _bull=f"if(_ok, {en.dcf_profit_sql('_wu', '_gu', '_nu')}, NULL)",
                     _bear=f"if(_ok, {en.dcf_profit_sql('_wd', '_gd', '_nd')}, NULL)")
-    df = with_exprs(df, bull=f"if(_ok, greatest(mid, mid * least(coalesce(_bull / dcf_ps, 1D), {s['bull_cap']}D)), NULL)",
-                    _bear=f"if(_ok, least(mid, mid * if(_bear IS NULL, 1D, greatest(_bear / dcf_ps, {s['bear_floor']}D))), NULL)")
-    wb, w0, wu = s["weights"]
+    df = with_exprs(df, bull=f"if(_ok, greatest(mid, mid * least(coalesce(_bull / dcf_ps, 1D), {CFG['scenario_bull_cap']}D)), NULL)",
+                    _bear=f"if(_ok, least(mid, mid * if(_bear IS NULL, 1D, greatest(_bear / dcf_ps, {CFG['scenario_bear_floor']}D))), NULL)")
+    wb, w0, wu = CFG["scenario_probs"]
     df = with_exprs(df, bear="if(_ok, greatest(0D, if(epv_ps > 0 AND epv_ps < mid, greatest(_bear, epv_ps), _bear)), NULL)",
                     base="if(_ok, mid, NULL)")
     df = with_exprs(df, pw=f"{wb} * bear + {w0} * base + {wu} * bull")
     return with_exprs(df, exp_base="base / price - 1", exp_pw="pw / price - 1",
-                      ann_pw=f"if(pw > 0, pow(pw / price, 1D / {s['years']}) - 1, NULL)") \
+                      ann_pw=f"if(pw > 0, pow(pw / price, 1D / {CFG['scenario_converge_yrs']}) - 1, NULL)") \
         .drop("_u", "_dg", "_dw", "_rel", "_wu", "_wd", "_gu", "_gd", "_nu", "_nd", "_bull", "_bear", "_ok")
 
 
