@@ -4,7 +4,8 @@ A plain window over a whole universe sorts it in one task.  Here every step work
 
 1. rows are counted per distinct value (combined map-side), which folds ties;
 2. each value goes to a slice by a fixed monotone function of the value, so slices are in
-   value order whatever the data; a crowded slice is split again between its own bounds;
+   value order whatever the data; a crowded slice is split between its own bounds, and its
+   crowded pieces again between theirs, until none is left;
 3. slice totals are few, so their running sum is one short window per group;
 4. a window inside each slice finishes the count.
 
@@ -19,7 +20,8 @@ SLICE_TARGET = 100_000
 
 
 def _slice_of(v):
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1e6) * 16).cast("long")
+    """Eight slices for each power of two, on both sides of zero: within one, values are of the same size."""
+    return F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v)) * 8) + 9000)).cast("long")
 
 
 def _split(x, lo, hi, n):
@@ -32,31 +34,60 @@ def _before(order):
     return order.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _crowds(df, target):
+    """Whether a frame may hold more rows than fit one slice, by the optimizer's estimate of its size.
+
+    Only then is it worth a job to look at the slices; the answers are the same either way."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 8 * target
+
+
+def _pieces(cells, slices, value, key):
+    """Cells with a new _s: the least value of their piece of the slice (_d values between _lo and _hi)."""
+    cells = cells.join(slices.select(*key, "_lo", "_hi", "_parts"), key).withColumn(
+        "_p", _split(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_parts")))
+    least = cells.groupBy(*key, "_p").agg(F.min(value).alias("_to"))
+    return cells.join(least, [*key, "_p"]).withColumn("_s", F.col("_to")).drop("_lo", "_hi", "_parts", "_p", "_to")
+
+
+def _refined(cells, value, by, target):
+    """Cells whose slices (_b, _s) hold at most target values each, and those slices.
+
+    Splitting takes the least and the greatest value of a slice apart, so each round makes progress on any data; it goes on
+    only with the crowded slices' cells."""
+    key = [*by, "_b", "_s"]
+    cells = stage(cells.withColumn("_s", F.lit(0.0)))
+    done_cells = done = None
+    while True:
+        slices = stage(cells.groupBy(*key).agg(
+            F.count(F.lit(1)).alias("_d"), F.sum("n_eq").alias("_m"), F.min(value).alias("_lo"), F.max(value).alias("_hi")))
+        fine = slices.where(F.col("_d") <= target).select(*key, "_m")
+        done = fine if done is None else done.unionByName(fine)
+        crowded = slices.where(F.col("_d") > target).withColumn("_parts", F.greatest(F.lit(16), F.ceil(4 * F.col("_d") / target)).cast("long"))
+        kept = cells.join(fine.select(*key), key, "left_semi")
+        done_cells = kept if done_cells is None else done_cells.unionByName(kept)
+        if crowded.isEmpty():
+            return done_cells, done
+        cells = stage(_pieces(cells, crowded, value, key).select(*by, value, "n_eq", "_b", "_s"))
+
+
 def value_cells(df: DataFrame, value: str, by: list[str], target=SLICE_TARGET) -> DataFrame:
     """One row per (group, distinct value): n_eq rows here, n_lt rows below, n_all in the group,
-    with the slice (_b, _s) the value lies in."""
+    with the slice (_b, _s) the value lies in, of at most about target values."""
     cells = (df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_eq"))
              .withColumn("_b", _slice_of(F.col(value))))
-    stats = cells.groupBy(*by, "_b").agg(
-        F.count(F.lit(1)).alias("_d"), F.sum("n_eq").alias("_m"),
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    order = Window.partitionBy(*by).orderBy("_b")
-    stats = stats.select(
-        *by, "_b", "_lo", "_hi", F.ceil(F.col("_d") / target).cast("long").alias("_parts"),
-        F.coalesce(F.sum("_m").over(_before(order)), F.lit(0)).alias("_off"),
+    if _crowds(df.select(*by, value), target):
+        cells, slices = _refined(cells, value, by, target)
+    else:
+        cells = cells.withColumn("_s", F.lit(0.0))
+        slices = cells.groupBy(*by, "_b", "_s").agg(F.sum("n_eq").alias("_m"))
+    inner = slices.withColumn("_soff", F.coalesce(F.sum("_m").over(_before(Window.partitionBy(*by, "_b").orderBy("_s"))), F.lit(0)))
+    outer = slices.groupBy(*by, "_b").agg(F.sum("_m").alias("_m")).select(
+        *by, "_b", F.coalesce(F.sum("_m").over(_before(Window.partitionBy(*by).orderBy("_b"))), F.lit(0)).alias("_off"),
         F.sum("_m").over(Window.partitionBy(*by)).alias("n_all"))
-    cells = cells.join(stats, [*by, "_b"]).withColumn(
-        "_s", _split(F.col(value), F.col("_lo"), F.col("_hi"), F.col("_parts")))
-    inner = (cells.where("_parts > 1").groupBy(*by, "_b", "_s").agg(F.sum("n_eq").alias("_sm"))
-             .withColumn("_soff", F.coalesce(F.sum("_sm").over(
-                 _before(Window.partitionBy(*by, "_b").orderBy("_s"))), F.lit(0)))
-             .drop("_sm"))
-    cells = cells.join(inner, [*by, "_b", "_s"], "left")
+    cells = cells.join(inner.select(*by, "_b", "_s", "_soff").join(outer, [*by, "_b"]), [*by, "_b", "_s"])
     local = _before(Window.partitionBy(*by, "_b", "_s").orderBy(value))
-    return cells.withColumn(
-        "n_lt", F.col("_off") + F.coalesce("_soff", F.lit(0))
-        + F.coalesce(F.sum("n_eq").over(local), F.lit(0))
-    ).select(*by, value, "n_eq", "n_lt", "n_all", "_b", "_s")
+    return cells.withColumn("n_lt", F.col("_off") + F.col("_soff") + F.coalesce(F.sum("n_eq").over(local), F.lit(0))) \
+        .select(*by, value, "n_eq", "n_lt", "n_all", "_b", "_s")
 
 
 def _attach(df, cells, value, by, cols):

@@ -29,7 +29,7 @@ def calibration_panel(rows: DataFrame, attrs: DataFrame, min_names=30) -> DataFr
     """The rows with a forward return, sector and beta, of sessions with enough names."""
     ok = rows.where("fwd IS NOT NULL").join(attrs.select("ticker", "sector", "beta"), "ticker", "left")
     n = ok.groupBy(*KEY).agg(F.count(F.lit(1)).alias("names")).where(f"names >= {min_names}")
-    return ok.join(F.broadcast(n), KEY)
+    return ok.join(n, KEY)
 
 
 def ic_by_session(panel: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ FUND_NAME = (r"(?i)\b(ETF|EXCHANGE.TRADED|INDEX FUND|GOLD TRUST|SILVER TRUST|ISH
              r"INCOME FUND|BOND FUND|MUNICIPAL)\b")
 INSTRUMENT_NAME = r"(?i)\b(WARRANTS?|RIGHTS?|PREFERRED|DEPOSITARY|SUBORDINATED\s+NOTES?)\b"
 GRAM = 6
+# Places of one piece of a name in one part.
+POSTINGS = 100_000
 
 
 def norm_name_sql(col):
@@ -30,39 +32,49 @@ def with_norm_name(df: DataFrame, col="name", out="norm_name") -> DataFrame:
     return df.withColumn(out, F.expr(norm_name_sql(col)))
 
 
-def _grams(col):
-    """Every substring of the gram length; a shorter text is its own single gram."""
-    return (f"array_distinct(transform(sequence(1, greatest(length({col}) - {GRAM - 1}, 1)), "
-            f"i -> substr({col}, i, {GRAM})))")
+def _pieces(col, low, high):
+    """(at, gram) of every substring of low to high letters, the same piece at each of its places."""
+    return (f"flatten(transform(sequence({low}, {high}), n -> if(length({col}) < n, array(), transform(sequence(1, length({col}) - n + 1), "
+            f"i -> named_struct('at', i, 'gram', substr({col}, i, n))))))")
 
 
-def _short_grams(col):
-    """Every substring shorter than the gram length, for keys that short."""
-    return (f"array_distinct(flatten(transform(sequence(1, {GRAM - 1}), n -> transform("
-            f"sequence(1, greatest(length({col}) - n + 1, 1)), i -> substr({col}, i, n)))))")
+def containing_names(keys: DataFrame, known: DataFrame, hot=POSTINGS) -> DataFrame:
+    """(key, lo, hi): the least and greatest cik of the names that contain each key; keys that none contains are left out.
 
-
-def resolve_names(names: DataFrame, filers: DataFrame) -> DataFrame:
-    """(ticker, name) to a cik: a unique exact match on any current or former normalized name,
-    else a unique name that contains it; anything ambiguous stays null.
-
-    A name that contains the key contains all the key's grams, so each key meets only the names
-    that share its rarest gram: an equi-join that misses nothing, instead of comparing all pairs.
+    keys: distinct `key`.  known: distinct names with the least and greatest cik that bears them (known, lo, hi); two ciks
+    are all that a key's answer needs, so nothing more is kept.  A name that contains a key has the key's rarest piece
+    somewhere, and around that place, at the key's own distance and length, the key itself.  So a piece's places meet only
+    the shapes (distance, length) of the keys that chose it, which no name's length lets grow, instead of the keys; what
+    they cut out is folded and joined with the keys by equality.  Places of a piece with more than `hot` of them are dealt
+    to several parts, each of which gets the shapes.
     """
-    keys = with_norm_name(names).where("norm_name <> ''").withColumnRenamed("norm_name", "key")
-    known = filers.select("cik", F.explode("norm_names").alias("known")).distinct()
+    short, long = keys.where(f"length(key) < {GRAM}"), keys.where(f"length(key) >= {GRAM}")
+    ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    brief = known.select("lo", "hi", F.inline(F.expr(_pieces("known", 1, GRAM - 1)))).groupBy(F.col("gram").alias("key")).agg(*ends)
+    places = known.select("known", "lo", "hi", F.inline(F.expr(_pieces("known", GRAM, GRAM))))
+    wanted = long.select("key", F.inline(F.expr(_pieces("key", GRAM, GRAM))))
+    sizes = places.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    chosen = wanted.join(sizes, "gram", "left").groupBy("key").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at")).alias("c")).where("c.n > 0")
+    shapes = chosen.select("c.gram", "c.at", F.length("key").alias("len"), F.expr(f"cast(c.n DIV {hot} AS int)").alias("parts")).distinct()
+    parts = shapes.select("gram", "parts").distinct()
+    dealt = places.join(parts, "gram").withColumn("part", F.expr("pmod(hash(known, at), parts + 1)")).drop("parts")
+    shapes = shapes.select("gram", F.col("at").alias("off"), "len", F.explode(F.expr("sequence(0, parts)")).alias("part"))
+    cut = dealt.join(shapes, ["gram", "part"]).where("at >= off AND at - off + len <= length(known)")
+    cut = cut.groupBy(F.expr("substr(known, at - off + 1, len)").alias("key")).agg(*ends)
+    return long.join(cut, "key").unionByName(short.join(brief, "key"))
+
+
+def resolve_names(names: DataFrame, filers: DataFrame, hot=POSTINGS) -> DataFrame:
+    """(ticker, name) to a cik: a unique exact match on any current or former normalized name,
+    else a unique name that contains it; anything ambiguous stays null."""
+    keys = with_norm_name(names).where("norm_name <> ''").select("ticker", F.col("norm_name").alias("key"))
+    known = filers.select("cik", F.explode("norm_names").alias("known")).groupBy("known").agg(F.min("cik").alias("lo"), F.max("cik").alias("hi"))
     exact = (keys.join(known, F.col("key") == F.col("known")).groupBy("ticker")
-             .agg(F.expr("if(count(DISTINCT cik) = 1, min(cik), NULL)").alias("exact_cik"),
-                  F.lit(True).alias("hit")))
-    open_keys = keys.select("ticker", "key").join(exact, "ticker", "left_anti")
-    grams = known.select("cik", "known", F.explode(F.expr(
-        f"array_union({_grams('known')}, {_short_grams('known')})")).alias("gram"))
-    wanted = open_keys.select("ticker", "key", F.explode(F.expr(_grams("key"))).alias("gram"))
-    sizes = grams.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
-    rarest = (wanted.join(sizes, "gram", "left").groupBy("ticker", "key")
-              .agg(F.expr("min_by(gram, struct(coalesce(count, 0), gram))").alias("gram")))
-    part = (rarest.join(grams, "gram").where("contains(known, key)").groupBy("ticker")
-            .agg(F.expr("if(count(DISTINCT cik) = 1, min(cik), NULL)").alias("part_cik")))
+             .agg(F.expr("if(min(lo) = max(hi), min(lo), NULL)").alias("exact_cik"), F.lit(True).alias("hit")))
+    open_keys = keys.join(exact, "ticker", "left_anti")
+    part = (open_keys.join(containing_names(open_keys.select("key").distinct(), known, hot), "key").groupBy("ticker")
+            .agg(F.expr("if(min(lo) = max(hi), min(lo), NULL)").alias("part_cik")))
     return (names.select("ticker").join(exact, "ticker", "left").join(part, "ticker", "left")
             .select("ticker", F.expr("if(hit, exact_cik, part_cik)").alias("cik")))
 

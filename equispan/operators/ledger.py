@@ -2,6 +2,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ranks
+from ..functions.asof import asof_join
 from ..functions.exprs import with_exprs
 from ..functions.staging import stage
 
@@ -16,8 +17,7 @@ def session_calendar(sessions: DataFrame) -> DataFrame:
 
 def session_asof(df: DataFrame, sessions: DataFrame, day="day") -> DataFrame:
     """The newest session on or before each day; null before the first."""
-    cal = F.broadcast(session_calendar(sessions))
-    return df.join(cal, F.expr(f"{day} >= session AND (until IS NULL OR {day} < until)"), "left").drop("until")
+    return asof_join(df, session_calendar(sessions), day, "session", {"session": "session", "pos": "pos"})
 
 
 def collapse_runs(snapshots: DataFrame, sessions: DataFrame) -> DataFrame:

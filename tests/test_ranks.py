@@ -69,3 +69,28 @@ def test_ties_that_begin_alike_are_split(spark, prefix):
         out = {r.t: r.position for r in ranks.with_position(df, "v", ["g"], "t", target=10).collect()}
         assert out == {t: k + 2 for k, t in enumerate(sorted(keys))} | {"z": 1}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def tail(kind):
+    if kind == "bunched":
+        return [1 + k * 1e-12 for k in range(700)]
+    if kind == "bunched with far ends":
+        return [1 + k * 1e-15 for k in range(0, 3000, 5)] + [1.08, 1.0 + 1e-6, -3e300, 5e-324, -5e-324, 0.0]
+    return [s * 1.7 ** k * 10.0 ** -200 for k in range(0, 1300, 2) for s in (1, -1)] + [float(k) for k in range(300)]
+
+
+@pytest.mark.parametrize("kind", ["bunched", "bunched with far ends", "heavy tail"])
+def test_no_slice_is_crowded(spark, kind):
+    values = list(dict.fromkeys(tail(kind)))
+    random.Random(1).shuffle(values)
+    df = spark.createDataFrame([("g", v) for v in values for _ in range(1 + (v > 1))], "g string, v double")
+    cells = ranks.value_cells(df, "v", ["g"], target=20).collect()
+    sizes = {}
+    for r in cells:
+        sizes[r._b, r._s] = sizes.get((r._b, r._s), 0) + 1
+    assert max(sizes.values()) <= 20
+    below = 0
+    for r in sorted(cells, key=lambda r: r.v):
+        assert (r.n_lt, r.n_all) == (below, df.count() if below == 0 else r.n_all)
+        below += r.n_eq
+    assert len(cells) == len(values)
