@@ -1,4 +1,6 @@
 """Point-in-time backtest and momentum study."""
+import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..assumptions import CFG, CYCLICAL_VOL, WEIGHTS
@@ -10,11 +12,26 @@ from . import crosssection as x, fundamentals as fd, metrics as m, prices as px,
 TAX, ERP = 0.21, 0.05
 
 
+def quarter_list_sql(start, end):
+    """The quarter ends in [start, end] as SQL for an array; none where the span holds none."""
+    months = f"sequence(add_months(trunc(DATE'{start}', 'quarter'), 2), greatest(DATE'{end}', add_months(trunc(DATE'{start}', 'quarter'), 2)), INTERVAL 3 MONTHS)"
+    return f"filter(transform({months}, m -> last_day(m)), q -> q BETWEEN DATE'{start}' AND DATE'{end}')"
+
+
 def quarter_ends(spark, start, end):
     """B1: the quarter ends in [start, end]."""
-    return spark.sql(
-        f"SELECT last_day(m) AS qdate FROM (SELECT explode(sequence(add_months(trunc(DATE'{start}', 'quarter'), 2), "
-        f"DATE'{end}', INTERVAL 3 MONTHS)) AS m) WHERE last_day(m) BETWEEN DATE'{start}' AND DATE'{end}'")
+    return spark.sql(f"SELECT explode({quarter_list_sql(start, end)}) AS qdate")
+
+
+#: Windows of a validation: all dates, those before the fit, the fit's, and those held out, in thirds of the span.
+WINDOW_THIRDS = {"full": (0, 3), "pre": (0, 1), "fit": (1, 2), "holdout": (2, 3)}
+
+
+def split_windows(start, end):
+    """(label, first day, last day) of each window over the dates from start to end, both included."""
+    days = (end - start).days
+    cuts = [start + datetime.timedelta(days=days * k // 3) for k in range(4)]
+    return [(n, cuts[a] + datetime.timedelta(days=a > 0), cuts[b]) for n, (a, b) in WINDOW_THIRDS.items()]
 
 
 def _mean_all(arr, value, where):
@@ -25,14 +42,14 @@ def _mean_all(arr, value, where):
 
 def pit_signals(members, pit, prices, splits, rf, sectors, market) -> DataFrame:
     """One row per (quarter, member) with everything knowable on that date.  Value is set against the
-    close; returns, beta and momentum use the adjusted close."""
+    close; returns, beta and momentum use the adjusted close.  Histories are spread over members' quarters only."""
     dates = members.select("qdate").distinct()
-    known = fd.series_asof(pit.where("concept <> 'shares_wab'"), dates).withColumnRenamed("fy", "fiscal_year")
+    known = fd.series_asof(pit.where("concept <> 'shares_wab'"), dates, members).withColumnRenamed("fy", "fiscal_year")
     hist = m.company_series(known, ("qdate", "ticker"))
     mom = px.momentum_12_1(prices).join(prices.select("ticker", "month", "close"), ["ticker", "month"])
     px_m = mom.join(px.rolling_betas(prices, market), ["ticker", "month"], "left")
     rates = px.rf_locf(rf, dates.select(F.trunc("qdate", "month").alias("month")))
-    df = (members.join(hist, ["qdate", "ticker"]).join(fd.shares_asof(pit, splits, dates), ["qdate", "ticker"])
+    df = (members.join(hist, ["qdate", "ticker"]).join(fd.shares_asof(pit, splits, dates, members), ["qdate", "ticker"])
           .withColumn("month", F.trunc("qdate", "month")).join(px_m, ["ticker", "month"])
           .join(F.broadcast(rates), "month").join(sectors, "ticker", "left"))
     rev = overlap("revenue")
@@ -235,8 +252,9 @@ def coverage_means(covered: DataFrame) -> DataFrame:
     return covered.agg(F.count(F.lit(1)).alias("quarters"), F.avg("share").alias("mean_share"), F.expr("avg(if(early, share, NULL))").alias("early_share"))
 
 
-def survivorship_gap(curve: DataFrame, proxy: DataFrame, windows, least=8) -> DataFrame:
-    """Growth of the covered pool against an index proxy over the same quarters.
+def survivorship_gap(curve: DataFrame, proxy: DataFrame, windows, cap_proxy: DataFrame, least=8) -> DataFrame:
+    """Growth of the covered pool against an equal-weight index proxy over the same quarters, and the growth of a
+    cap-weighted one beside it where that has a price at both ends.
     curve: (qdate, bench level after that quarter); proxy: (month, adjclose).  A level stands at the quarter's end, which
     is the next quarter's date, and the pool starts at one."""
     start = curve.agg(F.min("qdate").alias("qdate")).where("qdate IS NOT NULL").withColumn("bv", F.lit(1.0))
@@ -244,20 +262,27 @@ def survivorship_gap(curve: DataFrame, proxy: DataFrame, windows, least=8) -> Da
     p = proxy.where("adjclose <> 0").select("month", F.col("adjclose").alias("pv"))
     rows = _in_windows(curve.join(p, F.trunc("qdate", "month") == p.month), windows, "qdate")
     s = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min_by("bv", "qdate").alias("b0"), F.max_by("bv", "qdate").alias("b1"),
-                                  F.min_by("pv", "qdate").alias("p0"), F.max_by("pv", "qdate").alias("p1")).where(f"n >= {least}")
-    s = with_exprs(s, covered="pow(b1 / b0, 4D / (n - 1)) - 1", index_ew="pow(p1 / p0, 4D / (n - 1)) - 1")
-    return with_exprs(s, gap_pp="(covered - index_ew) * 100").select("label", "covered", "index_ew", "gap_pp")
+                                  F.min_by("pv", "qdate").alias("p0"), F.max_by("pv", "qdate").alias("p1"),
+                                  F.trunc(F.min("qdate"), "month").alias("m0"), F.trunc(F.max("qdate"), "month").alias("m1")).where(f"n >= {least}")
+    c = cap_proxy.where("adjclose <> 0")
+    for end in "01":
+        s = s.join(c.select(F.col("month").alias(f"m{end}"), F.col("adjclose").alias(f"c{end}")), f"m{end}", "left")
+    s = with_exprs(s, covered="pow(b1 / b0, 4D / (n - 1)) - 1", index_ew="pow(p1 / p0, 4D / (n - 1)) - 1",
+                   index_cap="pow(c1 / c0, 4D / (n - 1)) - 1")
+    return with_exprs(s, gap_pp="(covered - index_ew) * 100").select("label", "covered", "index_ew", "gap_pp", "index_cap")
 
 
 MOMENTUM_VARIANTS = {  # fixed values: trend filter, cost per side
     "MOM (gross)": (False, 0.0), "MOM (net 10bp)": (False, 0.0010), "MOM (net 25bp)": (False, 0.0025), "MOM+trend (net)": (True, 0.0010)}
 
 
-def momentum_study(prices, membership, market, start, windows, least_names=20, least_months=24) -> DataFrame:
+def momentum_study(prices, membership, market, windows, start=None, least_names=20, least_months=24) -> DataFrame:
     """Monthly top quintile by 12-1 momentum, its cost, and a market-trend filter."""
     from .membership import members_asof
     nxt = market.where("adjclose <> 0").select(F.add_months("month", -1).alias("month"))
-    months = prices.select("month").distinct().join(nxt, "month", "left_semi").where(F.col("month") >= F.lit(start).cast("date"))
+    months = prices.select("month").distinct().join(nxt, "month", "left_semi")
+    if start is not None:
+        months = months.where(F.col("month") >= F.lit(start).cast("date"))
     mk = px.momentum_12_1(market.withColumn("ticker", F.lit("M"))).select("month", F.col("mom").alias("mkt_mom"))
     mom = px.momentum_12_1(prices)
     ahead = prices.select("ticker", F.add_months("month", -1).alias("month"), F.col("adjclose").alias("p1"))

@@ -176,36 +176,52 @@ def _visible_from(pit: DataFrame, dates: DataFrame, extra) -> DataFrame:
     return pit.join(F.broadcast(days), "filed").select("qdate", "pos", "n_dates", *extra)
 
 
-def _spread(cover: DataFrame, keys, dates: DataFrame) -> DataFrame:
-    """Rows (keys, pos, n_dates, ...) repeated for each date up to the next row of the same keys, as d."""
+def _asked(members: DataFrame, dates: DataFrame) -> DataFrame:
+    """The numbers of the dates that each ticker is asked for, as one array no longer than the calendar."""
+    cal = F.broadcast(_calendar(dates).select("qdate", "pos"))
+    return members.join(cal, "qdate").groupBy("ticker").agg(F.collect_set("pos").alias("_asked"))
+
+
+def _spread(cover: DataFrame, keys, dates: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, pos, n_dates, ...) repeated for each date up to the next row of the same keys, as d; with `asked`
+    only for the dates that the row's ticker is asked for."""
     until = F.coalesce(F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos")), F.col("n_dates") + 1)
     rows = cover.withColumn("_until", until)
-    rows = rows.withColumn("pos", F.explode(F.expr("sequence(cast(pos AS int), cast(_until - 1 AS int))"))).drop("_until")
+    if asked is None:
+        spots = F.expr("sequence(cast(pos AS int), cast(_until - 1 AS int))")
+    else:
+        rows, spots = rows.join(asked, "ticker"), F.expr("filter(_asked, p -> p >= pos AND p < _until)")
+    rows = rows.withColumn("pos", F.explode(spots)).drop("_until", "_asked")
     cal = _calendar(dates).select("pos", F.col("qdate").alias("d"))
     return rows.join(F.broadcast(cal), "pos")
 
 
-def series_asof(pit: DataFrame, dates: DataFrame) -> DataFrame:
+def series_asof(pit: DataFrame, dates: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """per date, the newest value filed on or before it for each fiscal year.
 
     Vintages fold to one per (series, first visible date) before any history is spread over
-    the calendar, and each then covers the dates up to its successor.
+    the calendar, and each then covers the dates up to its successor.  With members (qdate, ticker) only
+    their rows are read: other tickers' filings go before the first shuffle, other dates are never made.
     """
     keys = ["ticker", "concept", "fy"]
+    asked = None if members is None else _asked(members, dates)
+    pit = pit if asked is None else pit.join(asked.select("ticker"), "ticker", "left_semi")
     first = (_visible_from(pit, dates, [*keys, "filed", "value"]).groupBy("pos", "n_dates", *keys)
              .agg(F.max_by("value", "filed").alias("value")))
-    return _spread(first, keys, dates).select(F.col("d").alias("qdate"), *keys, "value")
+    return _spread(first, keys, dates, asked).select(F.col("d").alias("qdate"), *keys, "value")
 
 
-def shares_asof(pit: DataFrame, splits: DataFrame, dates: DataFrame) -> DataFrame:
-    """share count of the latest period end filed by the date, on today's split basis."""
+def shares_asof(pit: DataFrame, splits: DataFrame, dates: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """share count of the latest period end filed by the date, on today's split basis; of members only, if given."""
     rows = pit.where("concept = 'shares_wab'")
+    asked = None if members is None else _asked(members, dates)
+    rows = rows if asked is None else rows.join(asked.select("ticker"), "ticker", "left_semi")
     first = (_visible_from(rows, dates, ["ticker", "end_date", "filed", "value"]).groupBy("pos", "n_dates", "ticker")
              .agg(F.expr("max_by(struct(end_date, value), struct(end_date, -datediff(filed, DATE'1900-01-01')))")
                   .alias("p")))
     run = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     best = F.max(F.struct("p.end_date", (-F.col("pos")).alias("o"), "p.value"))
-    held = _spread(first.withColumn("p", best.over(run)), ["ticker"], dates).select(
+    held = _spread(first.withColumn("p", best.over(run)), ["ticker"], dates, asked).select(
         F.col("d").alias("qdate"), "ticker", "p.end_date", "p.value")
     ends = held.select("ticker", "end_date").distinct()
     mult = (ends.join(splits, "ticker").where("sdate > end_date").groupBy("ticker", "end_date")

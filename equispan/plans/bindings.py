@@ -4,6 +4,9 @@ Money is summed as whole numbers (cents times percent), so sums are exact in any
 """
 from pyspark.sql import Window, functions as F
 
+from ..functions.staging import keep
+from ..operators.backtest import quarter_list_sql
+
 SECTORS = {  # fixed values: one sector per market segment / region
     "AUTOMOBILE": "Industrials", "BUILDING": "Real Estate", "FURNITURE": "Energy",
     "HOUSEHOLD": "Financials", "MACHINERY": "Information Technology",
@@ -166,10 +169,23 @@ def monthly_prices(spark, sf_dir):
                     F.expr("close * (0.7D + ((year(month) - 1995) * 12 + month(month)) / 400D)").alias("adjclose")))
 
 
+def date_span(spark, sf_dir):
+    """First and last day of the line items: the calendar that quarters, membership and windows are taken from."""
+    return tuple(keep(spark, sf_dir, "date_span", lambda: table(spark, sf_dir, "lineitem").agg(
+        F.to_date(F.min("l_shipdate")).alias("a"), F.to_date(F.max("l_shipdate")).alias("z"))).first())
+
+
 def market_prices(prices):
     return prices.groupBy("month").agg(F.avg("adjclose").alias("adjclose"))
 
 
+def cap_weighted_prices(prices):
+    """A second proxy, weighted by share counts; months that fall on a multiple of seven since 1970 have no price."""
+    shares = F.col("ticker").cast("long") % 5 + 1
+    return (prices.where("floor(months_between(month, DATE'1970-01-01')) % 7 <> 0").groupBy("month")
+            .agg((F.sum(F.col("adjclose") * shares) / F.sum(shares)).alias("adjclose")))
+
+
 def supplier_sectors(spark, sf_dir):
     sup, nat, reg = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return (sup.join(nat, sup.s_nationkey == nat.n_nationkey).join(reg, nat.n_regionkey == reg.r_regionkey)
@@ -219,9 +235,8 @@ def pit_vintages(spark, sf_dir):
 
 def quarter_members(spark, sf_dir, start, end):
     """Nine suppliers in ten, a different tenth left out each quarter from the first to the last date."""
-    quarters = f"transform(sequence(trunc(DATE'{start}', 'month'), DATE'{end}', INTERVAL 3 MONTHS), m -> last_day(m))"
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    return (sup.withColumn("qdate", F.explode(F.expr(quarters)))
+    return (sup.withColumn("qdate", F.explode(F.expr(quarter_list_sql(start, end))))
             .where("(k + year(qdate) * 4 + quarter(qdate)) % 10 <> 0")
             .select("qdate", F.col("k").cast("string").alias("ticker")))
 

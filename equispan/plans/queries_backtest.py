@@ -1,4 +1,6 @@
 """Queries over prices, membership and the backtest."""
+import datetime
+
 from pyspark.sql import functions as F
 
 from . import bindings as b
@@ -8,10 +10,16 @@ from ..functions.staging import keep, stage
 from ..operators import backtest as bt, membership as mb, prices as px
 from ..sources import sinks
 
-WEEKS = ["2024-01-07", "2024-01-14", "2024-01-21", "2024-01-28"]
-WINDOWS = [("full", "1996-12-31", "2001-09-30"), ("early", "1996-12-31", "1999-06-30"), ("late", "1999-03-31", "2001-09-30")]
-MONTH_WINDOWS = [("full", "1996-01-01", "2001-12-01"), ("early", "1996-01-01", "1998-12-01"), ("late", "1999-01-01", "2001-12-01")]
-START, END = WINDOWS[0][1:]
+
+def windows(spark, d):
+    """Four windows over the quarters that the line items' dates span."""
+    a, z = bt.quarter_ends(spark, *b.date_span(spark, d)).agg(F.min("qdate"), F.max("qdate")).first()
+    return bt.split_windows(a, z)
+
+
+def month_windows(spark, d):
+    a, z = b.date_span(spark, d)
+    return bt.split_windows(a.replace(day=1), z.replace(day=1))
 
 
 def monthly(spark, d):
@@ -70,7 +78,7 @@ def live_momentum(spark, d):
 
 
 def forward(spark, d):
-    return px.forward_returns(monthly(spark, d), bt.quarter_ends(spark, START, END))
+    return px.forward_returns(monthly(spark, d), bt.quarter_ends(spark, *b.date_span(spark, d)))
 
 
 @query
@@ -103,7 +111,10 @@ def quarter_calendar(spark, d):
 
 @query
 def membership_walkback(spark, d):
-    return tidy(mb.membership_asof(b.index_current(spark, d), b.index_changes(spark, d), WEEKS), ["qdate", "ticker"])
+    """Each seventh day of the change log, from its first."""
+    a, z = b.index_changes(spark, d).agg(F.min("date"), F.max("date")).first()
+    weeks = [str(a + datetime.timedelta(days=k)) for k in range(6, (z - a).days + 1, 7)]
+    return tidy(mb.membership_asof(b.index_current(spark, d), b.index_changes(spark, d), weeks), ["qdate", "ticker"])
 
 
 @query
@@ -112,7 +123,7 @@ def walkback_anomalies(spark, d):
 
 
 def members(spark, d):
-    return b.quarter_members(spark, d, START, END)
+    return b.quarter_members(spark, d, *b.date_span(spark, d))
 
 
 @query
@@ -189,31 +200,33 @@ def curve_stats(spark, d):
 
 @query
 def split_validation(spark, d):
-    out = bt.split_validation(picked(spark, d), WINDOWS, members(spark, d))
+    out = bt.split_validation(picked(spark, d), windows(spark, d), members(spark, d))
     return tidy(out, ["variant", "label", "periods"], excess=4, hit_rate=3)
 
 
 @query
 def signal_coverage(spark, d):
-    out = bt.coverage(members(spark, d), signals(spark, d), early="1999-01-01")
+    out = bt.coverage(members(spark, d), signals(spark, d), early=windows(spark, d)[2][1])
     return tidy(out.withColumn("early", F.col("early").cast("int")), ["qdate", "members", "signals", "early"], share=4)
 
 
 @query
 def coverage_means(spark, d):
-    out = bt.coverage(members(spark, d), signals(spark, d), early="1999-01-01")
+    out = bt.coverage(members(spark, d), signals(spark, d), early=windows(spark, d)[2][1])
     return tidy(bt.coverage_means(out), ["quarters"], mean_share=6, early_share=6)
 
 
 @query
 def survivorship_gap(spark, d):
     curve = bt.equity_curve(returns(spark, d).where("variant = 'v2rd'"))
-    return tidy(bt.survivorship_gap(curve.select("qdate", "bv"), market(spark, d), WINDOWS), ["label"], covered=4, index_ew=4, gap_pp=1)
+    return tidy(bt.survivorship_gap(
+        curve.select("qdate", "bv"), market(spark, d), windows(spark, d), b.cap_weighted_prices(monthly(spark, d))),
+        ["label"], covered=4, index_ew=4, gap_pp=1, index_cap=4)
 
 
 @query
 def momentum_study(spark, d):
-    out = bt.momentum_study(monthly(spark, d), members(spark, d), market(spark, d), "1996-12-01", MONTH_WINDOWS)
+    out = bt.momentum_study(monthly(spark, d), members(spark, d), market(spark, d), month_windows(spark, d))
     return tidy(out, ["variant", "label", "periods"], excess=4, hit_rate=3, strat_cagr=4, strat_sharpe=2, strat_dd=3, turnover=3)
 
 
@@ -221,7 +234,7 @@ def momentum_study(spark, d):
 def price_upsert(spark, d):
     """K2: the last months re-delivered a tenth higher, with one extra ticker."""
     old = monthly(spark, d).select("ticker", "month", "adjclose")
-    new = old.where("month >= DATE'2001-06-01'").withColumn("adjclose", F.col("adjclose") * 1.1).unionByName(
+    new = old.where(F.col("month") >= F.add_months(F.lit(b.date_span(spark, d)[1]), -6)).withColumn("adjclose", F.col("adjclose") * 1.1).unionByName(
         old.where("ticker = '3'").withColumn("ticker", F.lit("NEW")))
     out = sinks.upsert(old, new, ["ticker", "month"]).withColumn("adjclose", F.col("adjclose") * 1.000123)  # clear of exact halves
     return tidy(out, ["ticker", "month"], adjclose=6)

@@ -83,9 +83,12 @@ def share_class_dedupe(spark, d):
 
 @query
 def resume_ingest(spark, d):
+    """Each company has a newcomer beside it of which only four concepts are known."""
     fin = b.financials(spark, d)
-    thin = fin.where("concept IN ('revenue', 'ebit', 'cash', 'equity') OR cast(ticker AS bigint) % 4 <> 0")
-    return en.to_ingest(b.companies(spark, d, fin).select("ticker", "name"), thin)
+    comp = b.companies(spark, d, fin).select("ticker", "name")
+    new = F.concat(F.lit("N"), "ticker")
+    begun = fin.where("concept IN ('revenue', 'ebit', 'cash', 'equity')").withColumn("ticker", new)
+    return en.to_ingest(comp.unionByName(comp.withColumn("ticker", new)), fin.unionByName(begun))
 
 
 @query
@@ -145,9 +148,13 @@ def coverage_regression(spark, d):
 
 @query
 def ghost_tripwire(spark, d):
+    """Each company has a ghost beside it that only has the revenue of the table's first two years."""
     fin = b.financials(spark, d)
-    few = fin.where("cast(ticker AS bigint) % 20 <> 1 OR (concept = 'revenue' AND fiscal_year < 1997)")
-    return q.ghosts(b.companies(spark, d, fin), few)
+    comp = b.companies(spark, d, fin).select("ticker", "cik")
+    ghost = F.concat(F.lit("G"), "ticker")
+    first = fin.agg((F.min("fiscal_year") + 2).alias("_until"))
+    few = fin.where("concept = 'revenue'").join(F.broadcast(first), F.col("fiscal_year") < F.col("_until")).drop("_until")
+    return q.ghosts(comp.unionByName(comp.withColumn("ticker", ghost)), fin.unionByName(few.withColumn("ticker", ghost)))
 
 
 @query
@@ -163,8 +170,12 @@ def tag_fallback(spark, d):
 
 @query
 def coverage_gate(spark, d):
-    fin = b.financials(spark, d).where("cast(ticker AS bigint) % 12 <> 0 OR concept < 'd'")
-    out = q.coverage_gate(b.companies(spark, d), fin)
+    """One newcomer for each twelve companies, with the concepts of theirs that come first in the alphabet."""
+    fin = b.financials(spark, d)
+    new = F.expr("concat('N', cast(ticker AS bigint) DIV 12)")
+    names = b.companies(spark, d, fin).select("ticker")
+    names = names.unionByName(names.select(new.alias("ticker")).distinct())
+    out = q.coverage_gate(names, fin.unionByName(fin.where("concept < 'd'").withColumn("ticker", new)))
     return out.withColumn("gate_pass", F.col("gate_pass").cast("int"))
 
 

@@ -18,17 +18,14 @@ def closes(spark, d):
 
 @query
 def weekly_gate(spark, d):
-    """Three universes: a new week (written), the same week (skipped), the same day again (replaced)."""
-    # The second model's days come two weeks later.
-    s = snaps(spark, d).withColumn("_day", F.expr("date_sub(to_date(run_date), if(model = 'm1', 0, 14))"))
-    half = "if(hour(run_date) < 12, 0, 1)"
-    old = (s.where("_day <= DATE'2024-01-12'").withColumn("universe", F.explode(F.array(F.lit("week"), F.lit("skip"), F.lit("again"))))
-           .where(f"universe <> 'again' OR _day < DATE'2024-01-12' OR {half} = 0")
-           .where("universe <> 'skip' OR _day < DATE'2024-01-12'"))
-    new = (s.where("_day = DATE'2024-01-15'").withColumn("universe", F.lit("week"))
-           .unionByName(s.where("_day = DATE'2024-01-12'").withColumn("universe", F.lit("skip")))
-           .unionByName(s.where(f"_day = DATE'2024-01-12' AND {half} = 1").withColumn("universe", F.lit("again"))))
-    out = sn.append_snapshots(old.drop("_day"), new.drop("_day"))
+    """All snapshots in three universes: their last day arrives in a new week, in the week of the day before, and again
+    on the day itself."""
+    s = snaps(spark, d)
+    top = s.groupBy("model").agg(F.max(F.to_date("run_date")).alias("_top"))
+    s = s.join(top, "model").withColumn("universe", F.explode(F.array(F.lit("week"), F.lit("skip"), F.lit("again"))))
+    s = with_exprs(s, _new="to_date(run_date) = _top AND (universe <> 'again' OR hour(run_date) >= 12)")
+    s = s.withColumn("run_date", F.expr("if(universe = 'week' AND NOT _new, run_date - INTERVAL 7 DAYS, run_date)"))
+    out = sn.append_snapshots(s.where("NOT _new").drop("_new", "_top"), s.where("_new").drop("_new", "_top"))
     return out.groupBy("universe", "model", F.to_date("run_date").cast("string").alias("day")).agg(
         F.countDistinct("run_date").alias("runs"), F.count(F.lit(1)).alias("n"))
 

@@ -94,19 +94,19 @@ def pit_vintages(spark, d):
     return tidy(f.pit_vintages(picked(spark, d)), ["cik", "ns", "concept", "fy", "filed", "end_date"], value=2)
 
 
-def quarters(spark):
-    return bt.quarter_ends(spark, "1996-12-31", "2001-09-30")
+def quarters(spark, d):
+    return bt.quarter_ends(spark, *b.date_span(spark, d))
 
 
 @query
 def series_asof(spark, d):
-    out = f.series_asof(b.pit_vintages(spark, d), quarters(spark)).withColumn("value_m", F.col("value") / 999983.0)
+    out = f.series_asof(b.pit_vintages(spark, d), quarters(spark, d)).withColumn("value_m", F.col("value") / 999983.0)
     return tidy(out, ["qdate", "ticker", "concept", "fy"], value_m=6)
 
 
 @query
 def shares_asof(spark, d):
-    out = f.shares_asof(b.pit_vintages(spark, d), b.splits(spark, d), quarters(spark))
+    out = f.shares_asof(b.pit_vintages(spark, d), b.splits(spark, d), quarters(spark, d))
     return tidy(out, ["qdate", "ticker", "end_date"], shares=1)
 
 

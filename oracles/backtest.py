@@ -120,12 +120,15 @@ view("cv", "SELECT *, sv / greatest(1, max(sv) OVER w) - 1 AS sd, bv / greatest(
 STAT = ("count(*) AS periods, round(count(*) FILTER (strat > bench) / count(*), 3) AS hit_rate, round(pow(arg_max(sv, t), {p}.0 / count(*)) - 1, 4) AS strat_cagr, round(pow(arg_max(bv, t), {p}.0 / count(*)) - 1, 4) AS bench_cagr, "
         "round(avg(strat) * {p} / (stddev_pop(strat) * sqrt({p})), 2) AS strat_sharpe, round(avg(bench) * {p} / (stddev_pop(bench) * sqrt({p})), 2) AS bench_sharpe, round(least(0, min(sd)), 3) AS strat_dd, "
         "round(least(0, min(bd)), 3) AS bench_dd, round(avg(turnover), 3) AS turnover, round(avg(n), 1) AS names")
-view("wins", "SELECT * FROM (VALUES ('full', DATE '1996-12-31', DATE '2001-09-30'), ('early', DATE '1996-12-31', DATE '1999-06-30'), ('late', DATE '1999-03-31', DATE '2001-09-30')) t(label, a, b)")
+THIRDS = "(VALUES ('full', 0, 3), ('pre', 0, 1), ('fit', 1, 2), ('holdout', 2, 3)) t(label, i, j)"
+view("wins", f"SELECT label, a0 + ((z0 - a0) * i // 3)::INT + (i > 0)::INT AS a, a0 + ((z0 - a0) * j // 3)::INT AS b FROM (SELECT min(qdate) AS a0, max(qdate) AS z0 FROM qd), {THIRDS}")
+view("mwins", f"SELECT label, a0 + ((z0 - a0) * i // 3)::INT + (i > 0)::INT AS a, a0 + ((z0 - a0) * j // 3)::INT AS b FROM (SELECT date_trunc('month', a)::DATE AS a0, date_trunc('month', z)::DATE AS z0 FROM span), {THIRDS}")
+view("mkc", """SELECT month, sum(adjclose * (ticker::BIGINT % 5 + 1)) / sum(ticker::BIGINT % 5 + 1) AS adjclose FROM pxm WHERE ((year(month) - 1970) * 12 + month(month) - 1) % 7 <> 0 GROUP BY 1""")
 view("wrt", "SELECT variant, label, qdate, strat, bench FROM rt JOIN wins ON qdate BETWEEN a AND b WHERE qdate < (SELECT max(qdate) FROM qd WHERE qd.qdate <= b)")
 view("wcv", "SELECT *, round(product(1 + strat) OVER w, 4) AS sv, round(product(1 + bench) OVER w, 4) AS bv FROM wrt WINDOW w AS (PARTITION BY variant, label ORDER BY qdate)")
 view("mmem", "SELECT m.month, q.ticker FROM (SELECT m.month, max(qd.qdate) AS qdate FROM (SELECT DISTINCT month FROM pxm) m JOIN qd ON date_trunc('month', qd.qdate) <= m.month GROUP BY 1) m JOIN qmem q USING (qdate)")
 view("mrow", """SELECT mm.month, mm.ticker, mom, n.adjclose / p.adjclose - 1 AS fwd FROM mmem mm JOIN mom p USING (month, ticker) JOIN pxm n ON n.ticker = mm.ticker AND n.month = mm.month + INTERVAL 1 MONTH
-  WHERE mom IS NOT NULL AND mm.month >= DATE '1996-12-01' AND EXISTS (SELECT 1 FROM mkt WHERE mkt.month = mm.month + INTERVAL 1 MONTH)""")
+  WHERE mom IS NOT NULL AND EXISTS (SELECT 1 FROM mkt WHERE mkt.month = mm.month + INTERVAL 1 MONTH)""")
 view("mpk", """SELECT *, count(*) OVER (PARTITION BY month) AS n, row_number() OVER (PARTITION BY month ORDER BY mom DESC, ticker) <= greatest(10, count(*) OVER (PARTITION BY month) // 5) AS held FROM mrow QUALIFY n >= 20""")
 view("mret", """SELECT r.month, r.n, r.top, r.bench, k.kept, t.mm FROM (SELECT month, max(n) AS n, avg(fwd) FILTER (held) AS top, avg(fwd) AS bench, lag(month) OVER (ORDER BY month) AS prev FROM mpk GROUP BY 1) r
   LEFT JOIN (SELECT a.month, b.month AS prev, count(*) AS kept FROM mpk a JOIN mpk b ON a.held AND b.held AND a.ticker = b.ticker GROUP BY 1, 2) k ON k.month = r.month AND k.prev = r.prev
@@ -133,8 +136,7 @@ view("mret", """SELECT r.month, r.n, r.top, r.bench, k.kept, t.mm FROM (SELECT m
 view("mv0", """SELECT *, NOT trend OR coalesce(nullif(mm, 0), -1) > 0 AS rison FROM mret, (VALUES ('MOM (gross)', false, 0.0), ('MOM (net 10bp)', false, 0.0010), ('MOM (net 25bp)', false, 0.0025), ('MOM+trend (net)', true, 0.0010)) v(variant, trend, cost)""")
 view("mv1", """SELECT *, CASE WHEN rison THEN 1 - CASE WHEN was THEN coalesce(kept, 0) ELSE 0 END / greatest(10, n // 5) WHEN was THEN 1 ELSE 0 END AS turnover FROM
   (SELECT *, coalesce(lag(rison) OVER (PARTITION BY variant ORDER BY month), false) AS was FROM mv0)""")
-view("mv2", """SELECT variant, label, month AS t, n, turnover, CASE WHEN rison THEN top ELSE bench END - turnover * 2 * cost AS strat, bench FROM mv1 JOIN (VALUES ('full', DATE '1996-01-01', DATE '2001-12-01'), ('early', DATE '1996-01-01', DATE '1998-12-01'),
-  ('late', DATE '1999-01-01', DATE '2001-12-01')) w(label, a, b) ON month BETWEEN a AND b""")
+view("mv2", """SELECT variant, label, month AS t, n, turnover, CASE WHEN rison THEN top ELSE bench END - turnover * 2 * cost AS strat, bench FROM mv1 JOIN mwins ON month BETWEEN a AND b""")
 view("mv3", "SELECT *, product(1 + strat) OVER w AS sv, product(1 + bench) OVER w AS bv FROM mv2 WINDOW w AS (PARTITION BY variant, label ORDER BY t)")
 view("mv4", "SELECT *, sv / greatest(1, max(sv) OVER w) - 1 AS sd, bv / greatest(1, max(bv) OVER w) - 1 AS bd FROM mv3 WINDOW w AS (PARTITION BY variant, label ORDER BY t)")
 CUTS = {"1M": "top - 30", "6M": "top - 182", "YTD": "date_trunc('year', top)::DATE", "1Y": "top - 365", "5Y": "top - 1826", "MAX": "DATE '1900-01-01'"}
@@ -162,7 +164,7 @@ SQL = {
       FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY month DESC) AS r FROM pxm) WHERE r <= 60 GROUP BY 2"""),
     "quarter_calendar": sql("""SELECT q::VARCHAR AS qdate FROM (SELECT last_day(m)::DATE AS q FROM (SELECT unnest(generate_series((SELECT date_trunc('year', min(o_orderdate))::DATE + INTERVAL 2 MONTH FROM orders), (SELECT max(o_orderdate)::DATE + INTERVAL 3 MONTH FROM orders), INTERVAL 3 MONTH)) AS m))
       WHERE q BETWEEN (SELECT min(o_orderdate)::DATE FROM orders) AND (SELECT max(o_orderdate)::DATE FROM orders)"""),
-    "membership_walkback": sql("""WITH w AS (SELECT unnest([DATE '2024-01-07', DATE '2024-01-14', DATE '2024-01-21', DATE '2024-01-28']) AS qdate), k AS (SELECT date, row_no, coalesce(added, removed) AS ticker, removed IS NOT NULL AS rem FROM chg),
+    "membership_walkback": sql("""WITH w AS (SELECT unnest(generate_series((SELECT min(date) + 6 FROM chg), (SELECT max(date) FROM chg), INTERVAL 7 DAY))::DATE AS qdate), k AS (SELECT date, row_no, coalesce(added, removed) AS ticker, removed IS NOT NULL AS rem FROM chg),
       f AS (SELECT qdate, ticker, arg_max(rem, row_no) AS rem FROM (SELECT *, min(date) OVER (PARTITION BY qdate, ticker) AS d0 FROM w JOIN k ON date > qdate) WHERE date = d0 GROUP BY 1, 2),
       t AS (SELECT DISTINCT ticker FROM k UNION SELECT ticker FROM cur)
       SELECT w.qdate::VARCHAR AS qdate, t.ticker FROM w CROSS JOIN t LEFT JOIN f ON f.qdate = w.qdate AND f.ticker = t.ticker WHERE CASE WHEN rem IS NULL THEN t.ticker IN (SELECT ticker FROM cur) ELSE rem END"""),
@@ -184,17 +186,18 @@ SQL = {
     "curve_stats": sql(f"SELECT variant, {STAT.format(p=4)} FROM (SELECT cv.*, qdate AS t, turnover FROM cv LEFT JOIN tn USING (variant, qdate)) GROUP BY 1 HAVING count(*) >= 8"),
     "split_validation": sql("""SELECT variant, label, count(*) AS periods, round(round(pow(arg_max(sv, qdate), 4.0 / count(*)) - 1, 4) - round(pow(arg_max(bv, qdate), 4.0 / count(*)) - 1, 4), 4) AS excess,
       round(count(*) FILTER (strat > bench) / count(*), 3) AS hit_rate FROM wcv GROUP BY 1, 2 HAVING count(*) >= 8"""),
-    "signal_coverage": sql("""SELECT qdate::VARCHAR AS qdate, m AS members, coalesce(s, 0) AS signals, (qdate < DATE '1999-01-01')::INT AS early, round(coalesce(s, 0) / m, 4) AS share FROM (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1)
+    "signal_coverage": sql("""SELECT qdate::VARCHAR AS qdate, m AS members, coalesce(s, 0) AS signals, (qdate < (SELECT a FROM wins WHERE label = 'fit'))::INT AS early, round(coalesce(s, 0) / m, 4) AS share FROM (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1)
       LEFT JOIN (SELECT qdate, count(*) AS s FROM psig GROUP BY 1) USING (qdate)"""),
-    "coverage_means": sql("""SELECT count(*) AS quarters, round(avg(s / m), 6) AS mean_share, round(avg(s / m) FILTER (qdate < DATE '1999-01-01'), 6) AS early_share FROM
+    "coverage_means": sql("""SELECT count(*) AS quarters, round(avg(s / m), 6) AS mean_share, round(avg(s / m) FILTER (qdate < (SELECT a FROM wins WHERE label = 'fit')), 6) AS early_share FROM
       (SELECT qdate, count(*) AS m FROM qmem GROUP BY 1) a LEFT JOIN (SELECT qdate, count(*) AS n FROM psig GROUP BY 1) b USING (qdate), LATERAL (SELECT coalesce(n, 0) AS s)"""),
     "survivorship_gap": sql("""WITH lv AS (SELECT last_day(qdate + INTERVAL 3 MONTH)::DATE AS qdate, bv FROM cv WHERE variant = 'v2rd' UNION ALL SELECT min(qdate), 1.0 FROM cv WHERE variant = 'v2rd'),
       j AS (SELECT label, qdate, bv, adjclose AS p FROM lv JOIN mkt ON month = date_trunc('month', qdate) JOIN wins ON qdate BETWEEN a AND b)
-      SELECT label, round(c, 4) AS covered, round(i, 4) AS index_ew, round((c - i) * 100, 1) AS gap_pp FROM (SELECT label, pow(arg_max(bv, qdate) / arg_min(bv, qdate), 4.0 / (count(*) - 1)) - 1 AS c,
-      pow(arg_max(p, qdate) / arg_min(p, qdate), 4.0 / (count(*) - 1)) - 1 AS i FROM j GROUP BY 1 HAVING count(*) >= 8)"""),
+      SELECT label, round(c, 4) AS covered, round(i, 4) AS index_ew, round((c - i) * 100, 1) AS gap_pp, round(pow(z.adjclose / o.adjclose, 4.0 / (n - 1)) - 1, 4) AS index_cap
+      FROM (SELECT label, count(*) AS n, date_trunc('month', min(qdate)) AS m0, date_trunc('month', max(qdate)) AS m1, pow(arg_max(bv, qdate) / arg_min(bv, qdate), 4.0 / (count(*) - 1)) - 1 AS c,
+      pow(arg_max(p, qdate) / arg_min(p, qdate), 4.0 / (count(*) - 1)) - 1 AS i FROM j GROUP BY 1 HAVING count(*) >= 8) LEFT JOIN mkc o ON o.month = m0 LEFT JOIN mkc z ON z.month = m1"""),
     "momentum_study": sql(f"""SELECT variant, label, periods, round(sc - bc, 4) AS excess, hit_rate, strat_cagr, strat_sharpe, strat_dd, turnover FROM (SELECT variant, label, pow(arg_max(sv, t), 12.0 / count(*)) - 1 AS sc, pow(arg_max(bv, t), 12.0 / count(*)) - 1 AS bc,
       {STAT.format(p=12)} FROM mv4 GROUP BY 1, 2 HAVING count(*) >= 24)"""),
-    "price_upsert": sql("""SELECT ticker, month::VARCHAR AS month, round(adjclose * CASE WHEN month >= DATE '2001-06-01' THEN 1.1::DOUBLE ELSE 1 END * 1.000123::DOUBLE, 6) AS adjclose FROM pxm UNION ALL SELECT 'NEW', month::VARCHAR, round(adjclose * 1.000123::DOUBLE, 6) FROM pxm WHERE ticker = '3'"""),
+    "price_upsert": sql("""SELECT ticker, month::VARCHAR AS month, round(adjclose * CASE WHEN month >= (SELECT z - INTERVAL 6 MONTH FROM span) THEN 1.1::DOUBLE ELSE 1 END * 1.000123::DOUBLE, 6) AS adjclose FROM pxm UNION ALL SELECT 'NEW', month::VARCHAR, round(adjclose * 1.000123::DOUBLE, 6) FROM pxm WHERE ticker = '3'"""),
     "price_matrix": sql("""WITH pxe AS (SELECT ticker, date, adjclose + 0.00031::DOUBLE AS adjclose FROM pxd), mem AS (SELECT DISTINCT ticker, 'a' AS universe FROM pxd UNION ALL SELECT DISTINCT ticker, 'b' FROM pxd WHERE ticker::BIGINT % 2 = 0), r AS (SELECT * FROM pxe WHERE date >= (SELECT max(date) FROM pxd) - 420),
       lastd AS (SELECT ticker, date_trunc('month', max(date))::DATE AS month, arg_max(adjclose, date) AS v FROM r GROUP BY 1),
       mm AS (SELECT ticker, date_trunc('month', date)::DATE AS month, arg_min(adjclose, date) AS v FROM pxe GROUP BY 1, 2), m2 AS (SELECT ticker, month, coalesce(l.v, mm.v) AS v FROM mm FULL JOIN lastd l USING (ticker, month)),

@@ -54,8 +54,8 @@ SQL = {
       UNION ALL SELECT 'T' || n_nationkey, lpad((n_nationkey + 5000000)::VARCHAR, 10, '0'), 0 FROM nation WHERE n_nationkey % 5 = 0) GROUP BY 1"""),
     "share_class_dedupe": sql("""SELECT lpad((c_custkey // 3)::VARCHAR, 10, '0') AS cik, c_custkey::VARCHAR AS ticker, c_name AS name FROM customer
       QUALIFY row_number() OVER (PARTITION BY c_custkey // 3 ORDER BY c_custkey::VARCHAR) = 1"""),
-    "resume_ingest": sql("""SELECT ticker, name FROM comp WHERE ticker NOT IN (SELECT ticker FROM fin WHERE
-      concept IN ('revenue', 'ebit', 'cash', 'equity') OR ticker::BIGINT % 4 <> 0 GROUP BY 1 HAVING count(DISTINCT concept) >= 15)"""),
+    "resume_ingest": sql("""SELECT ticker, name FROM (SELECT ticker, name FROM comp UNION ALL SELECT 'N' || ticker, name FROM comp) WHERE ticker NOT IN (SELECT ticker FROM
+      (SELECT ticker, concept FROM fin UNION ALL SELECT 'N' || ticker, concept FROM fin WHERE concept IN ('revenue', 'ebit', 'cash', 'equity')) GROUP BY 1 HAVING count(DISTINCT concept) >= 15)"""),
     "constituent_lists": sql("""SELECT ticker, name, sector FROM lists QUALIFY row_number() OVER (PARTITION BY ticker
       ORDER BY CASE universe WHEN 'sp500' THEN 1 WHEN 'ndx' THEN 2 ELSE 3 END) = 1"""),
     "universe_union": sql("""SELECT ticker, first(name ORDER BY CASE universe WHEN 'ndx' THEN 0 WHEN 'sp500' THEN 1 ELSE 3 END) AS name,
@@ -79,15 +79,16 @@ SQL = {
     "coverage_regression": sql("""WITH c AS (SELECT concept, count(DISTINCT ticker) AS n FROM fin GROUP BY 1),
       p AS (SELECT concept, CASE WHEN concept[1] IN ('a', 'c', 's') THEN n * 11 // 10 ELSE n END AS before, n FROM c)
       SELECT concept, before, n AS now FROM p WHERE n < before * 0.95"""),
-    "ghost_tripwire": sql("""SELECT c.ticker, c.cik, count(f.concept) AS facts FROM comp c LEFT JOIN fin f ON f.ticker = c.ticker AND
-      (c.ticker::BIGINT % 20 <> 1 OR (concept = 'revenue' AND fiscal_year < 1997)) GROUP BY 1, 2 HAVING count(f.concept) < 3"""),
+    "ghost_tripwire": sql("""SELECT c.ticker, c.cik, count(f.concept) AS facts FROM (SELECT ticker, cik FROM comp UNION ALL SELECT 'G' || ticker, cik FROM comp) c LEFT JOIN
+      (SELECT ticker, concept FROM fin UNION ALL SELECT 'G' || ticker, concept FROM fin WHERE concept = 'revenue' AND fiscal_year < (SELECT min(fiscal_year) + 2 FROM fin)) f
+      ON f.ticker = c.ticker GROUP BY 1, 2 HAVING count(f.concept) < 3"""),
     "mcap_crosscheck": sql("""SELECT ticker, status, round(diff, 4) AS diff, round(CASE WHEN status IN ('derived', 'patched')
       THEN ext_mcap / price ELSE shares_out END, 0) AS shares_checked FROM xck"""),
     "tag_fallback": sql("""SELECT cik, ns, concept, tag_rank, (tag_rank >= 1)::INT AS fallback FROM (SELECT cik, ns, concept, year("end") AS fy,
       min(tag_rank) AS tag_rank FROM fpick WHERE form = '10-K' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cik, ns, concept ORDER BY fy DESC) = 1"""),
     "coverage_gate": sql("""SELECT count(*) AS names, count(*) FILTER (n >= 15) AS covered, round(100 * (count(*) FILTER (n >= 15)) / count(*), 1) AS coverage_pct,
-      ((count(*) FILTER (n >= 15)) / count(*) >= 0.9)::INT AS gate_pass FROM comp LEFT JOIN (SELECT ticker, count(DISTINCT concept) AS n FROM fin
-      WHERE ticker::BIGINT % 12 <> 0 OR concept < 'd' GROUP BY 1) USING (ticker)"""),
+      ((count(*) FILTER (n >= 15)) / count(*) >= 0.9)::INT AS gate_pass FROM (SELECT ticker FROM comp UNION ALL SELECT DISTINCT 'N' || (ticker::BIGINT // 12) FROM comp) LEFT JOIN (SELECT ticker, count(DISTINCT concept) AS n FROM
+      (SELECT ticker, concept FROM fin UNION ALL SELECT 'N' || (ticker::BIGINT // 12), concept FROM fin WHERE concept < 'd') GROUP BY 1) USING (ticker)"""),
     "concept_fallback_report": sql("""SELECT concept, have, fallback, round(100 * have / (SELECT count(*) FROM comp), 1) AS have_pct, round(100 * fallback / have, 1) AS fallback_pct
       FROM (SELECT concept, count(*) AS have, count(*) FILTER ((ticker::BIGINT + len(concept)) % (3 + len(concept)) = 0) AS fallback
       FROM (SELECT DISTINCT ticker, concept FROM fin) GROUP BY 1) WHERE have >= 50 ORDER BY fallback_pct DESC, concept LIMIT 6"""),

@@ -62,11 +62,13 @@ def keep(c, label):
 
 
 SQL = {
-    "weekly_gate": sql("""WITH s AS (SELECT *, run_date::DATE AS day, hour(run_date) >= 12 AS pm, run_date::DATE - CASE WHEN model = 'm1' THEN 0 ELSE 14 END AS x FROM snap)
-      SELECT universe, model, day::VARCHAR AS day, count(DISTINCT run_date) AS runs, count(*) AS n FROM (
-      SELECT 'week' AS universe, model, day, run_date FROM s WHERE x <= DATE '2024-01-12' OR x = DATE '2024-01-15'
-      UNION ALL SELECT 'skip', model, day, run_date FROM s WHERE x < DATE '2024-01-12'
-      UNION ALL SELECT 'again', model, day, run_date FROM s WHERE x < DATE '2024-01-12' OR (x = DATE '2024-01-12' AND pm)) GROUP BY 1, 2, 3"""),
+    "weekly_gate": sql("""WITH s AS (SELECT model, run_date, max(run_date::DATE) OVER (PARTITION BY model) AS top FROM snap),
+      w AS (SELECT universe, model, run_date, run_date::DATE = top AND (universe <> 'again' OR hour(run_date) >= 12) AS fresh FROM s, (VALUES ('week'), ('skip'), ('again')) u(universe)),
+      x AS (SELECT universe, model, fresh, CASE WHEN universe = 'week' AND NOT fresh THEN run_date - INTERVAL 7 DAY ELSE run_date END AS run_date FROM w),
+      l AS (SELECT universe, model, max(run_date) AS last FROM x WHERE NOT fresh GROUP BY 1, 2),
+      ok AS (SELECT x.* FROM x LEFT JOIN l USING (universe, model) WHERE fresh AND (last IS NULL OR last::DATE = run_date::DATE OR yearweek(last) <> yearweek(run_date)))
+      SELECT universe, model, run_date::DATE::VARCHAR AS day, count(DISTINCT run_date) AS runs, count(*) AS n FROM (SELECT * FROM ok UNION ALL SELECT * FROM x WHERE NOT fresh
+      AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.universe = x.universe AND ok.model = x.model AND ok.run_date::DATE = x.run_date::DATE)) GROUP BY 1, 2, 3"""),
     "change_digest": sql("SELECT model, kind, row_number() OVER (PARTITION BY model, kind ORDER BY w DESC, ticker) AS place, ticker, detail FROM dgr QUALIFY place <= 12"),
     "session_asof": sql("SELECT ticker, date::VARCHAR AS day, session::VARCHAR AS session FROM pxd JOIN sday ON day = date"),
     "run_collapse": sql("SELECT model, session::VARCHAR AS session, day::VARCHAR AS day, collapsed FROM runs"),

@@ -26,7 +26,9 @@ view("fttm", """SELECT f.cik, f.ns, f.concept,
   FROM ffy f LEFT JOIN flink l USING (cik, ns, concept) LEFT JOIN fmir m USING (cik, ns, concept)""")
 view("finst", """SELECT cik, ns, concept, val AS value, "end" AS thru FROM fpick
   QUALIFY row_number() OVER (PARTITION BY cik, ns, concept ORDER BY "end" DESC, filed DESC, tag_rank, pos) = 1""")
-view("qd", "SELECT last_day(m)::DATE AS qdate FROM (SELECT unnest(generate_series(DATE '1996-12-01', DATE '2001-09-01', INTERVAL 3 MONTH)) AS m)")
+view("span", "SELECT min(l_shipdate)::DATE AS a, max(l_shipdate)::DATE AS z FROM lineitem")
+view("qd", """SELECT q AS qdate FROM (SELECT a, z, last_day(m)::DATE AS q FROM (SELECT a, z, unnest(generate_series(date_trunc('quarter', a) + INTERVAL 2 MONTH, z + INTERVAL 3 MONTH,
+  INTERVAL 3 MONTH)) AS m FROM span)) WHERE q BETWEEN a AND z""")
 view("pasof", """SELECT qdate, ticker, concept, fy, arg_max(value, filed) AS value FROM pit JOIN qd ON filed <= qdate GROUP BY ALL""")
 view("shasof", """SELECT b.qdate, b.ticker, b.end_date, b.value * coalesce(power(2.0, count(s.sdate)), 1) AS shares FROM
   (SELECT qdate, ticker, end_date, value FROM pit JOIN qd ON filed <= qdate WHERE concept = 'shares_wab'

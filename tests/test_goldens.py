@@ -202,8 +202,13 @@ def test_pool_that_is_the_index_has_no_gap(spark):
         levels.append(level)
     curve = spark.createDataFrame(list(zip(quarters[:-1], levels[1:], strict=True)), "qdate date, bv double")
     proxy = spark.createDataFrame([(q.replace(day=1), 50 * x) for q, x in zip(quarters, levels, strict=True)], "month date, adjclose double")
-    out = one(bt.survivorship_gap(curve, proxy, [("all", "2000-01-01", "2010-01-01")]))
+    cap = proxy.withColumn("adjclose", F.col("adjclose") * F.expr("if(month >= DATE'2003-01-01', 2, 1)"))
+    windows = [("all", "2000-01-01", "2010-01-01")]
+    out = one(bt.survivorship_gap(curve, proxy, windows, cap))
     assert out.gap_pp == pytest.approx(0, abs=1e-9) and out.covered > 0.1
+    assert out.index_cap == pytest.approx((1 + out.covered) * 2 ** (1 / 3) - 1)
+    out = one(bt.survivorship_gap(curve, proxy, windows, cap.where("month > DATE'2000-03-01'")))
+    assert out.index_cap is None and out.covered > 0.1
 
 
 def test_beta_of_a_month_without_market(spark):
