@@ -27,7 +27,8 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Single separators between digits are marked first; a card is then one run of signs.
 JOINT, CARD = r"(?<=[0-9])[\x20-](?=[0-9])", "[0-9][0-9\x01]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+#: Leading zeros are passed at once; a part of zeros only has nothing after them.
+_PART = r"(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|)"
 _TOKEN = "A-Za-z0-9@._%+-"
 #: A phone number or a token of six signs or more with a digit or `@`, at the beginning of a token.
 INSTANCE = rf"(?<![{_TOKEN}])(?:\+[0-9][\x20().0-9-]{{6,20}}[0-9]|(?=[A-Za-z._%+-]*+[0-9@])[{_TOKEN}]{{6,}}+)"

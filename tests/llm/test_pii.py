@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from equispan.llm.pii import find_personal_data
@@ -50,6 +51,7 @@ TEXTS = [
     "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 1111 1111 5", "+1 (743) 555-3824. +12 +123456789 ++441234567890 +1 2", "é 4111111111111111ß é@x.y",
     "1 " * 30000, "a" * 200000 + "@b.c", "9" * 100000, "a@b" + ".c" * 1500, ("x@y.zz, " * 700), "\x014111 1111\x011111 1111 \x01", "١٢٣ 1.1.1.1\n2.2.2.2",
     "4111-1111 1111-1111", "..@.. 1.1.1.1@a.b", "+1.1.1.1.1 4222222222222",
+    "10.0.0.1 127.0.0.1 192.168.0.1 0.0.0.0 1.2.3.00", "00.000.0000.0 0256.1.1.1 1.2.3.0255 1.2.3.00256 255.255.255.255",
 ]
 
 
@@ -75,3 +77,14 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert out[13] == [(14, 30)]  # the words before it are the same two
     assert not any(out[k] for k in (0, 1, 2, 3, 11, 12, 14))
     assert not any(r.id for r in find_personal_data(df, support=5).collect())
+
+
+def test_random_texts_equal_plain_patterns(spark):
+    rnd = random.Random(9)
+    bits = ["0", "00", "1", "9", "25", "255", "256", "4111", "1111", ".", ".", ".", "-", " ", "+", "@", "a", "b.c", "(", ")", "é", "\n", "\x01", "%"]
+    part = ["0", "00", "1", "9", "25", "255", "256", "0255", "000"]
+    docs = [(k, "".join(rnd.choices(bits, k=rnd.randrange(40))) + ".".join(rnd.choices(part, k=rnd.choice([0, 3, 4, 4, 5, 8])))) for k in range(1500)]
+    out = find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r.doc_id: {k: [tuple(s) for s in r[k]] for k in BASE} for r in out}
+    assert got == {k: base(t) for k, t in docs}
+    assert sum(len(x["ip"]) for x in got.values()) > 20
