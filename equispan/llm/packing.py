@@ -21,6 +21,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import public_tokenizers
@@ -61,7 +62,8 @@ def encoder(path: str):
         stems: dict[str, list[tuple[str, str]]] = {}
         for part in parts:
             stem = part.rstrip(",.")
-            if stem.isalpha():
+            # A lower-case form may hold a mark that is no letter and belongs to what follows.
+            if stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha()):
                 # The tokenizer lower-cases; of ASCII letters this is known beforehand.
                 stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((part, part[len(stem):]))
             else:

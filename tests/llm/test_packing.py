@@ -70,8 +70,16 @@ def test_plan_is_close_to_the_bound(seed):
     assert len(runs) < 30_000
 
 
-@pytest.mark.parametrize("text", ["", " a  b\n\nc\t d", "don't, won't.,", "x,.'s ,y", "É ́e ﬁ ,.a", "1,2.3 a1,", "a\x1cb\x85c d e", "''', a',", "ǅ ªº ʰa, İstanbul. ΑΣ, ﬃ"])
+@pytest.mark.parametrize("text", ["", " a  b\n\nc\t d", "don't, won't.,", "x,.'s ,y", "É ́e ﬁ ,.a", "1,2.3 a1,", "a\x1cb\x85c d e", "''', a',", "ǅ ªº ʰa, İstanbul. ΑΣ, ﬃ", "İ, İ. aİ,. İİ.", "ÅΣ. ẞ, ŉ. ǰ,"])
 def test_remembered_parts_equal_whole_texts(text, tokenizer):
     encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
     want = tokenizer.encode(text, add_special_tokens=False).ids
     assert [np.frombuffer(x, "<u4").tolist() for x in encode([text, "", text])] == [want, [], want]
+
+
+def test_random_texts_equal_whole_texts(tokenizer):
+    rnd = np.random.default_rng(2)
+    signs = list("aBcİıΣßﬁŉǰÅ\u0301\u0307éÉ,.' \n1") + ["İ.", "İ,", " the "]
+    texts = ["".join(rnd.choice(signs, rnd.integers(0, 25))) for _ in range(3000)]
+    got = encoder(public_tokenizers.path("word_bpe_49k.json"))(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
