@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import lower_ascii, slices, word_bounds
@@ -233,3 +233,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS, u
     classes = classes.join(least, "root").select("_fp", "component_id")
     return prints.join(classes, "_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """All columns of docs and _fp."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column(at)):
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(first, end - first).columns, pa.array(fingerprints_of(data, offsets, size).view(np.int64))],
+                    names=[*batch.schema.names, "_fp"])
+    return docs.mapInArrow(run, docs.withColumn("_fp", F.lit(0).cast("long")).schema)
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text", radius: int = RADIUS, unit: int = UNIT) -> DataFrame:
+    """One row of each group of near duplicates: that with the smallest doc_id and, of its texts, the smallest fingerprint.
+
+    Rows of one doc_id whose texts are no near duplicates are groups of their own.  Rows without doc_id can't be named: they
+    link nothing and all stay.  Of equal rows one stays, whichever.
+    """
+    named = docs.where("doc_id is not null")
+    prints = cut(fingerprints(named, text))
+    roots = links(prints.select("_fp").distinct(), radius, unit)
+    joined = prints.join(roots, prints["_fp"] == roots["node"], "left")
+    stay = cut(joined.groupBy(F.coalesce("root", "_fp")).agg(F.min(F.struct("doc_id", "_fp")).alias("s")).select("s.*"))
+    several = cut(prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    rest = named.join(stay.select("doc_id").distinct(), "doc_id", "left_semi")
+    lone = rest.join(several, "doc_id", "left_anti")
+    # Only rows that share a doc_id need their fingerprint again to be told apart.
+    shared = with_fingerprint(rest.join(several, "doc_id", "left_semi"), text).join(stay, ["doc_id", "_fp"], "left_semi")
+    one = Window.partitionBy("doc_id", "_fp").orderBy(F.xxhash64(text))
+    shared = shared.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return lone.select(*docs.columns).unionByName(shared.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

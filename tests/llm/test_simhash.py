@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from equispan.llm.queries import op7_simhash_near_dedup
-from equispan.llm.simhash import link_units, near_duplicates
+from equispan.llm.simhash import link_units, near_duplicates, one_of_each_group
 
 
 def low(text):
@@ -81,3 +81,10 @@ def test_bit_sliced_comparison(seed):
         rows = np.flatnonzero(unit == u)
         want = classes([(int(r), int(fp[r])) for r in rows])
         assert label[rows].tolist() == want
+
+
+def test_one_of_each_group_and_texts_of_one_doc_id(spark):
+    far = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white pink"]
+    rows = [(7, far[0]), (7, far[1]), (7, far[1]), (3, far[0]), (9, far[2]), (9, far[2].upper()), (None, far[2]), (None, far[2])]
+    kept = one_of_each_group(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")).collect()
+    assert sorted(((r.doc_id, low(r.text)) for r in kept), key=str) == sorted([(3, far[0]), (7, far[1]), (9, far[2]), (None, far[2]), (None, far[2])], key=str)
