@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equispan.llm.decontaminate import decontaminate
 from equispan.llm.lines import dedup_lines
 from equispan.llm.packing import pack_documents
 from equispan.llm.shared import shared_folder, table
-from equispan.llm.simhash import near_duplicates
+from equispan.llm.simhash import one_of_each_group
 from equispan.llm.toxicity import score_toxicity
 
 
@@ -33,10 +33,7 @@ def keep_first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; rows without doc_id can't be named and stay."""
-    stay = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return one_of_each_group(docs)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
