@@ -112,7 +112,12 @@ def shares_asof(spark, d):
 
 @query
 def facts_json_corpus(spark, d):
-    """Filings packed as nested JSON documents and parsed back to long facts."""
+    """Each filer's whole history as a nested JSON document beside a torn copy of it, read back to long facts; the
+    unreadable documents are counted in rows of their own."""
     from ..sources import facts as src
-    rows = src.parse_facts(src.pack_facts(b.facts(spark, d)))
-    return tidy(rows, ["cik", "ns", "tag", "unit", "start", "end", "filed", "form", "fp", "tag_ord"], val=2)
+    docs = src.pack_facts(b.facts(spark, d))
+    docs = docs.unionByName(docs.withColumn("doc", F.expr("left(doc, length(doc) DIV 2)")))
+    rows = src.parse_facts(docs)
+    torn = src.unreadable(docs).groupBy(F.col("reason").alias("ns")).agg(F.count(F.lit(1)).cast("double").alias("val"))
+    return tidy(rows.unionByName(torn, allowMissingColumns=True),
+                ["cik", "ns", "tag", "unit", "start", "end", "filed", "form", "fp", "tag_ord", "pos"], val=2)

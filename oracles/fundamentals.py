@@ -65,6 +65,8 @@ SQL = {
       FROM fpick WHERE {ANN} QUALIFY row_number() OVER (PARTITION BY cik, ns, concept, year("end"), filed ORDER BY tag_rank, pos) = 1"""),
     "series_asof": sql("SELECT qdate::VARCHAR AS qdate, ticker, concept, fy, round(value / 999983.0::DOUBLE, 6) AS value_m FROM pasof"),
     "shares_asof": sql("SELECT qdate::VARCHAR AS qdate, ticker, end_date::VARCHAR AS end_date, round(shares, 1) AS shares FROM shasof"),
-    "facts_json_corpus": sql("""SELECT cik, ns, tag, unit, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", filed::VARCHAR AS filed,
-      form, fp, 0 AS tag_ord, round(val, 2) AS val FROM facts"""),
+    "facts_json_corpus": sql("""SELECT cik, ns, tag, unit, "start"::VARCHAR AS "start", "end"::VARCHAR AS "end", filed::VARCHAR AS filed, form, fp,
+      dense_rank() OVER (PARTITION BY cik, ns ORDER BY tag) - 1 AS tag_ord, row_number() OVER (PARTITION BY cik, ns, tag, unit ORDER BY "end" NULLS FIRST, filed NULLS FIRST,
+      "start" NULLS FIRST, form NULLS FIRST, fp NULLS FIRST, val NULLS FIRST) - 1 AS pos, round(val, 2) AS val FROM facts
+      UNION ALL SELECT NULL, 'not JSON of this form', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT cik) FROM facts"""),
 }

@@ -166,7 +166,12 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.json").write_text(
         '{"cik": 7, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2025-12-31", "val": 5, "filed": "2026-02-01", "form": "10-K", "fp": "FY"}]}}}}}')
-    r = one(src.read_facts(spark, str(tmp_path / "f")))
+    for name, text in (("b", '{"cik": 8, "facts": {"us-gaap": {"Assets"'), ("c", ""), ("d", '{"facts": {}}'), ("e", '{"cik": 9}')):
+        (tmp_path / "f" / f"{name}.json").write_text(text)
+    rows, broken = src.read_facts(spark, str(tmp_path / "f"))
+    assert sorted((r.source[-6:], r.reason) for r in broken.collect()) == [
+        ("b.json", "not JSON of this form"), ("c.json", "empty"), ("d.json", "no cik"), ("e.json", "no facts")]
+    r = one(rows)
     assert (r.cik, r.tag, r.unit, r.val, r.start) == ("0000000007", "Assets", "USD", 5.0, None)
     (tmp_path / "h").mkdir()
     (tmp_path / "h" / "a.json").write_text('{"cik": "8", "name": "Acme Corp", "sic": "", "tickers": ["ACM"], "exchanges": ["NYSE"], '
