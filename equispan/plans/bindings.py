@@ -179,6 +179,14 @@ def market_prices(prices):
     return prices.groupBy("month").agg(F.avg("adjclose").alias("adjclose"))
 
 
+def company_prices(spark, sf_dir, prices):
+    """The monthly prices of each company: the series of the supplier that its number falls on."""
+    last = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 1
+    tied = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("_company"), F.expr(f"cast(1 + (c_custkey - 1) % {last} AS string)").alias("ticker"))
+    return prices.join(tied, "ticker").select(F.col("_company").alias("ticker"), "month", "adjclose")
+
+
 def cap_weighted_prices(prices):
     """A second proxy, weighted by share counts; months that fall on a multiple of seven since 1970 have no price."""
     shares = F.col("ticker").cast("long") % 5 + 1

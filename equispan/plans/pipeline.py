@@ -8,10 +8,11 @@ from ..operators import crosssection as x, metrics as m, valuation as v
 
 
 def company_stage(inputs: DataFrame, rf: float, today: str) -> DataFrame:
-    """Everything that depends on one company only.  The history arrays stop here."""
+    """Everything that depends on one company only.  The history arrays stop here; of them the trend lines of eight years
+    and the capital panel go on, a bounded handful of numbers."""
     df = with_exprs(inputs, term_g=f"least({CFG['terminal_growth']}D, {rf}D)")
     df = v.with_effective_archetype(df)
-    for step in (v.with_dcf, v.with_implied_growth, v.with_epv, v.with_rim, v.with_ddm, m.with_altman_z, m.with_piotroski):
+    for step in (v.with_dcf, v.with_implied_growth, v.with_epv, v.with_rim, v.with_ddm, m.with_altman_z, m.with_piotroski, m.trends, m.capital_panel):
         df = step(df)
     std = "if(eff_arch = 'standard', {}, NULL)"
     df = with_exprs(df, altman_z=std.format("altman_z"), piotroski=std.format("piotroski"))

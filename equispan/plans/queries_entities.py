@@ -5,7 +5,7 @@ from . import bindings as b
 from .queries_fundamentals import picked
 from .registry import query, tidy
 from ..assumptions import assumption_tables
-from ..operators import entities as en, quality as q
+from ..operators import entities as en, settings as st, quality as q
 from ..sources import facts as src
 
 
@@ -103,6 +103,18 @@ def universe_union(spark, d):
     return out.select("ticker", "name", "sector", F.array_join("universes", ",").alias("universes"))
 
 
+@query
+def resolved_assumptions(spark, d):
+    """The first companies bear the tickers that the configuration names; every third lacks a sector."""
+    tables = assumption_tables(spark)
+    named = sorted({r.ticker for t in ("archetype_overrides", "cik_pins", "subsector_overrides") for r in tables[t].select("ticker").collect()})
+    names = ", ".join(f"'{t}'" for t in named)
+    comp = b.companies(spark, d).selectExpr(
+        f"coalesce(get(array({names}), cast(ticker AS int) - 1), ticker) AS ticker", "cik", "if(cast(ticker AS bigint) % 2 = 0, sic, lpad(cast(3570 + cast(ticker AS bigint) % 110 AS string), 4, '0')) AS sic",
+        "if(cast(ticker AS bigint) % 3 = 0, NULL, sector) AS sector", "price * shares_out AS mcap")
+    return tidy(st.resolve_assumptions(comp, tables), ["ticker", "cik", "archetype_pin", "bucket", "sector", "sic_sector", "n_universes"], size_premium=4)
+
+
 @query
 def sic_sector(spark, d):
     rows = b.table(spark, d, "part").select("p_partkey", F.lpad(((F.col("p_partkey") * 7) % 9000 + 100).cast("string"), 4, "0").alias("sic"))

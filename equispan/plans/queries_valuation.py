@@ -8,7 +8,7 @@ from ..assumptions import assumption_tables
 from ..functions import engines as en
 from ..functions.exprs import with_exprs
 from ..functions.staging import keep, stage
-from ..operators import crosssection as x, metrics as m, screen as sc, valuation as v
+from ..operators import crosssection as x, metrics as m, prices as px, screen as sc, valuation as v
 from ..sources import sinks
 
 U = ["universe", "ticker"]
@@ -18,17 +18,15 @@ def engines(spark, d):
     return keep(spark, d, "engines", lambda: pipeline.company_stage(inputs(spark, d), RF, TODAY)).where("why IS NULL")
 
 
-def fake_momentum(spark, d):
-    """A momentum reading per company, so the momentum filters have something to act on."""
-    k = "cast(ticker AS bigint)"
-    return b.universe_members(spark, d).select(
-        "universe", "ticker", F.expr(f"({k} % 100) / 100D - 0.3").alias("mom"),
-        F.expr(f"if({k} % 9 = 0, NULL, cast({k} % 101 AS int))").alias("mom_pct"))
+def momentum(spark, d):
+    """T5 of every company in its universes."""
+    prices = b.company_prices(spark, d, keep(spark, d, "monthly_prices", lambda: b.monthly_prices(spark, d)))
+    return px.live_momentum(prices, b.universe_members(spark, d))
 
 
 def valued(spark, d):
     return keep(spark, d, "valued", lambda: pipeline.value_universes(
-        inputs(spark, d), b.universe_members(spark, d), assumption_tables(spark), RF, TODAY, fake_momentum(spark, d)))
+        inputs(spark, d), b.universe_members(spark, d), assumption_tables(spark), RF, TODAY, momentum(spark, d)))
 
 
 def board(spark, d):
@@ -298,9 +296,21 @@ def company_records(spark, d):
     rec = sinks.company_records(board(spark, d))
     return tidy(rec.select("universe", "ticker", F.expr("size(methods)").alias("n_listed"),
                            F.expr("size(filter(methods, m -> m.applicable))").alias("n_applicable"),
-                           F.expr("round(scenario.pw, 2)").alias("pw"), F.expr("capital.roic").alias("roic"),
+                           F.expr("round(scenario.pw, 2)").alias("pw"), F.expr("scenario.expBase").alias("exp_base"), F.expr("capital.roic").alias("roic"),
+                           F.expr("capital.reinvest").alias("reinvest"), F.expr("capital.incRoic").alias("inc_roic"),
+                           F.expr("array_join(transform(methods, m -> m.note), '|')").alias("notes"), F.expr("array_join(trends.years, ',')").alias("years"),
+                           F.expr("get(trends.revenueB, size(trends.revenueB) - 1)").alias("last_rev"),
                            F.array_join("flags", "|").alias("flags"), F.col("roic").alias("roic_now"), "om", "roe", "roe_std", "eq_assets", "fin_currency"),
-                ["universe", "ticker", "n_listed", "n_applicable", "flags", "fin_currency"], pw=2, roic=4, roic_now=6, om=6, roe=6, roe_std=6, eq_assets=6)
+                ["universe", "ticker", "n_listed", "n_applicable", "flags", "fin_currency", "notes", "years"], pw=2, exp_base=4, roic=4, reinvest=4, inc_roic=4, last_rev=3, roic_now=6, om=6, roe=6, roe_std=6, eq_assets=6)
+
+
+@query
+def run_records(spark, d):
+    """K1, meta part: the run's record of each universe, its lists joined as text."""
+    out = sinks.run_records(valued(spark, d), assumption_tables(spark)["universes"], RF, TODAY)
+    return tidy(with_exprs(out, excluded="array_join(transform(excluded, x -> concat(x.why, '=', x.n)), '; ')",
+                           weights="array_join(transform(map_entries(weights), w -> concat(w.key, '=', w.value)), '; ')"),
+                ["universe", "name", "as_of", "covered", "n_excluded", "excluded", "weights"], risk_free=4, erp=4, terminal_g=4)
 
 
 @query

@@ -8,7 +8,8 @@ HEADER_SCHEMA = ("cik string, name string, sic string, sicDescription string, ti
 
 
 def read_facts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A folder of facts documents, one JSON object per file: long fact rows, and the documents that can't be read."""
+    """A folder of facts documents, one JSON object per file: long fact rows, and the documents that can't be read.
+    Spark's readers pass over files of no bytes, so those are in neither."""
     docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.input_file_name().alias("source"))
     return parse_facts(docs), unreadable(docs)
 

@@ -1,26 +1,64 @@
 """Outputs: company records, screen export, upserts, price matrix, manifest (K1, K2, K4, K5, K7)."""
 from pyspark.sql import DataFrame, functions as F
 
+from ..assumptions import CFG, WEIGHTS
 from ..functions.staging import stage
 from ..functions.exprs import with_exprs
 
+# fixed values: the methods as they are listed
 METHOD_LIST = [("dcf", "DCF", "dcf_ps"), ("rim", "RIM", "rim_ps"), ("ffo", "P/FFO", "ffo"), ("epv", "EPV (floor)", "epv_ps"),
                ("warranted", "Warranted mult.", "warr_ps"), ("ddm", "DDM", "ddm_ps")]
+_NOT_USED = "'not used for this archetype'"
+#: What each method's value rests on, or why there is none.
+NOTES = {
+    "dcf": f"""if(eff_arch <> 'standard', {_NOT_USED}, concat(if(nopat_norm > 0 AND roic_dcf > 0, 'normalized NOPAT less reinvestment of g/ROIC', 'normalized FCF'),
+      if(cyclical, ' over 10 years', ''), format_string(', growth %.0f%%, WACC %.1f%%', g1 * 100, wacc * 100)))""",
+    "rim": """CASE WHEN rim_ps IS NOT NULL THEN concat('book value and discounted excess ROE', if(arch <> 'standard', ', the anchor here', ''))
+      WHEN ffo IS NOT NULL THEN 'replaced by P/FFO' WHEN eff_arch = 'standard' THEN 'for financials and REITs only' ELSE 'book value or ROE not usable' END""",
+    "ffo": "if(ffo IS NOT NULL, 'FFO at the median multiple of the covered REITs', 'no positive FFO')",
+    "epv": f"CASE WHEN eff_arch <> 'standard' THEN {_NOT_USED} WHEN epv_ps > mid THEN 'no-growth value, above the growth cases' ELSE 'no-growth value, sets the low end only' END",
+    "warranted": f"if(eff_arch <> 'standard', {_NOT_USED}, concat('median EV/EBIT of ', wbucket, ', adjusted for growth, margin and ROIC'))",
+    "ddm": """CASE WHEN ddm_ps IS NOT NULL THEN format_string('dividend of %.2f a share, discounted at %.1f%%', div / shares, re * 100)
+      WHEN coalesce(div, 0D) = 0 THEN 'no dividend' ELSE 'dividend not covered by earnings, or too small' END""",
+}
 
 
 def company_records(board: DataFrame) -> DataFrame:
     """K1: one nested record per ranked company.  P/FFO is listed for REITs only."""
-    items = ", ".join(f"named_struct('key', '{k}', 'name', '{n}', 'value', round({c}, 2), 'applicable', {c} IS NOT NULL)"
+    items = ", ".join(f"named_struct('key', '{k}', 'name', '{n}', 'value', round({c}, 2), 'applicable', {c} IS NOT NULL, 'note', {NOTES[k]})"
                       for k, n, c in METHOD_LIST)
-    scen = "if(pw IS NULL, NULL, named_struct('bear', bear, 'base', base, 'bull', bull, 'pw', pw, 'expPW', exp_pw, 'annPW', ann_pw))"
-    cap = "if(eff_arch = 'standard' AND roic_dcf > 0, named_struct('roic', round(roic_dcf, 4), 'spread', round(roic_dcf - wacc, 4)), NULL)"
+    scen = ("if(pw IS NULL, NULL, named_struct('bear', bear, 'base', base, 'bull', bull, 'pw', pw, 'expBase', exp_base, "
+            "'expPW', exp_pw, 'annPW', ann_pw))")
+    cap = ("if(eff_arch = 'standard' AND roic_dcf > 0, named_struct('roic', round(cap_roic, 4), 'spread', round(cap_spread, 4), "
+           "'reinvest', round(cap_reinvest, 4), 'incRoic', round(cap_inc_roic, 4)), NULL)")
     return with_exprs(
         board, methods=f"filter(array({items}), m -> m.key <> 'ffo' OR eff_arch = 'reit')", scenario=scen, capital=cap,
-        archetype="eff_arch", mcapB="round(mcap / 1e9, 1)").select(
+        archetype="eff_arch", mcapB="round(mcap / 1e9, 1)", negBook="coalesce(equity_now < 0, false)").select(
         "universe", "ticker", "name", "cik", "sector", "archetype", "price", "mcapB", "quality", "low", "mid", "high", "upside",
         "conf", "within", "n_methods", "implied_g", "implied_op", "g_trail", "mom", "mom_pct", "pe", "evebitda", "fcfy", "div_yield",
         "altman_z", "piotroski", "piotroski_n", "nde", "om", "roic", F.col("roe_avg").alias("roe"), "roe_std",
-        "eq_assets", "fin_currency", "flags", "score", "scenario", "capital", "methods")
+        "eq_assets", "fin_currency", F.col("fin_thru").alias("finThru"), "negBook", "flags", "score", "scenario", "capital", "methods", "trends")
+
+
+def run_records(valued: DataFrame, universes: DataFrame, rf: float, as_of: str, changes: DataFrame | None = None) -> DataFrame:
+    """K1: one record per universe of what the run assumed, covered and left out.
+
+    Exclusions are counted by reason, a list no longer than the reasons; the names stand in valuation.excluded().  changes:
+    the digest of snapshots.change_digest with its universe, a few entries of each kind."""
+    why = F.regexp_replace("why", r"^(\w+):.*$", "$1")
+    counts = valued.groupBy("universe", F.col("why").isNull().alias("ok"), why.alias("why")).agg(F.count(F.lit(1)).alias("n"))
+    out = counts.groupBy("universe").agg(
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("covered"),
+        F.coalesce(F.sum(F.when(~F.col("ok"), F.col("n"))), F.lit(0)).alias("n_excluded"),
+        F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("why", "n")))).alias("excluded"))
+    weights = F.create_map(*[F.lit(x) for k, v in WEIGHTS.items() for x in (k.lower(), float(v))])
+    out = out.join(F.broadcast(universes.select("universe", "name")), "universe", "left").select(
+        "universe", "name", F.lit(as_of).alias("as_of"), F.lit(rf).alias("risk_free"), F.lit(CFG["equity_risk_premium"]).alias("erp"),
+        F.least(F.lit(CFG["terminal_growth"]), F.lit(rf)).alias("terminal_g"), "covered", "n_excluded", "excluded", weights.alias("weights"))
+    if changes is None:
+        return out
+    lists = changes.groupBy("universe").agg(F.array_sort(F.collect_list(F.struct("kind", "place", "ticker", "detail"))).alias("changes"))
+    return out.join(lists, "universe", "left")
 
 
 def write_records(ranked: DataFrame, path: str) -> None:

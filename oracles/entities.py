@@ -18,6 +18,10 @@ def norm(ws):
             f"coalesce(len({ws}[i + 1]) = 1, false)) AND NOT (w IN ('A', 'B', 'C') AND i > 1 AND {ws}[i - 1] IN ('CLASS', 'CL'))), ' ')")
 
 
+_T = load()["overrides"]
+PINS = ", ".join([f"('{t}', '{v}', NULL, NULL)" for t, v in _T["archetype"].items()] + [f"('{t}', NULL, '{v}', NULL)" for t, v in _T["cik"].items()]
+                 + [f"('{t}', NULL, NULL, '{v}')" for t, v in _T["subsector"].items()])
+SUB = ", ".join(f"('{k}', '{v}')" for k, v in load()["subsector_by_sic"].items())
 SIC = ", ".join(f"('{k}', '{v}')" for k, v in load()["sector_by_sic"].items())
 view("sicmap", f"SELECT * FROM (VALUES {SIC}) t(prefix, sector)")
 view("fil", "SELECT * FROM filers WHERE len(tickers) > 0 OR sic <> ''")
@@ -61,6 +65,14 @@ SQL = {
     "universe_union": sql("""SELECT ticker, first(name ORDER BY CASE universe WHEN 'ndx' THEN 0 WHEN 'sp500' THEN 1 ELSE 3 END) AS name,
       first(sector ORDER BY CASE universe WHEN 'sp500' THEN 0 WHEN 'ndx' THEN 1 ELSE 3 END) AS sector,
       string_agg(universe, ',' ORDER BY universe) AS universes FROM lists GROUP BY 1"""),
+    "resolved_assumptions": sql(f"""WITH pins AS (SELECT ticker, max(a) AS a, max(c) AS c, max(bk) AS bk, row_number() OVER (ORDER BY ticker) AS k FROM (SELECT t AS ticker, a, c, bk FROM (VALUES {PINS}) v(t, a, c, bk)) GROUP BY 1),
+      x AS (SELECT coalesce(p.ticker, m.ticker) AS ticker, coalesce(c, cik) AS cik, a AS archetype_pin, bk, CASE WHEN m.ticker::BIGINT % 2 = 0 THEN sic ELSE lpad((3570 + m.ticker::BIGINT % 110)::VARCHAR, 4, '0') END AS sic,
+        CASE WHEN m.ticker::BIGINT % 3 = 0 THEN NULL ELSE sector END AS own, price * shares_out AS mcap FROM comp m LEFT JOIN pins p ON p.k = m.ticker::BIGINT)
+      SELECT x.ticker, cik, archetype_pin, coalesce(bk, sb.bucket) AS bucket, coalesce(own, a.sector, b.sector, c.sector) AS sector, coalesce(a.sector, b.sector, c.sector) AS sic_sector,
+        CASE WHEN mcap IS NULL THEN NULL WHEN mcap >= 10e9 THEN 0.0 WHEN mcap >= 2e9 THEN 0.003 WHEN mcap >= 0.5e9 THEN 0.008 ELSE 0.015 END::DOUBLE AS size_premium,
+        coalesce((mcap >= 15e9)::INT + (mcap >= 3e9)::INT + (mcap >= 0.3e9)::INT + (mcap >= 1e9)::INT, 0) AS n_universes
+      FROM x LEFT JOIN sicmap a ON a.prefix = x.sic LEFT JOIN sicmap b ON b.prefix = x.sic[1:3] LEFT JOIN sicmap c ON c.prefix = x.sic[1:2]
+      LEFT JOIN (VALUES {SUB}) sb(sic, bucket) ON sb.sic = x.sic"""),
     "sic_sector": sql("""SELECT p.p_partkey, p.sic, coalesce(a.sector, b.sector, c.sector) AS sector FROM
       (SELECT p_partkey, lpad(((p_partkey * 7) % 9000 + 100)::VARCHAR, 4, '0') AS sic FROM part) p LEFT JOIN sicmap a ON a.prefix = p.sic
       LEFT JOIN sicmap b ON b.prefix = p.sic[1:3] LEFT JOIN sicmap c ON c.prefix = p.sic[1:2]"""),

@@ -97,6 +97,10 @@ view("vt", """SELECT *, CASE WHEN nm < 2 THEN 2 WHEN within / nm >= 0.99 THEN 5
     WHEN 'reit' THEN 'reit: unpriceable, no positive FFO base and book unusable' ELSE 'no positive FCF/earnings base (GAAP loss-maker)' END
   WHEN form = '20-F' AND NOT (mid >= price / 10 AND mid <= price * 10) THEN 'ADR: per-share value failed the 10x sanity bound' END AS why2 FROM vt0""")
 view("r3", "SELECT a.ticker, a.revenue < b.revenue AS decl FROM (SELECT * FROM yr WHERE rn = 1) a JOIN (SELECT * FROM yr WHERE rn = 4) b USING (ticker)")
+view("cmom", """WITH h AS (SELECT universe, u.ticker, month, adjclose, max(month) OVER (PARTITION BY universe) AS top FROM umem u
+  JOIN pxm p ON p.ticker = (1 + (u.ticker::BIGINT - 1) % (SELECT max(s_suppkey) FROM supplier))::VARCHAR),
+  m AS (SELECT universe, ticker, max(adjclose) FILTER (month = top - INTERVAL 1 MONTH) / max(adjclose) FILTER (month = top - INTERVAL 12 MONTH) - 1 AS mom FROM h GROUP BY 1, 2)
+  SELECT universe, ticker, mom, round_even(round(100 * cume_dist() OVER (PARTITION BY universe ORDER BY mom), 9), 0)::INT AS mom_pct FROM m WHERE mom IS NOT NULL""")
 view("vf", f"""SELECT vt.*, list_filter([CASE WHEN decl THEN 'Declining revenue 3y' END,
   CASE WHEN arch = 'standard' AND coalesce(fcf_norm, 0) <= 0 AND coalesce(fcf_last, 0) <= 0 THEN 'Negative FCF' END,
   CASE WHEN arch = 'standard' AND ebit_now + dep_amort > 0 AND (debt_risk - cash_now) / (ebit_now + dep_amort) > 3.5 THEN 'High leverage' END,
@@ -105,14 +109,14 @@ view("vf", f"""SELECT vt.*, list_filter([CASE WHEN decl THEN 'Declining revenue
   CASE WHEN cyc THEN 'Cyclical revenue' END, CASE WHEN mcap < CASE universe WHEN 'sp500' THEN 3e9 ELSE 0.3e9 END THEN 'Suspect share count' END,
   CASE WHEN arch = 'reit' AND ffo IS NULL THEN 'REIT: RIM on book, not FFO/NAV' END,
   CASE WHEN CASE WHEN thru IS NOT NULL THEN thru < DATE '2001-12-31' - 270 ELSE last_fy < 2000 END THEN 'Stale filings' END], lambda s: s IS NOT NULL) AS flags,
-  coalesce(nullif(quality0, 0), 50) AS quality, CASE WHEN ticker::BIGINT % 9 = 0 THEN NULL ELSE (ticker::BIGINT % 101)::INT END AS mom_pct,
-  (ticker::BIGINT % 100) / 100::DOUBLE - 0.3 AS mom FROM vt LEFT JOIN r3 USING (ticker)""")
+  coalesce(nullif(quality0, 0), 50) AS quality, mom_pct, mom FROM vt LEFT JOIN r3 USING (ticker) LEFT JOIN cmom USING (universe, ticker)""")
 view("bd", """SELECT *, (greatest(-0.5, least(0.6, upside)) + 0.5) * (conf / 5) * (quality / 100) *
   pow(0.85, len(list_filter(flags, lambda s: s NOT IN ('Cyclical revenue', 'REIT: RIM on book, not FFO/NAV')))) AS score,
   CASE WHEN net_income_now > 0 THEN price / (net_income_now / shares) END AS pe,
   CASE WHEN eff_arch = 'standard' AND ebit_now + dep_amort > 0 THEN (mcap + debt - cash_now) / (ebit_now + dep_amort) END AS evebitda,
   CASE WHEN eff_arch = 'standard' THEN base_fcf / mcap END AS fcfy, div / mcap AS div_yield,
   CASE WHEN eff_arch = 'standard' AND ebit_now + dep_amort > 0 THEN (debt_risk - cash_now) / (ebit_now + dep_amort) END AS nde FROM vf WHERE why2 IS NULL""")
+view("gone", "SELECT universe, ticker, why FROM ci JOIN umem USING (ticker) WHERE why IS NOT NULL UNION ALL SELECT universe, ticker, why2 FROM vt WHERE why2 IS NOT NULL")
 view("sc0", """SELECT *, least(2.0, greatest(1.0, band / 0.10)) AS u FROM bd""")
 view("sc1", f"""SELECT * REPLACE (nopat_norm AS nopat_norm), least(0.5, 0.010 * u / greatest(coalesce(nullif(om, 0), 0.05), 0.05)) AS rel, greatest(wacc - 0.004 * u, {TG} + 0.015 + 0.005) AS wu, wacc + 0.004 * u AS wd,
   least(g1 + 0.015 * u, 0.30) AS gu, greatest(g1 - 0.015 * u, -0.05) AS gd FROM sc0 WHERE dcf_ps > 0 AND nopat_norm > 0 AND roic_dcf > 0""")
@@ -185,7 +189,7 @@ SQL = {
       CASE WHEN mom_pct <= 35 THEN 'weak momentum' END, CASE WHEN quality < 48 THEN 'low quality' END, CASE WHEN nm <= 1 THEN 'single method' WHEN conf <= 2 THEN 'engines disagree' END]
       WHEN upside < -0.04 THEN [CASE WHEN implied_g > g_trail + 0.04 THEN 'implied growth above trailing' END, CASE WHEN mom_pct >= 65 THEN 'strong momentum' END, CASE WHEN quality >= 70 THEN 'high quality' END]
       ELSE [] END, lambda s: s IS NOT NULL), '; ') AS counter_case FROM bd"""),
-    "excluded_report": sql("SELECT universe, ticker, why FROM ci JOIN umem USING (ticker) WHERE why IS NOT NULL UNION ALL SELECT universe, ticker, why2 FROM vt WHERE why2 IS NOT NULL"),
+    "excluded_report": sql("SELECT * FROM gone"),
     "multiples": sql("SELECT universe, ticker, round(pe, 4) AS pe, round(evebitda, 4) AS evebitda, round(fcfy, 5) AS fcfy, round(div_yield, 5) AS div_yield, round(nde, 4) AS nde FROM bd"),
     "trap_flags": sql("SELECT universe, ticker, array_to_string(flags, '|') AS flags FROM bd"),
     "percentile_rank": sql("SELECT universe, ticker, round(CASE WHEN roic IS NOT NULL THEN cume_dist() OVER (PARTITION BY universe, roic IS NULL ORDER BY roic) END, 6) AS pr FROM bd"),
@@ -218,10 +222,27 @@ SQL = {
     "distinct_sectors": sql("SELECT DISTINCT sector FROM bd"),
     "archetype_tally": sql("""SELECT universe, arch, count(*) FILTER (ok) AS ranked, count(*) FILTER (ok AND eff_arch <> 'standard') AS gated, count(*) FILTER (ok AND arch = 'financial' AND eff_arch = 'standard') AS rerouted,
       count(*) FILTER (NOT ok) AS excluded FROM (SELECT universe, arch, eff_arch, why2 IS NULL AS ok FROM vt UNION ALL SELECT universe, arch, NULL, false FROM ci JOIN umem USING (ticker) WHERE why IS NOT NULL) GROUP BY 1, 2"""),
-    "company_records": sql("""SELECT bd.universe, bd.ticker, 5 + (eff_arch = 'reit')::INT AS n_listed, (dcf_ps IS NOT NULL)::INT + (rim_ps IS NOT NULL)::INT + (ffo IS NOT NULL)::INT + (bd.epv_ps IS NOT NULL)::INT
-      + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN eff_arch = 'standard' AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic,
-      'USD' AS fin_currency, round(bd.roic, 6) AS roic_now, round(bd.om, 6) AS om, round(bd.roe_avg, 6) AS roe, round(bd.roe_std, 6) AS roe_std, round(bd.eq_assets, 6) AS eq_assets
-      FROM bd LEFT JOIN sc5 USING (universe, ticker)"""),
+    "company_records": sql("""WITH t AS (SELECT ticker, string_agg(fiscal_year::VARCHAR, ',' ORDER BY fiscal_year) AS years, arg_max(round(revenue / 1e9, 3), fiscal_year) AS last_rev
+        FROM yr WHERE rn <= 8 GROUP BY 1), n AS (SELECT *, 'not used for this archetype' AS off, eff_arch = 'standard' AS std, CASE WHEN div IS NULL THEN 0 ELSE div END AS d0 FROM bd)
+      SELECT n.universe, n.ticker, 5 + (eff_arch = 'reit')::INT AS n_listed, (dcf_ps IS NOT NULL)::INT + (rim_ps IS NOT NULL)::INT + (ffo IS NOT NULL)::INT + (n.epv_ps IS NOT NULL)::INT
+      + (warr_ps IS NOT NULL)::INT + (ddm_ps IS NOT NULL)::INT AS n_applicable, array_to_string(flags, '|') AS flags, round(pw, 2) AS pw, round(CASE WHEN pw IS NOT NULL THEN n.upside END, 4) AS exp_base,
+      round(CASE WHEN std AND roic_dcf > 0 THEN roic_dcf END, 4) AS roic, round(CASE WHEN std AND roic_dcf > 0 THEN greatest(0, least(0.9, g1 / roic_dcf)) END, 4) AS reinvest,
+      round(CASE WHEN std AND roic_dcf > 0 AND capx.n >= 3 AND ic_b - ic_a > 0 AND ic_b - ic_a > 0.02 * abs(ic_b) THEN (ebit_b - ebit_a) * (1 - tax_r) / (ic_b - ic_a) END, 4) AS inc_roic,
+      concat_ws('|', CASE WHEN NOT std THEN off ELSE (CASE WHEN nopat_norm > 0 AND roic_dcf > 0 THEN 'normalized NOPAT less reinvestment of g/ROIC' ELSE 'normalized FCF' END)
+          || (CASE WHEN cyc THEN ' over 10 years' ELSE '' END) || printf(', growth %.0f%%, WACC %.1f%%', g1 * 100, wacc * 100) END,
+        CASE WHEN rim_ps IS NOT NULL THEN 'book value and discounted excess ROE' || (CASE WHEN arch <> 'standard' THEN ', the anchor here' ELSE '' END) WHEN ffo IS NOT NULL THEN 'replaced by P/FFO'
+          WHEN std THEN 'for financials and REITs only' ELSE 'book value or ROE not usable' END,
+        CASE WHEN eff_arch = 'reit' THEN CASE WHEN ffo IS NOT NULL THEN 'FFO at the median multiple of the covered REITs' ELSE 'no positive FFO' END END,
+        CASE WHEN NOT std THEN off WHEN n.epv_ps > n.mid THEN 'no-growth value, above the growth cases' ELSE 'no-growth value, sets the low end only' END,
+        CASE WHEN NOT std THEN off ELSE 'median EV/EBIT of ' || wbucket || ', adjusted for growth, margin and ROIC' END,
+        CASE WHEN ddm_ps IS NOT NULL THEN printf('dividend of %.2f a share, discounted at %.1f%%', d0 / shares, re * 100) WHEN d0 = 0 THEN 'no dividend' ELSE 'dividend not covered by earnings, or too small' END) AS notes,
+      years, last_rev, 'USD' AS fin_currency, round(n.roic, 6) AS roic_now, round(n.om, 6) AS om, round(n.roe_avg, 6) AS roe, round(n.roe_std, 6) AS roe_std, round(n.eq_assets, 6) AS eq_assets
+      FROM n LEFT JOIN sc5 USING (universe, ticker) LEFT JOIN capx USING (ticker) LEFT JOIN t USING (ticker)"""),
+    "run_records": sql("""WITH x AS (SELECT universe, ticker, NULL::VARCHAR AS why FROM bd UNION ALL SELECT * FROM gone),
+      c AS (SELECT universe, regexp_replace(why, '^(\\w+):.*$', '\\1') AS why, count(*) AS n FROM x GROUP BY 1, 2)
+      SELECT universe, CASE universe WHEN 'sp500' THEN 'S&P 500' ELSE 'S&P 1500' END AS name, '2001-12-31' AS as_of, 0.043::DOUBLE AS risk_free, 0.05::DOUBLE AS erp, 0.025::DOUBLE AS terminal_g,
+      coalesce(sum(n) FILTER (why IS NULL), 0)::BIGINT AS covered, coalesce(sum(n) FILTER (why IS NOT NULL), 0)::BIGINT AS n_excluded,
+      coalesce(string_agg(why || '=' || n, '; ' ORDER BY why) FILTER (why IS NOT NULL), '') AS excluded, 'dcf=0.1; rim=0.35; warranted=0.3; ffo=0.3; ddm=0.1' AS weights FROM c GROUP BY 1"""),
     "screen_csv": sql(rf"""SELECT universe, ticker, name, sector, regexp_replace(round(price, 2)::VARCHAR, '\.0$', '') AS price, regexp_replace(round(low, 2)::VARCHAR, '\.0$', '') AS low, regexp_replace(round(mid, 2)::VARCHAR, '\.0$', '') AS mid, regexp_replace(round(high, 2)::VARCHAR, '\.0$', '') AS high, {PCT.format('upside')} AS upside,
       conf::VARCHAR AS confidence, quality::VARCHAR AS quality, coalesce(mom_pct::VARCHAR, '') AS "momentumPct", {PCT.format('mom')} AS "momentum12_1", {PCT.format('implied_g')} AS "impliedGrowth", {PCT.format('g_trail')} AS "trailingGrowth",
       coalesce(regexp_replace(round(pe, 1)::VARCHAR, '\.0$', ''), '') AS pe, coalesce(regexp_replace(round(evebitda, 1)::VARCHAR, '\.0$', ''), '') AS "evEbitda", {PCT.format('fcfy')} AS "fcfYield", regexp_replace(round(mcap / 1e9, 1)::VARCHAR, '\.0$', '') AS "mcapB", array_to_string(flags, '; ') AS flags, regexp_replace(round(score, 4)::VARCHAR, '\.0$', '') AS score

@@ -166,7 +166,7 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.json").write_text(
         '{"cik": 7, "facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2025-12-31", "val": 5, "filed": "2026-02-01", "form": "10-K", "fp": "FY"}]}}}}}')
-    for name, text in (("b", '{"cik": 8, "facts": {"us-gaap": {"Assets"'), ("c", ""), ("d", '{"facts": {}}'), ("e", '{"cik": 9}')):
+    for name, text in (("b", '{"cik": 8, "facts": {"us-gaap": {"Assets"'), ("c", " \n"), ("d", '{"facts": {}}'), ("e", '{"cik": 9}')):
         (tmp_path / "f" / f"{name}.json").write_text(text)
     rows, broken = src.read_facts(spark, str(tmp_path / "f"))
     assert sorted((r.source[-6:], r.reason) for r in broken.collect()) == [
@@ -271,3 +271,15 @@ def test_snapshots_replace_their_own_day(spark, tmp_path):
     sn.write_snapshots(path, rows((16, 9, "E")))   # a new week: added
     got = sorted((r.run_date.day, r.run_date.hour, r.ticker) for r in spark.read.parquet(path).collect())
     assert got == [(2, 9, "A"), (9, 15, "C"), (16, 9, "E")]
+
+
+def test_run_record_of_each_universe(spark):
+    rows = [("u", "a", None), ("u", "b", "ADR: share count unverified"), ("u", "c", "ADR: something else"), ("v", "d", "no revenue"), ("w", "e", None)]
+    valued = spark.createDataFrame(rows, "universe string, ticker string, why string")
+    universes = spark.createDataFrame([("u", "You"), ("v", "Vee")], "universe string, name string")
+    changes = spark.createDataFrame([("u", "in", 2, "z", "new"), ("u", "in", 1, "y", "new")], "universe string, kind string, place int, ticker string, detail string")
+    out = {r.universe: r for r in sinks.run_records(valued, universes, 0.01, "2024-01-05", changes).collect()}
+    assert {k: (r.name, r.covered, r.n_excluded, [tuple(x) for x in r.excluded]) for k, r in out.items()} == {
+        "u": ("You", 1, 2, [("ADR", 2)]), "v": ("Vee", 0, 1, [("no revenue", 1)]), "w": (None, 1, 0, [])}
+    assert [x.ticker for x in out["u"].changes] == ["y", "z"] and out["v"].changes is None
+    assert out["u"].terminal_g == 0.01 and out["u"].weights["rim"] == 0.35
