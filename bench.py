@@ -9,7 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from equispan.functions.staging import forget  # noqa: E402
+from equispan.functions.staging import release  # noqa: E402
 from equispan.plans import catalog  # noqa: E402
 
 HEADLINE = ["ranked_board", "ttm_stitch", "series_asof", "delisted_name_resolve", "rolling_beta", "pit_signal",
@@ -28,7 +28,7 @@ def main():
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     times = {}
     for name in names:
-        forget()
+        release(spark)
         start = time.time()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)

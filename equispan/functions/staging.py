@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 _own_dirs = {}
 _kept = {}
+_written = []
 
 
 def stage_dir(spark) -> str:
@@ -29,11 +30,28 @@ def stage_dir(spark) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark) -> str:
+    """The name of a folder of its own among the staged ones, which release() deletes."""
+    path = f"{stage_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def release(spark):
+    """Delete what this session has staged, once the results that read it are written."""
+    _kept.clear()
+    app = spark.sparkContext.applicationId
+    for _, path in [x for x in _written if x[0] == app]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [x for x in _written if x[0] != app]
+
+
 def _files(spark, folder):
     """Names, sizes and times of the tables in a folder: a result is shared only while these are the same."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -82,10 +82,13 @@ def momentum_12_1(prices: DataFrame) -> DataFrame:
 
 
 def live_momentum(prices: DataFrame, members: DataFrame) -> DataFrame:
-    """T5: momentum at the newest month of any member, ranked within the universe."""
-    held = prices.where("adjclose <> 0").join(members, "ticker")
-    top = held.groupBy("universe").agg(F.max("month").alias("top"))
-    near = held.join(F.broadcast(top), "universe").where("month IN (add_months(top, -1), add_months(top, -12))")
+    """T5: momentum at the newest month of any member, ranked within the universe.  Only the two months that a universe
+    reads are joined with its members; universes are few."""
+    p = prices.where("adjclose <> 0")
+    top = F.broadcast(p.groupBy("ticker").agg(F.max("month").alias("_last")).join(members, "ticker").groupBy("universe").agg(F.max("_last").alias("top")))
+    months = top.select(F.explode(F.expr("array(add_months(top, -1), add_months(top, -12))")).alias("month")).distinct()
+    held = p.join(F.broadcast(months), "month").join(members, "ticker")
+    near = held.join(top, "universe").where("month IN (add_months(top, -1), add_months(top, -12))")
     mom = near.groupBy("universe", "ticker").agg(
         F.expr("max(if(month = add_months(top, -1), adjclose, NULL))").alias("p1"),
         F.expr("max(if(month = add_months(top, -12), adjclose, NULL))").alias("p12"))

@@ -29,7 +29,7 @@ def universe_stage(companies: DataFrame, members: DataFrame, tables: dict) -> Da
     """Join the universes and add what needs the whole cross-section."""
     floors = F.broadcast(tables["universes"].select("universe", "min_mcap"))
     df = companies.join(members, "ticker").join(floors, "universe", "left")
-    df = stage(with_exprs(df, min_mcap="coalesce(min_mcap, 0D)"))
+    df = with_exprs(df, min_mcap="coalesce(min_mcap, 0D)")
     live = cross_section(df.where("why IS NULL"), tables)
     anchors, coefs = v.warranted_fit(live.where(v.FIT_OK), ["universe"])
     live = v.with_pffo(v.with_warranted(live, anchors, coefs, ["universe"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from . import bindings as b
 from .registry import query, tidy
 from ..functions.exprs import with_exprs
-from ..functions.staging import keep, stage
+from ..functions.staging import keep, new_folder, stage
 from ..operators import backtest as bt, membership as mb, prices as px
 from ..sources import sinks
 
@@ -119,7 +119,10 @@ def membership_walkback(spark, d):
 
 @query
 def walkback_anomalies(spark, d):
-    return tidy(mb.walkback_anomalies(b.index_current(spark, d), b.index_changes(spark, d)), ["ticker", "date", "row_no", "kind"])
+    """As of a week before the log's last day: what is dated later has not happened yet."""
+    changes = b.index_changes(spark, d)
+    last = changes.agg(F.date_sub(F.max("date"), 7)).first()[0]
+    return tidy(mb.walkback_anomalies(b.index_current(spark, d), changes, last), ["ticker", "date", "row_no", "kind"])
 
 
 def members(spark, d):
@@ -230,14 +233,32 @@ def momentum_study(spark, d):
     return tidy(out, ["variant", "label", "periods"], excess=4, hit_rate=3, strat_cagr=4, strat_sharpe=2, strat_dd=3, turnover=3)
 
 
-@query
-def price_upsert(spark, d):
-    """K2: the last months re-delivered a tenth higher, with one extra ticker."""
+def redelivered(spark, d):
+    """Prices, and the last months of them again a tenth higher, with one extra ticker."""
     old = monthly(spark, d).select("ticker", "month", "adjclose")
     new = old.where(F.col("month") >= F.add_months(F.lit(b.date_span(spark, d)[1]), -6)).withColumn("adjclose", F.col("adjclose") * 1.1).unionByName(
         old.where("ticker = '3'").withColumn("ticker", F.lit("NEW")))
-    out = sinks.upsert(old, new, ["ticker", "month"]).withColumn("adjclose", F.col("adjclose") * 1.000123)  # clear of exact halves
-    return tidy(out, ["ticker", "month"], adjclose=6)
+    return old, new
+
+
+def upserted(out):
+    return tidy(out.withColumn("adjclose", F.col("adjclose") * 1.000123), ["ticker", "month"], adjclose=6)  # clear of exact halves
+
+
+@query
+def price_upsert(spark, d):
+    """K2 on frames."""
+    return upserted(sinks.upsert(*redelivered(spark, d), ["ticker", "month"]))
+
+
+@query
+def price_upsert_table(spark, d):
+    """K2 into a table partitioned by month, read back."""
+    old, new = redelivered(spark, d)
+    path = new_folder(spark)
+    old.repartition("month").write.partitionBy("month").parquet(path)
+    sinks.write_upsert(path, new, ["ticker", "month"], "month")
+    return upserted(spark.read.parquet(path).withColumn("month", F.col("month").cast("date")))
 
 
 @query

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from . import bindings as b
 from .registry import query, tidy
 from ..functions.exprs import with_exprs
-from ..functions.staging import keep
+from ..functions.staging import keep, new_folder
 from ..operators import calibration as cal, crosssection as x, ledger as lg, snapshots as sn
 
 
@@ -16,20 +16,37 @@ def closes(spark, d):
     return keep(spark, d, "session_prices", lambda: b.session_prices(b.daily_prices(spark, d)))
 
 
-@query
-def weekly_gate(spark, d):
+def arrivals(spark, d):
     """All snapshots in three universes: their last day arrives in a new week, in the week of the day before, and again
-    on the day itself."""
+    on the day itself.  What was there, and what arrives."""
     s = snaps(spark, d)
     top = s.groupBy("model").agg(F.max(F.to_date("run_date")).alias("_top"))
     s = s.join(top, "model").withColumn("universe", F.explode(F.array(F.lit("week"), F.lit("skip"), F.lit("again"))))
     s = with_exprs(s, _new="to_date(run_date) = _top AND (universe <> 'again' OR hour(run_date) >= 12)")
     s = s.withColumn("run_date", F.expr("if(universe = 'week' AND NOT _new, run_date - INTERVAL 7 DAYS, run_date)"))
-    out = sn.append_snapshots(s.where("NOT _new").drop("_new", "_top"), s.where("_new").drop("_new", "_top"))
+    return s.where("NOT _new").drop("_new", "_top"), s.where("_new").drop("_new", "_top")
+
+
+def by_day(out):
     return out.groupBy("universe", "model", F.to_date("run_date").cast("string").alias("day")).agg(
         F.countDistinct("run_date").alias("runs"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def weekly_gate(spark, d):
+    return by_day(sn.append_snapshots(*arrivals(spark, d)))
+
+
+@query
+def snapshot_table(spark, d):
+    """K3 into a table partitioned by universe, model and day, read back."""
+    old, new = arrivals(spark, d)
+    path = new_folder(spark)
+    old.withColumn("_day", F.to_date("run_date")).repartition("universe", "model", "_day").write.partitionBy("universe", "model", "_day").parquet(path)
+    sn.write_snapshots(path, new)
+    return by_day(spark.read.parquet(path))
+
+
 @query
 def change_digest(spark, d):
     s = snaps(spark, d)

@@ -35,7 +35,7 @@ def parse_facts(docs: DataFrame) -> DataFrame:
 
 def unreadable(docs: DataFrame) -> DataFrame:
     """S1, quarantine: the documents that parse_facts leaves out, as they came, with the reason."""
-    reason = """CASE WHEN doc IS NULL OR trim(doc) = '' THEN 'empty' WHEN d IS NULL OR d._bad IS NOT NULL THEN 'not JSON of this form'
+    reason = """CASE WHEN doc IS NULL OR doc RLIKE r'^\\s*$' THEN 'empty' WHEN d IS NULL OR d._bad IS NOT NULL THEN 'not JSON of this form'
                 WHEN d.cik IS NULL THEN 'no cik' ELSE 'no facts' END"""
     return _read(docs).where(f"NOT ({_READABLE})").select(*docs.columns, F.expr(reason).alias("reason"))
 

@@ -169,7 +169,7 @@ SQL = {
       t AS (SELECT DISTINCT ticker FROM k UNION SELECT ticker FROM cur)
       SELECT w.qdate::VARCHAR AS qdate, t.ticker FROM w CROSS JOIN t LEFT JOIN f ON f.qdate = w.qdate AND f.ticker = t.ticker WHERE CASE WHEN rem IS NULL THEN t.ticker IN (SELECT ticker FROM cur) ELSE rem END"""),
     "walkback_anomalies": sql("""SELECT ticker, date::VARCHAR AS date, row_no, kind FROM (SELECT *, coalesce(lag(kind) OVER (PARTITION BY ticker ORDER BY date DESC, row_no) = 'remove', ticker IN (SELECT ticker FROM cur)) AS was_in FROM
-      (SELECT date, row_no, coalesce(added, removed) AS ticker, CASE WHEN added IS NULL THEN 'remove' ELSE 'add' END AS kind FROM chg)) WHERE (kind = 'add') <> was_in"""),
+      (SELECT date, row_no, coalesce(added, removed) AS ticker, CASE WHEN added IS NULL THEN 'remove' ELSE 'add' END AS kind FROM chg WHERE date <= (SELECT max(date) - 7 FROM chg))) WHERE (kind = 'add') <> was_in"""),
     "members_by_month": sql("SELECT month::VARCHAR AS month, count(*) AS n, min(ticker) AS first_ticker FROM mmem GROUP BY 1"),
     "pit_signal": sql("""SELECT qdate::VARCHAR AS qdate, ticker, flags, round(g_tr, 5) AS g_tr, round(om, 5) AS om, round(roe, 5) AS roe, round(fcf_margin, 5) AS fcf_margin, round(wacc, 6) AS wacc, round(dcf, 3) AS dcf, round(epv, 3) AS epv, round(rim, 3) AS rim,
       round(ddm, 3) AS ddm, round(impl, 5) AS impl, round(mom, 5) AS mom, round(beta, 5) AS beta FROM psig"""),
@@ -205,3 +205,4 @@ SQL = {
       a AS (SELECT block, universe, count(DISTINCT ax) AS axis_len FROM c GROUP BY 1, 2)
       SELECT c.block, c.universe, ticker, any_value(axis_len) AS axis_len, any_value(axis_len) - count(*) AS gaps, round(sum(CASE WHEN v >= 5 THEN round(v, 2) ELSE round(v, 4) END), 4) AS total FROM c JOIN a ON a.block = c.block AND a.universe = c.universe GROUP BY 1, 2, 3"""),
 }
+SQL["price_upsert_table"] = SQL["price_upsert"]

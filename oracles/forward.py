@@ -96,3 +96,4 @@ SQL = {
     "sector_neutral": sql("SELECT model, session::VARCHAR AS session, ticker, round(fwd, 6) AS fwd FROM sneu"),
     "tolerant_ranks": sql("SELECT model, session::VARCHAR AS session, ticker, round(r, 1) AS avg_rank FROM (" + ranked("(SELECT *, conf / 3 * (1 + CASE WHEN ticker::BIGINT % 2 = 0 THEN 1e-15 ELSE 0 END) + floor(upside * 2) AS v FROM panl)", "model, session", "v", "r") + ")"),
 }
+SQL["snapshot_table"] = SQL["weekly_gate"]

@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from equispan.functions.staging import release  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,4 +16,5 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release(s)
     s.stop()
