@@ -35,10 +35,12 @@ def _before(order):
 
 
 def _crowds(df, target):
-    """Whether a frame may hold more rows than fit one slice, by the optimizer's estimate of its size.
+    """Whether a frame may hold more rows than fit one slice, by the optimizer's estimate of its size and its width per row.
 
-    Only then is it worth a job to look at the slices; the answers are the same either way."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 8 * target
+    Files are compressed, so the estimate is taken fourfold.  Only then is it worth a job to look at the slices; the answers
+    are the same either way."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 4 * size > target * (8 + df._jdf.schema().defaultSize())
 
 
 def _pieces(cells, slices, value, key):

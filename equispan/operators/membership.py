@@ -1,6 +1,8 @@
 """Index membership through time."""
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.asof import asof_join
+
 ALIASES = {"FB": "META", "FISV": "FI", "DISCA": "WBD", "RTN": "RTX", "CTRP": "TCOM"}  # fixed values
 DUPLICATE_CLASSES = ["GOOG", "FOX", "NWS"]  # fixed values
 
@@ -65,7 +67,5 @@ def walkback_anomalies(current: DataFrame, changes: DataFrame, today=None) -> Da
 def members_asof(membership: DataFrame, months: DataFrame) -> DataFrame:
     """The newest snapshot dated in or before each month.  Snapshot dates are a short calendar."""
     snaps = membership.select("qdate").distinct().withColumn("qm", F.trunc("qdate", "month"))
-    snaps = snaps.withColumn("until", F.lead("qm").over(Window.orderBy("qm", "qdate")))
-    cal = months.select("month").distinct().join(
-        F.broadcast(snaps), F.expr("month >= qm AND (until IS NULL OR month < until)")).select("month", "qdate")
+    cal = asof_join(months.select("month").distinct(), snaps, "month", "qm", {"qdate": "qdate"}).where("qdate IS NOT NULL")
     return membership.join(F.broadcast(cal), "qdate").select("month", "ticker")

@@ -50,7 +50,7 @@ def blend_stage(df: DataFrame, momentum: DataFrame | None = None) -> DataFrame:
     return df
 
 
-def value_universes(inputs, members, tables, rf, today, momentum=None) -> DataFrame:
-    """All companies of all universes, valued; `why` holds the reason for those left out."""
-    companies = stage(company_stage(inputs, rf, today))
+def value_universes(companies, members, tables, momentum=None) -> DataFrame:
+    """All companies of all universes, valued; `why` holds the reason for those left out.  companies: a written company_stage,
+    which several branches read."""
     return blend_stage(stage(universe_stage(companies, members, tables)), momentum)

@@ -16,14 +16,16 @@ def financials(spark, d):
     return keep(spark, d, "financials", lambda: b.financials(spark, d))
 
 
+def fresh_inputs(spark, d):
+    fin = financials(spark, d)
+    comp = stage(b.companies(spark, d, fin))
+    dq = q.mcap_xcheck(comp, b.external_mcap(spark, d, comp))
+    return m.company_inputs(comp, fin, b.financials_now(spark, d, fin), b.company_betas(spark, d), RF,
+                            assumption_tables(spark)["archetype_overrides"], dq)
+
+
 def inputs(spark, d):
-    def make():
-        fin = financials(spark, d)
-        comp = stage(b.companies(spark, d, fin))
-        dq = q.mcap_xcheck(comp, b.external_mcap(spark, d, comp))
-        return m.company_inputs(comp, fin, b.financials_now(spark, d, fin), b.company_betas(spark, d), RF,
-                                assumption_tables(spark)["archetype_overrides"], dq)
-    return keep(spark, d, "inputs", make)
+    return keep(spark, d, "inputs", lambda: fresh_inputs(spark, d))
 
 
 def series(spark, d):

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from . import bindings as b, pipeline
-from .queries_metrics import RF, TODAY, inputs, series
+from .queries_metrics import RF, TODAY, fresh_inputs, series
 from .registry import query, tidy
 from ..assumptions import assumption_tables
 from ..functions import engines as en
@@ -14,8 +14,13 @@ from ..sources import sinks
 U = ["universe", "ticker"]
 
 
+def companies(spark, d):
+    """Inputs and engines in one pass over the companies."""
+    return keep(spark, d, "engines", lambda: pipeline.company_stage(fresh_inputs(spark, d), RF, TODAY))
+
+
 def engines(spark, d):
-    return keep(spark, d, "engines", lambda: pipeline.company_stage(inputs(spark, d), RF, TODAY)).where("why IS NULL")
+    return companies(spark, d).where("why IS NULL")
 
 
 def momentum(spark, d):
@@ -26,7 +31,7 @@ def momentum(spark, d):
 
 def valued(spark, d):
     return keep(spark, d, "valued", lambda: pipeline.value_universes(
-        inputs(spark, d), b.universe_members(spark, d), assumption_tables(spark), RF, TODAY, momentum(spark, d)))
+        companies(spark, d), b.universe_members(spark, d), assumption_tables(spark), momentum(spark, d)))
 
 
 def board(spark, d):
