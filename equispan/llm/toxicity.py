@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier on character n-grams that are scaled by naive Bayes log-count ratios.
 
 A text's features are the distinct n-grams (4 to 6 UTF-8 bytes of the lower-cased text, runs of other signs folded to one
-space), hashed to 2^20 numbers.  Spark counts in how many toxic and other texts each occurs; the log of the ratio of the
-smoothed shares is the scale of the feature.  The features that tell most are kept, and a logistic regression is fitted
-on their scaled values.  Scoring takes whole texts, slice by slice, in one pass without a shuffle.
+space), hashed to 2^20 numbers.  Spark counts in how many toxic and other texts each occurs, over all labelled documents;
+the log of the ratio of the smoothed shares is the scale of the feature.  The features that tell most are kept, and a
+logistic regression is fitted on their scaled values.  Scoring takes whole texts, slice by slice, in one pass without a
+shuffle.
 
-The fit uses at most `max_rows` labelled rows, those whose doc_id hashes lowest; everything else covers all rows.
+Only the regression is fitted on a sample: at most `max_rows` labelled rows, those whose doc_id and text hash lowest.
 Nulls and empty texts score what the intercept says.  If one of the two classes is missing, every score is the share of
-toxic rows.  Repeated labels of a document count as toxic if one of them is.
+toxic rows.  Repeated labels of a document count as toxic if one of them is.  Documents that share a doc_id are labelled
+alike and each counts.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import lower_ascii, slices
-from .shared import cut
+from .shared import cut, written
 
 SIZES, BUCKET_BITS, FEATURES, MAX_ROWS, THRESHOLD = (4, 5, 6), 20, 1 << 14, 20_000, 0.7
 PENALTY, STEPS = 2e-4, 300
@@ -80,7 +82,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by Adam steps on the whole sparse matrix."""
-    w, bias = np.zeros(width), float(np.log(y.mean() / (1 - y.mean())))
+    # A sample may hold one class only.
+    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    w, bias = np.zeros(width), float(np.log(share / (1 - share)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(y)) + bias, -30, 30)))
@@ -92,15 +96,30 @@ def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndar
     return w, bias
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """(_text, toxic, _key) of all documents that have a label; written, as counts and sample both read it."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    return written(docs.select("doc_id", F.col(text).alias("_text")).join(known, "doc_id").select(
+        "_text", "toxic", F.xxhash64("doc_id", "_text").alias("_key")))
+
+
+def feature_counts(labelled: DataFrame) -> DataFrame:
+    """(feature, p, q): in how many toxic and other texts each feature occurs."""
+    counts = labelled.select("_text", "toxic").mapInArrow(_count, "feature long, p long, q long")
+    return counts.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+
+
+def fit_sample(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """At most max_rows labelled rows, the same ones each time; of equal rows any."""
+    keys = cut(labelled.select("_key").distinct().orderBy("_key").limit(max_rows))
+    return cut(labelled.join(F.broadcast(keys), "_key", "left_semi").select("_text", "toxic").limit(max_rows))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int = MAX_ROWS) -> np.ndarray:
     """Weights of all features and, last, the intercept; learnt from documents that have a label (doc_id, toxic)."""
     spark = docs.sparkSession
-    sample = cut(labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
-                 .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-                 .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    # At most max_rows short rows: small enough to send to every task.
-    train = cut(docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id").select("_text", "toxic"))
-    n_toxic, n = train.agg(F.sum("toxic"), F.count("*")).first()
+    labelled = labelled_texts(docs, labels, text)
+    n_toxic, n = labelled.agg(F.sum("toxic"), F.count("*")).first()
     out = np.zeros((1 << BUCKET_BITS) + 1, np.float32)
     if not n_toxic or n_toxic == n:
         share = (n_toxic or 0) / max(n, 1)
@@ -108,8 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
         return out
     ratio = F.log((F.col("p") + 1) / F.lit(n_toxic + 2.0)) - F.log((F.col("q") + 1) / F.lit(n - n_toxic + 2.0))
     tells = F.abs("r") / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))
-    kept = (train.mapInArrow(_count, "feature long, p long, q long").groupBy("feature")
-            .agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p + q >= 3")
+    kept = (feature_counts(labelled).where("p + q >= 3")
             .select("feature", ratio.alias("r"), "p", "q")
             .orderBy(tells.desc(), "feature").limit(FEATURES).select("feature", "r").orderBy("feature").collect())
     feature = np.array([r[0] for r in kept], np.int64)
@@ -140,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
         yield pa.RecordBatch.from_arrays([pa.array(np.append(w * scale, bias))], names=["w"])
 
     # One task learns: its rows are bounded by max_rows and FEATURES.
+    train = fit_sample(labelled, max_rows)
     learnt = np.array([r[0] for r in train.mapInArrow(rows, "features array<int>, toxic int")
                        .repartition(1).sortWithinPartitions("toxic", "features").mapInArrow(learn, "w double").collect()])
     out[feature], out[-1] = learnt[:-1], learnt[-1]

@@ -1,9 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from equispan.llm.queries import op4_toxicity
-from equispan.llm.toxicity import fit, score, score_toxicity
+from equispan.llm.toxicity import _distinct, feature_counts, fit, fit_sample, labelled_texts, score, score_toxicity
 
 
 def test_held_out_accuracy(spark):
@@ -37,3 +38,25 @@ def test_edges(spark):
     assert {r.predicted for r in score_toxicity(docs, labels.limit(0)).collect()} == {0}
     assert fit(docs, labels.where("toxic = 1"))[-1] > 0
     assert score(docs.select("doc_id", "text"), fit(docs, labels)).columns == ["doc_id", "text", "score"]
+
+
+def test_counts_cover_all_labelled_rows_and_the_sample_is_bounded(spark):
+    texts = [f"word{k % 7} other{k % 3} tail" for k in range(400)] + ["", None]
+    docs = spark.createDataFrame([(k // 4, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(k, k % 3 == 0) for k in range(90)] + [(1, True), (None, True), (2, None)], "doc_id long, toxic boolean")
+    known = {k: k % 3 == 0 or k == 1 for k in range(90)}
+    labelled = labelled_texts(docs, labels)
+    want = Counter()
+    for k, t in enumerate(texts):
+        if k // 4 in known:
+            data = np.frombuffer((t or "").encode(), np.uint8)
+            for f in _distinct(data, np.array([0, len(data)]))[1].tolist():
+                want[f, known[k // 4]] += 1
+    got = {r.feature: (r.p, r.q) for r in feature_counts(labelled).collect()}
+    assert got == {f: (want[f, True], want[f, False]) for f, _ in want}
+    assert labelled.count() == 360
+    for most in (1, 10, 1000):
+        assert fit_sample(labelled, most).count() == min(most, 360)
+    many = spark.createDataFrame([(1, "same text", 0)] * 300 + [(2, "an idiot", 1)], "doc_id long, text string, toxic int")
+    assert fit_sample(labelled_texts(many, many.select("doc_id", "toxic")), 20).count() == 20
+    assert np.isfinite(fit(docs, labels, max_rows=1)).all()
