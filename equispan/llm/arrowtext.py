@@ -72,6 +72,12 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending.  Sorting is many times quicker here than numpy's hash table for plain numbers."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

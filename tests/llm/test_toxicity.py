@@ -56,7 +56,7 @@ def test_counts_cover_all_labelled_rows_and_the_sample_is_bounded(spark):
     assert got == {f: (want[f, True], want[f, False]) for f, _ in want}
     assert labelled.count() == 360
     for most in (1, 10, 1000):
-        assert fit_sample(labelled, most).count() == min(most, 360)
+        assert fit_sample(labelled, most).count() == min(most, len({(k // 4, t) for k, t in enumerate(texts) if k // 4 in known}))
     many = spark.createDataFrame([(1, "same text", 0)] * 300 + [(2, "an idiot", 1)], "doc_id long, text string, toxic int")
-    assert fit_sample(labelled_texts(many, many.select("doc_id", "toxic")), 20).count() == 20
+    assert fit_sample(labelled_texts(many, many.select("doc_id", "toxic")), 20).count() == 2  # equal rows count once
     assert np.isfinite(fit(docs, labels, max_rows=1)).all()
