@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import mix64, slices, span_hashes, window_hashes
+from .arrowtext import mix64, slices, sorted_distinct, span_hashes, window_hashes
 from .shared import components, cut, written
 
 SIMILARITY, SHINGLE, KEY_SHINGLE = 0.8, 5, 9
@@ -47,7 +47,7 @@ class _Lines:
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         breaks = np.flatnonzero(data == 10)
-        starts = np.unique(np.concatenate((offsets[:-1][np.diff(offsets) > 0], breaks + 1)))
+        starts = sorted_distinct(np.concatenate((offsets[:-1][np.diff(offsets) > 0], breaks + 1)))
         # A break at the end of a text begins an empty line, and one begun by it is the next text's first: both in order.
         starts = starts[starts < n]
         text = np.searchsorted(offsets, starts, "right") - 1
