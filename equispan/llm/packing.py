@@ -26,6 +26,7 @@ from unicodedata import normalize
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,63 +34,81 @@ from .arrowtext import slices
 from .shared import cut
 
 CAPACITY, END, GROUPS, PART_ROWS = 4096, 1, 48, 50_000
-#: Word pieces that a Python worker remembers.
-REMEMBERED = 600_000
+#: Word pieces that a Python worker remembers, and bytes of text it takes at once.
+REMEMBERED, SLICE = 600_000, 6 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _stretches(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches table[begin:begin + size], one after the other."""
+    end = np.cumsum(size)
+    return table[np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
 def encoder(path: str):
-    """A function from texts to their ids as little-endian 32-bit numbers.
+    """A function from an array of texts to all their ids, as little-endian 32-bit numbers, and where each text's begin.
 
     The tokenizer never joins across white space, so a text's ids are those of its parts; equal parts are encoded once and
-    remembered.  New parts that are letters, perhaps with commas or stops behind, are encoded all in one call: each is one
-    word to the tokenizer, whose last token ends a word.
+    remembered, in Arrow and numpy arrays.  New parts that are letters, perhaps with commas or stops behind, are encoded all
+    in one call: each is one word to the tokenizer, whose last token ends a word.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     final = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
     final[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-    known: dict[str, bytes] = {"": b""}
+    none = pa.array([""]), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+    known, table, size = none  # parts, their ids one after the other, and how many each has
 
-    def ids_of(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def each(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.fromiter(map(len, found), np.int64, len(found))
 
-    def learn(parts: set[str]) -> None:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-        stems: dict[str, list[tuple[str, str]]] = {}
-        for part in parts:
+    def encode_parts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different parts, and how many each has."""
+        stems: dict[str, int] = {}
+        rest: dict[str, int] = {}  # what follows a stem, and parts that have none
+        stem_of, rest_of = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        for k, part in enumerate(parts):
             stem = part.rstrip(",.")
             # A lower-case form may hold a mark that is no letter and belongs to what follows.
             if stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha()):
                 # The tokenizer lower-cases; of ASCII letters this is known beforehand.
-                stems.setdefault(stem.lower() if stem.isascii() else stem, []).append((part, part[len(stem):]))
+                stem_of[k] = stems.setdefault(stem.lower() if stem.isascii() else stem, len(stems) + 1)
+                rest_of[k] = rest.setdefault(part[len(stem):], len(rest) + 1)
             else:
-                known[part] = ids_of(part).tobytes()
-        if not stems:
-            return
-        ids = ids_of(" ".join(stems))
+                rest_of[k] = rest.setdefault(part, len(rest) + 1)
+        ids, count = each([" ".join(stems)])
         ends = np.flatnonzero(final[ids]) + 1
         if len(ends) == len(stems):
-            words, whole = ids.tobytes(), [0, *(4 * ends).tolist()]
-            found = [words[a:b] for a, b in zip(whole, whole[1:], strict=False)]
+            count = np.diff(ends, prepend=0)
         else:
-            found = [ids_of(stem).tobytes() for stem in stems]
-        tails = {t: ids_of(t).tobytes() for t in {t for x in stems.values() for _, t in x}}
-        for behind, own in zip(stems.values(), found, strict=True):
-            for part, tail in behind:
-                known[part] = own + tails[tail]
+            ids, count = each(list(stems))
+        more, more_count = each(list(rest))
+        count = np.concatenate(([0], count, more_count))  # the first is that of a missing stem
+        begin = np.cumsum(count) - count
+        both = np.stack((stem_of, np.where(rest_of, rest_of + len(stems), 0)), axis=1).ravel()
+        return _stretches(np.concatenate((ids, more)), begin[both], count[both]), count[both].reshape(-1, 2).sum(axis=1)
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        missing = set().union(*split) - known.keys()
-        if missing:
-            learn(missing)
-            if len(known) <= len(missing) + 1:  # older ones were forgotten
-                learn(set().union(*split) - known.keys())
-        return [b"".join([known[part] for part in parts]) for parts in split]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, table, size
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=known)
+        if at.null_count and len(known) > REMEMBERED:  # older ones are forgotten
+            known, table, size = none
+            at = pc.index_in(coded.dictionary, value_set=known)
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = coded.dictionary.take(pa.array(new))
+            ids, count = encode_parts(words.to_pylist())
+            at[new] = len(known) + np.arange(len(new))
+            known, table, size = pa.concat_arrays([known, words]), np.concatenate((table, ids)), np.concatenate((size, count))
+        place = at[coded.indices.to_numpy()]
+        count = size[place]
+        lists = split.offsets.to_numpy()
+        return _stretches(table, (np.cumsum(size) - size)[place], count), np.concatenate(([0], np.cumsum(count)))[lists - lists[0]]
     return encode
 
 
@@ -97,25 +116,20 @@ def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, vocabu
     """doc_id, piece, start, length, ids_crc32 and, if wanted, the ids themselves of each document's pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(public_tokenizers.path(vocabulary))
-        last = END.to_bytes(4, "little")
         for batch in batches:
-            for first, end, _, _ in slices(batch.column(1)):
-                row, piece, length, crc, parts = [], [], [], [], []
-                texts = batch.column(1).slice(first, end - first).fill_null("").to_pylist()
-                for k, found in enumerate(encode(texts)):
-                    found += last
-                    for p, at in enumerate(range(0, len(found), 4 * capacity)):
-                        part = found[at:at + 4 * capacity]
-                        row.append(first + k)
-                        piece.append(p)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                        parts.append(part)
-                cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                        pa.array([p * capacity for p in piece], pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            for first, end, _, _ in slices(batch.column(1), SLICE):
+                found, offsets = encode(batch.column(1).slice(first, end - first).fill_null(""))
+                found = np.insert(found, offsets[1:], END)
+                offsets = offsets + np.arange(len(offsets))
+                count = -(-np.diff(offsets) // capacity)
+                row = np.repeat(np.arange(len(count)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                at = np.append(offsets[row] + piece * capacity, offsets[-1])
+                crc = [zlib.crc32(found[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+                cols = [batch.column(0).take(pa.array(first + row)), pa.array(piece, pa.int32()),
+                        pa.array(piece * capacity), pa.array(np.diff(at)), pa.array(crc, pa.int64())]
                 if ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()),
-                                                         pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                    cols.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(cols)])
         del encode
         pa.default_memory_pool().release_unused()  # workers live on and serve other operators

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -70,16 +71,28 @@ def test_plan_is_close_to_the_bound(seed):
     assert len(runs) < 30_000
 
 
+def lists(encoded):
+    return [x.tolist() for x in np.split(encoded[0], encoded[1][1:-1])]
+
+
 @pytest.mark.parametrize("text", ["", " a  b\n\nc\t d", "don't, won't.,", "x,.'s ,y", "É ́e ﬁ ,.a", "1,2.3 a1,", "a\x1cb\x85c d e", "''', a',", "ǅ ªº ʰa, İstanbul. ΑΣ, ﬃ", "İ, İ. aİ,. İİ.", "ÅΣ. ẞ, ŉ. ǰ,"])
 def test_remembered_parts_equal_whole_texts(text, tokenizer):
     encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
     want = tokenizer.encode(text, add_special_tokens=False).ids
-    assert [np.frombuffer(x, "<u4").tolist() for x in encode([text, "", text])] == [want, [], want]
+    assert lists(encode(pa.array([text, "", text]))) == [want, [], want]
 
 
 def test_random_texts_equal_whole_texts(tokenizer):
     rnd = np.random.default_rng(2)
     signs = list("aBcİıΣßﬁŉǰÅ\u0301\u0307éÉ,.' \n1") + ["İ.", "İ,", " the "]
     texts = ["".join(rnd.choice(signs, rnd.integers(0, 25))) for _ in range(3000)]
-    got = encoder(public_tokenizers.path("word_bpe_49k.json"))(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    got = [ids for k in range(0, len(texts), 100) for ids in lists(encode(pa.array(["", *texts]).slice(k + 1, 100)))]
+    assert got == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_forgotten_parts_are_encoded_again(tokenizer, monkeypatch):
+    monkeypatch.setattr("equispan.llm.packing.REMEMBERED", 5)
+    encode = encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ["one two three, four. (five) six!", "three, one seven", "", "eight one. six!"]:
+        assert lists(encode(pa.array([text]))) == [tokenizer.encode(text, add_special_tokens=False).ids]
