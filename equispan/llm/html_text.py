@@ -1,17 +1,17 @@
 """Layout-aware text of web pages.
 
-The standard library's HTML tokenizer feeds a tree builder that supplies what markup leaves out: a paragraph ends before
-a block, an item before the next item, a cell before the next cell or row, raw ends and unclosed tags at the page's end.
+One forward scan, in which each `<` is decided once, feeds a tree builder that supplies what markup leaves out: a paragraph ends before a block, an item before the next item, a cell before the next cell or row, raw ends and unclosed tags at the page's end.
 The renderer walks the tree and writes all visible text: blocks on lines of their own, paragraphs, headings, lists and
 tables set off by an empty line, items behind `- ` or their number, table cells aligned by column.
 
 Not visible: head, which ends before text and tags that it can't hold, script, style, template, noscript and other carriers;
 what svg and math don't draw (title, desc, metadata, defs, symbol, annotations); elements with `hidden`, with `display:none` or
-`visibility:hidden` in their style or, for simple selectors (tag, .class, #id), in the page's style sheet; closed
-`details` but for their summary.  A visible element inside a `visibility:hidden` one shows again.
+`visibility:hidden` in their style or, for simple selectors (tag, .class, #id), in the page's style sheet, outside of at-rules
+or for `screen` or `all` media; closed `details` but for their summary; comments, of which an unfinished one ends with the page.  A visible element inside a `visibility:hidden` one shows again.
 
 Null and empty pages give an empty text.  Elements nested deeper than 200 are set beside each other, and a cell longer
-than 60 signs does not widen its column; text is never dropped.  Repeated rows are rendered each on its own; extra columns
+than 60 signs does not widen its column; text is never dropped.  A quote that is never closed is a part of its value, and a tag
+that is never closed is text up to the page's end.  The time follows the page's length, however broken it is.  Repeated rows are rendered each on its own; extra columns
 pass through, one named `extracted` is replaced.
 """
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,21 +42,31 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
         "td": (_CELLS, {"table"}), "th": (_CELLS, {"table"}), "tr": (_CELLS | {"tr"}, {"table"}),
         **{t: (_CELLS | {"tr"} | _ROWS, {"table"}) for t in _ROWS}, "option": ({"option"}, {"select"}),
         "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, set())}
+#: Elements whose content is text up to their end tag; in those of ESCAPED references count.
+RAW, ESCAPED = {"script", "style", "xmp", "iframe", "noembed", "noframes"}, {"title", "textarea"}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW | ESCAPED}
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_GAP = re.compile(r"[\s/]*+")
+#: A name and perhaps its value; what follows `=` may be a quote that is never closed.
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+_COMMENT_END = re.compile("--!?>")
+#: Numbers beyond all code points, and many zeros before a number: only short ones can be converted.
+_HUGE = re.compile("&#(?:0*+[0-9]{8,}+;?|0{9,}+)")
 _BORDERS = {"table", "td", "th", "caption", "button", "object", "html", "body"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "drawings")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, drawings: frozenset[str] = frozenset()):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.drawings = drawings | {tag} if tag in UNDRAWN else drawings  # svg or math, if it is or stands in such
 
 
-class Builder(HTMLParser):
+class Builder:
     """Builds the tree; `sheet` collects the text of style elements."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("#page")
         self.open = [self.root]
         self.sheet: list[str] = []
@@ -81,10 +91,11 @@ class Builder(HTMLParser):
                 self._end({"head"}, set())
         elif tag not in HEAD and self.open[-1].tag == "head":
             del self.open[-1]
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        if any(tag in UNDRAWN.get(n.tag, ()) for n in self.open):
+        around = self.open[-1].drawings
+        node = Node(tag, {k: v or "" for k, v in attrs}, around)
+        if any(tag in UNDRAWN[x] for x in around):
             node.attrs["hidden"] = ""
-        elif tag == "text" and any(n.tag == "svg" for n in self.open):
+        elif tag == "text" and "svg" in around:
             node.attrs["#label"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < DEPTH:
@@ -93,7 +104,7 @@ class Builder(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         # A slash closes void elements and those of svg and math only; browsers take `<div/>` as `<div>`.
         self.handle_starttag(tag, attrs)
-        if self.open[-1].tag == tag and not self.open[-1].children and any(n.tag in UNDRAWN for n in self.open):
+        if self.open[-1].tag == tag and not self.open[-1].children and self.open[-1].drawings:
             del self.open[-1]
 
     def handle_endtag(self, tag):
@@ -117,16 +128,95 @@ class Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _text(data: str) -> str:
+    """Text with its character references replaced."""
+    if "&#" in data:
+        data = _HUGE.sub(lambda m: "\ufffd" if m[0].strip("&#0") else "&#0", data)
+    return unescape(data) if "&" in data else data
+
+
+def scan(page: str, builder: Builder) -> None:
+    """Hand a page's tags and texts to a builder."""
+    text: list[str] = []
+    at, n = 0, len(page)
+
+    def flush() -> None:
+        data = _text("".join(text))
+        text.clear()
+        if data:
+            builder.handle_data(data)
+
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            text.append(page[at:])
+            break
+        text.append(page[at:start])
+        if page.startswith("<!--", start):
+            # `<!-->` and `<!--->` are whole comments.
+            empty = next((x for x in ("<!-->", "<!--->") if page.startswith(x, start)), "")
+            end = _COMMENT_END.search(page, start + 4) if not empty else None
+            at = start + len(empty) if empty else end.end() if end else n
+            continue
+        name = _NAME.match(page, start + 1) or page.startswith("/", start + 1) and _NAME.match(page, start + 2)
+        if name and page[start + 1] != "/":
+            attrs, at = {}, name.end()
+            while (at := _GAP.match(page, at).end()) < n and page[at] != ">":
+                found = _ATTRIBUTE.match(page, at)
+                at = found.end()
+                attrs.setdefault(found[1].lower(), _text(found[2] or found[3] or found[4] or ""))
+            if at == n:
+                text.append(page[start:])
+                break
+            flush()
+            tag, closed, at = name[0].lower(), page[at - 1] == "/", at + 1
+            (builder.handle_startendtag if closed else builder.handle_starttag)(tag, list(attrs.items()))
+            node = builder.open[-1] if builder.open[-1].tag == tag else builder.open[-1].children[-1]
+            if tag in RAW and not (closed and node.drawings) or tag in ESCAPED and not node.drawings:
+                end = _RAW_END[tag].search(page, at)
+                stop = end.start() if end else n
+                body = _text(page[at:stop]) if tag in ESCAPED else page[at:stop]
+                if node is builder.open[-1]:
+                    builder.handle_data(body)
+                else:  # too deep to be opened
+                    node.children.append(body)
+                at = stop
+        elif name or page.startswith(("<!", "<?", "</"), start):
+            end = page.find(">", start)
+            if end < 0:
+                text.append(page[start:])
+                break
+            at = end + 1
+            if name:
+                flush()
+                builder.handle_endtag(name[0].lower())
+        else:
+            text.append("<")
+            at = start + 1
+    flush()
+
+
 def hidden_selectors(sheet: str) -> tuple[set[str], set[str]]:
     """Simple selectors under which a style sheet sets display:none, and visibility:hidden."""
     none, unseen = set(), set()
-    for m in re.finditer(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL)):
-        rules = re.sub(r"\s", "", m[2].lower())
-        names = {s.strip() for s in m[1].split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-        if "display:none" in rules:
-            none |= names
-        if "visibility:hidden" in rules:
-            unseen |= names
+    plain, *commented = sheet.split("/*")
+    sheet = plain + "".join(part.partition("*/")[2] for part in commented)
+    open_: list[tuple[bool, set[str]]] = []  # whether the rules inside count, and the selectors
+    parts = re.split("([{};])", sheet)
+    for words, sign in zip(parts[::2], [*parts[1::2], "}"], strict=True):
+        words, live = words.strip(), not open_ or open_[-1][0]
+        if sign == "{":
+            if words.startswith("@"):
+                media = words.lower().removeprefix("@media").split(",") if words.lower().startswith("@media") else []
+                open_.append((live and any(x.split() in (["screen"], ["all"], ["only", "screen"]) for x in media), set()))
+            else:
+                open_.append((live, {x.strip() for x in words.split(",") if re.fullmatch(r"[.#]?[\w-]+", x.strip())}))
+            continue
+        rule = re.sub(r"\s", "", words.lower())
+        if open_ and live and rule.startswith(("display:none", "visibility:hidden")):
+            (none if rule.startswith("display") else unseen).update(open_[-1][1])
+        if sign == "}" and open_:
+            open_.pop()
     return none, unseen
 
 
@@ -318,8 +408,7 @@ class Renderer:
 def extract(html: str | None) -> str:
     """The visible text of a page."""
     builder = Builder()
-    builder.feed(html or "")
-    builder.close()
+    scan(html or "", builder)
     flow = Flow()
     Renderer("\n".join(builder.sheet)).children(builder.root, flow, True, False)
     flow.end()

@@ -1,9 +1,12 @@
 import html
 import re
+import time
+from html.parser import HTMLParser
 
+import pyarrow.parquet as pq
 import pytest
 
-from equispan.llm.html_text import extract, extract_pages
+from equispan.llm.html_text import Builder, extract, extract_pages, scan
 from equispan.llm.queries import op6_html_extraction
 
 CASES = [
@@ -40,6 +43,62 @@ def test_drawings_and_open_heads(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("a<b", "a<b"), ("x <a href='y", "x <a href='y"), ("a < b <= c <3", "a < b <= c <3"), ("<a b='c>d</a>e", "de"), ("<p title=\"a>b\">c", "c"),
+    ("a<!-- b <p>c", "a"), ("a<!-->b<!--->c<!-- > -- >d--!>e", "abce"), ("a</>b</ x>c<?php x?>d<!doctype html>e", "abcde"), ("a</p", "a</p"),
+    ("<textarea><b>&lt;</textarea>c", "<b><c"), ("<title><p>x</title>y", "y"), ("<script>a</scripty></SCRIPT >b", "b"), ("<script/>a</script>b", "b"),
+    ("<IMG SRC=a/>x<Br>y", "x\ny"), ("&#" + "9" * 5000 + ";&#" + "0" * 5000 + "65;&#" + "0" * 9000 + ";", "\ufffdA\ufffd"), ("AT&ampT &#x41;&nbsp;&notin;", "AT&T A ∉"),
+    ("<div>" * 300 + "<script>no</script>a", "a"), ("<p =x y==z/ >a", "a"),
+])
+def test_broken_markup(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("sheet, text", [
+    ("@media print{p{display:none}}", "a\n\nb"), ("@media screen, print { p { color: red; display: none } }", "b"), ("@media ONLY screen{@supports (x:y){p{display:none}}}", "a\n\nb"),
+    ("@import 'x'; /* p{ */ i{display:none} p{visibility:hidden !important;}", "b"), ("@media all{p{display:none", "b"), ("/* p{display:none}", "a\n\nb"),
+    ("@font-face{a:b}}p,q>p{display:none}", "b"), ("@media screen and (width<9px){p{display:none}} x{}", "a\n\nb"),
+])
+def test_style_sheets(sheet, text):
+    assert extract(f"<style>{sheet}</style><p>a</p>b") == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='", '<a b="', "<a b='>", "<!--", "<!", "</", "</a", "<", "&", "&#", "<script>", "<title>", "<svg><b>", "<a>", "<i/>",
+                                  "<style>/*", "<style>a{", "<p a=b ", "<td>", "<li>", "<a / ", "= <"])
+def test_a_million_signs_of_broken_markup(part):
+    began = time.process_time()
+    extract(part * (1_000_000 // len(part)))
+    extract("<style>" + part * (1_000_000 // len(part)) + "</style>x")
+    assert time.process_time() - began < 30
+
+
+def test_scan_agrees_with_the_standard_tokenizer():
+    class Standard(Builder, HTMLParser):
+        def __init__(self):
+            Builder.__init__(self)
+            HTMLParser.__init__(self)
+
+    def tree(node):
+        out = []
+        for x in node.children:
+            if not isinstance(x, str):
+                out.append((x.tag, x.attrs, tree(x)))
+            elif out and isinstance(out[-1], str):
+                out[-1] += x
+            else:
+                out.append(x)
+        return out
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist() if r["html"]]
+    for page in pages + [x for x, _ in CASES if x]:
+        want, got = Standard(), Builder()
+        want.feed(page)
+        want.close()
+        scan(page, got)
+        assert tree(got.root) == tree(want.root)
+        assert got.sheet == want.sheet
+
+
 def test_long_and_deep_pages():
     assert extract("<div>" * 5000 + "deep" + "</div>" * 5000 + "after").split() == ["deep", "after"]
     assert extract("<ul><li>" * 3000 + "deep").endswith("deep")
