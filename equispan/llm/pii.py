@@ -10,11 +10,15 @@ a pattern's confidence is the mean score of its instances, an instance's score i
 doubts, and seeds stay at one.  Patterns with at least `support` distinct seeds and a confidence of `confidence` discover
 their other instances, whose spans get the kind `id`.
 
+Long texts are cut into pieces where no match can stand on both sides: behind a sign that is in none of the expressions,
+or between a space and a sign that no phone number or card holds.  A stretch without such a place is one piece.  So the time
+follows the length, and the results are those of whole texts.
+
 A null text is an empty one.  Rows of equal doc_id and text get the same result, each on its own row.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -33,6 +37,10 @@ _TOKEN = "A-Za-z0-9@._%+-"
 #: A phone number or a token of six signs or more with a digit or `@`, at the beginning of a token.
 INSTANCE = rf"(?<![{_TOKEN}])(?:\+[0-9][\x20().0-9-]{{6,20}}[0-9]|(?=[A-Za-z._%+-]*+[0-9@])[{_TOKEN}]{{6,}}+)"
 _PIECE = 256
+#: Code points beyond which a text is cut, the least length of a piece, and where one may end.
+LONG, CUT = 8192, 4096
+_PIECES = rf"(?s).{{{CUT},}}?(?:(?<=[^\x20(){_TOKEN}])|(?<=\x20)(?=[^\x20().0-9-]))|.+"
+_CONTEXT = 48
 
 
 def _digits(x: Column) -> Column:
@@ -115,15 +123,43 @@ def _is_seed(value: Column) -> Column:
     return (email | (ip & TESTS["ip"][2](value)) | (phone & TESTS["phone"][2](value)) | (card & _luhn(value)))
 
 
+def _pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, _k, at, before, text) of the pieces of long texts: where each begins, and the signs before it."""
+    docs = docs.where(F.length("text") > LONG).dropDuplicates(["doc_id", "_k"])
+    parts = docs.select("doc_id", "_k", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))).alias("_pos", "text"))
+    order = Window.partitionBy("doc_id", "_k").orderBy("_pos")  # the pieces of one text
+    at = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.substring(F.lag("text").over(order), -_CONTEXT, _CONTEXT)
+    return parts.select("doc_id", "_k", F.coalesce(at, F.lit(0)).cast("int").alias("at"), F.coalesce(before, F.lit("")).alias("before"), "text")
+
+
+def _whole_base_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, _k and the base spans (start, end) of each row, long texts by pieces."""
+    short = base_spans(docs.where(F.length("text") <= LONG)).select("doc_id", "_k", *[_places(k) for k in KINDS])
+    found = base_spans(_pieces(docs)).where(" or ".join(f"size({k}) > 0" for k in KINDS))
+    found = found.select("doc_id", "_k", F.struct("at", *[_places(k, F.col("at")) for k in KINDS]).alias("_f"))
+    found = found.groupBy("doc_id", "_k").agg(F.sort_array(F.collect_list("_f")).alias("_f"))  # the spans of one text
+    found = found.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"), *[F.flatten(F.transform("_f", lambda f: f[k])).alias(k) for k in KINDS])
+    long_ = docs.where(F.length("text") > LONG).select("doc_id", "_k")
+    long_ = long_.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return short.union(long_.select("doc_id", "_k", *[F.coalesce(k, none).alias(k) for k in KINDS]))
+
+
 def _instances(docs: DataFrame) -> DataFrame:
     """(doc_id, _k, start, end, value, pattern, seed) of each instance that two words precede."""
-    found = _matches(docs.select("doc_id", "_k", "text").where(F.rlike("text", F.lit("[0-9@]"))), "text", INSTANCE, "", "found")
-    rows = found.select("doc_id", "_k", F.explode("found").alias("s"), F.col("text"))
-    before = F.lower(F.substring("text", F.greatest(F.col("s.start") - 47, F.lit(1)), F.least(F.col("s.start"), F.lit(48))))
+    short = docs.where(F.length("text") <= LONG).select("doc_id", "_k", F.lit(0).alias("at"), F.lit("").alias("before"), "text")
+    texts = short.union(_pieces(docs)).where(F.rlike("text", F.lit("[0-9@]")))
+    found = _matches(texts, "text", INSTANCE, "", "found")
+    rows = found.select("doc_id", "_k", "at", "before", F.explode("found").alias("s"), "text")
+    # Signs of the piece before the instance, behind what is needed of the piece before.
+    own = F.substring("text", F.greatest(F.col("s.start") - _CONTEXT + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(_CONTEXT)))
+    before = F.lower(F.substring(F.concat("before", own), -_CONTEXT, _CONTEXT))
     context = F.regexp_extract(before, r"(\S+\s+\S+[\s=:\"'(]+)$", 1)
     shape = F.regexp_replace(F.regexp_replace(F.col("s.value"), "[A-Za-z]+", "a"), "[0-9]+", "9")
-    return rows.select("doc_id", "_k", "s.start", "s.end", F.lower("s.value").alias("value"),
-                       F.when(context != "", F.xxhash64(context, shape)).alias("pattern"), _is_seed(F.col("s.value")).alias("seed")).where("pattern is not null")
+    return rows.select("doc_id", "_k", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"),
+                       F.lower("s.value").alias("value"), F.when(context != "", F.xxhash64(context, shape)).alias("pattern"),
+                       _is_seed(F.col("s.value")).alias("seed")).where("pattern is not null")
 
 
 def discovered(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -149,7 +185,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", support: int = SUPPO
     """doc_id and, for each base kind and for id, the spans (start, end) in code points, end exclusive, by start."""
     docs = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    base = base_spans(docs).select("doc_id", "_k", *[_places(k) for k in KINDS])
+    base = _whole_base_spans(docs)
     new = discovered(docs, support, confidence, rounds).toDF("_d", "_h", "found")
     both = base.join(new, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left")
     taken = F.concat(*KINDS)
@@ -158,8 +194,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", support: int = SUPPO
     return both.select("doc_id", *KINDS, new.alias("id"))
 
 
-def _places(kind: str) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(kind)
+def _places(kind: str, at: Column | None = None) -> Column:
+    moved = F.lit(0) if at is None else at
+    return F.transform(kind, lambda s: F.struct((s["start"] + moved).alias("start"), (s["end"] + moved).alias("end"))).alias(kind)
 
 
 def span_text(kind: str) -> Column:

@@ -79,6 +79,33 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not any(r.id for r in find_personal_data(df, support=5).collect())
 
 
+def test_long_texts_equal_plain_patterns(spark):
+    rnd = random.Random(3)
+    numbers = " ".join(f"n{k}, {rnd.randrange(10 ** 15)}" for k in range(50_000))  # above 1 MB
+    bits = ["0", "1", "25", "4111 1111 1111 1111", "+1 (743) 555-3824", "1.2.3.4", ".", "-", " ", " ", "+", "a@b.c", "(", ")", "é", "\n", "x", "\x01", ","]
+    docs = [(k, "".join(rnd.choices(bits, k=6000))) for k in range(40)] + [(100, numbers), (100, numbers), (101, "1 " * 9000 + "a@b.c"), (None, docs_words(rnd))]
+    out = find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted(((r.doc_id, {k: [tuple(s) for s in r[k]] for k in BASE}) for r in out), key=str)
+    assert got == sorted(((d, base(t)) for d, t in docs), key=str)
+    assert sum(len(x["card"]) for _, x in got) > 1000
+
+
+def docs_words(rnd):
+    return " ".join(rnd.choice(["mail a.b@c.de now", "word", "call +44 20 7946 0958", "10.0.0.1:"]) for _ in range(20_000))
+
+
+def test_contexts_reach_over_pieces(spark):
+    """An instance right behind a cut has its two words in the piece before."""
+    cards = ["4111111111111111", "5500005555555559", "340000000000009"]
+    docs = [(k, f"my visa card {c}") for k, c in enumerate(cards)]
+    for k in range(30):
+        docs.append((100 + k, "w" * (4070 + k) + " my visa card 4111111111111113 " + "more " * 2000))
+    out = {r.doc_id: [tuple(s) for s in r.id] for r in find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, text in docs[3:]:
+        at = text.index("4111")
+        assert out[k] == [(at, at + 16)]
+
+
 def test_random_texts_equal_plain_patterns(spark):
     rnd = random.Random(9)
     bits = ["0", "00", "1", "9", "25", "255", "256", "4111", "1111", ".", ".", ".", "-", " ", "+", "@", "a", "b.c", "(", ")", "é", "\n", "\x01", "%"]
