@@ -4,7 +4,8 @@ Base spans are the leftmost non-overlapping matches of each kind that pass its t
 Luhn's sum, number of digits).  The expressions find what the plain patterns find, but never scan a run of signs twice:
 `\\G` and a look-behind let a match begin only where a run begins or the last match ended.
 
-Bootstrapping: tokens with digits or `@` are instances; the two words before a token and its shape are its pattern.
+Bootstrapping: tokens with digits or `@` are instances; the two words before a token are one pattern of it, these
+words and its shape another, so trust carries over to values of other forms.
 Instances that a base test accepts are the seeds.  On the graph of patterns and distinct instances Spark scores in turn:
 a pattern's confidence is the mean score of its instances, an instance's score is one minus the product of its patterns'
 doubts, and seeds stay at one.  Patterns with at least `support` distinct seeds and a confidence of `confidence` discover
@@ -147,7 +148,7 @@ def _whole_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _instances(docs: DataFrame) -> DataFrame:
-    """(doc_id, _k, start, end, value, pattern, seed) of each instance that two words precede."""
+    """(doc_id, _k, start, end, value, patterns, seed) of each instance that two words precede."""
     short = docs.where(F.length("text") <= LONG).select("doc_id", "_k", F.lit(0).alias("at"), F.lit("").alias("before"), "text")
     texts = short.union(_pieces(docs)).where(F.rlike("text", F.lit("[0-9@]")))
     found = _matches(texts, "text", INSTANCE, "", "found")
@@ -158,14 +159,14 @@ def _instances(docs: DataFrame) -> DataFrame:
     context = F.regexp_extract(before, r"(\S+\s+\S+[\s=:\"'(]+)$", 1)
     shape = F.regexp_replace(F.regexp_replace(F.col("s.value"), "[A-Za-z]+", "a"), "[0-9]+", "9")
     return rows.select("doc_id", "_k", (F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"),
-                       F.lower("s.value").alias("value"), F.when(context != "", F.xxhash64(context, shape)).alias("pattern"),
-                       _is_seed(F.col("s.value")).alias("seed")).where("pattern is not null")
+                       F.lower("s.value").alias("value"), F.when(context != "", F.array(F.xxhash64(context), F.xxhash64(context, shape))).alias("patterns"),
+                       _is_seed(F.col("s.value")).alias("seed")).where("patterns is not null")
 
 
 def discovered(docs: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, _k, found): spans (start, end) that trusted patterns discover beyond the seeds."""
     instances = cut(_instances(docs))
-    edges = instances.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = instances.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     enough = edges.groupBy("pattern").agg(F.count_if("seed").alias("_s"), F.count("*").alias("_n")).where((F.col("_s") >= support) & (F.col("_n") > F.col("_s")))
     edges = cut(edges.join(enough.select("pattern"), "pattern"))
     scores = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
@@ -175,7 +176,7 @@ def discovered(docs: DataFrame, support: int = SUPPORT, confidence: float = CONF
         scores = cut(edges.join(patterns, "pattern").groupBy("value").agg(
             F.greatest(F.max(F.col("seed").cast("double")), 1 - doubt).alias("score")))
     trusted = edges.join(scores, "value").groupBy("pattern").agg(F.avg("score").alias("trust")).where(F.col("trust") >= confidence)
-    new = instances.where("not seed").join(trusted.select("pattern"), "pattern", "left_semi").join(
+    new = instances.where("not seed").select("doc_id", "_k", "start", "end", "value", F.explode("patterns").alias("pattern")).join(trusted.select("pattern"), "pattern", "left_semi").join(
         scores.where(F.col("score") >= confidence).select("value"), "value", "left_semi")
     return new.groupBy("doc_id", "_k").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("found"))
 

@@ -75,10 +75,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     at = docs[4][1].index("4111")
     assert out[10] == [(at, at + 16)]
     assert out[13] == [(14, 30)]  # the words before it are the same two
-    assert not any(out[k] for k in (0, 1, 2, 3, 11, 12, 14))
+    assert out[12] == [(13, 20)]  # of another form, in the same words
+    assert not any(out[k] for k in (0, 1, 2, 3, 11, 14))
     assert not any(r.id for r in find_personal_data(df, support=5).collect())
 
 
+def test_full_shapes_discover_too_and_mixed_contexts_do_not(spark):
+    docs = [(k, f"please email me: user{k}@mail{k}.com") for k in range(6)] + [(10, "please email me: user-at-mail77"), (11, "please email me: handle_9981")]
+    docs += [(20 + k, f"see page no: {100000 + k}") for k in range(20)] + [(50 + k, f"see page no: 10.0.0.{k}") for k in range(3)]
+    out = {r.doc_id: [tuple(s) for s in r.id] for r in find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k for k, v in out.items() if v} == {10, 11}
+    assert out[10] == [(17, 31)]
+
+
 def test_long_texts_equal_plain_patterns(spark):
     rnd = random.Random(3)
     numbers = " ".join(f"n{k}, {rnd.randrange(10 ** 15)}" for k in range(50_000))  # above 1 MB
