@@ -29,6 +29,8 @@ SIZES, BUCKET_BITS, FEATURES, MAX_ROWS, THRESHOLD = (4, 5, 6), 20, 1 << 14, 20_0
 PENALTY, STEPS = 2e-4, 300
 #: Bits of the filter of labelled doc_ids: 4 MB sent to each task, whatever the number of labels.
 FILTER_BITS = 25
+#: Bytes of text whose n-grams are held at once; each byte takes over a hundred while they are told apart.
+SLICE_BYTES = 1 << 19
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,7 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BUCKET_BITS), np.int64)
     for batch in batches:
         toxic = batch.column(1).to_numpy()
-        for first, end, data, offsets in slices(batch.column(0)):
+        for first, end, data, offsets in slices(batch.column(0), SLICE_BYTES):
             row, feature = _distinct(data, offsets)
             for kind in (0, 1):
                 counts[kind] += np.bincount(feature[toxic[first:end][row] == kind], minlength=1 << BUCKET_BITS)
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int =
         wanted = np.zeros(1 << BUCKET_BITS, bool)
         wanted[chosen.value] = True
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(0)):
+            for first, end, data, offsets in slices(batch.column(0), SLICE_BYTES):
                 row, found = _distinct(data, offsets, wanted)
                 at = np.searchsorted(row, np.arange(end - first + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -194,7 +196,7 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
         w = weights.value
         wanted = w[:-1] != 0
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(batch.schema.get_field_index(text))):
+            for first, end, data, offsets in slices(batch.column(batch.schema.get_field_index(text)), SLICE_BYTES):
                 row, feature = _distinct(data, offsets, wanted)
                 z = np.bincount(row, w[feature], end - first) + w[-1]
                 part = batch.slice(first, end - first)
