@@ -33,7 +33,9 @@ SHARDS, BITS = 4, 27
 #: Scores are whole numbers: 2 * SCALE times a share.
 SCALE = 1_000_000
 #: Hashes held before they are counted and handed on; parts of a language ranked on their own first.
-HELD, PARTS = 4 << 20, 32
+HELD, PARTS = 3 << 19, 32
+#: Bytes of text whose words are held at once.
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 #: Low bits of a hash that hold the shard instead.
 _SHARD = np.uint64(15)
@@ -89,7 +91,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Words, language seeds and shards by row, and the rows of each slice of batches (lang, text, shard)."""
     for batch in batches:
-        for first, end, data, offsets in slices(batch.column("text")):
+        for first, end, data, offsets in slices(batch.column("text"), SLICE_BYTES):
             rows = batch.slice(first, end - first)
             lang = rows.column("lang").dictionary_encode()
             seeds = np.array([xxhash.xxh64_intdigest(x.encode()) for x in lang.dictionary.to_pylist()], np.uint64)
